@@ -1,69 +1,98 @@
 """Global ranking and cumulative sums without a single-partition window.
 
 ``Window.orderBy`` with no ``partitionBy`` moves every row into one task.
-Here rows are range-partitioned on the order key, numbered inside each
-partition, and shifted by per-partition offsets.  The offsets are one number
-per partition (bounded by the partition count, not the data), computed on
-the driver and inlined as a literal map.
+Here the order key is cut into buckets by boundaries taken from a
+deterministic hash sample (bounded size), each row gets its bucket id from a
+binary-search ``CASE`` expression, rows are numbered inside their bucket (a
+window partitioned by bucket), and shifted by per-bucket offsets.  Offsets
+are one number per bucket, computed on the driver and inlined as a literal
+map.  Everything is a pure function of the data, so a recomputed partition
+(e.g. after executor loss) gets the same ranks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 2_000_000
+SAMPLE_PER_BUCKET = 64
 
 
-def _range_sorted(df: DataFrame, order: Sequence[Column], partitions: int | None):
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-            .withColumn("_pid", F.spark_partition_id()))
+def _bucket_expr(key: Column, bounds: list[Column], lo: int, hi: int) -> Column:
+    """Bucket id in [lo, hi] for ``key`` given sorted ``bounds`` (binary search)."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi + 1) // 2          # bucket mid starts at bounds[mid - 1]
+    return F.when(key >= bounds[mid - 1], _bucket_expr(key, bounds, mid, hi)).otherwise(
+        _bucket_expr(key, bounds, lo, mid - 1))
+
+
+def _literal_map(d: dict, key: Column) -> Column:
+    if not d:
+        return F.lit(0).cast("bigint")
+    return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])[key]
 
 
 def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank",
                 sums: dict[str, Column] | None = None,
-                partitions: int | None = None) -> DataFrame:
-    """Add ``name`` = 0-based position of each row in ``order``.
+                buckets: int | None = None, n_rows: int | None = None) -> DataFrame:
+    """Add ``name`` = 0-based position of each row in ascending ``order``.
 
-    ``order`` must be a total order (end it with a unique id).  ``sums``
-    maps output names to expressions whose running total (inclusive, in
-    ``order``) is added as well.
+    ``order`` must be a total order (end it with a unique id); for a
+    descending numeric key pass its negation.  ``sums`` maps output names to
+    expressions whose running total (inclusive, in ``order``) is added.
     """
     sums = sums or {}
     order = list(order)
-    r = _range_sorted(df, order, partitions)
-    r = r.withColumn("_local", F.monotonically_increasing_id()
-                     - (F.col("_pid").cast("bigint") * F.lit(1 << 33)))
-    # local running sums inside a partition: window partitioned by _pid
-    # keeps rows in their partition (Exchange on _pid only)
-    per_part = r.groupBy("_pid").agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[F.sum(e).alias(f"_s_{k}") for k, e in sums.items()]).collect()
-    per_part = sorted(per_part, key=lambda x: x["_pid"])
+    spark = df.sparkSession
+    nb = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key_cols = [o.alias(f"_k{i}") for i, o in enumerate(order)]
+    base = df.select("*", *key_cols)
+    kc = [F.col(f"_k{i}") for i in range(len(order))]
+    key = F.struct(*kc)
+    if nb > 1:
+        n = n_rows if n_rows is not None else base.count()
+        target = nb * SAMPLE_PER_BUCKET
+        mod = 1_000_000
+        keep = max(1, min(mod, int(mod * target / max(n, 1)) + 1))
+        sample = (base.where(F.pmod(F.xxhash64(*kc), F.lit(mod)) < keep)
+                  .select(*kc).orderBy(*kc).collect())
+        types = base.select(*kc).schema
+        cuts = []
+        for b in range(1, nb):
+            i = b * len(sample) // nb
+            if 0 < i < len(sample):
+                v = tuple(sample[i])
+                if not cuts or cuts[-1] != v:
+                    cuts.append(v)
+        bounds = [F.struct(*[F.lit(x).cast(t.dataType).alias(t.name)
+                             for x, t in zip(v, types.fields)]) for v in cuts]
+        bucket = _bucket_expr(key, bounds, 0, len(bounds)) if bounds else F.lit(0)
+    else:
+        bucket = F.lit(0)
+    b = base.withColumn("_b", bucket)
+    per = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"),
+                              *[F.sum(e).alias(f"_s_{k}") for k, e in sums.items()]).collect()
+    per = sorted(per, key=lambda r: r["_b"])
     off, acc = {}, 0
     soff = {k: {} for k in sums}
-    sacc = {k: 0 for k in sums}
-    for row in per_part:
-        off[row["_pid"]] = acc
-        acc += row["_n"]
+    sacc = dict.fromkeys(sums, 0)
+    for r in per:
+        off[r["_b"]] = acc
+        acc += r["_n"]
         for k in sums:
-            soff[k][row["_pid"]] = sacc[k]
-            sacc[k] += row[f"_s_{k}"] or 0
-    def lookup(d):
-        if not d:
-            return F.lit(0)
-        return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])[F.col("_pid")]
-    out = r.withColumn(name, lookup(off) + F.col("_local"))
-    if sums:
-        from pyspark.sql import Window
-        w = (Window.partitionBy("_pid").orderBy(*order)
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        for k, e in sums.items():
-            out = out.withColumn(k, lookup(soff[k]) + F.sum(e).over(w))
-    return out.drop("_pid", "_local")
+            soff[k][r["_b"]] = sacc[k]
+            sacc[k] += r[f"_s_{k}"] or 0
+    w = Window.partitionBy("_b").orderBy(*kc)
+    out = b.withColumn(name, (_literal_map(off, F.col("_b"))
+                              + F.row_number().over(w) - 1).cast("bigint"))
+    wc = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for k, e in sums.items():
+        out = out.withColumn(k, _literal_map(soff[k], F.col("_b")) + F.sum(e).over(wc))
+    return out.drop("_b", *[f"_k{i}" for i in range(len(order))])
 
 
 def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import preprocess, text_sources  # noqa: F401
+from . import evaluation, preprocess, text_sources  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 
