@@ -182,7 +182,7 @@ def impute_all_null_column(spark, sf):
 
 # ---- feature scores (P16, P17, P20) -----------------------------------------
 ORDER_FEATURES = ["sum_qty", "avg_disc", "avg_tax", "n_items", "o_totalprice"]
-_F_ORDER = """(SELECT o_orderkey, o_orderstatus, o_totalprice, sum_qty, avg_disc, avg_tax, n_items
+_F_ORDER = """(SELECT o_orderkey, o_orderstatus, o_totalprice, o_totalprice / 1000.0 AS price_k, sum_qty, avg_disc, avg_tax, n_items
   FROM orders JOIN (SELECT l_orderkey, sum(l_quantity) AS sum_qty, avg(l_discount) AS avg_disc,
                            avg(l_tax) AS avg_tax, CAST(count(*) AS DOUBLE) AS n_items
                     FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey)"""

@@ -55,7 +55,8 @@ def f_order(spark, sf):
                F.avg("l_discount").alias("avg_disc"),
                F.avg("l_tax").alias("avg_tax"),
                F.count(F.lit(1)).cast("double").alias("n_items")))
-    o = read(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    o = read(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice",
+                                         (F.col("o_totalprice") / 1000.0).alias("price_k"))
     return o.join(li, o.o_orderkey == li.l_orderkey).drop("l_orderkey")
 
 
