@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 2_000_000
 SAMPLE_PER_BUCKET = 64
+SINGLE_BUCKET_ROWS = 20_000   # checked size below which one ordered bucket is cheapest
 
 
 def _bucket_expr(key: Column, bounds: list[Column], lo: int, hi: int) -> Column:
@@ -53,8 +54,10 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank",
     base = df.select("*", *key_cols)
     kc = [F.col(f"_k{i}") for i in range(len(order))]
     key = F.struct(*kc)
+    n = n_rows if n_rows is not None else (base.count() if nb > 1 else 0)
+    if n <= SINGLE_BUCKET_ROWS:
+        nb = 1
     if nb > 1:
-        n = n_rows if n_rows is not None else base.count()
         target = nb * SAMPLE_PER_BUCKET
         mod = 1_000_000
         keep = max(1, min(mod, int(mod * target / max(n, 1)) + 1))
@@ -74,8 +77,12 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank",
     else:
         bucket = F.lit(0)
     b = base.withColumn("_b", bucket)
-    per = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"),
-                              *[F.sum(e).alias(f"_s_{k}") for k, e in sums.items()]).collect()
+    if nb > 1:
+        per = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"),
+                                  *[F.sum(e).alias(f"_s_{k}") for k, e in sums.items()]
+                                  ).collect()
+    else:
+        per = []  # one bucket: all offsets are zero
     per = sorted(per, key=lambda r: r["_b"])
     off, acc = {}, 0
     soff = {k: {} for k in sums}
