@@ -18,8 +18,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..frame import as_double, check_columns, check_numeric
+from ..functions.exprs import num, qcol, sql_sum
 
 MODELS = ("gaussian", "multinomial", "bernoulli")
+# above this many class x feature terms, scoring runs as a numpy matrix product
+# per Arrow batch (a fused JVM expression would exceed the codegen limits)
+WIDE_TERMS = 256
 
 
 @dataclass
@@ -31,45 +35,102 @@ class NaiveBayesModel:
     theta: np.ndarray              # (k, p): mean / log prob
     sigma: np.ndarray | None = None  # (k, p): variance (gaussian)
     neg: np.ndarray | None = None    # (k, p): log(1 - p) (bernoulli)
+    label_type: object = None
 
     def joint_log_likelihood(self) -> list[Column]:
-        x = [as_double(c) for c in self.features]
+        """Per-class expressions over the columns ``_x0..`` (see ``predict``).
+
+        Built as one SQL string per class (a single parse instead of
+        thousands of column-API calls) with a balanced sum.
+        """
+        p = len(self.features)
+        x = [f"_x{j}" for j in range(p)]
         out = []
         for ci in range(len(self.classes)):
-            terms = [F.lit(float(self.log_prior[ci]))]
+            terms = [num(self.log_prior[ci])]
             if self.kind == "gaussian":
-                const = -0.5 * float(np.sum(np.log(2.0 * np.pi * self.sigma[ci])))
-                terms.append(F.lit(const))
-                for j, xj in enumerate(x):
-                    d = xj - F.lit(float(self.theta[ci, j]))
-                    terms.append(d * d * F.lit(-0.5 / float(self.sigma[ci, j])))
+                terms.append(num(-0.5 * float(np.sum(np.log(2.0 * np.pi * self.sigma[ci])))))
+                for j in range(p):
+                    terms.append(f"(({x[j]} - {num(self.theta[ci, j])}) * ({x[j]} - "
+                                 f"{num(self.theta[ci, j])}) * {num(-0.5 / self.sigma[ci, j])})")
             elif self.kind == "multinomial":
-                for j, xj in enumerate(x):
-                    terms.append(xj * F.lit(float(self.theta[ci, j])))
+                terms += [f"({x[j]} * {num(self.theta[ci, j])})" for j in range(p)]
             else:
-                for j, xj in enumerate(x):
-                    b = F.when(xj > 0, 1.0).otherwise(0.0)
-                    terms.append(b * F.lit(float(self.theta[ci, j]))
-                                 + (F.lit(1.0) - b) * F.lit(float(self.neg[ci, j])))
-            out.append(sum(terms[1:], terms[0]))
+                terms += [f"(IF({x[j]} > 0, {num(self.theta[ci, j])}, {num(self.neg[ci, j])}))"
+                          for j in range(p)]
+            out.append(F.expr(sql_sum(terms)))
         return out
 
     def predict(self, df: DataFrame, id: str = "id", keep: Sequence[str] = (),
                 proba: bool = True) -> DataFrame:
-        """(id, keep..., prediction, p_<class>...) -- argmax, ties -> first class."""
-        jll = F.array(*self.joint_log_likelihood())
-        base = df.select(F.col(id), *[F.col(k) for k in keep], jll.alias("_jll"))
-        mx = F.array_max("_jll")
-        idx = F.array_position(F.col("_jll"), mx) - 1
+        """(id, keep..., prediction, p_<class>...) -- argmax, ties -> first class.
+
+        Three narrow projections: features as doubles, one joint log
+        likelihood column per class, then argmax / normalised probabilities.
+        """
+        k = len(self.classes)
+        if k * len(self.features) > WIDE_TERMS:
+            return self._predict_arrow(df, id, keep, proba)
+        ids = [F.col(id), *[F.col(c) for c in keep]]
+        xs = df.select(*ids, *[as_double(c).alias(f"_x{j}")
+                               for j, c in enumerate(self.features)])
+        jl = xs.select(*ids, *[e.alias(f"_j{i}") for i, e in
+                               enumerate(self.joint_log_likelihood())])
+        j = [f"_j{i}" for i in range(k)]
+        mx = f"greatest({', '.join(j)})" if k > 1 else j[0]
+        pred = "CASE " + " ".join(f"WHEN {j[i]} = _mx THEN {i}" for i in range(k)) + " END"
+        t = jl.select(*ids, *[F.col(c) for c in j], F.expr(mx).alias("_mx"))
         cls = F.array(*[F.lit(c) for c in self.classes])
-        cols = [F.col(id), *[F.col(k) for k in keep], cls[idx.cast("int")].alias("prediction")]
+        cols = [F.col(id), *[F.col(c) for c in keep], cls[F.expr(pred)].alias("prediction")]
         if proba:
-            ex = F.transform("_jll", lambda v: F.exp(v - mx))
-            tot = F.aggregate(ex, F.lit(0.0), lambda a, b: a + b)
-            base = base.withColumn("_ex", ex).withColumn("_tot", tot)
-            cols += [(F.col("_ex")[i] / F.col("_tot")).alias(f"p_{c}")
+            t = t.select("*", *[F.expr(f"exp({j[i]} - _mx)").alias(f"_e{i}") for i in range(k)])
+            tot = sql_sum([f"_e{i}" for i in range(k)])
+            t = t.withColumn("_tot", F.expr(tot))
+            cols += [(F.col(f"_e{i}") / F.col("_tot")).alias(f"p_{c}")
                      for i, c in enumerate(self.classes)]
-        return base.select(*cols)
+        return t.select(*cols)
+
+    def _predict_arrow(self, df, id, keep, proba):
+        import pandas as pd
+        feats = [f"_x{j}" for j in range(len(self.features))]
+        xs = df.select(F.col(id), *[F.col(c) for c in keep],
+                       *[as_double(c).alias(f) for c, f in zip(self.features, feats)])
+        kind, lp, th = self.kind, self.log_prior, self.theta
+        if kind == "gaussian":
+            inv = -0.5 / self.sigma                      # (k, p)
+            const = lp - 0.5 * np.sum(np.log(2.0 * np.pi * self.sigma), axis=1)
+            quad, lin = inv.T, (-2.0 * inv * th).T       # x^2 and x coefficients
+            const = const + np.sum(inv * th * th, axis=1)
+        elif kind == "multinomial":
+            quad, lin, const = None, th.T, lp
+        else:
+            quad, lin, const = None, (th - self.neg).T, lp + self.neg.sum(axis=1)
+        classes = list(self.classes)
+        out_cols = [id, *keep]
+        schema = xs.select(F.col(id), *[F.col(c) for c in keep]).schema
+        from pyspark.sql.types import DoubleType, StructField, StructType
+        fields = list(schema.fields) + [StructField("prediction", self.label_type)]
+        if proba:
+            fields += [StructField(f"p_{c}", DoubleType()) for c in classes]
+
+        def score(batches):
+            for b in batches:
+                x = b[feats].to_numpy(dtype=float)
+                if kind == "bernoulli":
+                    x = (x > 0).astype(float)
+                jll = x @ lin + const
+                if quad is not None:
+                    jll = jll + (x * x) @ quad
+                best = np.argmax(jll, axis=1)
+                res = b[out_cols].copy()
+                res["prediction"] = pd.Series([classes[i] for i in best], index=b.index)
+                if proba:
+                    e = np.exp(jll - jll.max(axis=1, keepdims=True))
+                    e = e / e.sum(axis=1, keepdims=True)
+                    for i, c in enumerate(classes):
+                        res[f"p_{c}"] = e[:, i]
+                yield res
+        return xs.mapInPandas(score, StructType(fields))
 
     def params(self, spark: SparkSession) -> DataFrame:
         rows = []
@@ -91,39 +152,50 @@ def fit(df: DataFrame, features: Sequence[str], label: str, kind: str = "gaussia
     check_numeric(df, features)
     check_columns(df, [label])
     p = len(features)
-    x = [as_double(c) for c in features]
-    aggs = [F.count(F.lit(1)).alias("_n")]
+    # long form: (label, pos, x) -> groupBy(label, pos) with three aggregates;
+    # small generated code for any p, partial aggregation before the shuffle
+    stack = ", ".join(f"{j}, CAST({qcol(c)} AS DOUBLE)" for j, c in enumerate(features))
+    lf = df.select(F.col(label).alias("_label"),
+                   F.expr(f"stack({p}, {stack}) AS (pos, x)"))
+    lf = lf.withColumn("x", F.when(F.isnan("x"), None).otherwise(F.col("x")))
     if kind == "gaussian":
-        for j, xj in enumerate(x):
-            aggs += [F.avg(xj).alias(f"m{j}"), F.var_pop(xj).alias(f"v{j}")]
+        stat = [F.avg("x").alias("m"), F.var_pop("x").alias("v")]
     elif kind == "multinomial":
-        aggs += [F.sum(xj).alias(f"s{j}") for j, xj in enumerate(x)]
-        aggs += [F.min(xj).alias(f"lo{j}") for j, xj in enumerate(x)]
+        stat = [F.sum("x").alias("s"), F.min("x").alias("lo")]
     else:
-        aggs += [F.sum(F.when(xj > 0, 1.0).otherwise(0.0)).alias(f"s{j}")
-                 for j, xj in enumerate(x)]
-    per_class = df.groupBy(label).agg(*aggs).orderBy(label).collect()  # one row per class
+        stat = [F.sum(F.when(F.col("x") > 0, 1.0).otherwise(0.0)).alias("s")]
+    st = lf.groupBy("_label", "pos").agg(*stat).collect()     # classes x features rows
+    nc = df.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = {r["_label"]: r["_n"] for r in nc.collect()}    # one row per class
+    classes = sorted(counts)
+    cidx = {c: i for i, c in enumerate(classes)}
+    per = {}
+    for r in st:
+        per[(cidx[r["_label"]], r["pos"])] = r
+    per_class = [counts[c] for c in classes]
     if not per_class:
         raise ValueError("empty training set")
-    classes = [r[label] for r in per_class]
-    n_c = np.array([r["_n"] for r in per_class], dtype=float)
+    k = len(classes)
+    ltype = df.schema[label].dataType
+    n_c = np.array(per_class, dtype=float)
     log_prior = np.log(n_c / n_c.sum())
+    def mat(key):
+        return np.array([[per[(i, j)][key] for j in range(p)] for i in range(k)], dtype=float)
     if kind == "gaussian":
-        eps = var_smoothing * max(
-            v or 0.0 for v in df.agg(*[F.var_pop(xj) for xj in x]).first())
-        theta = np.array([[r[f"m{j}"] for j in range(p)] for r in per_class], dtype=float)
-        sigma = np.array([[r[f"v{j}"] for j in range(p)] for r in per_class], dtype=float) + eps
-        return NaiveBayesModel(kind, features, classes, log_prior, theta, sigma=sigma)
-    fc = np.array([[r[f"s{j}"] for j in range(p)] for r in per_class], dtype=float)
+        allv = lf.groupBy("pos").agg(F.var_pop("x").alias("v")).collect()
+        eps = var_smoothing * max((r["v"] or 0.0) for r in allv)
+        return NaiveBayesModel(kind, features, classes, log_prior, mat("m"),
+                               sigma=mat("v") + eps, label_type=ltype)
+    fc = mat("s")
     if kind == "multinomial":
-        if min(r[f"lo{j}"] for r in per_class for j in range(p)) < 0:
+        if np.min(mat("lo")) < 0:
             raise ValueError("negative values in data passed to MultinomialNB")
         sm = fc + alpha
         theta = np.log(sm) - np.log(sm.sum(axis=1, keepdims=True))
-        return NaiveBayesModel(kind, features, classes, log_prior, theta)
+        return NaiveBayesModel(kind, features, classes, log_prior, theta, label_type=ltype)
     prob = (fc + alpha) / (n_c[:, None] + 2 * alpha)
     return NaiveBayesModel(kind, features, classes, log_prior, np.log(prob),
-                           neg=np.log1p(-prob))
+                           neg=np.log1p(-prob), label_type=ltype)
 
 
 def log_sum_exp(values: list[float]) -> float:

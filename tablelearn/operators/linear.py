@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..frame import as_double, check_numeric
+from ..functions.exprs import dot
 from ..functions.linalg import moments, pinv_solve
 
 
@@ -28,10 +29,7 @@ class LinearModel:
     n_iter: int = 0
 
     def expression(self) -> Column:
-        e = F.lit(float(self.intercept))
-        for c, w in zip(self.features, self.coef):
-            e = e + as_double(c) * F.lit(float(w))
-        return e
+        return dot([as_double(c) for c in self.features], self.coef, self.intercept)
 
     def predict(self, df: DataFrame, id: str = "id", keep: Sequence[str] = ()) -> DataFrame:
         return df.select(F.col(id), *[F.col(k) for k in keep],

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..frame import as_double, check_columns, check_numeric
+from ..functions.exprs import dot
 
 PENALTIES = ("l2", "l1", "elasticnet", "none")
 
@@ -30,13 +31,8 @@ class LogisticModel:
     n_iter: int = 0
 
     def _margins(self) -> list[Column]:
-        out = []
-        for r in range(len(self.intercept)):
-            e = F.lit(float(self.intercept[r]))
-            for c, w in zip(self.features, self.coef[r]):
-                e = e + as_double(c) * F.lit(float(w))
-            out.append(e)
-        return out
+        x = [as_double(c) for c in self.features]
+        return [dot(x, self.coef[r], self.intercept[r]) for r in range(len(self.intercept))]
 
     def predict(self, df: DataFrame, id: str = "id", keep: Sequence[str] = (),
                 proba: bool = True) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..frame import as_double, check_numeric
+from ..functions.exprs import dot
 from ..functions.linalg import moments
 
 
@@ -28,12 +29,8 @@ class PCAModel:
     n: int
 
     def transform(self, df: DataFrame, id: str = "id", keep: Sequence[str] = ()) -> DataFrame:
-        cols = []
-        for k, comp in enumerate(self.components):
-            e = F.lit(0.0)
-            for c, m, w in zip(self.features, self.mean, comp):
-                e = e + (as_double(c) - F.lit(float(m))) * F.lit(float(w))
-            cols.append(e.alias(f"pc{k + 1}"))
+        xc = [as_double(c) - F.lit(float(m)) for c, m in zip(self.features, self.mean)]
+        cols = [dot(xc, comp).alias(f"pc{k + 1}") for k, comp in enumerate(self.components)]
         return df.select(F.col(id), *[F.col(x) for x in keep], *cols)
 
     def variance(self, spark: SparkSession) -> DataFrame:
