@@ -120,3 +120,44 @@ def silhouette_analysis(spark, sf):
     """k = 2..6 with MLlib k-means (seed 42, 10 restarts); silhouette per k."""
     df = tb.f_learn(spark, sf)
     return rounded(sil.silhouette_analysis(df, ["x0", "x1"], "vec_id", 2, 6, seed=42), 4)
+
+
+# ---- DBSCAN (K6, K7) on the first two embedding dims ------------------------------
+from ..operators import dbscan as db  # noqa: E402
+
+EPS, MIN_SAMPLES = 0.02, 5
+
+_DBSCAN = f"""WITH RECURSIVE learn AS {S.LEARN},
+pr AS (SELECT a.vec_id AS a, b.vec_id AS b FROM learn a, learn b
+       WHERE (a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1)
+             <= {EPS!r} * {EPS!r}),
+core AS (SELECT a AS v FROM pr GROUP BY a HAVING count(*) >= {MIN_SAMPLES}),
+ce AS (SELECT a, b FROM pr WHERE a IN (SELECT v FROM core) AND b IN (SELECT v FROM core)),
+reach(a, b) AS (SELECT a, b FROM ce UNION SELECT reach.a, ce.b FROM reach JOIN ce ON reach.b = ce.a),
+comp AS (SELECT a AS v, min(b) AS label FROM reach GROUP BY a),
+num AS (SELECT label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS cluster
+        FROM (SELECT DISTINCT label FROM comp)),
+cc AS (SELECT v, cluster FROM comp JOIN num USING (label)),
+bd AS (SELECT pr.a, min(cc.cluster) AS bc FROM pr JOIN cc ON pr.b = cc.v GROUP BY pr.a),
+lab AS (SELECT l.vec_id, CAST(coalesce(cc.cluster, bd.bc, -1) AS INTEGER) AS cluster,
+               cc.cluster IS NOT NULL AS is_core
+        FROM learn l LEFT JOIN cc ON l.vec_id = cc.v LEFT JOIN bd ON l.vec_id = bd.a)"""
+
+
+def _dbscan(spark, sf):
+    return db.dbscan(tb.f_learn(spark, sf), ["x0", "x1"], EPS, MIN_SAMPLES, "vec_id")
+
+
+@query("dbscan", _DBSCAN + " SELECT * FROM lab")
+def dbscan(spark, sf):
+    return _dbscan(spark, sf)
+
+
+@query("dbscan_summary", _DBSCAN + """
+SELECT CAST(count(DISTINCT CASE WHEN cluster >= 0 THEN cluster END) AS BIGINT) AS n_clusters,
+       CAST(count(*) FILTER (WHERE cluster = -1) AS BIGINT) AS n_noise,
+       round(count(*) FILTER (WHERE cluster = -1) / count(*), 6) AS noise_share,
+       CAST(count(*) FILTER (WHERE is_core) AS BIGINT) AS n_core,
+       CAST(count(*) AS BIGINT) AS n FROM lab""")
+def dbscan_summary(spark, sf):
+    return rounded(db.summary(_dbscan(spark, sf)))
