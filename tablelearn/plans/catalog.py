@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import clustering, evaluation, models, preprocess, text_sources, trees  # noqa: F401
+from . import clustering, evaluation, models, neighbors, preprocess, text_sources, trees  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 
