@@ -128,3 +128,33 @@ def regression_metrics(pred: DataFrame, label: str = "label",
     r2 = (F.when(sst > 0, 1 - F.col("sse") / sst)
           .when(F.col("sse") == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
     return a.select(r2.alias("r2"), "mse", F.sqrt("mse").alias("rmse"), "mae", "n")
+
+
+SCORERS = ("accuracy", "precision_macro", "recall_macro", "f1_macro", "precision_weighted",
+           "recall_weighted", "f1_weighted", "precision_micro", "recall_micro", "f1_micro",
+           "r2", "neg_mean_squared_error", "neg_mean_absolute_error",
+           "neg_root_mean_squared_error")
+
+
+def score(pred: DataFrame, scoring: str = "accuracy", label: str = "label",
+          prediction: str = "prediction") -> DataFrame:
+    """One row, column ``score``: the named scorer over a prediction table."""
+    s = scoring.strip().lower()
+    if s == "accuracy" or s in ("precision_micro", "recall_micro", "f1_micro"):
+        return accuracy(pred, label, prediction).select(F.col("accuracy").alias("score"))
+    if s in ("r2", "neg_mean_squared_error", "neg_mean_absolute_error",
+             "neg_root_mean_squared_error"):
+        m = regression_metrics(pred, label, prediction)
+        col = {"r2": F.col("r2"), "neg_mean_squared_error": -F.col("mse"),
+               "neg_mean_absolute_error": -F.col("mae"),
+               "neg_root_mean_squared_error": -F.col("rmse")}[s]
+        return m.select(col.alias("score"))
+    if s.split("_")[0] in ("precision", "recall", "f1") and s.split("_")[-1] in (
+            "macro", "weighted"):
+        metric, avg = s.split("_")[0], s.split("_")[-1]
+        rep = classification_report(pred, label, prediction)
+        if avg == "macro":
+            return rep.agg(F.avg(metric).alias("score"))
+        return rep.agg((F.sum(F.col(metric) * F.col("support")) / F.sum("support"))
+                       .alias("score"))
+    raise ValueError(f"unknown scoring {scoring!r}; choose one of {SCORERS}")

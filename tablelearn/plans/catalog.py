@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import clustering, evaluation, models, neighbors, preprocess, text_sources, trees  # noqa: F401
+from . import (clustering, evaluation, models, neighbors, preprocess, search,  # noqa: F401
+               text_sources, trees)
 from .registry import ORACLE, QUERIES
 
 
