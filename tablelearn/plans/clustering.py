@@ -161,3 +161,25 @@ SELECT CAST(count(DISTINCT CASE WHEN cluster >= 0 THEN cluster END) AS BIGINT) A
        CAST(count(*) AS BIGINT) AS n FROM lab""")
 def dbscan_summary(spark, sf):
     return rounded(db.summary(_dbscan(spark, sf)))
+
+
+# ---- hierarchical (K8, K9) --------------------------------------------------------
+from ..operators import hierarchy as hc  # noqa: E402
+
+
+def _hier(linkage):
+    def run(spark, sf):
+        r = hc.hierarchical(tb.f_learn(spark, sf), ["x0", "x1"], 2, linkage, "vec_id")
+        return r.labels
+    return run
+
+
+for _l in hc.LINKAGES:
+    query(f"hierarchical_{_l}")(_hier(_l))
+
+
+@query("merge_distances")
+def merge_distances(spark, sf):
+    """The 20 lowest merge heights of the ward tree."""
+    r = hc.hierarchical(tb.f_learn(spark, sf), ["x0", "x1"], 2, "ward", "vec_id")
+    return rounded(r.merges.where(F.col("step") <= 20))
