@@ -38,6 +38,31 @@ def _dist(xa: np.ndarray, xb: np.ndarray, p: float) -> np.ndarray:
     return (diff ** p).sum(axis=2) ** (1.0 / p)
 
 
+def top_k_order(dr: np.ndarray, ids: np.ndarray, m: int) -> np.ndarray:
+    """Column indices of the m smallest (dr, id) per row, in that order.
+
+    ``argpartition`` picks candidates in O(n); rows whose m-th value is tied
+    with values left outside are re-ranked exactly by (value, id).
+    """
+    n_rows, n_cols = dr.shape
+    if m >= n_cols:
+        return np.lexsort((np.broadcast_to(ids, dr.shape), dr), axis=1)[:, :m]
+    part = np.argpartition(dr, m - 1, axis=1)[:, :m]
+    kth = np.take_along_axis(dr, part, axis=1).max(axis=1)
+    n_le = (dr <= kth[:, None]).sum(axis=1)
+    out = np.empty((n_rows, m), dtype=np.int64)
+    for i in range(n_rows):
+        if n_le[i] > m:       # ties at the boundary: resolve by id
+            cand = np.flatnonzero(dr[i] <= kth[i])
+            o = np.lexsort((ids[cand], dr[i, cand]))[:m]
+            out[i] = cand[o]
+        else:
+            cand = part[i]
+            o = np.lexsort((ids[cand], dr[i, cand]))
+            out[i] = cand[o]
+    return out
+
+
 def knn(queries: DataFrame, refs: DataFrame, features: Sequence[str], k: int = 5,
         p: float = 2.0, qid: str = "id", rid: str = "id", payload: Sequence[str] = (),
         block_rows: int = 2048) -> DataFrame:
@@ -72,8 +97,7 @@ def knn(queries: DataFrame, refs: DataFrame, features: Sequence[str], k: int = 5
         dr = np.round(d, DIGITS)
         rids = right["_r"].to_numpy()
         m = min(kk, d.shape[1])
-        # order by (rounded distance, reference id) per query row
-        order = np.lexsort((np.broadcast_to(rids, d.shape), dr), axis=1)[:, :m]
+        order = top_k_order(dr, rids, m)
         rows = np.repeat(np.arange(d.shape[0]), m)
         cols = order.ravel()
         out = pd.DataFrame({"q": left["_q"].to_numpy()[rows], "r": rids[cols],

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,3 +97,33 @@ def select_k_best(df: DataFrame, features: Sequence[str], label: str, k: int = 5
     ranked = k_best(sc, k).cache()
     keep = [r["feature"] for r in ranked.where("selected").orderBy("pos").collect()]
     return ranked, df.select(id, *keep)
+
+
+def rfe(df: DataFrame, features: Sequence[str], label: str, k: int = 5, C: float = 1.0,
+        max_iter: int = 1000) -> DataFrame:
+    """Recursive feature elimination with logistic regression (step 1).
+
+    Each round refits on the remaining features (one Spark aggregate per
+    Newton step over the cached table) and drops the feature with the
+    smallest squared coefficient summed over classes (ties -> later position).
+    (pos, feature, rank, selected): rank 1 = kept, larger = dropped earlier.
+    """
+    from . import logistic
+    features = list(features)
+    k = max(1, min(k, len(features)))
+    data = df.select(label, *[as_double(c).alias(c) for c in features]).persist()
+    remaining = list(features)
+    rank = {}
+    while len(remaining) > k:
+        m = logistic.fit(data, remaining, label, C=C, max_iter=max_iter)
+        imp = (np.asarray(m.coef) ** 2).sum(axis=0)
+        worst = min(range(len(remaining)), key=lambda i: (imp[i], -i))
+        rank[remaining[worst]] = len(remaining) - k + 1
+        remaining.pop(worst)
+    data.unpersist()
+    for c in remaining:
+        rank[c] = 1
+    spark = df.sparkSession
+    return spark.createDataFrame(
+        [(i, c, int(rank[c]), rank[c] == 1) for i, c in enumerate(features)],
+        "pos int, feature string, rank int, selected boolean")

@@ -226,3 +226,23 @@ def select_k_best(spark, sf):
     ranked, _ = sel.select_k_best(tb.f_order(spark, sf), ORDER_FEATURES[:4],
                                   "o_orderstatus", k=2, id="o_orderkey")
     return rounded(ranked)
+
+
+# ---- mutual information (P18, P19) and RFE (P21): checked against brute force in tests
+@query("select_mi_classif")
+def select_mi_classif(spark, sf):
+    from ..operators import mutual_info as mi
+    return rounded(mi.mi_classif(tb.f_order(spark, sf), ORDER_FEATURES[:4], "o_orderstatus",
+                                 3, "o_orderkey"))
+
+
+@query("select_mi_regression")
+def select_mi_regression(spark, sf):
+    from ..operators import mutual_info as mi
+    return rounded(mi.mi_regression(tb.f_learn(spark, sf), ["x0"], "x1", 3, "vec_id"))
+
+
+@query("select_rfe")
+def select_rfe(spark, sf):
+    df = tb.f_event(spark, sf)
+    return sel.rfe(df, ["value", "hour", "k"], "purchase", k=1)
