@@ -183,3 +183,26 @@ def merge_distances(spark, sf):
     """The 20 lowest merge heights of the ward tree."""
     r = hc.hierarchical(tb.f_learn(spark, sf), ["x0", "x1"], 2, "ward", "vec_id")
     return rounded(r.merges.where(F.col("step") <= 20))
+
+
+# ---- t-SNE (K11, K12) ----------------------------------------------------------------
+from ..operators import tsne as ts  # noqa: E402
+
+TSNE_STEPS = 50   # registered query: first 50 steps of the default schedule
+
+
+@query("tsne_affinities")
+def tsne_affinities(spark, sf):
+    return rounded(ts.affinities(tb.f_learn(spark, sf), ["x0", "x1"], 5.0, "vec_id"), 9)
+
+
+@query("tsne_embed")
+def tsne_embed(spark, sf):
+    emb, _ = ts.embed(tb.f_learn(spark, sf), ["x0", "x1"], 2, 5.0, 200.0, TSNE_STEPS, "vec_id")
+    return rounded(emb, 4)
+
+
+@query("tsne_kl")
+def tsne_kl(spark, sf):
+    _, kl = ts.embed(tb.f_learn(spark, sf), ["x0", "x1"], 2, 5.0, 200.0, TSNE_STEPS, "vec_id")
+    return spark.createDataFrame([(TSNE_STEPS, float(kl))], "steps int, kl double")
