@@ -32,6 +32,10 @@ def _nz(x):
     return f"(CASE WHEN {x} = 0 THEN 1 ELSE {x} END)"
 
 
+ORACLE_SCALE_STANDARD = _sql(
+    "m0", _nz("s0"), "m1", _nz("s1"),
+    "avg(c_acctbal) m0, stddev_pop(c_acctbal) s0, "
+    "avg(c_nationkey) m1, stddev_pop(c_nationkey) s1")
 query("scale_standard", _sql(
     "m0", _nz("s0"), "m1", _nz("s1"),
     "avg(c_acctbal) m0, stddev_pop(c_acctbal) s0, "
@@ -246,3 +250,19 @@ def select_mi_regression(spark, sf):
 def select_rfe(spark, sf):
     df = tb.f_event(spark, sf)
     return sel.rfe(df, ["value", "hour", "k"], "purchase", k=1)
+
+
+# ---- streaming scoring: the fitted scaler applied to a file stream -----------------
+@query("stream_scale_standard", ORACLE_SCALE_STANDARD)
+def stream_scale_standard(spark, sf):
+    from ..session import table_path
+    from ..streaming import score
+    model = sc.fit(tb.f_cust(spark, sf), CUST_FEATURES, "standard")
+    stream = score.parquet_stream(spark, table_path(sf, "customer"))
+    out = score.run_available(
+        spark, stream,
+        lambda s: model.transform(s.select("c_custkey", "c_acctbal",
+                                           F.col("c_nationkey").cast("double")
+                                           .alias("c_nationkey")),
+                                  keep=["c_custkey", *CUST_FEATURES]))
+    return rounded(out)
