@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..frame import as_double, check_numeric
+from ..functions.quantile import exact_quantiles, modes
 
 STRATEGIES = ("mean", "median", "most_frequent", "constant")
 
@@ -44,17 +45,20 @@ def fit(df: DataFrame, features: Sequence[str], strategy: str = "mean",
     check_numeric(df, features)
     if strategy == "constant":
         return ImputerModel(strategy, features, [float(fill_value)] * len(features))
+    if strategy == "median" and exact:
+        # distributed exact median (no per-value map in one aggregation buffer)
+        q = exact_quantiles(df, features, [0.5])
+        return ImputerModel(strategy, features, [v[0] for v in q])
+    if strategy == "most_frequent":
+        # grouped counts per (feature, value); ties -> the smallest value
+        return ImputerModel(strategy, features, modes(df, features))
     aggs = []
     for i, c in enumerate(features):
         x = as_double(c)
         if strategy == "mean":
             aggs.append(F.avg(x).alias(f"a{i}"))
-        elif strategy == "median":
-            aggs.append((F.median(x) if exact else F.percentile_approx(x, 0.5, 100000))
-                        .alias(f"a{i}"))
         else:
-            # most frequent value; ties -> the smallest value
-            aggs.append(F.mode(x, deterministic=True).alias(f"a{i}"))
+            aggs.append(F.percentile_approx(x, 0.5, 100000).alias(f"a{i}"))
     row = df.agg(*aggs).first()
     return ImputerModel(strategy, features, [row[f"a{i}"] for i in range(len(features))])
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..frame import as_double, check_numeric
+from ..functions.quantile import exact_quantiles
 
 METHODS = ("standard", "minmax", "maxabs", "robust")
 
@@ -77,12 +78,14 @@ def fit(df: DataFrame, features: Sequence[str], method: str = "standard",
             aggs += [F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}")]
         elif method == "maxabs":
             aggs += [F.max(F.abs(x)).alias(f"a{i}")]
-        else:
-            qs = [0.25, 0.5, 0.75]
-            q = (F.percentile(x, qs) if exact
-                 else F.percentile_approx(x, qs, accuracy))
-            aggs += [q.alias(f"a{i}")]
-    row = df.agg(*aggs).first()
+        elif not exact:
+            aggs += [F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy).alias(f"a{i}")]
+    if method == "robust" and exact:
+        # distributed exact quartiles (see functions.quantile)
+        qv = exact_quantiles(df, features, [0.25, 0.5, 0.75])
+        row = {f"a{i}": qv[i] if qv[i][0] is not None else None for i in range(len(features))}
+    else:
+        row = df.agg(*aggs).first()
     center, scale, stats = [], [], []
     for i, _ in enumerate(features):
         if method == "standard":
