@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..frame import check_columns
 from ..functions.rank import global_rank, maybe_broadcast
+from ..session import cut_lineage
 
 MAX_ONEHOT = 1000
 
@@ -37,7 +38,7 @@ class LabelEncoding:
 
 
 def encode_label(df: DataFrame, col: str, id: str = "id") -> LabelEncoding:
-    m = label_map(df, col).cache()
+    m = cut_lineage(label_map(df, col))
     k = m.count()
     enc = df.select(F.col(id), F.col(col).cast("string").alias("value")).join(
         maybe_broadcast(m, k), "value", "left")
@@ -65,7 +66,7 @@ def encode_ordinal(df: DataFrame, cols: Sequence[str], id: str = "id",
     One join per column against that column's code table (broadcast when the
     counted table is small), so rows never regroup by id.
     """
-    maps = (maps if maps is not None else ordinal_maps(df, cols)).cache()
+    maps = cut_lineage(maps if maps is not None else ordinal_maps(df, cols))
     k = maps.count()
     out = df.select(F.col(id), *[F.col(c).cast("string").alias(f"_v{i}")
                                  for i, c in enumerate(cols)])

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..frame import as_double, check_columns, check_numeric
 from ..functions.rank import maybe_broadcast
+from ..session import cut_lineage
 
 LINKAGES = ("ward", "complete", "average", "single")
 MAX_POINTS = 4000
@@ -147,7 +148,7 @@ def hierarchical(df: DataFrame, features: Sequence[str], n_clusters: int = 2,
     else:
         from . import kmeans as km
         model = km.kmeans(pts, features, max_points, id, n_init=1, seed=seed, max_iter=20)
-        a = model.assign(pts, id).cache()
+        a = cut_lineage(model.assign(pts, id))
         wt = {r["cluster"]: r["n"] for r in
               a.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()}
         keys = sorted(wt)

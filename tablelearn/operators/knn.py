@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..frame import as_double, check_columns, check_numeric
 from .neighbors import knn
+from ..session import cut_lineage
 
 
 def classify(train: DataFrame, test: DataFrame, features: Sequence[str], label: str,
@@ -69,7 +70,8 @@ def impute_knn(df: DataFrame, features: Sequence[str], id: str = "id", k: int =
     check_numeric(df, features)
     nf = len(features)
     x = df.select(F.col(id).alias("_id"),
-                  *[as_double(c).alias(f"_x{j}") for j, c in enumerate(features)]).persist()
+                  *[as_double(c).alias(f"_x{j}") for j, c in enumerate(features)])
+    x = cut_lineage(x)
     miss_any = F.lit(False)
     for j in range(nf):
         miss_any = miss_any | F.col(f"_x{j}").isNull()

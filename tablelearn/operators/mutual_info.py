@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..frame import as_double, check_columns, check_numeric
 from ..functions.rank import global_rank, maybe_broadcast
+from ..session import cut_lineage
 
 SHRINK = 1e-12
 
@@ -85,13 +86,15 @@ def mi_classif(df: DataFrame, features: Sequence[str], label: str, k: int = 3,
     features = list(features)
     check_numeric(df, features)
     check_columns(df, [id, label])
-    lf = _long(df, features, id, [label]).withColumnRenamed(label, "_y").persist()
+    lf = _long(df, features, id, [label]).withColumnRenamed(label, "_y")
+    lf = cut_lineage(lf)
     cnt = lf.groupBy("pos", "_y").agg(F.count(F.lit(1)).alias("_nl"))
     ncls = cnt.count()
     lf2 = lf.join(maybe_broadcast(cnt, ncls), ["pos", "_y"]).where(F.col("_nl") > 1)
     # rank inside (pos, label) by value, neighbours at rank +- j
     r = global_rank(lf2, [F.col("pos"), F.col("_y").cast("string"), F.col("x"), F.col("_id")],
-                    "_g").persist()
+                    "_g")
+    r = cut_lineage(r)
     nb = r.select(F.col("_g").alias("_g2"), F.col("pos").alias("_p2"),
                   F.col("_y").alias("_y2"), F.col("x").alias("_x2"))
     kk = F.least(F.lit(k), F.col("_nl") - 1)
@@ -106,7 +109,7 @@ def mi_classif(df: DataFrame, features: Sequence[str], label: str, k: int = 3,
                      F.least(F.lit(k), F.col("_nl") - 1).alias("_k"),
                      F.element_at("_ds", F.least(F.lit(k), F.col("_nl") - 1).cast("int"))
                      .alias("r"))
-    rad = rad.persist()
+    rad = cut_lineage(rad)
     m = _count_within(rad.select("pos", "_id", "x", "r"), lf2.select("pos", "x"), True)
     j = rad.join(m, ["pos", "_id"])
     s = j.groupBy("pos").agg(
@@ -130,7 +133,8 @@ def mi_regression(df: DataFrame, features: Sequence[str], label: str, k: int = 3
     spark = df.sparkSession
     rows = []
     base = df.select(F.col(id).alias("_id"), as_double(label).alias("_t"),
-                     *[as_double(c).alias(f"_f{j}") for j, c in enumerate(features)]).persist()
+                     *[as_double(c).alias(f"_f{j}") for j, c in enumerate(features)])
+    base = cut_lineage(base)
     n = base.count()
     outs = []
     for j, c in enumerate(features):

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rank import global_rank
+from ..session import cut_lineage
 
 INF = float("inf")
 
@@ -28,7 +29,8 @@ def curve_points(scored: DataFrame, label: str = "label", score: str = "score",
     """(point, threshold, fpr, tpr, j) -- point 0 is the (0, 0) start at +inf."""
     g = _grouped(scored, label, score, positive)
     r = global_rank(g, [-F.col("threshold")], "r",
-                    sums={"tps": F.col("pos"), "fps": F.col("neg")}).cache()
+                    sums={"tps": F.col("pos"), "fps": F.col("neg")})
+    r = cut_lineage(r)
     tot = r.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
                 F.count(F.lit(1)).alias("m")).first()
     P, N, m = tot["P"], tot["N"], tot["m"]

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..frame import as_double, check_columns, check_numeric
+from ..session import cut_lineage
 
 
 def _per_class_long(df, features, label):
@@ -94,7 +95,7 @@ def select_k_best(df: DataFrame, features: Sequence[str], label: str, k: int = 5
               else mutual_info.mi_regression(df, features, label, id=id))
     else:
         raise ValueError(f"unknown method {method!r}")
-    ranked = k_best(sc, k).cache()
+    ranked = cut_lineage(k_best(sc, k))
     keep = [r["feature"] for r in ranked.where("selected").orderBy("pos").collect()]
     return ranked, df.select(id, *keep)
 

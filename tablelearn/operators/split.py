@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..frame import check_columns
 from ..functions.rank import global_rank, maybe_broadcast
+from ..session import cut_lineage
 
 
 def hash_key(id: str, seed: int) -> Column:
@@ -76,14 +77,15 @@ def _approx_mode(counts: DataFrame, total: int, draws: int, cnt: str, out: str,
 
 def class_quotas(df: DataFrame, label: str, n: int, n_test: int) -> DataFrame:
     """(label, n_class, n_train, n_test) -- one row per class."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_class")).cache()
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_class"))
+    counts = cut_lineage(counts)
     q = _approx_mode(counts, n, n - n_test, "n_class", "n_train", label)
     # the test allocation of what is left is exact: draws == rows left
     return q.withColumn("n_test", F.col("n_class") - F.col("n_train"))
 
 
 def _stratified(df, id, n, n_test, seed, label):
-    q = class_quotas(df, label, n, n_test).cache()
+    q = cut_lineage(class_quotas(df, label, n, n_test))
     k = q.count()
     # position inside the class = global position - first position of the class
     r = global_rank(df, [F.col(label), hash_key(id, seed), F.col(id)], "_g", n_rows=n)
@@ -120,7 +122,7 @@ def stratified_folds(df: DataFrame, label: str, cv: int = 5, id: str = "id") ->
     if cv < 2:
         raise ValueError("cv must be at least 2")
     cls = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nk"), F.min(id).alias("_first"))
-    cls = cls.cache()
+    cls = cut_lineage(cls)
     k = cls.count()
     small = cls.where(F.col("_nk") < cv).limit(1).collect()
     if small:

@@ -77,7 +77,8 @@ class TreeModel:
         cur = df.select(F.col(id).alias("_id"), *[F.col(k) for k in keep],
                         F.array(*x).alias("_x"), F.lit(0).cast("bigint").alias("node"))
         splits = self.nodes.where(~F.col("is_leaf")).select(
-            "node", "feature_pos", "threshold", "left", "right").cache()
+            "node", "feature_pos", "threshold", "left", "right")
+        splits = cut_lineage(splits)
         n_split = splits.count()
         depth = self.nodes.agg(F.max("depth")).first()[0] or 0
         sp = maybe_broadcast(splits, n_split)
@@ -250,7 +251,7 @@ def _best_splits(active, splittable, p, regression, classes, criterion, stat_col
     cum_cols = ["n"] + stat_cols
     r = global_rank(h, [F.col("node"), F.col("pos"), F.col("value")], "_r",
                     sums={f"L_{c}": F.col(c) for c in cum_cols})
-    r = r.cache()
+    r = cut_lineage(r)
     grp = r.groupBy("node", "pos").agg(
         *[F.min(F.col(f"L_{c}") - F.col(c)).alias(f"B_{c}") for c in cum_cols],
         *[F.max(F.col(f"L_{c}")).alias(f"E_{c}") for c in cum_cols])

@@ -188,7 +188,7 @@ def merge_distances(spark, sf):
 # ---- t-SNE (K11, K12) ----------------------------------------------------------------
 from ..operators import tsne as ts  # noqa: E402
 
-TSNE_STEPS = 50   # registered query: first 50 steps of the default schedule
+TSNE_STEPS = 30   # registered query: first 30 steps of the default schedule
 
 
 @query("tsne_affinities")

@@ -11,6 +11,7 @@ from ..operators import split as spl
 from ..sources import tables as tb
 from . import sqlparts as S
 from .registry import query, rounded
+from ..session import cut_lineage
 
 EMB_CLASSES = list(range(10))
 
@@ -19,14 +20,16 @@ EMB_CLASSES = list(range(10))
 def emb_nb_predictions(spark, sf):
     """Flagship chain: stratified split -> Gaussian NB (64 dims) -> test predictions."""
     df = tb.f_emb(spark, sf)
-    sp = spl.train_test_split(df, "vec_id", 0.2, 42, stratify="label").cache()
+    sp = spl.train_test_split(df, "vec_id", 0.2, 42, stratify="label")
+    sp = cut_lineage(sp)
     model = nb.fit(sp.where(F.col("split") == "train"), tb.emb_features(), "label")
     return model.predict(sp.where(F.col("split") == "test"), "vec_id", keep=["label"])
 
 
 def learn_nb_predictions(spark, sf):
     df = tb.f_learn(spark, sf)
-    sp = spl.train_test_split(df, "vec_id", 0.2, 42, stratify="y").cache()
+    sp = spl.train_test_split(df, "vec_id", 0.2, 42, stratify="y")
+    sp = cut_lineage(sp)
     model = nb.fit(sp.where(F.col("split") == "train"), ["x0", "x1"], "y")
     return model.predict(sp.where(F.col("split") == "test"), "vec_id", keep=["y"])
 

@@ -10,11 +10,13 @@ from ..sources import tables as tb
 from . import sqlparts as S
 from .preprocess import NULL_FEATURES, _F_NULL
 from .registry import query, rounded
+from ..session import cut_lineage
 
 
 def _learn_split(spark, sf):
     df = tb.f_learn(spark, sf)
-    sp = spl.train_test_split(df, "vec_id", 0.2, 42, stratify="y").cache()
+    sp = spl.train_test_split(df, "vec_id", 0.2, 42, stratify="y")
+    sp = cut_lineage(sp)
     return sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,13 +57,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably (survives executor loss) and cut lineage.
+    """Materialise ``df`` reliably and cut its lineage.
 
-    Uses ``DataFrame.checkpoint`` into the shared checkpoint folder; never a
-    machine-local checkpoint.
+    The rows are written as a parquet table under the shared checkpoint
+    folder (``spark.checkpoint.dir``) and read back: it survives executor
+    loss, and -- unlike ``DataFrame.checkpoint`` -- the plan statistics
+    restart from the file size, so iterative loops do not accumulate size
+    estimates.  Never a machine-local checkpoint.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/cut-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def table_path(sf_dir: str, name: str) -> str:
