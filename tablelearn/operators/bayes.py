@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..frame import as_double, check_columns, check_numeric
 from ..functions.exprs import num, qcol, sql_sum
+from ..session import ship_package
 
 MODELS = ("gaussian", "multinomial", "bernoulli")
 # above this many class x feature terms, scoring runs as a numpy matrix product
@@ -91,6 +92,7 @@ class NaiveBayesModel:
         return t.select(*cols)
 
     def _predict_arrow(self, df, id, keep, proba):
+        ship_package(df.sparkSession)
         import pandas as pd
         feats = [f"_x{j}" for j in range(len(self.features))]
         xs = df.select(F.col(id), *[F.col(c) for c in keep],

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..frame import as_double, check_columns, check_numeric
 from .neighbors import knn
 from ..session import cut_lineage
+from ..session import ship_package
 
 
 def classify(train: DataFrame, test: DataFrame, features: Sequence[str], label: str,
@@ -69,6 +70,7 @@ def impute_knn(df: DataFrame, features: Sequence[str], id: str = "id", k: int =
     features = list(features)
     check_numeric(df, features)
     nf = len(features)
+    ship_package(df.sparkSession)
     x = df.select(F.col(id).alias("_id"),
                   *[as_double(c).alias(f"_x{j}") for j, c in enumerate(features)])
     x = cut_lineage(x)

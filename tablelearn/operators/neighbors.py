@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..frame import as_double
+from ..session import ship_package
 
 DIGITS = 9   # distances are ranked after rounding (engine-independent ties)
 
@@ -68,6 +69,7 @@ def knn(queries: DataFrame, refs: DataFrame, features: Sequence[str], k: int = 5
         block_rows: int = 2048) -> DataFrame:
     """(q, r, dist, rank, payload...): the k nearest references of each query
     (rank 1 = nearest)."""
+    ship_package(queries.sparkSession)
     features = list(features)
     nf = len(features)
     q = queries.select(F.col(qid).alias("_q"),

@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..frame import as_double, check_columns, check_numeric
+from ..session import ship_package
 
 
 def _pair_sums(pts: DataFrame, p: int, n_blocks: int, id_type) -> DataFrame:
+    ship_package(pts.sparkSession)
     cols = [c for c in pts.columns if c != "_blk"]
     # fresh attributes on each side (both derive from the same rows)
     a = pts.select(*[F.col(c).alias(c) for c in cols], F.col("_blk").alias("_pa"),

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from ..frame import as_double, check_columns, check_numeric
 from ..functions.exprs import num, qcol, sql_sum
+from ..session import ship_package
 
 KERNELS = ("linear", "poly", "rbf", "sigmoid")
 
@@ -70,6 +71,7 @@ class FeatureMap:
 
     def _arrow_map(self, xs: DataFrame, keep):
         """rbf / sigmoid maps: a dense matrix product per Arrow batch."""
+        ship_package(xs.sparkSession)
         from pyspark.sql.types import DoubleType, StructField, StructType
         kernel, W, b, T, g = self.kernel, self.W, self.b, self.T, self.gamma
         width = len(b) if kernel == "rbf" else T.shape[1]
