@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import spm
+from . import pii, spm
 from .common import read
 
 TOKENIZERS = "/opt/tokenizers"
@@ -40,3 +40,18 @@ def token_digests(docs: DataFrame, model_path: str = PIECE_MODEL) -> DataFrame:
 @query("op7_sentencepiece")
 def op7(spark, sf_dir):
     return token_digests(read(spark, sf_dir, "documents"))
+
+
+@query("op10_pii")
+def op10(spark, sf_dir):
+    found = pii.find_pii(read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
+    shown = lambda spans: F.array_join(F.transform(
+        spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter(
+        "spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *[count(k) for k in pii.BASE], F.sha2(shown(base), 256).alias("base_sha256"),
+        shown(F.col("spans")).alias("spans"),
+        F.array_join(F.transform("spans", lambda s: F.format_string("%.2f", s["score"])), ",")
+         .alias("scores"))
