@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, spm
+from . import langid, pii, spm
 from .common import read
 
 TOKENIZERS = "/opt/tokenizers"
@@ -55,3 +55,15 @@ def op10(spark, sf_dir):
         shown(F.col("spans")).alias("spans"),
         F.array_join(F.transform("spans", lambda s: F.format_string("%.2f", s["score"])), ",")
          .alias("scores"))
+
+
+def language_model(docs: DataFrame) -> langid.Centroids:
+    """Learned from the documents with a language that aren't held out."""
+    return langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
+
+
+@query("op2_langid")
+def op2(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.predict(docs, language_model(docs))
+    return found.withColumn("held_out", langid.held_out(F.col("doc_id")))
