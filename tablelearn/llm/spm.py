@@ -34,8 +34,8 @@ from .common import map_batches, need, pieces_of
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-CACHE_WORDS = 400_000      # words a worker remembers; a fuller cache starts anew
-CHUNK_CHARS = 4_000_000    # text that a worker splits into words at a time
+CACHE_WORDS = 200_000      # words a worker remembers; a fuller cache starts anew
+CHUNK_CHARS = 2_000_000    # text that a worker splits into words at a time
 NO_PAIR = np.int64(2**62)
 
 
