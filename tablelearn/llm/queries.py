@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, pii, spm
+from . import html_extract, langid, pii, spm
 from .common import read
 
 TOKENIZERS = "/opt/tokenizers"
@@ -67,3 +67,9 @@ def op2(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = langid.predict(docs, language_model(docs))
     return found.withColumn("held_out", langid.held_out(F.col("doc_id")))
+
+
+@query("op1_html")
+def op1(spark, sf_dir):
+    found = html_extract.extract(read(spark, sf_dir, "pages"), keep=("url",))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
