@@ -91,8 +91,8 @@ def map_batches(df: DataFrame, fn: Callable[[list[pa.Array]], list[pa.Array]],
     return plain.mapInArrow(run, schema).toDF(*[n for n, _ in out])
 
 
-def pieces_of(texts: pa.Array, chars: int) -> Iterator[tuple[int, int]]:
-    """Row ranges of a string array that hold about ``chars`` bytes each.
+def pieces_of(texts: pa.Array, chars: int, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Row ranges of a string array that hold about ``chars`` bytes each, ``rows`` at most.
 
     Bounds what a kernel holds at once; a single longer text is a range of
     its own.
@@ -100,7 +100,7 @@ def pieces_of(texts: pa.Array, chars: int) -> Iterator[tuple[int, int]]:
     lengths = pc.binary_length(texts).to_pylist()
     lo = size = 0
     for i, n in enumerate(lengths):
-        if i > lo and size + (n or 0) > chars:
+        if i > lo and (size + (n or 0) > chars or i - lo >= rows):
             yield lo, i
             lo, size = i, 0
         size += n or 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_extract, langid, mixing, pii, spm
+from . import chat, dart_minhash, html_extract, langid, mixing, pii, spm
 from .common import read
 
 TOKENIZERS = "/opt/tokenizers"
@@ -141,3 +141,8 @@ def op8(spark, sf_dir):
     return mixing.with_copies(docs).select(
         F.col("_0").alias("doc_id"), "size", "source_size", "target",
         (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+
+
+@query("op9_dart_minhash")
+def op9(spark, sf_dir):
+    return dart_minhash.near_duplicates(read(spark, sf_dir, "documents"))
