@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dart_minhash, html_extract, langid, mixing, pii, spm
+from . import chat, dart_minhash, html_extract, langid, line_dedup, mixing, pii, spm
 from .common import read
 
 TOKENIZERS = "/opt/tokenizers"
@@ -146,3 +146,8 @@ def op8(spark, sf_dir):
 @query("op9_dart_minhash")
 def op9(spark, sf_dir):
     return dart_minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query("op3_line_dedup")
+def op3(spark, sf_dir):
+    return line_dedup.line_classes(read(spark, sf_dir, "documents"))
