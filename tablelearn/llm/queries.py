@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dart_minhash, html_extract, langid, line_dedup, mixing, pii, spm
+from . import chat, dart_minhash, emb_dedup, html_extract, langid, line_dedup, mixing, pii, spm
 from .common import read
 
 TOKENIZERS = "/opt/tokenizers"
@@ -151,3 +151,22 @@ def op9(spark, sf_dir):
 @query("op3_line_dedup")
 def op3(spark, sf_dir):
     return line_dedup.line_classes(read(spark, sf_dir, "documents"))
+
+
+@query("op6_emb_dedup", """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+    AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+p AS (
+  SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+   AND list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))) >= 0.93),
+r(u, w) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.u, p.w FROM r JOIN p ON r.w = p.u),
+c AS (SELECT u, min(w) AS component_id FROM r GROUP BY u),
+n AS (SELECT u, count(*) AS n FROM p GROUP BY u)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c ON c.u = vec_id LEFT JOIN n ON n.u = vec_id""")
+def op6(spark, sf_dir):
+    return emb_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
