@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dart_minhash, emb_dedup, html_extract, langid, line_dedup, mixing, pii, spm
+from . import ann, chat, dart_minhash, emb_dedup, html_extract, langid, line_dedup, mixing, pii, spm
 from .common import read
 
 TOKENIZERS = "/opt/tokenizers"
@@ -170,3 +170,8 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS
 FROM embeddings JOIN c ON c.u = vec_id LEFT JOIN n ON n.u = vec_id""")
 def op6(spark, sf_dir):
     return emb_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+@query("op5_ann")
+def op5(spark, sf_dir):
+    return ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
