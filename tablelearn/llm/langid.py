@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import map_batches, take
+from .common import map_batches, need, take
 
 DIM = 4096
 GRAMS = 3
@@ -251,3 +251,17 @@ def predict(df: DataFrame, model: Centroids, id: str = "doc_id", text: str = "te
 
     return map_batches(rows, one, [(id, rows.dtypes[0][1]), ("lang_pred", "string"),
                                    ("score", "double"), ("rejected", "boolean")])
+
+
+def keep_recognised(df: DataFrame, model: Centroids, text: str = "text") -> DataFrame:
+    """The rows of ``df`` whose text isn't rejected."""
+    need(df, text)
+    at = df.columns.index(text)
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def one(columns: list[pa.Array]) -> list[pa.Array]:
+        got = shared.value.predict(columns[at].cast(pa.string()).to_pylist())
+        keep = pa.array([not rejected for _, _, rejected in got], pa.bool_())
+        return [c.filter(keep) for c in columns]
+
+    return map_batches(df, one, df.dtypes)
