@@ -4,8 +4,9 @@
 distinct value in one aggregation buffer -- unbounded at scale.  Here:
 
 * quantiles (linear interpolation, as ``quantile_cont``): unpivot to
-  (pos, value), rank globally with the bucketed ``global_rank``, and pick the
-  two order statistics around (n - 1) * q for each feature;
+  (pos, value), count equal values (so that a hot value is one row), add up
+  the counts in order with ``global_rank``, and pick the two order statistics
+  around (n - 1) * q for each feature;
 * mode (ties -> smallest value): ``groupBy(pos, value).count()`` (partial
   aggregation) then a ``min_by`` per feature.
 """
@@ -32,11 +33,10 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float]
                     ) -> list[list[float | None]]:
     """[[q values] per column]; None for a column with no value."""
     cols = list(cols)
-    lf = _long(df, cols).persist()
-    counts = {r["pos"]: r["n"] for r in
-              lf.groupBy("pos").agg(F.count(F.lit(1)).alias("n")).collect()}   # p rows
-    total = sum(counts.values())
-    r = global_rank(lf, [F.col("pos"), F.col("v")], "_g", n_rows=total)
+    values = _long(df, cols).groupBy("pos", "v").agg(F.count(F.lit(1)).alias("n"))
+    r = global_rank(values, [F.col("pos"), F.col("v")], "_r", sums={"_end": F.col("n")})
+    counts = {x["pos"]: x["n"] for x in
+              r.groupBy("pos").agg(F.sum("n").alias("n")).collect()}   # p rows
     start, acc = {}, 0
     for j in range(len(cols)):
         start[j] = acc
@@ -55,9 +55,10 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float]
             wanted.update({start[j] + lo, start[j] + hi})
     got = {}
     if wanted:
-        got = {x["_g"]: x["v"] for x in
-               r.where(F.col("_g").isin(sorted(wanted))).select("_g", "v").collect()}
-    lf.unpersist()
+        # each wanted place lies in exactly one run of equal values
+        place = F.explode(F.filter(F.array(*[F.lit(w) for w in sorted(wanted)]), lambda g: (
+            g < F.col("_end")) & (g >= F.col("_end") - F.col("n"))))
+        got = {x["_g"]: x["v"] for x in r.select("v", place.alias("_g")).collect()}
     out = []
     for j in range(len(cols)):
         row = []

@@ -1,13 +1,15 @@
 """Global ranking and cumulative sums without a single-partition window.
 
 ``Window.orderBy`` with no ``partitionBy`` moves every row into one task.
-Here the order key is cut into buckets by boundaries taken from a
-deterministic hash sample (bounded size), each row gets its bucket id from a
-binary-search ``CASE`` expression, rows are numbered inside their bucket (a
-window partitioned by bucket), and shifted by per-bucket offsets.  Offsets
-are one number per bucket, computed on the driver and inlined as a literal
-map.  Everything is a pure function of the data, so a recomputed partition
-(e.g. after executor loss) gets the same ranks.
+Here the rows are range-partitioned on the whole order key and sorted inside
+their partitions, and written as a table in the shared checkpoint folder with
+a number that holds partition and place.  A row's rank is its place plus the
+number of rows in earlier partitions: one small row per partition, joined by
+broadcast.  Because the numbered rows are written, a lost executor can't
+change a rank, and the input is read once.
+
+The order must be total (end it with a unique id); a value that many rows
+share is then spread like any other.
 """
 
 from __future__ import annotations
@@ -17,29 +19,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 2_000_000
-SAMPLE_PER_BUCKET = 64
-SINGLE_BUCKET_ROWS = 20_000   # checked size below which one ordered bucket is cheapest
+from ..session import cut_lineage
 
-
-def _bucket_expr(key: Column, bounds: list[Column], lo: int, hi: int) -> Column:
-    """Bucket id in [lo, hi] for ``key`` given sorted ``bounds`` (binary search)."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi + 1) // 2          # bucket mid starts at bounds[mid - 1]
-    return F.when(key >= bounds[mid - 1], _bucket_expr(key, bounds, mid, hi)).otherwise(
-        _bucket_expr(key, bounds, lo, mid - 1))
-
-
-def _literal_map(d: dict, key: Column) -> Column:
-    if not d:
-        return F.lit(0).cast("bigint")
-    return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])[key]
+BROADCAST_ROWS = 100_000
+PLACE_BITS = 33        # monotonically_increasing_id: partition, then 33 bits of place
 
 
 def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank",
                 sums: dict[str, Column] | None = None,
-                buckets: int | None = None, n_rows: int | None = None) -> DataFrame:
+                buckets: int | None = None) -> DataFrame:
     """Add ``name`` = 0-based position of each row in ascending ``order``.
 
     ``order`` must be a total order (end it with a unique id); for a
@@ -47,59 +35,25 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank",
     expressions whose running total (inclusive, in ``order``) is added.
     """
     sums = sums or {}
-    order = list(order)
     spark = df.sparkSession
     nb = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key_cols = [o.alias(f"_k{i}") for i, o in enumerate(order)]
-    base = df.select("*", *key_cols)
-    kc = [F.col(f"_k{i}") for i in range(len(order))]
-    key = F.struct(*kc)
-    n = n_rows if n_rows is not None else (base.count() if nb > 1 else 0)
-    if n <= SINGLE_BUCKET_ROWS:
-        nb = 1
-    if nb > 1:
-        target = nb * SAMPLE_PER_BUCKET
-        mod = 1_000_000
-        keep = max(1, min(mod, int(mod * target / max(n, 1)) + 1))
-        sample = (base.where(F.pmod(F.xxhash64(*kc), F.lit(mod)) < keep)
-                  .select(*kc).orderBy(*kc).collect())
-        types = base.select(*kc).schema
-        cuts = []
-        for b in range(1, nb):
-            i = b * len(sample) // nb
-            if 0 < i < len(sample):
-                v = tuple(sample[i])
-                if not cuts or cuts[-1] != v:
-                    cuts.append(v)
-        bounds = [F.struct(*[F.lit(x).cast(t.dataType).alias(t.name)
-                             for x, t in zip(v, types.fields)]) for v in cuts]
-        bucket = _bucket_expr(key, bounds, 0, len(bounds)) if bounds else F.lit(0)
-    else:
-        bucket = F.lit(0)
-    b = base.withColumn("_b", bucket)
-    if nb > 1:
-        per = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"),
-                                  *[F.sum(e).alias(f"_s_{k}") for k, e in sums.items()]
-                                  ).collect()
-    else:
-        per = []  # one bucket: all offsets are zero
-    per = sorted(per, key=lambda r: r["_b"])
-    off, acc = {}, 0
-    soff = {k: {} for k in sums}
-    sacc = dict.fromkeys(sums, 0)
-    for r in per:
-        off[r["_b"]] = acc
-        acc += r["_n"]
-        for k in sums:
-            soff[k][r["_b"]] = sacc[k]
-            sacc[k] += r[f"_s_{k}"] or 0
-    w = Window.partitionBy("_b").orderBy(*kc)
-    out = b.withColumn(name, (_literal_map(off, F.col("_b"))
-                              + F.row_number().over(w) - 1).cast("bigint"))
-    wc = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    keys = [f"_k{i}" for i in range(len(order))]
+    ranged = (df.select("*", *[o.alias(k) for o, k in zip(order, keys, strict=True)])
+              .repartitionByRange(nb, *keys).sortWithinPartitions(*keys).drop(*keys))
+    placed = cut_lineage(ranged.withColumn("_m", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_b", F.shiftright("_m", PLACE_BITS))
+    per = placed.groupBy("_b").agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(e).alias(f"_s_{k}") for k, e in sums.items()])
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)   # a row per partition
+    offsets = per.select(
+        "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"),
+        *[F.sum(f"_s_{k}").over(before).alias(f"_o_{k}") for k in sums])
+    out = placed.join(F.broadcast(offsets), "_b").withColumn(
+        name, (F.col("_o") + F.col("_m").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))).cast("bigint"))
+    inside = Window.partitionBy("_b").orderBy("_m").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for k, e in sums.items():
-        out = out.withColumn(k, _literal_map(soff[k], F.col("_b")) + F.sum(e).over(wc))
-    return out.drop("_b", *[f"_k{i}" for i in range(len(order))])
+        out = out.withColumn(k, F.coalesce(F.col(f"_o_{k}") + F.sum(e).over(inside), F.sum(e).over(inside)))
+    return out.drop("_b", "_m", "_o", *[f"_o_{k}" for k in sums])
 
 
 def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -9,7 +9,6 @@ rows (no join, no shuffle).
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -22,8 +21,8 @@ from ..functions.exprs import num, qcol, sql_sum
 from ..session import ship_package
 
 MODELS = ("gaussian", "multinomial", "bernoulli")
-# above this many class x feature terms, scoring runs as a numpy matrix product
-# per Arrow batch (a fused JVM expression would exceed the codegen limits)
+# above this many class x feature terms, the same sums run in numpy per Arrow
+# batch (a fused JVM expression would exceed the codegen limits); results agree
 WIDE_TERMS = 256
 
 
@@ -82,7 +81,9 @@ class NaiveBayesModel:
         pred = "CASE " + " ".join(f"WHEN {j[i]} = _mx THEN {i}" for i in range(k)) + " END"
         t = jl.select(*ids, *[F.col(c) for c in j], F.expr(mx).alias("_mx"))
         cls = F.array(*[F.lit(c) for c in self.classes])
-        cols = [F.col(id), *[F.col(c) for c in keep], cls[F.expr(pred)].alias("prediction")]
+        cols = [F.col(id), *[F.col(c) for c in keep],
+                F.when(F.expr(f"{' + '.join(j)} IS NOT NULL"), cls[F.expr(pred)])
+                .alias("prediction")]
         if proba:
             t = t.select("*", *[F.expr(f"exp({j[i]} - _mx)").alias(f"_e{i}") for i in range(k)])
             tot = sql_sum([f"_e{i}" for i in range(k)])
@@ -101,12 +102,10 @@ class NaiveBayesModel:
         if kind == "gaussian":
             inv = -0.5 / self.sigma                      # (k, p)
             const = lp - 0.5 * np.sum(np.log(2.0 * np.pi * self.sigma), axis=1)
-            quad, lin = inv.T, (-2.0 * inv * th).T       # x^2 and x coefficients
-            const = const + np.sum(inv * th * th, axis=1)
         elif kind == "multinomial":
-            quad, lin, const = None, th.T, lp
+            lin, const = th.T, lp
         else:
-            quad, lin, const = None, (th - self.neg).T, lp + self.neg.sum(axis=1)
+            lin, const = (th - self.neg).T, lp + self.neg.sum(axis=1)
         classes = list(self.classes)
         out_cols = [id, *keep]
         schema = xs.select(F.col(id), *[F.col(c) for c in keep]).schema
@@ -120,12 +119,17 @@ class NaiveBayesModel:
                 x = b[feats].to_numpy(dtype=float)
                 if kind == "bernoulli":
                     x = (x > 0).astype(float)
-                jll = x @ lin + const
-                if quad is not None:
-                    jll = jll + (x * x) @ quad
+                if kind == "gaussian":   # differences first, as the column path has them
+                    jll = const + np.stack([((x - m) ** 2 * q).sum(axis=1)
+                                            for m, q in zip(th, inv)], axis=1)
+                else:
+                    jll = x @ lin + const
+                known = ~np.isnan(jll).any(axis=1)
                 best = np.argmax(jll, axis=1)
                 res = b[out_cols].copy()
-                res["prediction"] = pd.Series([classes[i] for i in best], index=b.index)
+                res["prediction"] = pd.Series([classes[i] if ok else None
+                                               for i, ok in zip(best, known)],
+                                              index=b.index, dtype=object)
                 if proba:
                     e = np.exp(jll - jll.max(axis=1, keepdims=True))
                     e = e / e.sum(axis=1, keepdims=True)
@@ -199,7 +203,3 @@ def fit(df: DataFrame, features: Sequence[str], label: str, kind: str = "gaussia
     return NaiveBayesModel(kind, features, classes, log_prior, np.log(prob),
                            neg=np.log1p(-prob), label_type=ltype)
 
-
-def log_sum_exp(values: list[float]) -> float:
-    m = max(values)
-    return m + math.log(sum(math.exp(v - m) for v in values))

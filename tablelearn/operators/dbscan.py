@@ -51,15 +51,14 @@ def neighbour_pairs(df: DataFrame, features: Sequence[str], eps: float, id: str
     return e.where(F.expr(f"{d2} <= {float(eps)!r}D * {float(eps)!r}D")).select("a", "b")
 
 
-def connected_min_labels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000
-                         ) -> DataFrame:
+def connected_min_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(v, label): label = smallest vertex id in v's component.
 
     nodes: (v); edges: (a, b) undirected (both directions present).
     """
     lab = cut_lineage(nodes.select(F.col("v"), F.col("v").alias("label")))
     e = edges.select("a", "b").persist()
-    for _ in range(max_rounds):
+    while True:          # until a round changes nothing
         # propagate: each vertex takes the min label among itself and neighbours
         nb = e.join(lab.withColumnRenamed("v", "b"), "b").select(
             F.col("a").alias("v"), F.col("label").alias("nl"))
@@ -95,7 +94,7 @@ def dbscan(df: DataFrame, features: Sequence[str], eps: float = 0.5, min_samples
     comp = connected_min_labels(core, ce)
     reps = comp.select("label").distinct()
     nrep = reps.count()
-    num = global_rank(reps, [F.col("label")], "cluster", n_rows=nrep)
+    num = global_rank(reps, [F.col("label")], "cluster")
     core_c = comp.join(num, "label").select("v", F.col("cluster").cast("int").alias("cluster"))
     border = (pairs.join(core_c.withColumnRenamed("v", "b"), "b")
               .groupBy("a").agg(F.min("cluster").alias("bc")))

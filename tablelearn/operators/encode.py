@@ -18,7 +18,6 @@ from ..frame import check_columns
 from ..functions.rank import global_rank, maybe_broadcast
 from ..session import cut_lineage
 
-MAX_ONEHOT = 1000
 
 
 def label_map(df: DataFrame, col: str) -> DataFrame:
@@ -83,11 +82,14 @@ def encode_ordinal(df: DataFrame, cols: Sequence[str], id: str = "id",
 
 
 def onehot_columns(df: DataFrame, cols: Sequence[str],
-                   max_categories: int = MAX_ONEHOT) -> list[tuple[str, str]]:
-    """(column, category) pairs in output order; the schema needs them."""
+                   max_categories: int | None = None) -> list[tuple[str, str]]:
+    """(column, category) pairs in output order; the schema needs them.
+
+    ``max_categories`` is for callers that want an error beyond a width of their own.
+    """
     maps = ordinal_maps(df, cols)
     n = maps.count()
-    if n > max_categories:
+    if max_categories is not None and n > max_categories:
         raise ValueError(f"{n} categories exceed max_categories={max_categories}")
     rows = maps.orderBy("pos", "code").collect()
     return [(r["column"], r["value"]) for r in rows]

@@ -57,12 +57,10 @@ class KMeansModel:
 
 
 def _update(model: KMeansModel, data: DataFrame, id: str):
-    a = model.assign(data, id)
-    xs = data.select(F.col(id), *[as_double(c).alias(f"_x{j}")
-                                  for j, c in enumerate(model.features)])
-    g = a.join(xs, id).groupBy("cluster").agg(
-        F.sum("d2").alias("_sse"), *[F.avg(f"_x{j}").alias(f"_m{j}")
-                                     for j in range(len(model.features))]).collect()
+    a = model.assign(data, id, keep=model.features)   # the features come along: no join
+    g = a.groupBy("cluster").agg(
+        F.sum("d2").alias("_sse"), *[F.avg(as_double(c)).alias(f"_m{j}")
+                                     for j, c in enumerate(model.features)]).collect()
     return g
 
 

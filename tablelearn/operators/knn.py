@@ -101,15 +101,10 @@ def impute_knn(df: DataFrame, features: Sequence[str], id: str = "id", k: int =
         pa, pb = ~np.isnan(a), ~np.isnan(b)
         # sum over commonly present features of (a-b)^2, and the common count
         m = pa.astype(float) @ pb.T.astype(float)
-        if nf <= 8:   # direct differences: exact ties stay ties
-            s = np.zeros((a.shape[0], b.shape[0]))
-            for j in range(nf):
-                dj = a[:, j][:, None] - b[:, j][None, :]
-                s += np.where(np.isnan(dj), 0.0, dj * dj)
-        else:
-            a0, b0 = np.where(pa, a, 0.0), np.where(pb, b, 0.0)
-            s = ((a0 * a0) @ pb.T.astype(float) + pa.astype(float) @ (b0 * b0).T
-                 - 2.0 * a0 @ b0.T)
+        s = np.zeros((a.shape[0], b.shape[0]))
+        for j in range(nf):   # differences at any width: exact ties stay ties
+            dj = a[:, j][:, None] - b[:, j][None, :]
+            s += np.where(np.isnan(dj), 0.0, dj * dj)
         with np.errstate(divide="ignore", invalid="ignore"):
             d = np.sqrt(np.clip(s, 0.0, None) * nf / m)
         d[m == 0] = np.nan

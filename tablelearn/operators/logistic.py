@@ -9,6 +9,7 @@ with the parameter map ``regParam = 1 / (C n)``, ``standardization=False``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -29,6 +30,7 @@ class LogisticModel:
     coef: np.ndarray        # (k_rows, p): one row for binary
     intercept: np.ndarray   # (k_rows,)
     n_iter: int = 0
+    converged: bool = True
 
     def _margins(self) -> list[Column]:
         x = [as_double(c) for c in self.features]
@@ -74,15 +76,21 @@ def _classes(df, label):
 
 
 def newton_binary(df: DataFrame, features: Sequence[str], label: str, classes: list,
-                  C: float | None = 1.0, max_iter: int = 100, tol: float = 1e-12
-                  ) -> LogisticModel:
-    """Exact Newton iterations; C=None means no penalty."""
+                  C: float | None = 1.0, max_iter: int = 100, tol: float = 1e-12,
+                  targets: tuple[float, float] = (0.0, 1.0)) -> LogisticModel:
+    """Exact Newton iterations; C=None means no penalty.
+
+    A step that raises the loss is halved.  ``converged`` is false if the
+    iterations ran out, or if the classes are separable and nothing bounds
+    the coefficients.  ``targets`` are the two classes' values of y.
+    """
     p = len(features)
     # iterative: keep the projected input in memory/disk across passes
     df = df.select(*[as_double(c).alias(c) for c in features], F.col(label)).persist()
     x = [F.lit(1.0)] + [F.col(c) for c in features]   # intercept first
-    y = F.when(F.col(label) == F.lit(classes[1]), 1.0).otherwise(0.0)
+    y = F.when(F.col(label) == F.lit(classes[1]), targets[1]).otherwise(targets[0])
     beta = np.zeros(p + 1)
+    last, last_loss, converged = None, math.inf, False
     lam = 0.0 if C is None else 1.0 / C
     reg = np.eye(p + 1) * lam
     reg[0, 0] = 0.0
@@ -96,7 +104,15 @@ def newton_binary(df: DataFrame, features: Sequence[str], label: str, classes: l
         aggs = [F.sum((s - y) * x[i]).alias(f"g{i}") for i in range(p + 1)]
         aggs += [F.sum(wgt * x[i] * x[j]).alias(f"h{i}_{j}")
                  for i in range(p + 1) for j in range(i, p + 1)]
-        row = df.agg(*aggs).first()
+        loss = F.log1p(F.exp(-F.abs(m))) + F.greatest(m, F.lit(0.0)) - y * m
+        row = df.agg(*aggs, F.sum(loss).alias("loss"), F.count(F.lit(1)).alias("n")).first()
+        now = row["loss"] + 0.5 * beta @ reg @ beta
+        if last is not None and now > last_loss + 1e-9 * abs(last_loss) and np.max(np.abs(beta - last)) > tol:
+            beta = (beta + last) / 2
+            continue
+        last, last_loss = beta, now
+        if C is None and targets == (0.0, 1.0) and now < 1e-9 * max(1, row["n"]):
+            break                                   # separable: the loss has no minimum
         g = np.array([row[f"g{i}"] for i in range(p + 1)]) + reg @ beta
         h = np.zeros((p + 1, p + 1))
         for i in range(p + 1):
@@ -105,9 +121,10 @@ def newton_binary(df: DataFrame, features: Sequence[str], label: str, classes: l
         step = np.linalg.lstsq(h + reg, g, rcond=None)[0]
         beta = beta - step
         if np.max(np.abs(step)) < tol:
+            converged = True
             break
     df.unpersist()
-    return LogisticModel(list(features), classes, beta[None, 1:], beta[:1], it)
+    return LogisticModel(list(features), classes, beta[None, 1:], beta[:1], it, converged)
 
 
 def _mllib(df, features, label, classes, C, penalty, l1_ratio, max_iter, multinomial):
@@ -147,6 +164,6 @@ def fit(df: DataFrame, features: Sequence[str], label: str, C: float = 1.0,
         raise ValueError("logistic regression needs at least 2 classes")
     if len(classes) == 2 and penalty in ("l2", "none"):
         return newton_binary(df, features, label, classes,
-                             None if penalty == "none" else C, max_iter=min(max_iter, 100))
+                             None if penalty == "none" else C, max_iter=max_iter)
     return _mllib(df, features, label, classes, C, penalty, l1_ratio, max_iter,
                   multinomial=len(classes) > 2)

@@ -133,7 +133,7 @@ def regression_metrics(pred: DataFrame, label: str = "label",
 SCORERS = ("accuracy", "precision_macro", "recall_macro", "f1_macro", "precision_weighted",
            "recall_weighted", "f1_weighted", "precision_micro", "recall_micro", "f1_micro",
            "r2", "neg_mean_squared_error", "neg_mean_absolute_error",
-           "neg_root_mean_squared_error")
+           "neg_root_mean_squared_error", "roc_auc")
 
 
 def score(pred: DataFrame, scoring: str = "accuracy", label: str = "label",
@@ -157,4 +157,13 @@ def score(pred: DataFrame, scoring: str = "accuracy", label: str = "label",
             return rep.agg(F.avg(metric).alias("score"))
         return rep.agg((F.sum(F.col(metric) * F.col("support")) / F.sum("support"))
                        .alias("score"))
+    if s == "roc_auc":
+        # binary: the area under the curve of the larger class's probability
+        from . import roc
+        classes = sorted(c[2:] for c in pred.columns if c.startswith("p_"))
+        if len(classes) != 2:
+            raise ValueError("roc_auc needs the probabilities of two classes")
+        values = {str(r[0]): r[0] for r in pred.select(label).distinct().limit(3).collect()}
+        top = max(classes, key=lambda c: (values.get(c) is not None, values.get(c)))
+        return roc.auc(pred, label, f"p_{top}", values[top]).select(F.col("auc").alias("score"))
     raise ValueError(f"unknown scoring {scoring!r}; choose one of {SCORERS}")

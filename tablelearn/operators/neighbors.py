@@ -20,25 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..frame import as_double
+from ..functions.distance import minkowski
 from ..session import ship_package
 
 DIGITS = 9   # distances are ranked after rounding (engine-independent ties)
 
 
-def _dist(xa: np.ndarray, xb: np.ndarray, p: float) -> np.ndarray:
-    if p == 2.0 and xa.shape[1] > 8:
-        d2 = (np.sum(xa * xa, 1)[:, None] + np.sum(xb * xb, 1)[None, :] - 2.0 * xa @ xb.T)
-        return np.sqrt(np.clip(d2, 0.0, None))
-    diff = np.abs(xa[:, None, :] - xb[None, :, :])
-    if p == 1.0:
-        return diff.sum(axis=2)
-    if p == 2.0:
-        return np.sqrt((diff * diff).sum(axis=2))
-    if math.isinf(p):
-        return diff.max(axis=2)
-    return (diff ** p).sum(axis=2) ** (1.0 / p)
-
-
 def top_k_order(dr: np.ndarray, ids: np.ndarray, m: int) -> np.ndarray:
     """Column indices of the m smallest (dr, id) per row, in that order.
 
@@ -95,7 +82,7 @@ def knn(queries: DataFrame, refs: DataFrame, features: Sequence[str], k: int = 5
         import pandas as pd
         if left.empty or right.empty:
             return pd.DataFrame({c.name: [] for c in schema.fields})
-        d = _dist(left[feats].to_numpy(float), right[feats].to_numpy(float), float(p))
+        d = minkowski(left[feats].to_numpy(float), right[feats].to_numpy(float), float(p))
         dr = np.round(d, DIGITS)
         rids = right["_r"].to_numpy()
         m = min(kk, d.shape[1])

@@ -63,7 +63,8 @@ def auc(scored: DataFrame, label: str = "label", score: str = "score",
     """
     g = _grouped(scored, label, score, positive)
     r = global_rank(g, [-F.col("threshold")], "r", sums={"tps": F.col("pos")})
-    a = r.agg(F.sum(F.col("neg") * (2 * F.col("tps") - F.col("pos"))).alias("_s"),
+    a = r.agg(F.sum(F.col("neg").cast("decimal(19,0)") * (
+              2 * F.col("tps") - F.col("pos")).cast("decimal(19,0)")).alias("_s"),
               F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     return a.select((F.col("_s").cast("double")
                      / (2.0 * F.col("n_pos").cast("double") * F.col("n_neg").cast("double")))

@@ -19,74 +19,95 @@ from pyspark.sql import functions as F
 
 from ..frame import as_double, check_columns
 from ..functions.rank import global_rank
+from ..session import cut_lineage
 from . import metrics
-from .split import stratified_folds
+from .split import stratified_folds, train_test_split
 
 PARALLEL_FITS = 4
 
 
 # ---- registry (E9) ------------------------------------------------------------------
-def _logistic(train, test, features, label, id, **p):
+def _logistic(train, test, features, label, id, keep, proba, **p):
     from . import logistic as lg
     m = lg.fit(train, features, label, C=float(p.get("C", 1.0)),
                penalty=str(p.get("penalty", "l2")), max_iter=int(p.get("max_iter", 1000)))
-    return m.predict(test, id, keep=[label], proba=False)
+    return m.predict(test, id, keep=keep, proba=proba)
 
 
-def _knn(train, test, features, label, id, **p):
+def _knn(train, test, features, label, id, keep, proba, **p):
     from . import knn
     return knn.classify(train, test, features, label, k=int(p.get("n_neighbors", 5)),
                         weights=str(p.get("weights", "uniform")), p=float(p.get("p", 2)),
-                        id=id, keep=[label])
+                        id=id, keep=keep)
 
 
-def _svm(train, test, features, label, id, **p):
+def _svm(train, test, features, label, id, keep, proba, **p):
     from . import svm
     m = svm.fit(train, features, label, C=float(p.get("C", 1.0)),
                 kernel=str(p.get("kernel", "rbf")), gamma=p.get("gamma", "scale"),
-                degree=int(p.get("degree", 3)), id=id)
-    return m.predict(test, id, keep=[label], proba=False)
+                degree=int(p.get("degree", 3)), id=id, probability=proba)
+    return m.predict(test, id, keep=keep, proba=proba)
 
 
-def _tree(train, test, features, label, id, **p):
+def _tree(train, test, features, label, id, keep, proba, **p):
     from . import tree
     m = tree.fit(train, features, label, id, criterion=str(p.get("criterion", "gini")),
                  max_depth=p.get("max_depth"), min_samples_split=int(p.get("min_samples_split", 2)),
                  min_samples_leaf=int(p.get("min_samples_leaf", 1)))
-    return m.predict(test, id, keep=[label]).select(id, label, "prediction")
+    return m.predict(test, id, keep=keep)
 
 
-def _forest(train, test, features, label, id, **p):
+def _forest(train, test, features, label, id, keep, proba, **p):
     from . import forest
     m = forest.fit(train, features, label, "classification",
                    n_estimators=int(p.get("n_estimators", 100)), max_depth=p.get("max_depth"),
                    min_samples_leaf=int(p.get("min_samples_leaf", 1)),
                    max_features=str(p.get("max_features", "sqrt")), seed=int(p.get("seed", 42)))
-    return m.predict(test, id, keep=[label]).select(id, label, "prediction")
+    return m.predict(test, id, keep=keep)
 
 
-def _nb(train, test, features, label, id, **p):
+def _nb(train, test, features, label, id, keep, proba, **p):
     from . import bayes
     m = bayes.fit(train, features, label, str(p.get("model_type", "gaussian")),
                   alpha=float(p.get("alpha", 1.0)))
-    return m.predict(test, id, keep=[label], proba=False)
+    return m.predict(test, id, keep=keep, proba=proba)
 
 
-def _linear(train, test, features, label, id, **p):
+def _linear(train, test, features, label, id, keep, proba, **p):
     from . import linear
-    return linear.linear_regression(train, features, label).predict(test, id, keep=[label])
+    return linear.linear_regression(train, features, label).predict(test, id, keep=keep)
 
 
 MODELS: dict[str, Callable] = {"logistic": _logistic, "knn": _knn, "svm": _svm,
                                "tree": _tree, "forest": _forest, "nb": _nb,
                                "linear": _linear}
+#: The parameters that each model takes by name; others are an error.
+PARAMS: dict[str, frozenset] = {
+    "logistic": frozenset({"C", "penalty", "max_iter"}),
+    "knn": frozenset({"n_neighbors", "weights", "p"}),
+    "svm": frozenset({"C", "kernel", "gamma", "degree"}),
+    "tree": frozenset({"criterion", "max_depth", "min_samples_split", "min_samples_leaf"}),
+    "forest": frozenset({"n_estimators", "max_depth", "min_samples_leaf", "max_features", "seed"}),
+    "nb": frozenset({"model_type", "alpha"}),
+    "linear": frozenset(),
+}
 
 
 def get_model(name: str) -> Callable:
     key = name.strip().lower()
     if key not in MODELS:
         raise ValueError(f"unsupported model_type {name!r}; choose one of {sorted(MODELS)}")
-    return MODELS[key]
+    fit = MODELS[key]
+
+    def model(train, test, features, label, id, keep=(), proba=False, **params):
+        """Predictions of ``test``: id, label, ``keep``, prediction, p_<class> where there are any."""
+        unknown = sorted(set(params) - PARAMS[key])
+        if unknown:
+            raise ValueError(f"{key} takes no parameter {', '.join(unknown)}; "
+                             f"choose among {sorted(PARAMS[key])}")
+        return fit(train, test, features, label, id, [label, *keep], proba, **params)
+
+    return model
 
 
 # ---- folds ------------------------------------------------------------------------------
@@ -97,7 +118,7 @@ def kfold(df: DataFrame, cv: int, id: str = "id") -> DataFrame:
         raise ValueError(f"cv={cv} needs 2 <= cv <= n ({n})")
     base, extra = divmod(n, cv)
     bounds = np.cumsum([base + (1 if f < extra else 0) for f in range(cv)])
-    r = global_rank(df, [F.col(id)], "_r", n_rows=n)
+    r = global_rank(df, [F.col(id)], "_r")
     fold = sum((F.when(F.col("_r") >= int(b), 1).otherwise(0) for b in bounds[:-1]), F.lit(0))
     return r.withColumn("fold", fold.cast("int")).drop("_r")
 
@@ -113,7 +134,7 @@ def _is_classifier(model_type: str) -> bool:
 def _fold_score(model, data, f, features, label, id, scoring, params):
     tr = data.where(F.col("fold") != f)
     te = data.where(F.col("fold") == f)
-    pred = model(tr, te, features, label, id, **params)
+    pred = model(tr, te, features, label, id, proba=scoring == "roc_auc", **params)
     return metrics.score(pred, scoring, label).first()["score"]
 
 
@@ -183,6 +204,34 @@ def grid_search(df: DataFrame, features: Sequence[str], label: str, grid: dict[s
         "best", F.col("rank") == 1)
 
 
+def best_params(results: DataFrame, grid: dict[str, list]) -> dict:
+    """The parameters of the best candidate of ``grid_search``."""
+    return candidates(grid)[results.where("best").select("candidate").first()[0]]
+
+
+def fit_best(df: DataFrame, features: Sequence[str], label: str, results: DataFrame,
+             grid: dict[str, list], model_type: str = "svm", id: str = "id") -> Callable:
+    """The best candidate refit on all of ``df``: a function from a table to its predictions."""
+    model, params = get_model(model_type), best_params(results, grid)
+    return lambda rows, keep=(), proba=False: model(
+        df, rows, list(features), label, id, keep=keep, proba=proba, **params)
+
+
+def predict_split(df: DataFrame, features: Sequence[str], label: str, model_type: str = "logistic",
+                  id: str = "id", test_size: float = 0.2, seed: int = 42, proba: bool = False,
+                  params: dict | None = None) -> DataFrame:
+    """Split, fit and predict by model name: the test rows with their predictions.
+
+    Feed the result to ``metrics.classification_report``, ``confusion_matrix``
+    or, with ``proba``, to ``roc.curve_points`` on ``p_<class>``.
+    """
+    parts = cut_lineage(train_test_split(df.select(id, label, *features), id, test_size, seed,
+                                         stratify=label if _is_classifier(model_type) else None))
+    return get_model(model_type)(
+        parts.where("split = 'train'").drop("split"), parts.where("split = 'test'").drop("split"),
+        list(features), label, id, proba=proba, **(params or {}))
+
+
 def grid_top(results: DataFrame, n: int = 10) -> DataFrame:
     return results.where(F.col("rank") <= n)
 
@@ -214,17 +263,19 @@ def learning_curve(df: DataFrame, features: Sequence[str], label: str,
     ranked = {}
     for f in range(cv):
         tr = data.where(F.col("fold") != f)
-        ranked[f] = global_rank(tr, [F.col(id)], "_pos", n_rows=n - sizes_f[f]).persist()
+        ranked[f] = global_rank(tr, [F.col(id)], "_pos")
 
     def one(sf):
         s, f = sf
         sub = ranked[f].where(F.col("_pos") < s).drop("_pos")
         te = data.where(F.col("fold") == f)
-        tr_score = metrics.score(model(sub, sub, features, label, id, **(params or {})),
-                                 "accuracy", label).first()["score"]
-        va_score = metrics.score(model(sub, te, features, label, id, **(params or {})),
-                                 "accuracy", label).first()["score"]
-        return s, f, tr_score, va_score
+        # one fit scores both sets; a row is in one of them only
+        both = (sub.withColumn("_set", F.lit("train"))
+                .unionByName(te.withColumn("_set", F.lit("val"))))
+        pred = model(sub, both, features, label, id, keep=["_set"], **(params or {}))
+        hit = (F.col("prediction") == F.col(label)).cast("double")
+        got = {r["_set"]: r["a"] for r in pred.groupBy("_set").agg(F.avg(hit).alias("a")).collect()}
+        return s, f, got["train"], got["val"]
 
     jobs = [(s, f) for s in sizes for f in range(cv)]
     with ThreadPoolExecutor(PARALLEL_FITS) as ex:

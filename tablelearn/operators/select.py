@@ -49,6 +49,7 @@ def f_classif(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     score = (F.col("ssb") / (F.col("k") - 1)) / (F.col("ssw") / (F.col("tot") - F.col("k")))
     return s.select(F.col("pos").cast("int").alias("pos"), "feature",
                     F.when((F.col("ssw") > 0) & (F.col("k") > 1), score)
+                     .when((F.col("ssb") > 0) & (F.col("k") > 1), F.lit(float("inf")))
                      .cast("double").alias("score"))
 
 
@@ -65,6 +66,7 @@ def f_regression(df: DataFrame, features: Sequence[str], label: str) -> DataFram
     r2 = F.col("r") * F.col("r")
     return long.select(F.col("pos").cast("int").alias("pos"), "feature",
                        F.when(r2 < 1, r2 / (1 - r2) * (F.col("_n") - 2))
+                        .when(r2 >= 1, F.lit(float("inf")))
                         .cast("double").alias("score"))
 
 

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.distance import minkowski
+from ..functions.rank import maybe_broadcast
 from ..frame import as_double, check_columns, check_numeric
 from ..session import ship_package
 
@@ -40,11 +42,7 @@ def _pair_sums(pts: DataFrame, p: int, n_blocks: int, id_type) -> DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"_id": [], "_c": [], "_s": []})
         xa, xb = left[feats].to_numpy(float), right[feats].to_numpy(float)
-        if p <= 8:   # direct differences: no cancellation
-            d = np.sqrt(((xa[:, None, :] - xb[None, :, :]) ** 2).sum(axis=2))
-        else:        # Gram expansion keeps memory at block^2
-            d2 = (np.sum(xa * xa, 1)[:, None] + np.sum(xb * xb, 1)[None, :] - 2.0 * xa @ xb.T)
-            d = np.sqrt(np.clip(d2, 0.0, None))
+        d = minkowski(xa, xb)
         same = left["_pa"].iloc[0] == left["_pb"].iloc[0]
         if same:
             # exact zeros on the diagonal (self distance)
@@ -85,7 +83,7 @@ def silhouette_samples(df: DataFrame, features: Sequence[str], cluster: str = "c
     if k < 2 or k > n - 1:
         raise ValueError(f"silhouette needs 2 <= clusters <= n - 1 (got {k} for n={n})")
     own = pts.select("_id", F.col("_c").alias("_own"))
-    m = (tot.join(F.broadcast(sizes), "_c").join(own, "_id")
+    m = (tot.join(maybe_broadcast(sizes, k), "_c").join(own, "_id")
          .select("_id", "_own", "_c", "_n", "_s"))
     per = m.groupBy("_id", "_own").agg(
         F.max(F.when(F.col("_c") == F.col("_own"),

@@ -53,10 +53,10 @@ def train_test_split(df: DataFrame, id: str = "id", test_size: float = 0.2,
     if stratify:
         return _stratified(df, id, n, n_test, seed, stratify)
     if shuffle:
-        r = global_rank(df, [hash_key(id, seed), F.col(id)], "_r", n_rows=n)
+        r = global_rank(df, [hash_key(id, seed), F.col(id)], "_r")
         split = F.when(F.col("_r") < n_test, "test").otherwise("train")
     else:
-        r = global_rank(df, [F.col(id)], "_r", n_rows=n)
+        r = global_rank(df, [F.col(id)], "_r")
         split = F.when(F.col("_r") >= n - n_test, "test").otherwise("train")
     return r.withColumn("split", split).drop("_r")
 
@@ -64,8 +64,9 @@ def train_test_split(df: DataFrame, id: str = "id", test_size: float = 0.2,
 def _approx_mode(counts: DataFrame, total: int, draws: int, cnt: str, out: str,
                  label: str) -> DataFrame:
     """Largest-remainder allocation of ``draws`` over classes (exact integers)."""
-    floored = F.floor(F.col(cnt) * draws / total).cast("bigint")
-    rem = (F.col(cnt) * draws) % total
+    part = F.col(cnt).cast("decimal(19,0)") * F.lit(draws).cast("decimal(19,0)")
+    rem = part % F.lit(total).cast("decimal(19,0)")
+    floored = ((part - rem) / F.lit(total).cast("decimal(19,0)")).cast("bigint")
     c = counts.withColumn("_fl", floored).withColumn("_rem", rem)
     need = draws - c.agg(F.sum("_fl")).first()[0]
     w = Window.orderBy(F.col("_rem").desc(), F.col(label))  # one row per class
@@ -84,14 +85,21 @@ def class_quotas(df: DataFrame, label: str, n: int, n_test: int) -> DataFrame:
     return q.withColumn("n_test", F.col("n_class") - F.col("n_train"))
 
 
+def _join_classes(rows: DataFrame, classes: DataFrame, label: str, k: int | None = None) -> DataFrame:
+    """Rows with the columns of their class; the null class is a class too."""
+    info = classes.withColumnRenamed(label, "_class")
+    if k is not None:
+        info = maybe_broadcast(info, k)
+    return rows.join(info, F.col(label).eqNullSafe(F.col("_class"))).drop("_class")
+
+
 def _stratified(df, id, n, n_test, seed, label):
     q = cut_lineage(class_quotas(df, label, n, n_test))
     k = q.count()
     # position inside the class = global position - first position of the class
-    r = global_rank(df, [F.col(label), hash_key(id, seed), F.col(id)], "_g", n_rows=n)
+    r = global_rank(df, [F.col(label), hash_key(id, seed), F.col(id)], "_g")
     start = r.groupBy(label).agg(F.min("_g").alias("_g0"))
-    info = start.join(q.select(label, "n_test"), label)
-    r = r.join(maybe_broadcast(info, k), label)
+    r = _join_classes(r, _join_classes(start, q.select(label, "n_test"), label), label, k)
     split = F.when(F.col("_g") - F.col("_g0") < F.col("n_test"), "test").otherwise("train")
     return r.withColumn("split", split).drop("_g", "_g0", "n_test")
 
@@ -143,7 +151,7 @@ def stratified_folds(df: DataFrame, label: str, cv: int = 5, id: str = "id") ->
     cls = cls.select(label, "_start", *bounds)
     r = global_rank(df, [F.col(label), F.col(id)], "_g")
     first = r.groupBy(label).agg(F.min("_g").alias("_g0"))
-    r = r.join(maybe_broadcast(first.join(cls, label), k), label)
+    r = _join_classes(r, _join_classes(first, cls, label), label, k)
     j = F.col("_g") - F.col("_g0")
     fold = sum((F.when(j >= F.col(f"_b{f}"), 1).otherwise(0) for f in range(cv - 1)),
                F.lit(0))

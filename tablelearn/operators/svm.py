@@ -150,7 +150,7 @@ class SVMModel:
     fmap: FeatureMap
     classes: list
     pairs: list                     # [(a, b, w, intercept)] decision > 0 -> b
-    platt: tuple | None = None      # (A, B) for binary probabilities
+    platt: list | None = None       # (A, B) of each pair, for probabilities
 
     def decision(self, df: DataFrame, id: str, keep: Sequence[str]) -> DataFrame:
         phi, names = self.fmap.transform(df, [id, *keep])
@@ -169,7 +169,7 @@ class SVMModel:
             a, b = self.classes
             out = [F.when(F.col("_f0") > 0, F.lit(b)).otherwise(F.lit(a)).alias("prediction")]
             if proba and self.platt:
-                A, B = self.platt
+                A, B = self.platt[0]
                 p1 = F.expr(f"1.0D / (1.0D + exp(-({num(A)} * _f0 + {num(B)})))")
                 out += [(F.lit(1.0) - p1).alias(f"p_{a}"), p1.alias(f"p_{b}")]
             return d.select(*base, *out, F.col("_f0").alias("margin"))
@@ -184,12 +184,22 @@ class SVMModel:
                 elif idx[a] == ci:
                     terms.append(f"IF(_f{i} > 0, 0, 1)")
             votes.append(F.expr(" + ".join(terms) if terms else "0").alias(f"_v{ci}"))
-        t = d.select(*base, *votes)
+        t = d.select(*base, *[F.col(f"_f{i}") for i in range(len(self.pairs))], *votes)
         v = [f"_v{i}" for i in range(k)]
         pick = ("CASE " + " ".join(f"WHEN {v[i]} = greatest({', '.join(v)}) THEN {i}"
                                    for i in range(k)) + " END")
         cls = F.array(*[F.lit(c) for c in self.classes])
-        return t.select(*base, cls[F.expr(pick)].alias("prediction"))
+        out = [cls[F.expr(pick)].alias("prediction")]
+        if proba and self.platt:
+            # pairwise probabilities, averaged: p_i = 2 / (k (k - 1)) * sum over j of r_ij
+            share = {c: [] for c in self.classes}
+            for i, ((a, b, _, _), (A, B)) in enumerate(zip(self.pairs, self.platt)):
+                r = f"(1.0D / (1.0D + exp(-({num(A)} * _f{i} + {num(B)}))))"
+                share[b].append(r)
+                share[a].append(f"(1.0D - {r})")
+            out += [(F.expr(" + ".join(share[c])) * (2.0 / (k * (k - 1)))).alias(f"p_{c}")
+                    for c in self.classes]
+        return t.select(*base, *out)
 
 
 def _fit_binary(data: DataFrame, names: list[str], C: float, n: int, max_iter: int):
@@ -226,9 +236,10 @@ def fit(df: DataFrame, features: Sequence[str], label: str, C: float = 1.0,
         pairs = list(ex.map(one, itertools.combinations(classes, 2)))
     phi.unpersist()
     model = SVMModel(fmap, classes, pairs)
-    if probability and len(classes) == 2:
-        model.platt = _platt(df, features, label, C, kernel, gamma, degree, n_components,
-                             seed, id, max_iter, classes)
+    if probability:      # one sigmoid for each pair of classes
+        model.platt = [_platt(df.where(F.col(label).isin(a, b)), features, label, C, kernel, gamma,
+                              degree, n_components, seed, id, max_iter, [a, b])
+                       for a, b, _, _ in pairs]
     return model
 
 
@@ -249,19 +260,26 @@ def _platt(df, features, label, C, kernel, gamma, degree, n_components, seed, id
     margins = outs[0]
     for o in outs[1:]:
         margins = margins.unionByName(o)
+    # targets a little inside (0, 1), so that separable margins have a solution too
+    n = {r[label]: r["count"] for r in margins.groupBy(label).count().collect()}
+    lo, hi = 1.0 / (n[classes[0]] + 2.0), (n[classes[1]] + 1.0) / (n[classes[1]] + 2.0)
     lm = logistic.newton_binary(margins.withColumnRenamed("_f0", "margin"), ["margin"], label,
-                                classes, C=None)
+                                classes, C=None, targets=(lo, hi))
     folds.unpersist()
     return float(lm.coef[0, 0]), float(lm.intercept[0])
 
 
 def support_counts(model: SVMModel, df: DataFrame, label: str, id: str = "id",
                    tol: float = 1e-3) -> DataFrame:
-    """(class, n_support): rows on or inside the margin, y * f(x) <= 1 + tol (binary)."""
-    if len(model.classes) != 2:
-        raise ValueError("support counts are defined here for binary models")
-    a, b = model.classes
+    """(class, n_support): rows on or inside a margin, y * f(x) <= 1 + tol.
+
+    With more than two classes a row counts once if it supports any of the
+    pairs that its class is in.
+    """
     d = model.decision(df, id, [label])
-    y = F.when(F.col(label) == F.lit(b), 1.0).otherwise(-1.0)
-    return (d.where(y * F.col("_f0") <= 1.0 + tol).groupBy(F.col(label).alias("class"))
+    near = F.lit(False)
+    for i, (a, b, _, _) in enumerate(model.pairs):
+        y = F.when(F.col(label) == F.lit(b), 1.0).when(F.col(label) == F.lit(a), -1.0)
+        near = near | F.coalesce(y * F.col(f"_f{i}") <= 1.0 + tol, F.lit(False))
+    return (d.where(near).groupBy(F.col(label).alias("class"))
             .agg(F.count(F.lit(1)).cast("bigint").alias("n_support")))

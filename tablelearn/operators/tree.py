@@ -185,7 +185,7 @@ def fit(df: DataFrame, features: Sequence[str], label: str, id: str = "id",
         n_best = best.count()
         # number the children: left = next_id + 2 r, right = left + 1
         if n_best:
-            best = global_rank(best, [F.col("node")], "_r", n_rows=n_best)
+            best = global_rank(best, [F.col("node")], "_r")
             best = best.select("*", (F.lit(next_id) + 2 * F.col("_r")).alias("left"),
                                (F.lit(next_id) + 2 * F.col("_r") + 1).alias("right")).drop("_r")
             best = cut_lineage(best)

@@ -91,8 +91,7 @@ def test_split_exact_sizes_and_strata(spark):
     assert max(v[1] for v in d.values()) - min(v[1] for v in d.values()) <= 1
 
 
-def test_global_rank_bucketed_matches_window(spark, monkeypatch):
-    monkeypatch.setattr(rk, "SINGLE_BUCKET_ROWS", 0)
+def test_global_rank_matches_plain_order(spark):
     df = spark.range(5000).select("id", (F.col("id") * 7919 % 1000).alias("k"))
     r = rk.global_rank(df, [F.col("k"), F.col("id")], "r", sums={"c": F.col("k")})
     got = {x.id: (x.r, x.c) for x in r.collect()}

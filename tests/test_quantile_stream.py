@@ -5,13 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablelearn.functions import quantile
-from tablelearn.functions import rank as rk
 
 from conftest import SF001
 
 
-def test_exact_quantiles_bucketed(spark, monkeypatch):
-    monkeypatch.setattr(rk, "SINGLE_BUCKET_ROWS", 0)
+def test_exact_quantiles(spark):
     df = spark.range(3001).select("id", ((F.col("id") * 7919) % 1013 / 7.0).alias("a"),
                                   F.when(F.col("id") % 5 == 0, None)
                                   .otherwise(F.col("id") % 17).cast("double").alias("b"))
