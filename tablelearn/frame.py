@@ -35,21 +35,6 @@ def as_double(c: str | Column) -> Column:
     return F.when(F.isnan(d), F.lit(None).cast("double")).otherwise(d)
 
 
-def features_frame(df: DataFrame, features: Sequence[str], id: str = "id",
-                   label: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
-    """Project to (id, features as double, [label], keep...) with NaN -> NULL.
-
-    Projection first so the parquet scan reads only these columns.
-    """
-    check_numeric(df, features)
-    check_columns(df, [id] + ([label] if label else []) + list(keep))
-    cols = [F.col(id)] + [as_double(c).alias(c) for c in features]
-    if label:
-        cols.append(F.col(label))
-    cols += [F.col(k) for k in keep if k not in (id, label) and k not in features]
-    return df.select(*cols)
-
-
 def long_form(df: DataFrame, features: Sequence[str], id: str = "id",
               extra: Sequence[str] = (), value: str = "value") -> DataFrame:
     """Unpivot feature columns to (id, extra..., pos, feature, value)."""
@@ -58,17 +43,3 @@ def long_form(df: DataFrame, features: Sequence[str], id: str = "id",
                  as_double(c).alias(value))
         for i, c in enumerate(features)]))
     return df.select(F.col(id), *[F.col(e) for e in extra], stack)
-
-
-def array_to_columns(df: DataFrame, array_col: str, n: int, prefix: str = "f",
-                     keep: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
-    """Expand an array column into ``n`` double columns ``prefix0..``."""
-    names = [f"{prefix}{i}" for i in range(n)]
-    out = df.select(*[F.col(k) for k in keep],
-                    *[F.col(array_col)[i].cast("double").alias(nm)
-                      for i, nm in enumerate(names)])
-    return out, names
-
-
-def feature_vector(features: Sequence[str]) -> Column:
-    return F.array(*[F.col(c).cast("double") for c in features])

@@ -98,8 +98,6 @@ def cut(merges: np.ndarray, m: int, n_clusters: int) -> np.ndarray:
             x = parent[x]
         return x
     # replay merges in height order, mapping merged ids to representatives
-    rep = {}
-    nid = m
     srt = merges[order]
     # ids in ``merges`` refer to creation order; rebuild the creation mapping
     created = {}
@@ -113,7 +111,6 @@ def cut(merges: np.ndarray, m: int, n_clusters: int) -> np.ndarray:
         ra, rb = find(leaf_of(int(a))), find(leaf_of(int(b)))
         if ra != rb:
             parent[max(ra, rb)] = min(ra, rb)
-    _ = (rep, nid)
     return np.array([find(i) for i in range(m)])
 
 
@@ -126,7 +123,12 @@ class HierarchyResult:
 
 def hierarchical(df: DataFrame, features: Sequence[str], n_clusters: int = 2,
                  linkage: str = "ward", id: str = "id", max_points: int = MAX_POINTS,
-                 seed: int = 42) -> HierarchyResult:
+                 seed: int = 42, approximate: bool = False) -> HierarchyResult:
+    """Agglomerative clustering, exact up to ``max_points`` rows.
+
+    The merges are found on the driver.  A larger table is an error, unless
+    ``approximate`` asks for k-means micro-clusters in place of its rows.
+    """
     linkage = linkage.strip().lower()
     if linkage not in LINKAGES:
         raise ValueError(f"unknown linkage {linkage!r}; choose one of {LINKAGES}")
@@ -139,6 +141,10 @@ def hierarchical(df: DataFrame, features: Sequence[str], n_clusters: int = 2,
     if n_clusters < 1 or n_clusters > n:
         raise ValueError(f"n_clusters={n_clusters} must be in [1, {n}]")
     exact = n <= max_points
+    if not exact and not approximate:
+        pts.unpersist()
+        raise ValueError(f"{n} rows exceed max_points={max_points}; pass approximate=True "
+                         "to cluster k-means micro-clusters instead")
     if exact:
         rows = pts.orderBy(id).collect()            # bounded by max_points
         keys = [r[id] for r in rows]

@@ -30,13 +30,6 @@ def class_summary(df: DataFrame, label: str = "label") -> DataFrame:
     return g.withColumn("n_classes", F.count(F.lit(1)).over(Window.partitionBy()).cast("bigint"))
 
 
-def confusion_long(pred: DataFrame, label: str = "label",
-                   prediction: str = "prediction") -> DataFrame:
-    """(label, prediction, n) for the observed pairs."""
-    return pred.groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction")).agg(
-        F.count(F.lit(1)).cast("bigint").alias("n"))
-
-
 def per_class_counts(pred: DataFrame, label: str = "label",
                      prediction: str = "prediction") -> DataFrame:
     """(class, tp, support, predicted) over the union of true and predicted classes."""

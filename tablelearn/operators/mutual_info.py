@@ -70,7 +70,7 @@ def _count_within(points: DataFrame, values: DataFrame, strict_self: bool) -> Da
                        F.lit(0).alias("_side"))
     u = vals.unionByName(hi).unionByName(lo)
     r = global_rank(u, [F.col("pos"), F.col("v"), F.col("_t"),
-                        F.coalesce(F.col("_id"), F.lit(0)).cast("long")],
+                        F.col("_id")],
                     "_g", sums={"_c": F.col("_isv")})
     start = r.groupBy("pos").agg(F.min(F.col("_c") - F.col("_isv")).alias("_c0"))
     r = r.join(F.broadcast(start), "pos").where(F.col("_isv") == 0)
@@ -158,5 +158,4 @@ def mi_regression(df: DataFrame, features: Sequence[str], label: str, k: int = 3
     out = outs[0]
     for o in outs[1:]:
         out = out.unionByName(o)
-    _ = rows, spark
     return out.select(F.col("pos").cast("int").alias("pos"), "feature", "score")

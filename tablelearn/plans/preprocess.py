@@ -36,10 +36,7 @@ ORACLE_SCALE_STANDARD = _sql(
     "m0", _nz("s0"), "m1", _nz("s1"),
     "avg(c_acctbal) m0, stddev_pop(c_acctbal) s0, "
     "avg(c_nationkey) m1, stddev_pop(c_nationkey) s1")
-query("scale_standard", _sql(
-    "m0", _nz("s0"), "m1", _nz("s1"),
-    "avg(c_acctbal) m0, stddev_pop(c_acctbal) s0, "
-    "avg(c_nationkey) m1, stddev_pop(c_nationkey) s1"))(_scaled("standard"))
+query("scale_standard", ORACLE_SCALE_STANDARD)(_scaled("standard"))
 query("scale_minmax", _sql(
     "lo0", _nz("(hi0 - lo0)"), "lo1", _nz("(hi1 - lo1)"),
     "min(c_acctbal) lo0, max(c_acctbal) hi0, "

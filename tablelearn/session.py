@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -80,6 +81,7 @@ def table_path(sf_dir: str, name: str) -> str:
 
 
 _SHIPPED: set = set()
+_SHIPPING = threading.Lock()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -90,18 +92,19 @@ def ship_package(spark: SparkSession) -> None:
     ``--py-files``).  A no-op when already shipped.
     """
     import zipfile
-    sc = spark.sparkContext
-    key = sc.applicationId
-    if key in _SHIPPED:
-        return
-    pkg = os.path.dirname(os.path.abspath(__file__))
-    root = os.path.dirname(pkg)
-    out = os.path.join(tempfile.mkdtemp(prefix="tablelearn-pyfiles-"), "tablelearn.zip")
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for dirpath, _, files in os.walk(pkg):
-            for f in files:
-                if f.endswith(".py"):
-                    full = os.path.join(dirpath, f)
-                    z.write(full, os.path.relpath(full, root))
-    sc.addPyFile(out)
-    _SHIPPED.add(key)
+    with _SHIPPING:      # models are fit from several threads
+        sc = spark.sparkContext
+        key = sc.applicationId
+        if key in _SHIPPED:
+            return
+        pkg = os.path.dirname(os.path.abspath(__file__))
+        root = os.path.dirname(pkg)
+        out = os.path.join(tempfile.mkdtemp(prefix="tablelearn-pyfiles-"), "tablelearn.zip")
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for dirpath, _, files in os.walk(pkg):
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(dirpath, f)
+                        z.write(full, os.path.relpath(full, root))
+        sc.addPyFile(out)
+        _SHIPPED.add(key)

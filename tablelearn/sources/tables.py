@@ -92,16 +92,6 @@ def f_event(spark, sf):
         F.when(F.col("event_type") == "purchase", 1).otherwise(0).alias("purchase"))
 
 
-def f_doc(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", "text", "n_chars")
-    lab = read(spark, sf, "labels")
-    return d.join(lab, "doc_id").select(
-        "doc_id", F.col("n_chars").cast("double").alias("n_chars"),
-        F.size(F.split(F.trim("text"), r"\s+")).cast("double").alias("n_words"),
-        F.size(F.split("text", "\n")).cast("double").alias("n_lines"),
-        "quality", "toxic")
-
-
 def f_count(spark, sf, dims: int = 8):
     """Count-valued features floor(|x|*100) of the first ``dims`` embedding dims."""
     e = read(spark, sf, "embeddings")

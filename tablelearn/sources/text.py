@@ -53,14 +53,6 @@ def values_from_text(df: DataFrame, text: str, id: str = "id") -> DataFrame:
         F.col("cell").cast("double").alias("value"))
 
 
-def ragged_rows(cells: DataFrame, id: str = "id") -> DataFrame:
-    """Matrices whose rows have different lengths (the reference errors on them)."""
-    per_row = cells.groupBy(id, "row").agg(F.count(F.lit(1)).alias("n"))
-    return (per_row.groupBy(id).agg(F.min("n").alias("min_cells"),
-                                     F.max("n").alias("max_cells"))
-            .where(F.col("min_cells") != F.col("max_cells")))
-
-
 def label_to_int(c: str | Column) -> Column:
     """Class label truncation towards zero (0.9 -> 0, -1.7 -> -1)."""
     col = F.col(c) if isinstance(c, str) else c

@@ -197,14 +197,38 @@ def test_knn_matches_brute_force(spark):
         assert got[i] == int(np.argmax(votes))
 
 
+def naive_merging(X, linkage, k):
+    """Merge the two closest clusters, by definition of the linkage, until one is left."""
+    def dist(a, b):
+        if linkage == "ward":
+            gap = np.linalg.norm(X[a].mean(0) - X[b].mean(0))
+            return np.sqrt(2.0 * len(a) * len(b) / (len(a) + len(b))) * gap
+        d = np.linalg.norm(X[a][:, None] - X[b][None], axis=2)
+        return {"single": d.min, "complete": d.max, "average": d.mean}[linkage]()
+
+    parts, heights, labels = [[i] for i in range(len(X))], [], None
+    while len(parts) > 1:
+        if len(parts) == k:
+            order = sorted(parts, key=min)
+            labels = {i: c for c, part in enumerate(order) for i in part}
+        h, i, j = min((dist(parts[i], parts[j]), i, j) for j in range(len(parts)) for i in range(j))
+        heights.append(h)
+        parts[i] = parts[i] + parts.pop(j)
+    return heights, labels
+
+
 def test_hierarchy_matches_sequential_merging(spark):
     rng = np.random.default_rng(7)
     X = rng.normal(size=(25, 2))
     for link in hierarchy.LINKAGES:
+        heights, labels = naive_merging(X, link, 3)
         r = hierarchy.hierarchical(xy_frame(spark, X), ["x0", "x1"], 3, link)
-        got = {x.id: x.cluster for x in r.labels.collect()}
-        assert len(set(got.values())) == 3
-        assert got[0] == 0  # numbered by smallest member
+        assert {x.id: x.cluster for x in r.labels.collect()} == labels
+        assert [x.height for x in r.merges.orderBy("step").collect()] == pytest.approx(sorted(heights))
+    with pytest.raises(ValueError, match="max_points"):
+        hierarchy.hierarchical(xy_frame(spark, X), ["x0", "x1"], 3, max_points=10)
+    rough = hierarchy.hierarchical(xy_frame(spark, X), ["x0", "x1"], 3, max_points=10, approximate=True)
+    assert not rough.exact and rough.labels.count() == 25
 
 
 def test_dbscan_small(spark):
