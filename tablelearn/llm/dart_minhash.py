@@ -206,7 +206,7 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text") -> Da
                                   F.first("bits").alias("bits"))
         .withColumn("node", F.monotonically_increasing_id()))
 
-    member = nodes.select("node", F.explode("bands").alias("band"))
+    member = nodes.select("node", F.posexplode("bands").alias("nth", "band"))
     bucket = (member.groupBy("band").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n"))
               .where("n > 1").drop("n"))
     shared = scratch.write(member.join(bucket, "band"))
@@ -236,16 +236,21 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     part_of = lambda t, node, name: t.join(
         parts.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(
         name, F.coalesce(name, node))
-    placed = part_of(part_of(shared, "node", "part"), "low", "low_part")
-    placed = scratch.write(placed.join(bits, "node"))
-    stray = placed.where("part <> low_part").select(
-        "band", F.col("node").alias("u"), F.col("part").alias("pu"), F.col("bits").alias("bu"))
-    other = placed.select("band", F.col("node").alias("v"), F.col("part").alias("pv"),
-                          F.col("bits").alias("bv"), (F.col("part") == F.col("low_part")).alias("main"))
+    placed = scratch.write(part_of(part_of(shared, "node", "part"), "low", "low_part"))
+    # only buckets with a member outside the component of their smallest node go on
+    apart = placed.where("part <> low_part")
+    signs = nodes.select("node", "bits", "bands")
+    stray = apart.join(signs, "node").select(
+        "band", "nth", F.col("node").alias("u"), F.col("part").alias("pu"), F.col("bits").alias("bu"),
+        F.col("bands").alias("ku"))
+    other = (placed.join(apart.select("band").distinct(), "band", "left_semi").join(signs, "node")
+             .select("band", F.col("node").alias("v"), F.col("part").alias("pv"), F.col("bits").alias("bv"),
+                     F.col("bands").alias("kv"), (F.col("part") == F.col("low_part")).alias("main")))
+    # a pair counts in the first band that it shares
+    first = F.array_position(F.zip_with("ku", "kv", lambda x, y: x == y), F.lit(True)) == F.col("nth") + 1
     cross = (stray.join(other, (stray["band"] == other["band"]) & (F.col("pu") != F.col("pv"))
                         & (F.col("main") | (F.col("u") < F.col("v")))
-                        & (F.col("v") != F.col("u"))
-                        & (_agreement("bu", "bv") >= least_agreement(THRESHOLD)))
+                        & (_agreement("bu", "bv") >= least_agreement(THRESHOLD)) & first)
              .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     more = scratch.write(_sure_links(cross, chosen))
     scratch.drop(placed, chosen, shared)
