@@ -1,22 +1,28 @@
-"""Fuzzy line deduplication with DataFrame functions only.
+"""Fuzzy line deduplication by MinHash over character shingles.
 
 Lines (trimmed, lower-cased) are sets of ``CHARS``-character shingles, each
-hashed to 64 bits.  One sorted array of a line's hashes serves all bands: for
-each of ``BANDS`` fixed places on the circle of hashes, the band is the next
-``ROWS`` hashes from there on.  That is MinHash with cyclic shifts as its
-permutations; two lines share a band with a probability of about similarity
-to the power ``ROWS``.  At similarity 0.8 a pair shares one in 99.8 % of
-cases, at 0.85 in 99.99 %.
-
-Lines that share a band are candidates; their shingle sets are compared
-exactly, and pairs of ``THRESHOLD`` or more are linked.  Components of links
-come from distributed union-find, and one line of each stays: the first by
-(id, line number).
+hashed to 40 bits.  One sorted array of a batch's hashes serves all
+coordinates: coordinate j of a line is the first of its hashes from the j-th
+of ``K`` fixed places on the circle of hashes on, which is MinHash with cyclic
+shifts as its permutations.  Two lines agree in a coordinate with a
+probability of their Jaccard similarity.
+
+``BANDS`` bands of ``ROWS`` coordinates make candidates: at similarity 0.8 a
+pair shares one in 99.8 % of cases, at 0.85 in 99.99 %.  One bit of each of the K coordinates
+bounds what is worth verifying (``MARGIN`` standard deviations under the
+threshold).  Verification compares the shingle sets exactly and links pairs
+of ``THRESHOLD`` or more.  Components of links come from distributed
+union-find, and one line of each stays: the first by (id, line number).
 
 Work is kept in proportion to the lines: equal lines are one node, by a
 128-bit key.  A bucket's members are first compared with its smallest node
 alone.  Only members that are then not in its component are compared with
-what is in another component and shares a bucket with them.
+what is in another component and shares a bucket with them, in the first
+bucket that they share, where the bits don't rule it out.
+
+Lines, keys, buckets, links, components and texts are DataFrame work.  The
+coordinates and the comparison of sets run in numpy on Arrow batches; a form
+with array functions alone was measured and did not meet the limits (README).
 
 Defined cases: blank lines are never compared and stay; null text is one blank
 line; a line shorter than a shingle is one shingle; rows with one id are one
@@ -25,53 +31,123 @@ document; a null id comes first; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, need, take
+from .common import Scratch, map_batches, need, pieces_of, take
 from .components import components
+from .shingles import U, _P, mix
 
 CHARS = 8
 THRESHOLD = 0.8
 BANDS, ROWS = 12, 4
+K = 256
+MARGIN = 3.5
+CHUNK_CHARS, CHUNK_LINES = 500_000, 2048
 SPACE = " \t\r\x0b\x0c"
 BROADCAST_BYTES = 8 << 20
-# Places on the circle of signed 64-bit hashes, in ascending order.
-PLACES = tuple(-(1 << 63) + (2 * g + 1) * (1 << 63) // BANDS for g in range(BANDS))
-
-
-def bind(value: Column, fn: Callable[[Column], Column]) -> Column:
-    """``fn`` of a value that is computed once, however often ``fn`` uses it."""
-    return F.transform(F.array(value), fn)[0]
+HASH_BITS = 40
 
 
 def normal(line: Column) -> Column:
     return F.lower(F.btrim(line, F.lit(SPACE)))
 
 
-def shingle_hashes(line: Column) -> Column:
-    """Distinct hashes of a line's shingles, ascending."""
-    last = F.greatest(F.length(line) - CHARS, F.lit(0))
-    return F.sort_array(F.array_distinct(bind(
-        F.encode(line, "UTF-32"),          # four bytes a character: any shingle is at a known place
-        lambda b: F.transform(F.sequence(F.lit(0), last),
-                              lambda i: F.xxhash64(F.substring(b, i * 4 + 1, F.lit(4 * CHARS)))))))
+def shingle_sets(texts: list[str]) -> np.ndarray:
+    """Distinct shingles of all lines as sorted numbers: line << 40 | hash."""
+    cp = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + U(1)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    first = np.cumsum(sizes) - sizes
+    # a polynomial of the CHARS characters from each place on
+    m = max(len(cp) - CHARS + 1, 0)
+    h = np.zeros(m, np.uint64)
+    for k in range(CHARS):
+        h *= _P
+        h += cp[k:k + m]
+    line = np.repeat(np.arange(len(texts)), sizes)[:m]
+    whole = np.arange(m) + CHARS <= (first + sizes)[line]
+    h, line = h[whole], line[whole]
+    # a shorter line is one shingle, filled up with zeros
+    short = np.flatnonzero(sizes < CHARS)
+    g = np.zeros(len(short), np.uint64)
+    pad = np.append(cp, U(0))
+    for k in range(CHARS):
+        g *= _P
+        g += np.where(k < sizes[short], pad[np.minimum(first[short] + k, len(cp))], U(0))
+    h, line = np.concatenate([h, g]), np.concatenate([line, short])
+    out = np.sort((line.astype(np.uint64) << U(HASH_BITS)) | (mix(h) >> U(64 - HASH_BITS)))
+    return out[np.append(True, out[1:] != out[:-1])] if len(out) else out
+
+
+# Bands take coordinates that lie apart on the circle.
+_BANDS = (np.arange(ROWS)[None, :] * (K // ROWS) + np.arange(BANDS)[:, None] * (K // ROWS // BANDS)).astype(np.int64)
+
+
+def coordinates(sets: np.ndarray, n: int) -> np.ndarray:
+    """n x K: from each place on, the first hash of each line, around the circle.
+
+    The places cut the circle evenly, so the top bits of a hash name its arc.
+    """
+    line = (sets >> U(HASH_BITS)).astype(np.int64)
+    arc = line * K + ((sets >> U(HASH_BITS - K.bit_length() + 1)) & U(K - 1)).astype(np.int64)
+    at = np.full(n * K, len(sets))
+    new = np.append(True, arc[1:] != arc[:-1])
+    at[arc[new]] = np.flatnonzero(new)
+    at = np.minimum.accumulate(at.reshape(n, K)[:, ::-1], axis=1)[:, ::-1]
+    start = np.searchsorted(line, np.arange(n))
+    at = np.where(at == len(sets), start[:, None], at)      # around the circle
+    return sets[at] & U((1 << HASH_BITS) - 1)
+
+
+def _sign(columns: list[pa.Array]) -> list[pa.Array]:
+    """Bands and bits of a batch's lines (none is empty)."""
+    bands, bits = [np.zeros((0, BANDS), np.uint64)], [np.zeros((0, K // 64), np.int64)]
+    for lo, hi in pieces_of(columns[-1], CHUNK_CHARS, CHUNK_LINES):
+        texts = columns[-1].slice(lo, hi - lo).to_pylist()
+        c = coordinates(shingle_sets(texts), len(texts))
+        h = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(texts), 1))
+        for r in range(ROWS):
+            h = mix(h * _P + c[:, _BANDS[:, r]])
+        bands.append(h)
+        packed = np.packbits((mix(c) & U(1)).astype(np.uint8), axis=1)
+        bits.append(np.ascontiguousarray(packed).view(np.int64))
+    out = list(columns[:-1])
+    for rows in (np.concatenate(bands).view(np.int64), np.concatenate(bits)):
+        ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+        out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(rows).reshape(-1))))
+    return out
+
+
+def _verify(columns: list[pa.Array]) -> list[pa.Array]:
+    """(u, v, line of u, line of v) to (u, v, whether the sets reach the threshold)."""
+    good = []
+    for lo, hi in pieces_of(columns[3], CHUNK_CHARS // 2, CHUNK_LINES):
+        n = hi - lo
+        texts = columns[2].slice(lo, n).to_pylist() + columns[3].slice(lo, n).to_pylist()
+        sets = shingle_sets(texts)
+        line = (sets >> U(HASH_BITS)).astype(np.int64)
+        size = np.bincount(line, minlength=2 * n)
+        pair = ((line % n).astype(np.uint64) << U(HASH_BITS)) | (sets & U((1 << HASH_BITS) - 1))
+        both = np.sort(pair)
+        again = both[1:][both[1:] == both[:-1]] >> U(HASH_BITS)
+        common = np.bincount(again.astype(np.int64), minlength=n)
+        good.append(common >= THRESHOLD * (size[:n] + size[n:] - common))
+    return [columns[0], columns[1], pa.array(np.concatenate(good) if good else np.zeros(0, bool))]
+
+
+def least_agreement() -> int:
+    """Equal bits of K below which the threshold is out of the question."""
+    p = (1 + THRESHOLD) / 2
+    return math.ceil(K * p - MARGIN * math.sqrt(K * p * (1 - p)))
 
 
-def with_bands(df: DataFrame, line: str) -> DataFrame:
-    """``df`` plus ``bands``: one 64-bit key for each band of column ``line``."""
-    n = F.size("hashes")
-    first = F.when(n >= ROWS, F.slice("hashes", 1, ROWS)).otherwise(
-        F.flatten(F.array_repeat("hashes", ROWS)))
-    rows = (df.withColumn("hashes", shingle_hashes(F.col(line)))
-            .withColumn("placed", F.sort_array(F.concat("hashes", F.array(*[F.lit(p) for p in PLACES]))))
-            .withColumn("circle", F.concat("hashes", first)))
-    # of what stands before place g in ``placed``, g are places themselves
-    start = lambda g: (F.array_position("placed", F.lit(PLACES[g])) - g).cast("int")
-    bands = F.array(*[F.xxhash64(F.lit(g), F.slice("circle", start(g), ROWS)) for g in range(BANDS)])
-    return rows.withColumn("bands", bands).drop("hashes", "placed", "circle")
+def _possible() -> Column:
+    differ = sum((F.bit_count(F.col("bu")[i].bitwiseXOR(F.col("bv")[i])) for i in range(K // 64)), F.lit(0))
+    return differ <= K - least_agreement()
 
 
 def lines(df: DataFrame, id: str, text: str) -> DataFrame:
@@ -89,32 +165,35 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (u, v) of nodes whose lines reach the threshold."""
     tu = texts.select(F.col("node").alias("u"), F.col("line").alias("lu"))
     tv = texts.select(F.col("node").alias("v"), F.col("line").alias("lv"))
-    both = (pairs.join(tv, "v").join(tu, "u")
-            .select("u", "v", shingle_hashes(F.col("lu")).alias("hu"), shingle_hashes(F.col("lv")).alias("hv"))
-            .withColumn("both", F.size(F.array_intersect("hu", "hv"))))
-    union = F.size("hu") + F.size("hv") - F.col("both")
-    return both.where(F.col("both") >= THRESHOLD * union).select("u", "v")
+    both = pairs.join(tv, "v").join(tu, "u").select("u", "v", "lu", "lv")
+    return map_batches(both, _verify, [("u", "long"), ("v", "long"), ("good", "boolean")]).where("good").drop("good")
 
 
 def classes(df: DataFrame, id: str, text: str, scratch: Scratch) -> DataFrame:
     """(a, b, class_id, class_no) of each distinct line: the first line of its component."""
     source = lines(df, id, text)
-    found = with_bands(source.where("a is not null").select(
-        "a", "b", F.struct("id", "no").alias("at"), "line"), "line").drop("line")
-    nodes = scratch.write(found.groupBy("a", "b").agg(F.min("at").alias("at"), F.first("bands").alias("bands"))
-                          .withColumn("node", F.monotonically_increasing_id()))
-    member = nodes.select("node", F.explode("bands").alias("band"))
+    kind = dict(source.dtypes)["id"]
+    signed = map_batches(source.where("a is not null").select("a", "b", "id", "no", "line"), _sign, [
+        ("a", "long"), ("b", "long"), ("id", kind), ("no", "int"), ("bands", "array<long>"), ("bits", "array<long>")])
+    nodes = scratch.write(
+        signed.select("a", "b", F.struct("id", "no").alias("at"), "bands", "bits").groupBy("a", "b")
+        .agg(F.min("at").alias("at"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+        .withColumn("node", F.monotonically_increasing_id()))
+    member = nodes.select("node", F.posexplode("bands").alias("nth", "band"))
     bucket = scratch.write(member.groupBy("band").agg(
         F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     large = bucket.where("n > 2").select("band", "low")
     size = large.count() * 16
     shared = scratch.write(member.join(F.broadcast(large) if size <= BROADCAST_BYTES else large, "band"))
+    bits_u = nodes.select(F.col("node").alias("u"), F.col("bits").alias("bu"))
+    bits_v = nodes.select(F.col("node").alias("v"), F.col("bits").alias("bv"))
     star = (bucket.where("n = 2").select(F.col("low").alias("u"), F.col("high").alias("v"))
-            .union(shared.where("node <> low").select("low", "node")).distinct())
+            .union(shared.where("node <> low").select("low", "node")).distinct()
+            .join(bits_v, "v").join(bits_u, "u").where(_possible()).select("u", "v"))
     star = scratch.write(star)
 
-    # the lines of nodes that have a candidate
-    wanted = star.select(F.col("u").alias("node")).union(star.select("v")).distinct()
+    # the lines of nodes that have a candidate, one line of each
+    wanted = star.select(F.col("u").alias("node")).union(star.select("v")).union(shared.select("node")).distinct()
     goal = scratch.write(wanted.join(nodes.select("node", "a", "b", "at"), "node"))
     size = goal.count() * 48
     small = F.broadcast(goal) if size <= BROADCAST_BYTES else goal
@@ -129,11 +208,19 @@ def classes(df: DataFrame, id: str, text: str, scratch: Scratch) -> DataFrame:
         parts.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(
         name, F.coalesce(name, node))
     placed = scratch.write(part_of(part_of(shared, "node", "part"), "low", "low_part"))
-    stray = placed.where("part <> low_part").select("band", F.col("node").alias("u"), F.col("part").alias("pu"))
-    other = placed.where("node <> low").select(
-        "band", F.col("node").alias("v"), F.col("part").alias("pv"), (F.col("part") == F.col("low_part")).alias("main"))
+    apart = placed.where("part <> low_part")
+    signs = nodes.select("node", "bits", "bands")
+    stray = apart.join(signs, "node").select(
+        "band", "nth", F.col("node").alias("u"), F.col("part").alias("pu"), F.col("bits").alias("bu"),
+        F.col("bands").alias("ku"))
+    other = (placed.join(apart.select("band").distinct(), "band", "left_semi").where("node <> low")
+             .join(signs, "node")
+             .select("band", F.col("node").alias("v"), F.col("part").alias("pv"), F.col("bits").alias("bv"),
+                     F.col("bands").alias("kv"), (F.col("part") == F.col("low_part")).alias("main")))
+    # a pair counts in the first band that it shares
+    first = F.array_position(F.zip_with("ku", "kv", lambda x, y: x == y), F.lit(True)) == F.col("nth") + 1
     cross = (stray.join(other, (stray["band"] == other["band"]) & (F.col("pu") != F.col("pv"))
-                        & (F.col("main") | (F.col("u") < F.col("v"))))
+                        & (F.col("main") | (F.col("u") < F.col("v"))) & _possible() & first)
              .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     more = scratch.write(_links(cross, texts))
     scratch.drop(placed, texts, shared, bucket, star)
@@ -141,8 +228,8 @@ def classes(df: DataFrame, id: str, text: str, scratch: Scratch) -> DataFrame:
     scratch.drop(links, more)
     labelled = (nodes.select("a", "b", "node", "at").join(whole, "node", "left")
                 .withColumn("component", F.coalesce("component", "node")))
-    first = labelled.groupBy("component").agg(F.min("at").alias("first"))
-    return labelled.join(first, "component").select(
+    first_at = labelled.groupBy("component").agg(F.min("at").alias("first"))
+    return labelled.join(first_at, "component").select(
         "a", "b", F.col("first.id").alias("class_id"), F.col("first.no").alias("class_no"))
 
 

@@ -2,7 +2,7 @@
 
 import random
 
-from pyspark.sql import functions as F
+import numpy as np
 
 from tablelearn.llm import line_dedup
 from tests.llm.test_dart_minhash import plain_components
@@ -63,12 +63,22 @@ def test_classes_and_texts(spark):
         for i, t in rows}
 
 
-def test_hashes_and_bands(spark):
-    texts = ["", "abc", "abcdefgh", "abcdefghi", "日本語" * 9, "aaaa" * 30, "x" * 30_000]
-    df = spark.createDataFrame([(t,) for t in texts], "line string")
-    got = line_dedup.with_bands(df.withColumn("n", F.size(line_dedup.shingle_hashes(F.col("line")))), "line").collect()
-    assert [r.n for r in got] == [len(grams(t)) for t in texts]
-    assert all(len(r.bands) == line_dedup.BANDS for r in got)
+def test_sets_and_coordinates():
+    rng = random.Random(3)
+    texts = ["a", "abc", "abcdefgh", "abcdefghi", "日本語" * 9, "aaaa" * 30, "x" * 30_000, "ab\x00", "ab"]
+    texts += ["".join(rng.choice("ab c") for _ in range(rng.randint(1, 60))) for _ in range(300)]
+    sets = line_dedup.shingle_sets(texts)
+    line = (sets >> np.uint64(40)).astype(int)
+    assert np.bincount(line).tolist() == [len(grams(t)) for t in texts]
+    hashes = [set((sets[line == i] & np.uint64(2**40 - 1)).tolist()) for i in range(len(texts))]
+    for i, a in enumerate(texts[:40]):
+        for j, b in enumerate(texts[:i]):
+            assert len(hashes[i] & hashes[j]) == len(grams(a) & grams(b))
+    c = line_dedup.coordinates(sets, len(texts))
+    step = 2**40 // line_dedup.K
+    for i in range(len(texts)):
+        for k in (0, 7, 100, 255):
+            assert c[i, k] == min(hashes[i], key=lambda h: (h - k * step) % 2**40)
 
 
 def test_odd_rows(spark):
