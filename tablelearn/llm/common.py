@@ -72,19 +72,36 @@ def take(df: DataFrame, **columns: str) -> DataFrame:
     return plain.select(*[F.col(f"_{df.columns.index(c)}").alias(n) for n, c in columns.items()])
 
 
+BATCH_ROWS = 1_000
+BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small, since rows hold whole texts.
+
+    Leaves a session alone whose number of rows in a batch was set by its user.
+    """
+    if int(spark.conf.get(BATCH_KEY)) == 10_000:       # Spark's own value
+        spark.conf.set(BATCH_KEY, BATCH_ROWS)
+
+
 def map_batches(df: DataFrame, fn: Callable[[list[pa.Array]], list[pa.Array]],
-                out: list[tuple[str, str]]) -> DataFrame:
+                out: list[tuple[str, str]], done: Callable[[], None] | None = None) -> DataFrame:
     """``mapInArrow`` of a function from a batch's columns to the columns ``out``.
 
-    Columns go by position, so any names will do.
+    Columns go by position, so any names will do.  ``done`` runs at the end of
+    each task, to let go of what its worker has gathered.
     """
     ship_package(df.sparkSession)
+    bound_batches(df.sparkSession)
     names = [f"_{i}" for i in range(len(out))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays(fn(b.columns), names=names)
+        if done:
+            done()
 
     plain = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
     schema = ", ".join(f"{n} {kind}" for n, (_, kind) in zip(names, out, strict=True))

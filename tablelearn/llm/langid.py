@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import map_batches, need, take
+from .common import map_batches, need, pieces_of, take
 
 DIM = 4096
 GRAMS = 3
@@ -136,8 +136,8 @@ class Centroids:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         out: list[tuple[str, float, bool]] = []
-        for lo in range(0, len(texts), 256):
-            x, letters = vectors(texts[lo:lo + 256], self.idf)
+        for lo in range(0, len(texts), 128):
+            x, letters = vectors(texts[lo:lo + 128], self.idf)
             if not len(self.rows):
                 out += [(UNKNOWN, 0.0, True)] * len(x)
                 continue
@@ -239,13 +239,20 @@ def held_out(id: Column) -> Column:
     return F.coalesce(F.crc32(id.cast("string")) % 5 == 0, F.lit(False))
 
 
+def _predict_all(model: Centroids, texts: pa.Array) -> list[tuple[str, float, bool]]:
+    texts, out = texts.cast(pa.string()), []
+    for lo, hi in pieces_of(texts, SLICE):
+        out += model.predict(texts.slice(lo, hi - lo).to_pylist())
+    return out
+
+
 def predict(df: DataFrame, model: Centroids, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id``, ``lang_pred``, ``score`` and ``rejected`` of each row's whole text."""
     rows = take(df, id=id, text=text)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def one(columns: list[pa.Array]) -> list[pa.Array]:
-        got = shared.value.predict(columns[1].cast(pa.string()).to_pylist())
+        got = _predict_all(shared.value, columns[1])
         return [columns[0], pa.array([g[0] for g in got], pa.string()),
                 pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_())]
 
@@ -260,7 +267,7 @@ def keep_recognised(df: DataFrame, model: Centroids, text: str = "text") -> Data
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def one(columns: list[pa.Array]) -> list[pa.Array]:
-        got = shared.value.predict(columns[at].cast(pa.string()).to_pylist())
+        got = _predict_all(shared.value, columns[at])
         keep = pa.array([not rejected for _, _, rejected in got], pa.bool_())
         return [c.filter(keep) for c in columns]
 

@@ -34,8 +34,8 @@ from .common import map_batches, need, pieces_of
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-CACHE_WORDS = 200_000      # words a worker remembers; a fuller cache starts anew
-CHUNK_CHARS = 2_000_000    # text that a worker splits into words at a time
+CACHE_WORDS = 120_000      # words a worker remembers; a fuller cache starts anew
+CHUNK_CHARS = 600_000      # text that a worker splits into words at a time
 NO_PAIR = np.int64(2**62)
 
 
@@ -410,7 +410,8 @@ def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids")
                                          pa.array(np.concatenate(values), pa.int32()))
         return [columns[i] for i in keep] + [lists]
 
-    return map_batches(df, one, [df.dtypes[i] for i in keep] + [(ids, "array<int>")])
+    return map_batches(df, one, [df.dtypes[i] for i in keep] + [(ids, "array<int>")],
+                       done=lambda: handle.model().forget())
 
 
 def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
