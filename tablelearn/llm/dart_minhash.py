@@ -243,7 +243,9 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     stray = apart.join(signs, "node").select(
         "band", "nth", F.col("node").alias("u"), F.col("part").alias("pu"), F.col("bits").alias("bu"),
         F.col("bands").alias("ku"))
-    other = (placed.join(apart.select("band").distinct(), "band", "left_semi").join(signs, "node")
+    # the smallest node has been compared with all members of its bucket
+    other = (placed.join(apart.select("band").distinct(), "band", "left_semi").where("node <> low")
+             .join(signs, "node")
              .select("band", F.col("node").alias("v"), F.col("part").alias("pv"), F.col("bits").alias("bv"),
                      F.col("bands").alias("kv"), (F.col("part") == F.col("low_part")).alias("main")))
     # a pair counts in the first band that it shares
