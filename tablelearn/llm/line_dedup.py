@@ -1,16 +1,29 @@
 """Fuzzy line deduplication by MinHash over character shingles.
 
 Lines (trimmed, lower-cased) are sets of ``CHARS``-character shingles, each
-hashed to 40 bits.  One sorted array of a batch's hashes serves all
-coordinates: coordinate j of a line is the first of its hashes from the j-th
-of ``K`` fixed places on the circle of hashes on, which is MinHash with cyclic
-shifts as its permutations.  Two lines agree in a coordinate with a
-probability of their Jaccard similarity.
-
-``BANDS`` bands of ``ROWS`` coordinates make candidates: at similarity 0.8 a
-pair shares one in 99.8 % of cases, at 0.85 in 99.99 %.  One bit of each of the K coordinates
-bounds what is worth verifying (``MARGIN`` standard deviations under the
-threshold).  Verification compares the shingle sets exactly and links pairs
+hashed to 40 bits.  Two lines agree in a coordinate with a probability of
+their Jaccard similarity, and ``BANDS`` bands of ``ROWS`` coordinates make
+candidates: at similarity 0.8 a pair shares one in 99.8 % of cases, at 0.85 in
+99.99 %.  There are two kinds of coordinates:
+
+* Lines of ``LONG`` shingles or more: one sorted array of a batch's hashes
+  serves all coordinates.  Coordinate j of a line is the first of its hashes
+  from the j-th of ``K`` fixed places on the circle of hashes on, which is
+  MinHash with cyclic shifts as its permutations.
+* Shorter lines: on the circle, one shingle would own many of the places, so
+  that coordinates fall together.  Each coordinate is the least of the hashes
+  under a multiplier of its own.
+
+Linked lines differ in their number of shingles by a quarter at most, so
+lines of up to ``LONG / THRESHOLD`` shingles have the bands of both kinds, and
+every pair that can be linked has one kind in common.
+
+Two sketches bound what is worth verifying.  The parities of ``K`` cells of
+hashes can't differ in more places than the sets have unshared shingles, so
+they rule out no pair of the threshold.  One bit of each of the K coordinates
+on the circle does so with a margin (``MARGIN`` standard deviations, with the
+variance that the number of shingles gives), between lines of LONG shingles
+or more only.  Verification compares the shingle sets exactly and links pairs
 of ``THRESHOLD`` or more.  Components of links come from distributed
 union-find, and one line of each stays: the first by (id, line number).
 
@@ -46,7 +59,9 @@ CHARS = 8
 THRESHOLD = 0.8
 BANDS, ROWS = 12, 4
 K = 256
-MARGIN = 3.5
+LONG = 128
+MARGIN = 4
+SPREAD = 1.25              # the bits' variance is at most 1 + SPREAD * K / shingles that of independent ones
 CHUNK_CHARS, CHUNK_LINES = 500_000, 2048
 SPACE = " \t\r\x0b\x0c"
 BROADCAST_BYTES = 8 << 20
@@ -103,22 +118,80 @@ def coordinates(sets: np.ndarray, n: int) -> np.ndarray:
     return sets[at] & U((1 << HASH_BITS) - 1)
 
 
+_OWN = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _P) | U(1)
+
+
+def own_coordinates(sets: np.ndarray, n: int) -> np.ndarray:
+    """n x (BANDS * ROWS): the least product of each line's hashes with each multiplier."""
+    start = np.searchsorted((sets >> U(HASH_BITS)).astype(np.int64), np.arange(n))
+    h = mix(sets & U((1 << HASH_BITS) - 1))
+    return np.stack([np.minimum.reduceat(h * m, start) for m in _OWN], axis=1) if n else np.zeros((0, len(_OWN)), U)
+
+
+def _band_keys(coordinate: list[np.ndarray], kind: int) -> np.ndarray:
+    """The keys of BANDS bands, given their ROWS coordinates."""
+    h = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64) + U(kind * BANDS), (len(coordinate[0]), 1))
+    for c in coordinate:
+        h = mix(h * _P + c)
+    return h
+
+
+def _packed(bits: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(np.packbits(bits.astype(np.uint8), axis=1)).view(np.int64)
+
+
+def parities(sets: np.ndarray, n: int) -> np.ndarray:
+    """n x K: whether an odd number of a line's hashes is in each of K cells."""
+    line = (sets >> U(HASH_BITS)).astype(np.int64)
+    cell = (mix(sets & U((1 << HASH_BITS) - 1)) % U(K)).astype(np.int64)
+    return np.bincount(line * K + cell, minlength=n * K).reshape(n, K) & 1
+
+
+def signs(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Each line's bands, and its sketch: parities, bits of the circle (0 if shorter than LONG), shingles."""
+    sets, n = shingle_sets(texts), len(texts)
+    line = (sets >> U(HASH_BITS)).astype(np.int64)
+    size = np.bincount(line, minlength=n)
+    long, short = size >= LONG, size * THRESHOLD <= LONG
+    sketch = np.zeros((n, 2 * (K // 64) + 1), np.int64)
+    sketch[:, :K // 64] = _packed(parities(sets, n))
+    sketch[:, -1] = size
+    keys, owner = [], []
+    for kind, some in enumerate((short, long)):
+        if not some.any():
+            continue
+        at = (np.cumsum(some) - 1).astype(np.uint64)
+        mine = sets[some[line]]
+        mine = (at[(mine >> U(HASH_BITS)).astype(np.int64)] << U(HASH_BITS)) | (mine & U((1 << HASH_BITS) - 1))
+        if kind:
+            c = coordinates(mine, some.sum())
+            sketch[some, K // 64:-1] = _packed(mix(c) & U(1))
+            rows = [c[:, _BANDS[:, r]] for r in range(ROWS)]
+        else:
+            c = own_coordinates(mine, some.sum())
+            rows = [c[:, r * BANDS:(r + 1) * BANDS] for r in range(ROWS)]
+        keys.append(_band_keys(rows, kind).view(np.int64))
+        owner.append(np.flatnonzero(some))
+    if len(keys) == 1:
+        return list(keys[0]), sketch
+    bands = [np.zeros(0, np.int64)] * n
+    for own, rows in zip(owner, keys, strict=True):
+        for i, row in zip(own.tolist(), rows, strict=True):
+            bands[i] = np.concatenate([bands[i], row]) if len(bands[i]) else row
+    return bands, sketch
+
+
 def _sign(columns: list[pa.Array]) -> list[pa.Array]:
-    """Bands and bits of a batch's lines (none is empty)."""
-    bands, bits = [np.zeros((0, BANDS), np.uint64)], [np.zeros((0, K // 64), np.int64)]
-    for lo, hi in pieces_of(columns[-1], CHUNK_CHARS, CHUNK_LINES):
-        texts = columns[-1].slice(lo, hi - lo).to_pylist()
-        c = coordinates(shingle_sets(texts), len(texts))
-        h = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(texts), 1))
-        for r in range(ROWS):
-            h = mix(h * _P + c[:, _BANDS[:, r]])
-        bands.append(h)
-        packed = np.packbits((mix(c) & U(1)).astype(np.uint8), axis=1)
-        bits.append(np.ascontiguousarray(packed).view(np.int64))
+    """Bands and sketches of a batch's lines (none is empty)."""
     out = list(columns[:-1])
-    for rows in (np.concatenate(bands).view(np.int64), np.concatenate(bits)):
-        ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
-        out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(rows).reshape(-1))))
+    bands, sketches = [], []
+    for lo, hi in pieces_of(columns[-1], CHUNK_CHARS, CHUNK_LINES):
+        some, rows = signs(columns[-1].slice(lo, hi - lo).to_pylist())
+        bands += some
+        sketches += list(rows)
+    for rows in (bands, sketches):
+        ends = np.cumsum([0, *map(len, rows)])
+        out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows))))
     return out
 
 
@@ -139,15 +212,19 @@ def _verify(columns: list[pa.Array]) -> list[pa.Array]:
     return [columns[0], columns[1], pa.array(np.concatenate(good) if good else np.zeros(0, bool))]
 
 
-def least_agreement() -> int:
-    """Equal bits of K below which the threshold is out of the question."""
-    p = (1 + THRESHOLD) / 2
-    return math.ceil(K * p - MARGIN * math.sqrt(K * p * (1 - p)))
-
-
 def _possible() -> Column:
-    differ = sum((F.bit_count(F.col("bu")[i].bitwiseXOR(F.col("bv")[i])) for i in range(K // 64)), F.lit(0))
-    return differ <= K - least_agreement()
+    """Whether the sketches leave the threshold possible."""
+    words = K // 64
+    differ = lambda first: sum((F.bit_count(F.col("bu")[i].bitwiseXOR(F.col("bv")[i]))
+                                for i in range(first, first + words)), F.lit(0))
+    nu, nv = F.col("bu")[2 * words], F.col("bv")[2 * words]
+    fewer = F.least(nu, nv)
+    # sets of the threshold share all but this part of their sizes' sum; the rest allows for rounding
+    unshared = (nu + nv) * ((1 - THRESHOLD) / (1 + THRESHOLD)) + 1e-6
+    p = (1 - THRESHOLD) / 2
+    limit = K * p + MARGIN * math.sqrt(K * p * (1 - p)) * F.sqrt(1 + SPREAD * K / fewer)
+    return ((differ(0) <= unshared) & (F.abs(nu - nv) <= unshared)
+            & ((fewer < LONG) | (differ(words) <= limit)))
 
 
 def lines(df: DataFrame, id: str, text: str) -> DataFrame:
@@ -179,7 +256,7 @@ def classes(df: DataFrame, id: str, text: str, scratch: Scratch) -> DataFrame:
         signed.select("a", "b", F.struct("id", "no").alias("at"), "bands", "bits").groupBy("a", "b")
         .agg(F.min("at").alias("at"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
         .withColumn("node", F.monotonically_increasing_id()))
-    member = nodes.select("node", F.posexplode("bands").alias("nth", "band"))
+    member = nodes.select("node", F.explode("bands").alias("band"))
     bucket = scratch.write(member.groupBy("band").agg(
         F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     large = bucket.where("n > 2").select("band", "low")
@@ -211,14 +288,14 @@ def classes(df: DataFrame, id: str, text: str, scratch: Scratch) -> DataFrame:
     apart = placed.where("part <> low_part")
     signs = nodes.select("node", "bits", "bands")
     stray = apart.join(signs, "node").select(
-        "band", "nth", F.col("node").alias("u"), F.col("part").alias("pu"), F.col("bits").alias("bu"),
+        "band", F.col("node").alias("u"), F.col("part").alias("pu"), F.col("bits").alias("bu"),
         F.col("bands").alias("ku"))
     other = (placed.join(apart.select("band").distinct(), "band", "left_semi").where("node <> low")
              .join(signs, "node")
              .select("band", F.col("node").alias("v"), F.col("part").alias("pv"), F.col("bits").alias("bv"),
                      F.col("bands").alias("kv"), (F.col("part") == F.col("low_part")).alias("main")))
     # a pair counts in the first band that it shares
-    first = F.array_position(F.zip_with("ku", "kv", lambda x, y: x == y), F.lit(True)) == F.col("nth") + 1
+    first = F.get(F.array_intersect("ku", "kv"), F.lit(0)) == stray["band"]
     cross = (stray.join(other, (stray["band"] == other["band"]) & (F.col("pu") != F.col("pv"))
                         & (F.col("main") | (F.col("u") < F.col("v"))) & _possible() & first)
              .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
