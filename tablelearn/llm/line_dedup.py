@@ -25,7 +25,9 @@ on the circle does so with a margin (``MARGIN`` standard deviations, with the
 variance that the number of shingles gives), between lines of LONG shingles
 or more only.  Verification compares the shingle sets exactly and links pairs
 of ``THRESHOLD`` or more.  Components of links come from distributed
-union-find, and one line of each stays: the first by (id, line number).
+union-find, and one line of each stays: the first by (id, row, line number).
+Rows are numbered once, in a written table, so that rows that share an id, or
+have none, keep lines of their own.
 
 Work is kept in proportion to the lines: equal lines are one node, by a
 128-bit key.  A bucket's members are first compared with its smallest node
@@ -38,8 +40,8 @@ coordinates and the comparison of sets run in numpy on Arrow batches; a form
 with array functions alone was measured and did not meet the limits (README).
 
 Defined cases: blank lines are never compared and stay; null text is one blank
-line; a line shorter than a shingle is one shingle; rows with one id are one
-document; a null id comes first; an empty table gives an empty table.
+line; a line shorter than a shingle is one shingle; of rows with one id, any
+may be the first; a null id comes first; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -227,14 +229,22 @@ def _possible() -> Column:
             & ((fewer < LONG) | (differ(words) <= limit)))
 
 
-def lines(df: DataFrame, id: str, text: str) -> DataFrame:
-    """id, no, line and the 128-bit key (a, b) of each line; null keys for blank lines."""
-    rows = take(df, id=id, text=text)
-    out = (rows.select("id", F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1))
+def numbered(df: DataFrame, scratch: Scratch) -> DataFrame:
+    """``df`` under the names _0, _1, ... with a number ``row`` of each row, as a written table."""
+    plain = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    return scratch.write(plain.withColumn("row", F.monotonically_increasing_id()))
+
+
+def lines(rows: DataFrame) -> DataFrame:
+    """id, row, no, line and the 128-bit key (a, b) of each line; null keys for blank lines.
+
+    ``rows`` has id, row and text.
+    """
+    out = (rows.select("id", "row", F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1))
                        .alias("no", "line"))
            .withColumn("line", normal(F.col("line"))))
     full = F.col("line") != ""
-    return out.select("id", "no", "line", F.when(full, F.xxhash64("line")).alias("a"),
+    return out.select("id", "row", "no", "line", F.when(full, F.xxhash64("line")).alias("a"),
                       F.when(full, F.xxhash64(F.lit(1), "line")).alias("b"))
 
 
@@ -246,14 +256,14 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_batches(both, _verify, [("u", "long"), ("v", "long"), ("good", "boolean")]).where("good").drop("good")
 
 
-def classes(df: DataFrame, id: str, text: str, scratch: Scratch) -> DataFrame:
-    """(a, b, class_id, class_no) of each distinct line: the first line of its component."""
-    source = lines(df, id, text)
+def classes(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b, class_id, class_row, class_no) of each distinct line: the first line of its component."""
+    source = lines(rows)
     kind = dict(source.dtypes)["id"]
-    signed = map_batches(source.where("a is not null").select("a", "b", "id", "no", "line"), _sign, [
-        ("a", "long"), ("b", "long"), ("id", kind), ("no", "int"), ("bands", "array<long>"), ("bits", "array<long>")])
+    signed = map_batches(source.where("a is not null").select("a", "b", "id", "row", "no", "line"), _sign, [
+        ("a", "long"), ("b", "long"), ("id", kind), ("row", "long"), ("no", "int"), ("bands", "array<long>"), ("bits", "array<long>")])
     nodes = scratch.write(
-        signed.select("a", "b", F.struct("id", "no").alias("at"), "bands", "bits").groupBy("a", "b")
+        signed.select("a", "b", F.struct("id", "row", "no").alias("at"), "bands", "bits").groupBy("a", "b")
         .agg(F.min("at").alias("at"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
         .withColumn("node", F.monotonically_increasing_id()))
     member = nodes.select("node", F.explode("bands").alias("band"))
@@ -275,7 +285,7 @@ def classes(df: DataFrame, id: str, text: str, scratch: Scratch) -> DataFrame:
     size = goal.count() * 48
     small = F.broadcast(goal) if size <= BROADCAST_BYTES else goal
     same = ((source["a"] == goal["a"]) & (source["b"] == goal["b"]) & (source["no"] == goal["at.no"])
-            & source["id"].eqNullSafe(goal["at.id"]))
+            & (source["row"] == goal["at.row"]))
     texts = scratch.write(source.join(small, same).select("node", "line").dropDuplicates(["node"]))
     scratch.drop(goal)
 
@@ -307,7 +317,19 @@ def classes(df: DataFrame, id: str, text: str, scratch: Scratch) -> DataFrame:
                 .withColumn("component", F.coalesce("component", "node")))
     first_at = labelled.groupBy("component").agg(F.min("at").alias("first"))
     return labelled.join(first_at, "component").select(
-        "a", "b", F.col("first.id").alias("class_id"), F.col("first.no").alias("class_no"))
+        "a", "b", F.col("first.id").alias("class_id"), F.col("first.row").alias("class_row"),
+        F.col("first.no").alias("class_no"))
+
+
+def _placed(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """id, row, no, class_id, class_no and kept of each line; a blank line stands for itself."""
+    group = classes(rows, scratch)
+    out = lines(rows).select("id", "row", "no", "a", "b").join(group, ["a", "b"], "left")
+    blank = F.col("a").isNull()
+    return out.select(
+        "id", "row", "no", F.when(blank, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(blank, F.col("no")).otherwise(F.col("class_no")).alias("class_no"),
+        (blank | ((F.col("row") == F.col("class_row")) & (F.col("no") == F.col("class_no")))).alias("kept"))
 
 
 def line_classes(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -316,15 +338,10 @@ def line_classes(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataF
     A blank line stands for itself.
     """
     scratch = Scratch(df.sparkSession)
-    group = classes(df, id, text, scratch)
-    rows = lines(df, id, text).select("id", "no", "a", "b").join(group, ["a", "b"], "left")
-    blank = F.col("a").isNull()
-    class_id = F.when(blank, F.col("id")).otherwise(F.col("class_id"))
-    class_no = F.when(blank, F.col("no")).otherwise(F.col("class_no"))
-    return rows.select(
-        F.col("id").alias(id), F.col("no").alias("line_no"), class_id.alias("class_id"),
-        class_no.alias("class_line_no"),
-        (F.col("id").eqNullSafe(class_id) & (F.col("no") == class_no)).alias("kept"))
+    rows = numbered(take(df, id=id, text=text), scratch).toDF("id", "text", "row")
+    return _placed(rows, scratch).select(
+        F.col("id").alias(id), F.col("no").alias("line_no"), "class_id",
+        F.col("class_no").alias("class_line_no"), "kept")
 
 
 def dedupe_lines(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -333,13 +350,14 @@ def dedupe_lines(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataF
     The order of lines and all other columns stay; a document may end up empty.
     """
     need(df, id, text)
-    gone = (line_classes(df, id, text).where("not kept").groupBy(F.col(id).alias("_id"))
-            .agg(F.collect_set("line_no").alias("_gone")))
+    scratch = Scratch(df.sparkSession)
     names = df.columns
-    rows = df.toDF(*[f"_{i}" for i in range(len(names))])
-    key, at = rows[f"_{names.index(id)}"], f"_{names.index(text)}"
-    joined = rows.join(gone, key.eqNullSafe(gone["_id"]), "left")
+    rows = numbered(df, scratch)
+    key, at = f"_{names.index(id)}", f"_{names.index(text)}"
+    gone = (_placed(rows.select(F.col(key).alias("id"), "row", F.col(at).alias("text")), scratch)
+            .where("not kept").groupBy("row").agg(F.collect_set("no").alias("_gone")))
+    joined = rows.join(gone, "row", "left")
     left = F.array_join(F.filter(F.split(F.col(at), "\n", -1),
                                  lambda _, i: ~F.array_contains("_gone", i)), "\n")
     new = F.when(F.col("_gone").isNull(), F.col(at)).otherwise(left).alias(at)
-    return joined.select(*[new if c == at else F.col(c) for c in rows.columns]).toDF(*names)
+    return joined.select(*[new if f"_{i}" == at else F.col(f"_{i}") for i in range(len(names))]).toDF(*names)

@@ -112,3 +112,15 @@ def test_isolated_pairs_at_every_length(spark):
     assert all(found[i] in (i, i - i % 2) for i in found)
     lost = [chars_of[i - 1] for i in found if i % 2 and found[i] == i]
     assert all(lost.count(n) <= 4 for n in lost), lost   # of 300; 0.5 expected at a similarity of 0.8
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    """Only repeats go, and one of each stays, whatever the ids."""
+    line = lambda k: f"{k} line number {k} of these rows, which is like no other one {k * 7919}"
+    df = spark.createDataFrame([
+        (None, f"{line(1)}\n{line(2)}"), (None, f"{line(3)}\n{line(1)}"), (None, f"{line(4)}\n{line(5)}"),
+        (1, f"{line(6)}\n{line(7)}"), (1, f"{line(6)}\n{line(8)}"), (1, f"{line(9)}\n{line(10)}")],
+        "doc_id long, text string")
+    left = "\n".join(r.text for r in line_dedup.dedupe_lines(df).collect()).split("\n")
+    assert sorted(x for x in left if x) == sorted(line(k) for k in range(1, 11))
+    assert sum(r.kept for r in line_dedup.line_classes(df).collect()) == 10
