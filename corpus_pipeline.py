@@ -10,7 +10,9 @@ predecessor kept.
    held out.
 2. Line dedup takes repeated and nearly repeated lines out of the texts, and
    counts ``n_chars`` anew.  No document goes; some may end up empty.
-3. MinHash near-dedup keeps one document of each group.
+3. MinHash near-dedup keeps one row of each group, the one with the smallest
+   id; a null id is kept only if its group has no other.  Rows that share an
+   id, or have none, are told apart by a number written once.
 4. Mixing repeats each source's documents towards its target weight.
 5. SentencePiece encodes every copy and decodes it again.
 """
@@ -29,13 +31,13 @@ BROADCAST_BYTES = 8 << 20
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without those whose id is in the written table ``gone`` (column ``gone_id``).
+    """``docs`` without those whose ``row`` is in the written table ``gone`` (column ``gone_row``).
 
-    The ids are broadcast only if they are few enough; else Spark joins by shuffle.
+    The numbers are broadcast only if they are few enough; else Spark joins by shuffle.
     """
     if gone.count() * 16 <= BROADCAST_BYTES:
         gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+    return docs.join(gone, docs["row"] == gone["gone_row"], "left_anti")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,10 +52,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(*COLUMNS)
-    found = dart_minhash.near_duplicates(docs)
-    gone = Scratch(spark).write(found.where("not kept").select(F.col("doc_id").alias("gone_id")).distinct())
-    return without(docs, gone)
+    scratch = Scratch(spark)
+    docs = scratch.write(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")     # orders a null id last
+    found = dart_minhash.near_duplicates(docs.select(key.alias("key"), "text"), id="key")
+    gone = scratch.write(found.where("not kept").select(F.col("key.row").alias("gone_row")))
+    return without(docs, gone).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

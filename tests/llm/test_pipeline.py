@@ -66,6 +66,16 @@ def test_near_copies(spark, docs):
     assert len(out) < len(docs)
 
 
+def test_near_copies_by_row(spark):
+    """One row of each group stays, whatever ids rows share or lack."""
+    text = lambda k: " ".join(f"{k}word{k * n}" for n in range(40))
+    ids = [(None, 1), (3, 1), (None, 2), (None, 3), (None, 3), (5, 4), (5, 4), (7, 5), (7, 6), (6, 6), (8, None), (9, None)]
+    rows = [(i, None if k is None else text(k), "en", "a", 1) for i, k in ids]
+    out = as_rows(corpus_pipeline.near_copies(spark, table(spark, rows), ""))
+    want = [(3, 1), (None, 2), (None, 3), (5, 4), (7, 5), (6, 6), (8, None)]
+    assert out == sorted(((i, None if k is None else text(k), "en", "a", 1) for i, k in want), key=str)
+
+
 def test_mix_takes_words_near_the_targets(spark, docs):
     out = as_rows(corpus_pipeline.mix(spark, table(spark, docs), ""))
     size = {r[0]: len((r[1] or "").split()) for r in docs}
