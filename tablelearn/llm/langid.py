@@ -10,8 +10,8 @@ the language of the centroid with the largest cosine, and that cosine as its
 score.
 
 Distance-based rejection: a text is too far from everything learned if its
-cosine is under ``RADIUS`` times the similarity that its language's own
-sample keeps in 99 of 100 rows of at least as few letters; see ``radii``.
+cosine is under ``RADIUS`` times the similarity that 99 of 100 sample rows of
+about as many letters keep, in its language or in all; see ``radii``.
 
 The model's size is languages x clusters x DIM; it is the one thing that goes
 to the driver and is broadcast, and it doesn't depend on the number of rows.
@@ -41,7 +41,8 @@ GRAMS = 3
 CLUSTERS = 4
 SAMPLE_PER_LANG = 400
 ROUNDS = 8
-RADIUS = 0.3
+RADIUS = 0.7
+LEAST_ROWS = 20            # fewer sample rows than that don't set a band's radius
 SLICE = 1 << 20
 BANDS = (4, 16, 64, 256, 1024)     # numbers of letters that bound the bands of radii
 UNKNOWN = "und"
@@ -152,30 +153,53 @@ class Centroids:
         return out
 
 
-def radii(sim: np.ndarray, letters: np.ndarray) -> np.ndarray:
-    """The least cosine accepted, by band of letters.
+def low_cosines(sim: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """The first percentile of the cosines by band of letters.
 
-    RADIUS times the first percentile of the sample's cosines among rows of up
-    to that band; never more than for longer texts.  A band without a sample
-    row takes the value of the next band with fewer letters, the shortest 0.
+    A band of fewer than LEAST_ROWS rows takes half the next longer band's: a
+    text with a quarter of the letters keeps half the cosine.  If no longer
+    band has them it takes the next shorter band's.  A sample that has no such
+    band is one band.
     """
-    band, out, last = band_of(letters), np.zeros(len(BANDS) + 1), 0.0
-    for b in range(len(out)):
-        if (band == b).any():
-            last = RADIUS * float(np.percentile(sim[band == b], 1))
-        out[b] = last
-    return np.minimum.accumulate(out[::-1])[::-1]
+    band = band_of(letters)
+    have = [b for b in range(len(BANDS) + 1) if (band == b).sum() >= LEAST_ROWS]
+    if not have:
+        return np.full(len(BANDS) + 1, np.percentile(sim, 1))
+    low = {b: float(np.percentile(sim[band == b], 1)) for b in have}
+    for b in range(len(BANDS) + 1):
+        if b > have[-1]:
+            low[b] = low[have[-1]]
+    for b in reversed(range(have[-1])):
+        low.setdefault(b, low[b + 1] / 2)
+    return np.array([low[b] for b in range(len(BANDS) + 1)])
+
+
+def radii(samples: dict[str, tuple[np.ndarray, np.ndarray]]) -> dict[str, np.ndarray]:
+    """By language, the least cosine accepted by band of letters, of each sample's (cosines, letters).
+
+    RADIUS times the smaller of two first percentiles: of all samples, and of
+    the language's own where it has LEAST_ROWS rows in the band; never more
+    than for longer texts.
+    """
+    pooled = low_cosines(*[np.concatenate(x) for x in zip(*samples.values(), strict=True)])
+    out = {}
+    for lang, (sim, letters) in samples.items():
+        enough = np.bincount(band_of(letters), minlength=len(pooled)) >= LEAST_ROWS
+        low = np.where(enough, np.minimum(low_cosines(sim, letters), pooled), pooled)
+        out[lang] = RADIUS * np.minimum.accumulate(low[::-1])[::-1]
+    return out
 
 
 def _fit_one(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Centroids and radii of one language's sample."""
+    """Centroids of one language's sample, and its rows' cosines and letters."""
     pdf = pdf.sort_values(["key", "vec"])
     x = np.frombuffer(b"".join(pdf["vec"]), np.float32).reshape(-1, DIM)
     c = spherical_kmeans(x, CLUSTERS)
-    r = radii((x @ c.T).max(1), pdf["letters"].to_numpy())
+    sim = (x @ c.T).max(1).astype(float).tolist()
     return pd.DataFrame({"lang": pdf["lang"].iloc[0], "cluster": range(len(c)),
                          "vec": [v.astype(np.float32).tobytes() for v in c],
-                         "radius": [r.tolist()] * len(c)})
+                         "sim": [sim] + [None] * (len(c) - 1),
+                         "letters": [pdf["letters"].tolist()] + [None] * (len(c) - 1)})
 
 
 def fit(train: DataFrame, text: str = "text", lang: str = "lang",
@@ -226,12 +250,13 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang",
                         [("lang", "string"), ("key", "long"), ("letters", "long"), ("vec", "binary")])
             .where("letters > 0").dropDuplicates(["lang", "key"]))
     found = (vecs.groupBy("lang").applyInPandas(
-        _fit_one, "lang string, cluster int, vec binary, radius array<double>").collect())
+        _fit_one, "lang string, cluster int, vec binary, sim array<double>, letters array<long>").collect())
     found.sort(key=lambda r: (r.lang, r.cluster))
+    samples = {r.lang: (np.array(r.sim), np.array(r.letters)) for r in found if r.cluster == 0}
     return Centroids([r.lang for r in found],
                      np.stack([np.frombuffer(r.vec, np.float32) for r in found])
                      if found else np.zeros((0, DIM), np.float32),
-                     idf, {r.lang: np.array(r.radius) for r in found})
+                     idf, radii(samples) if samples else {})
 
 
 def held_out(id: Column) -> Column:

@@ -1,6 +1,8 @@
 """n-gram counts against a plain loop, accuracy on held-out rows, odd rows."""
 
+import base64
 import collections
+import random
 import zlib
 
 import numpy as np
@@ -73,3 +75,21 @@ def test_nothing_to_learn(spark):
     assert {r.lang_pred for r in langid.predict(df, model).collect()} == {"und"}
     one = langid.fit(spark.createDataFrame([(1, "abc abd", "xx")], df.schema))
     assert [r.lang_pred for r in langid.predict(df, one).collect()] == ["xx", "und"]
+
+
+def test_foreign_and_random_text_is_rejected_at_every_length(spark):
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    model = langid.fit(docs.where(~langid.held_out(docs["doc_id"])))
+    rng = random.Random(5)
+    finnish = ("Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu "
+               "järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. ") * 30
+    word = lambda first, last: "".join(chr(rng.randint(first, last)) for _ in range(rng.randint(2, 9)))
+    for n in (120, 300, 1000, 3500):
+        texts = [finnish[at:at + n] for at in range(10)]
+        for first, last in ((97, 122), (0x430, 0x44f), (0x4e00, 0x9fff)):
+            texts += [" ".join(word(first, last) for _ in range(n // 6)) for _ in range(10)]
+        texts += [base64.b64encode(rng.randbytes(n * 3 // 4)).decode() for _ in range(10)]
+        assert all(rejected for _, _, rejected in model.predict(texts)), n
+    held = [r.text for r in docs.where(langid.held_out(docs["doc_id"])).collect()]
+    clean = [r for t, r in zip(held, model.predict(held), strict=True) if t and langid.gram_counts(t)[1]]
+    assert sum(rejected for _, _, rejected in clean) <= 0.02 * len(clean)
