@@ -86,11 +86,13 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def map_batches(df: DataFrame, fn: Callable[[list[pa.Array]], list[pa.Array]],
-                out: list[tuple[str, str]], done: Callable[[], None] | None = None) -> DataFrame:
+                out: list[tuple[str, str]], done: Callable[[], None] | None = None,
+                rows: int | None = None) -> DataFrame:
     """``mapInArrow`` of a function from a batch's columns to the columns ``out``.
 
     Columns go by position, so any names will do.  ``done`` runs at the end of
-    each task, to let go of what its worker has gathered.
+    each task, to let go of what its worker has gathered.  ``rows`` is how many
+    rows the function gets at once, at most; a batch's if not given.
     """
     ship_package(df.sparkSession)
     bound_batches(df.sparkSession)
@@ -98,8 +100,9 @@ def map_batches(df: DataFrame, fn: Callable[[list[pa.Array]], list[pa.Array]],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays(fn(b.columns), names=names)
+            for lo in range(0, b.num_rows, rows or b.num_rows or 1):
+                part = b.slice(lo, rows) if rows else b
+                yield pa.RecordBatch.from_arrays(fn(part.columns), names=names)
         if done:
             done()
 

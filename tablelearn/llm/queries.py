@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, dart_minhash, emb_dedup, html_extract, langid, line_dedup, mixing, pii, spm
-from .common import read
+from . import (ann, chat, dart_minhash, emb_dedup, html_extract, langid, line_dedup, mixing, pii, spm,
+               token_files)
+from .common import Scratch, read
 
 TOKENIZERS = "/opt/tokenizers"
 PIECE_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
+BYTE_MODEL = f"{TOKENIZERS}/byte_bpe_50k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -175,3 +178,10 @@ def op6(spark, sf_dir):
 @query("op5_ann")
 def op5(spark, sf_dir):
     return ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op13_token_files")
+def op13(spark, sf_dir):
+    path = f"{Scratch(spark).base}/tokens-{uuid.uuid4().hex}"
+    token_files.write_tokens(read(spark, sf_dir, "documents"), path, BYTE_MODEL)
+    return token_files.read_documents(spark, path).withColumnRenamed("id", "doc_id")
