@@ -20,10 +20,10 @@ Parquet is the container, uncompressed: Spark commits whole files only, in
 any store, so a lost executor leaves no half shard behind, and row groups are
 skipped by the chunks' numbers.
 
-Encoding: in the byte-level pre-tokenisation a space that precedes something
-other than white space always begins a piece, and pieces don't influence each
-other.  So a text is cut at these spaces, words come from a bounded cache, and
-the words that it lacks are encoded by the library, many in one call.  A text
+Encoding: in the byte-level pre-tokenisation white space ends a piece, one
+space goes with the word after it, and pieces don't influence each other.  So
+a text is cut into words and white space, words come from bounded caches, and
+the words that they lack are encoded by the library, many in one call.  A text
 that holds the string of an added token is encoded whole.
 
 Nothing but one row per shard (the shards' lengths) is gathered or broadcast.
@@ -41,9 +41,12 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -55,7 +58,7 @@ from .common import Scratch, bound_batches, map_batches, pieces_of, take
 
 BLOCK = 1 << 16
 END = 2
-LEVEL = 3
+LEVEL = 1
 MAGIC = b"IDPL"
 KINDS = ("byte", "bit")
 WORDS = 1_000_000          # of the cache of a Python worker
@@ -101,8 +104,15 @@ def unpack(blob: bytes) -> np.ndarray:
 
 # -- encoding -------------------------------------------------------------
 
-_ODD = re.compile(r" (?:\s|$)")          # a space before white space or the end
-_CUT = re.compile(r" (?=\S)")
+#: White space as the pre-tokenizer has it, as a character class (fixed values of Unicode's White_Space).
+WHITE = "\\t-\\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: More than single spaces and line ends inside a text.
+ODD = f"[{WHITE}][{WHITE}]|^[{WHITE}]|[{WHITE}]$|[{WHITE.replace(' ', '').replace('-', '', 1)}]".replace(
+    "\\t\\r", "\\t\\x0b-\\r")
+_RUNS = re.compile(f"[{WHITE}]+|[^{WHITE}]+")
+_IS_WHITE = re.compile(f"[{WHITE}]")
+MARKS = frozenset(".,;:!?)")
+LINE = "\n"                # before a word that no space precedes
 
 
 class Encoder:
@@ -127,13 +137,14 @@ class Encoder:
         self.starts = np.zeros(self.tokenizer.get_vocab_size(), bool)       # ids that begin with a space
         for token, i in self.tokenizer.get_vocab().items():
             self.starts[i] = token.startswith("Ġ")
-        self.words, self.cache = words, {}
+        self.words, self.cache, self.line = words, {}, self.whole(LINE)
+        self.by_word &= len(self.line) == 4
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words that follow a space; no word holds a space or begins with white space."""
+        """Ids of words (no white space in them) that follow a space."""
         found = {}
         for lo in range(0, len(words), 20_000):
             part = words[lo:lo + 20_000]
@@ -145,34 +156,87 @@ class Encoder:
             found.update(zip(part, map(raw.__getitem__, map(slice, at.tolist(), [*at[1:].tolist(), len(raw)]))))
         return found
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        if not self.by_word:
-            return [self.whole(t) for t in texts]
-        cut, need, odd = [], set(), set()
-        for t in texts:
-            if any(s in t for s in self.special):
-                cut.append(None)
-            elif _ODD.search(t):
-                cut.append(_CUT.split(t))           # parts may end in spaces
-                odd.update(cut[-1][1:])
-            else:
-                cut.append(t.split(" "))
-                need.update(cut[-1][1:])
+    def look_up(self, words: list[str]) -> list[bytes]:
+        """Ids of words that follow a space, or of a line end and what follows it."""
         cache = self.cache
-        new = self.learn([w for w in need if w not in cache])
-        new.update((w, self.whole(" " + w)) for w in odd if w not in cache and w not in new)
+        found = list(map(cache.get, words))
+        missing = set(compress(words, map(is_, found, repeat(None))))
+        if not missing:
+            return found
+        # letters and a mark at their end are pieces of their own
+        marked = {w for w in missing if w[-1] in MARKS and w[:-1].isalpha()}
+        lines = {w for w in missing if w[0] == LINE}
+        bases = {w[:-1] for w in marked} - missing
+        new = self.learn([*(missing - marked - lines), *(b for b in bases if b not in cache)])
+        marks = {m: self.whole(m) for m in MARKS} if marked else {}
+        for w in marked:
+            new[w] = (new.get(w[:-1]) or cache[w[:-1]]) + marks[w[-1]]
+        new.update((w, self.line + self.whole(w[1:])) for w in lines)
+        found = [x or new[w] for x, w in zip(found, words)]
         if len(cache) + len(new) > self.words:
-            new.update((w, cache[w]) for w in need | odd if w in cache)
             cache.clear()
-        cache.update(new)
-        out = [self.whole(t) if p is None else
-               b"".join([self.whole(p[0]) if p[0] else b"", *map(cache.__getitem__, p[1:])])
-               for t, p in zip(texts, cut)]
-        for w in new:
-            if len(w) > LONG_WORD:
-                cache.pop(w, None)
-        return out
+        cache.update((w, ids) for w, ids in new.items() if len(w) <= LONG_WORD)
+        return found
+
+    def runs(self, text: str) -> tuple[list[str], list[bool]]:
+        """A text as words and white space, and which of the words follow a space that is theirs."""
+        parts, own = [], []
+        for run in _RUNS.findall(text):
+            if not _IS_WHITE.match(run):
+                parts.append(run)
+                own.append(bool(len(parts) > 1 and parts[-2] == " "))
+                if own[-1]:
+                    del parts[-2], own[-2]
+            else:                    # all but the last are one piece, unless the text ends here
+                parts += [run[:-1], run[-1]] if len(run) > 1 else [run]
+                own += [False] * (len(parts) - len(own))
+        if len(parts) > 1 and own and _IS_WHITE.match(parts[-1]) and _IS_WHITE.match(parts[-2]):
+            parts[-2:], own[-2:] = [parts[-2] + parts[-1]], [False]
+        return parts, own
+
+    def odd(self, text: str) -> np.ndarray:
+        """Ids of a text with any white space, or an added token's string, in it."""
+        if any(s in text for s in self.special):
+            return np.frombuffer(self.whole(text), "<u4")
+        parts, own = self.runs(text)
+        found = self.look_up([w if o else LINE + w for w, o in zip(parts, own)])
+        return np.frombuffer(b"".join([x if o else x[4:] for x, o in zip(found, own)]), "<u4")
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each followed by ``end``, and how many each text has."""
+        texts = pc.fill_null(texts, "")
+        if not self.by_word:
+            return _stream([np.frombuffer(self.whole(t), "<u4") for t in texts.to_pylist()], end)
+        odd = pc.match_substring_regex(texts, ODD)
+        for s in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, s))
+        plain = texts.filter(pc.invert(odd))
+        marked = pc.binary_join_element_wise(LINE, pc.replace_substring(plain, "\n", " " + LINE), "")
+        words = pc.split_pattern(marked, " ")
+        known = words.flatten().dictionary_encode()
+        ids = self.look_up(known.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) >> 2
+        place = np.cumsum(size, dtype=np.int32) - size
+        pick = known.indices.to_numpy()
+        size = size[pick]
+        at = np.cumsum(size, dtype=np.int32)
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        flat = flat[np.arange(at[-1] if len(at) else 0, dtype=np.int32) + np.repeat(place[pick] - at + size, size)]
+        ends = np.concatenate([[0], at])[np.cumsum(pc.list_value_length(words).to_numpy())]
+        out = np.roll(flat, -1)                    # a text's first line end gives its place to ``end``
+        out[ends - 1] = end
+        counts = np.diff(ends, prepend=0)
+        if len(plain) == len(texts):
+            return out, counts
+        rest = iter(np.split(out, ends[:-1]) if len(ends) else [])
+        return _stream([self.odd(t) if o else next(rest)[:-1]
+                        for t, o in zip(texts.to_pylist(), odd.to_pylist())], end)
+
+
+def _stream(ids: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray]:
+    mark = np.array([end], "<u4")
+    return (np.concatenate([y for x in ids for y in (x, mark)] or [mark[:0]]),
+            np.array([len(x) + 1 for x in ids], np.int64))
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -201,8 +265,8 @@ class Cutter:
         self.start = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
 
-    def add(self, names: pa.Array, raw: bytes, counts: np.ndarray) -> Iterator[tuple]:
-        self.ids = np.concatenate([self.ids, np.frombuffer(raw, "<u4")])
+    def add(self, names: pa.Array, ids: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
+        self.ids = np.concatenate([self.ids, ids])
         ends = self.end + np.cumsum(counts)
         self.names = pa.concat_arrays([self.names, names])
         self.start = np.concatenate([self.start, ends - counts])
@@ -254,7 +318,6 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, enc, cutter = TaskContext.get().partitionId(), encoder(model.value, special_as_text), None
-        mark = np.array([end], "<u4").tobytes()
 
         def row(c: tuple) -> pa.RecordBatch:
             chunk, place, m, blob, first, names, start, count = c
@@ -271,9 +334,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id: str = "doc_id",
             names, texts = b.columns
             cutter = cutter or Cutter(block, planes, names.type)
             for lo, hi in pieces_of(texts, SLICE):
-                raw = [r + mark for r in enc.encode([t or "" for t in texts[lo:hi].to_pylist()])]
-                counts = np.fromiter(map(len, raw), np.int64, hi - lo) // 4
-                yield from map(row, cutter.add(names[lo:hi], b"".join(raw), counts))
+                yield from map(row, cutter.add(names[lo:hi], *enc.encode(texts[lo:hi], end)))
         if cutter:
             yield from map(row, cutter.rest())
 

@@ -5,6 +5,7 @@ import uuid
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -44,17 +45,22 @@ def test_planes(kind, n):
 def test_words_like_whole_texts(library):
     rng = random.Random(3)
     bits = [" ", " ", "  ", "\n", "\t", " ", " ", "\x1c", "\x85", "​", "a", "The", "über", "'s", "'", "12",
-            ",", "...", "<|endoftext|>", "<|", "é", "é", "漢字", "🙂", "\x00", "x" * 300, "日", "Ġ", "\r\n"]
+            ",", "...", "<|endoftext|>", "<|", "é", "é", "漢字", "🙂", "\x00", "x" * 300, "日", "Ġ", "\r\n", "word.", "a.", ".", "word", *" \n"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(20000)]
     with open(BYTE_MODEL) as f:
         model = f.read()
     enc = token_files.Encoder(model, words=500)              # so that the cache is emptied now and then
     for lo in range(0, len(texts), 700):
-        for t, raw in zip(texts[lo:lo + 700], enc.encode(texts[lo:lo + 700])):
-            assert np.frombuffer(raw, "<u4").tolist() == library(t), repr(t)
+        part = texts[lo:lo + 700]
+        ids, counts = enc.encode(pa.array(part), 9)
+        for t, got in zip(part, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+            assert got.tolist() == [*library(t), 9], repr(t)
         assert len(enc.cache) <= 500 + 700 * 12
+    for part in ([], [None], ["", None, "x"], ["<|endoftext|>"]):
+        ids, counts = enc.encode(pa.array(part, pa.string()), 2)
+        assert ids.tolist() == [x for t in part for x in (*library(t), 2)] and len(counts) == len(part)
     plain = token_files.Encoder(model, special_as_text=True)
-    assert 50256 not in np.frombuffer(plain.encode(["a <|endoftext|> b"])[0], "<u4")
+    assert 50256 not in plain.encode(pa.array(["a <|endoftext|> b"]), 2)[0]
 
 
 def test_crc_of_parts():
