@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (ann, chat, dart_minhash, emb_dedup, html_extract, langid, line_dedup, mixing, pii, spm,
+from . import (ann, chat, dart_minhash, divergence, emb_dedup, html_extract, langid, line_dedup, mixing, pii, spm,
                token_files)
 from .common import Scratch, read
 
@@ -185,3 +185,36 @@ def op13(spark, sf_dir):
     path = f"{Scratch(spark).base}/tokens-{uuid.uuid4().hex}"
     token_files.write_tokens(read(spark, sf_dir, "documents"), path, BYTE_MODEL)
     return token_files.read_documents(spark, path).withColumnRenamed("id", "doc_id")
+
+
+@query("op11_divergence", r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+w AS (SELECT doc, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT doc) >= 3),
+groups AS (SELECT DISTINCT lang, source FROM d),
+c AS (
+  SELECT g.lang, g.source, k.term, k.n AS lang_n, coalesce(x.n, 0) AS n
+  FROM groups g JOIN kept k ON k.lang = g.lang
+  LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL) x
+    ON x.lang = g.lang AND x.source = g.source AND x.term = k.term),
+s AS (
+  SELECT *, CAST(1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER o + count(*) OVER o) AS HUGEINT) AS p,
+    CAST(1 + (1000000000::HUGEINT * (lang_n + 1)) // (sum(lang_n) OVER o + count(*) OVER o) AS HUGEINT) AS q
+  FROM c WINDOW o AS (PARTITION BY lang, source)),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(p.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // q AS BIGINT) FROM s WHERE n > 0 AND p > q)
+SELECT * FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM every) WHERE part = 'pair' OR rank <= 200""")
+def op11(spark, sf_dir):
+    return divergence.audit(read(spark, sf_dir, "documents"))
