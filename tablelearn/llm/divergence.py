@@ -62,11 +62,14 @@ SIGNS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 3
 
 # -- counts ---------------------------------------------------------------
 
-def split_terms(texts: pa.Array) -> pa.ListArray:
-    """The terms of each text (no null), with empty strings between adjoining separators."""
+def split_terms(texts: pa.Array, signs: bytes = SIGNS) -> pa.ListArray:
+    """The terms of each text (no null), with empty strings between adjoining separators.
+
+    ``signs`` says for every byte what it reads as; that of a separator is a space.
+    """
     texts = texts.cast(pa.large_string())
     offsets = pa.Array.from_buffers(pa.int64(), len(texts) + 1, [None, texts.buffers()[1]], offset=texts.offset)
-    shown = bytes(texts.buffers()[2] or b"").translate(SIGNS)
+    shown = bytes(texts.buffers()[2] or b"").translate(signs)
     return pc.split_pattern(pa.LargeStringArray.from_buffers(
         len(texts), offsets.buffers()[1], pa.py_buffer(shown), offset=texts.offset), " ")
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (ann, chat, dart_minhash, divergence, emb_dedup, html_extract, langid, line_dedup, mixing, pii, spm,
-               token_files)
+               ranked_search, token_files)
 from .common import Scratch, read
 
 TOKENIZERS = "/opt/tokenizers"
@@ -218,3 +218,31 @@ SELECT * FROM (
   FROM every) WHERE part = 'pair' OR rank <= 200""")
 def op11(spark, sf_dir):
     return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+@query("op12_ranked_search", r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+i AS (
+  SELECT row_number() OVER () AS i, item_id, unnest(
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+a AS (SELECT CAST(count(*) FILTER (len(terms) > 0) AS BIGINT) AS docs, CAST(sum(len(terms)) AS BIGINT) AS words FROM d),
+w AS (SELECT r, unnest(terms) AS term FROM d),
+tf AS (SELECT r, term, count(*) AS tf FROM w WHERE term IN (SELECT term FROM i) GROUP BY r, term),
+df AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS weight
+  FROM tf, a GROUP BY term, docs),
+s AS (
+  SELECT tf.r, tf.term, df.weight
+    * ((1000000000 * tf.tf) // (1000 * tf.tf + 12 * (100 - 25 + (25 * len(d.terms) * a.docs) // a.words))) AS part
+  FROM tf JOIN df USING (term) JOIN d USING (r), a),
+x AS (SELECT i.i, i.item_id, s.r, CAST(sum(s.part) AS BIGINT) AS score FROM i JOIN s USING (term) GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT x.item_id, d.doc_id, x.score,
+    CAST(row_number() OVER (PARTITION BY x.i ORDER BY x.score DESC, d.doc_id NULLS LAST) AS INTEGER) AS rank
+  FROM x JOIN d USING (r) WHERE x.score > 0) WHERE rank <= 20""")
+def op12(spark, sf_dir):
+    return ranked_search.ranked_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
