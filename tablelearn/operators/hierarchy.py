@@ -1,39 +1,66 @@
 """Agglomerative (hierarchical) clustering: ward, complete, average, single.
 
-The merge tree is built by the nearest-neighbour-chain algorithm (valid for
-all four linkages, which are reducible) with Lance-Williams updates: O(m^2)
-time and memory for m points.  ``m`` is bounded: when the table has at most
-``max_points`` rows the rows themselves are clustered (exact); above that,
-Spark k-means first condenses the table into ``max_points`` weighted
-micro-clusters (a distributed job) and the tree is built on those, weights
-kept (ward uses them exactly).  The tree is cut into ``n_clusters``; labels go
-back to the rows through a join with the (bounded) point -> cluster map.
-Clusters are numbered by their smallest member id.
+Single linkage and ward are distributed; no row comes to the driver.
+
+* **Single** linkage is the minimum spanning tree of the points, by Boruvka
+  rounds.  In a round every component finds its shortest edge to another one:
+  the points of a cell (``functions.cells``) are compared first, which bounds
+  the component's edge, and then only the points with a foreign box inside
+  that bound meet that box's points.  A component that fills all its cells is
+  bounded by the distance over which a foreign cell is sure to be reached.
+  Components at least halve in number each round; which of them join is
+  found by ``functions.components``, or on the driver once a round's edges are
+  at most ``CONTRACT`` rows.
+* **Ward** merges reciprocal nearest neighbours, round by round: every cluster
+  (size, centroid) finds its nearest one under the ward distance, and pairs
+  that chose each other become one.  As merging never brings a cluster nearer
+  to a third one, these are merges of the sequential algorithm.  Boxes hold
+  centroids, and the least size in a box bounds its distance.  The last
+  ``FINISH`` clusters, whatever the table's size, are merged by the
+  nearest-neighbour chain on the driver.
+* **Complete** and **average** linkage have no such summary of a cluster; the
+  chain runs on the rows themselves, up to ``max_points`` of them.  A larger
+  table is an error, unless ``approximate`` asks for k-means micro-clusters.
+
+Rows with equal coordinates are one weighted point, merged at height 0.  The
+merges that stay below the cut are edges between the clusters' smallest
+members, and their components are the labels, numbered by smallest member.
+Ties: edges are compared by (height, smaller id, larger id), so results repeat.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..frame import as_double, check_columns, check_numeric
-from ..functions.rank import maybe_broadcast
-from ..session import cut_lineage
+from ..functions import cells
+from ..functions.components import connected_components
+from ..functions.distance import minkowski
+from ..functions.rank import global_rank, maybe_broadcast
+from ..session import cut_lineage, ship_package
 
 LINKAGES = ("ward", "complete", "average", "single")
+METRICS = {"euclidean": 2.0, "l2": 2.0, "manhattan": 1.0, "l1": 1.0, "cityblock": 1.0, "chebyshev": math.inf,
+           "cosine": 2.0}
 MAX_POINTS = 4000
+FINISH = 128              # clusters that ward leaves to the chain
+CONTRACT = 1 << 16        # components whose edges are joined on the driver; beyond that by rounds of joins
 
 
-def nn_chain(X: np.ndarray, w: np.ndarray, linkage: str) -> np.ndarray:
+def nn_chain(X: np.ndarray, w: np.ndarray, linkage: str, p: float = 2.0, squared: bool = False) -> np.ndarray:
     """Merges (a, b, height, size) in the order found; a, b are cluster ids
     (0..m-1 points, m.. merged clusters, scipy convention)."""
     m = len(X)
-    diff = X[:, None, :] - X[None, :, :]
-    D = np.sqrt((diff * diff).sum(axis=2))
+    D = minkowski(X, X, p)
+    if squared:
+        D = D * D / 2
     if linkage == "ward":
         ww = w[:, None] * w[None, :]
         D = np.sqrt(2.0 * ww / (w[:, None] + w[None, :])) * D
@@ -114,72 +141,289 @@ def cut(merges: np.ndarray, m: int, n_clusters: int) -> np.ndarray:
     return np.array([find(i) for i in range(m)])
 
 
+# -- points and edges -------------------------------------------------------
+
+def _edge(height: str = "d", a: str = "a", b: str = "b") -> Column:
+    """An edge as a struct that compares by height, smaller and larger end."""
+    return F.struct(F.col(height).alias("d"), F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"))
+
+
+def _distinct(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct points (id, x, w) under their smallest id, and the edges (a, b, d) of their other rows."""
+    points = cut_lineage(rows.groupBy("x").agg(F.min("id").alias("id"), F.count(F.lit(1)).cast("double").alias("w"))
+                         .select("id", "x", "w"))
+    many = points.where("w > 1").select(F.col("id").alias("a"), F.col("x").alias("y"))
+    zero = rows.join(many, F.col("x") == F.col("y")).where("id <> a").select(
+        "a", F.col("id").alias("b"), F.lit(0.0).alias("d"))
+    return points, zero
+
+
+# -- single linkage: Boruvka rounds -----------------------------------------
+
+def _least_edges(own: np.ndarray, other: np.ndarray, ids: np.ndarray, others: np.ndarray,
+                 d: np.ndarray) -> list:
+    """(comp, d, lo, hi, foreign comp): the least edge of each component in ``own`` by (d, lo, hi)."""
+    names, code = np.unique(own, return_inverse=True)
+    least = np.full(len(names), np.inf)
+    np.minimum.at(least, code, d.min(axis=1))
+    i, j = np.nonzero((d == least[code][:, None]) & np.isfinite(d))
+    a, b = ids[i], others[j]
+    lo, hi = np.where(a < b, a, b), np.where(a < b, b, a)
+    by = np.lexsort([hi, lo, code[i]])
+    by = by[np.diff(code[i][by], prepend=-1) != 0]
+    return [own[i][by], d[i, j][by], lo[by], hi[by], other[j][by]]
+
+
+def _foreign(q: dict, r: dict, p: float) -> list:
+    d = minkowski(q["x"], r["x"], p)
+    d[q["comp"][:, None] == r["comp"][None, :]] = np.inf
+    if "radius" in q:
+        d[d > q["radius"][:, None]] = np.inf
+    return _least_edges(q["comp"], r["comp"], q["id"], r["id"], d)
+
+
+def _pure_radius(box: cells.Boxes, comps: list, p: float) -> dict:
+    """For components that fill their cells: a distance within which there is a point of another one."""
+    pure = np.array([n > 0 and a == b for n, a, b in zip(box.count, box.least["comp"], box.most["comp"])])
+    out = {}
+    for comp in comps:
+        mine = np.flatnonzero(pure & (box.least["comp"] == comp))
+        rest = np.flatnonzero((box.count > 0) & ~(pure & (box.least["comp"] == comp)))
+        if len(mine) and len(rest):
+            out[comp] = min(float(box.span(box.lo[part], box.hi[part], p, rest).min())
+                            for part in np.array_split(mine, max(1, len(mine) * len(rest) >> 22)))
+    return out
+
+
+def minimum_spanning_tree(rows: DataFrame, width: int, p: float = 2.0) -> DataFrame:
+    """(a, b, d): the edges of a minimum spanning tree of rows (id, x), rows of equal place joined at 0."""
+    points, zero = _distinct(rows)
+    spark, kind = points.sparkSession, points.schema["id"].dataType.simpleString()
+    schema = f"comp {kind}, d double, lo {kind}, hi {kind}, other {kind}"
+    found, left = cut_lineage(zero), points.count()
+    splits = cells.learn_splits(points, left, width)
+    points = cells.with_cell(points.select("id", "x", F.col("id").alias("comp")), splits, left)
+    while left > 1:
+        held = cut_lineage(cells.pack(points))
+        best = cells.compare(held, held, lambda q, r: _foreign(q, r, p), schema)
+        if splits.depth:
+            box = cells.boxes(points, 1 << splits.depth, width, ["comp"])
+            bound = cut_lineage(best.groupBy("comp").agg(F.min("d").alias("radius")))
+            full = sorted({a for n, a, b in zip(box.count, box.least["comp"], box.most["comp"]) if n and a == b})
+            filled = spark.createDataFrame([(c,) for c in full], f"comp {kind}")          # a row per cell at most
+            loose = _pure_radius(box, [r["comp"] for r in filled.join(bound, "comp", "left_anti").collect()], p)
+            bound = bound.union(spark.createDataFrame(list(loose.items()), f"comp {kind}, radius double"))
+            asking = cells.pack(points.join(bound, "comp").select("cell", "block", "id", "x", "comp", "radius"))
+            least, most = box.least["comp"], box.most["comp"]
+            foreign = lambda q, c: (least[c] != most[c])[None, :] | (least[c][None, :] != q["comp"][:, None])
+            needs = cells.reach(asking, box, p, lambda q, own: q["radius"], foreign)
+            best = best.union(cells.compare(needs, held, lambda q, r: _foreign(q, r, p), schema))
+        chosen = best.groupBy("comp").agg(F.min(F.struct("d", "lo", "hi", "other")).alias("e")).select("comp", "e.*")
+        if left > CONTRACT:
+            chosen = cut_lineage(chosen)
+            joined = connected_components(chosen.select("comp", "other"))
+            left = joined.select("component").distinct().count()
+        else:                                     # a row for each of at most CONTRACT components
+            rows = chosen.collect()
+            roots = _roots([(r["comp"], r["other"]) for r in rows])
+            chosen = spark.createDataFrame(rows, chosen.schema)
+            joined = F.broadcast(spark.createDataFrame(list(roots.items()), f"node {kind}, component {kind}"))
+            left = len(set(roots.values()))
+        found = found.union(chosen.select(F.col("lo").alias("a"), F.col("hi").alias("b"), "d").distinct())
+        points = points.join(joined, F.col("comp") == F.col("node")).select(
+            "id", "x", F.col("component").alias("comp"), "cell", "block")
+        points = cut_lineage(points) if left > 1 else points
+    return found
+
+
+def _roots(edges: list[tuple]) -> dict:
+    """The smallest node of each node's component."""
+    root = {a: a for e in edges for a in e}
+
+    def find(a):
+        while root[a] != a:
+            root[a] = root[root[a]]
+            a = root[a]
+        return a
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {a: find(a) for a in root}
+
+
+# -- ward: reciprocal nearest neighbours ------------------------------------
+
+def _factor(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What the centroids' distance is multiplied by between clusters of sizes a and b."""
+    return np.sqrt(2.0 * a * b / (a + b))
+
+
+def _nearest(q: dict, r: dict) -> list:
+    """(id, d, lo, hi): each cluster's nearest in another block by (d, lo, hi)."""
+    d = minkowski(q["x"], r["x"]) * _factor(q["w"][:, None], r["w"][None, :])
+    d[q["id"][:, None] == r["id"][None, :]] = np.inf
+    return _least_edges(q["id"], r["id"], q["id"], r["id"], d)[:4]
+
+
+def ward_merges(rows: DataFrame, width: int) -> DataFrame:
+    """(a, b, d, round): merges of the ward tree over rows (id, x), named by the smallest member of each side."""
+    spark = rows.sparkSession
+    now, zero = _distinct(rows)
+    kind = rows.schema["id"].dataType.simpleString()
+    found, turn, n = cut_lineage(zero.withColumn("round", F.lit(0))), 0, now.count()
+    schema = f"id {kind}, d double, lo {kind}, hi {kind}"
+    while n > FINISH:
+        turn += 1
+        splits = cells.learn_splits(now, n, width)
+        placed = cells.with_cell(now, splits, n)
+        held = cut_lineage(cells.pack(placed))
+        best = cells.compare(held, held, _nearest, schema)
+        if splits.depth:
+            box = cells.boxes(placed, 1 << splits.depth, width, ["w"])
+            bound = best.groupBy("id").agg(F.min("d").alias("radius")).withColumnRenamed("id", "i")
+            asking = cells.pack(placed.join(bound, F.col("id") == F.col("i"), "left").drop("i"))
+            least = np.array([1.0 if v is None else v for v in box.least["w"]])
+            most = np.array([1.0 if v is None else v for v in box.most["w"]])
+
+            def radius(q: dict, own: int) -> np.ndarray:
+                """Centroid distance within which a nearer cluster can be: sizes are 1 at least."""
+                known = q["radius"].astype(float)
+                for i in np.flatnonzero(np.isnan(known)):             # alone in its cell
+                    x = q["x"][i:i + 1]
+                    reach = box.span(x, x, 2.0)[0] * _factor(q["w"][i], most)
+                    reach[own] = np.inf
+                    known[i] = reach.min()
+                q["bound"] = known
+                return known / _factor(q["w"], 1.0)
+
+            def wanted(q: dict, c: np.ndarray) -> np.ndarray:
+                return box.gap(q["x"], q["x"], 2.0, c) * _factor(q["w"][:, None], least[c][None, :]) <= (
+                    q["bound"][:, None] * (1 + 1e-12))
+
+            needs = cells.reach(asking, box, 2.0, lambda q, own: radius(q, own) * (1 + 1e-12), wanted)
+            best = best.union(cells.compare(needs, held, _nearest, schema))
+        nearest = best.groupBy("id").agg(F.min(F.struct("d", "lo", "hi")).alias("e")).select("e.*")
+        pairs = cut_lineage(nearest.groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("d"))
+                            .where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"), "d"))
+        side = lambda s: now.select(F.col("id").alias(s), F.col("x").alias(f"x_{s}"), F.col("w").alias(f"w_{s}"))
+        merged = pairs.join(side("a"), "a").join(side("b"), "b").select(
+            F.col("a").alias("id"),
+            F.zip_with("x_a", "x_b", lambda x, y: (x * F.col("w_a") + y * F.col("w_b")) / (F.col("w_a") + F.col("w_b")))
+            .alias("x"), (F.col("w_a") + F.col("w_b")).alias("w"))
+        gone = pairs.select(F.col("a").alias("i")).union(pairs.select("b"))
+        now = cut_lineage(now.join(gone, F.col("id") == F.col("i"), "left_anti").union(merged))
+        found = found.union(pairs.withColumn("round", F.lit(turn)))
+        n = now.count()
+    rest = now.orderBy("id").collect()                                # FINISH rows at most
+    names = [r["id"] for r in rest]
+    tree = nn_chain(np.array([r["x"] for r in rest], float).reshape(len(rest), -1),
+                    np.array([r["w"] for r in rest], float), "ward")
+    last = []
+    for k, (a, b, d, _) in enumerate(tree):
+        lo, hi = sorted((names[int(a)], names[int(b)]))
+        names.append(lo)
+        last.append((lo, hi, float(d), turn + 1 + k))
+    return found.union(spark.createDataFrame(last, f"a {kind}, b {kind}, d double, round int"))
+
+
+# -- results ------------------------------------------------------------------
+
 @dataclass
 class HierarchyResult:
     labels: DataFrame          # (id, cluster)
-    merges: DataFrame          # (step, height, size) in height order
+    merges: DataFrame          # (step, height) in height order
     exact: bool
 
 
+def _numbered(labels: DataFrame, id: str) -> DataFrame:
+    """(id, cluster) from (id, root): clusters numbered by their smallest member, which is the root."""
+    roots = global_rank(labels.select("root").distinct(), [F.col("root")], "cluster")
+    return labels.join(roots.select(F.col("root").alias("r"), F.col("cluster").cast("int").alias("cluster")),
+                       F.col("root") == F.col("r")).select(F.col("id").alias(id), "cluster")
+
+
+def _cut_tree(rows: DataFrame, merges: DataFrame, n: int, n_clusters: int, id: str) -> HierarchyResult:
+    """Labels from all but the last merges (a, b, d, round), and the merges' heights in order."""
+    ranked = global_rank(merges, [F.col("d"), F.col("round"), F.col("a"), F.col("b")], "step")
+    joined = connected_components(ranked.where(F.col("step") < n - n_clusters).select("a", "b"))
+    labels = rows.select("id").join(joined, F.col("id") == F.col("node"), "left").select(
+        "id", F.coalesce("component", "id").alias("root"))
+    return HierarchyResult(_numbered(labels, id), ranked.select(
+        (F.col("step") + 1).cast("int").alias("step"), F.col("d").alias("height")), True)
+
+
 def hierarchical(df: DataFrame, features: Sequence[str], n_clusters: int = 2,
                  linkage: str = "ward", id: str = "id", max_points: int = MAX_POINTS,
-                 seed: int = 42, approximate: bool = False) -> HierarchyResult:
-    """Agglomerative clustering, exact up to ``max_points`` rows.
+                 seed: int = 42, approximate: bool = False, metric: str = "euclidean") -> HierarchyResult:
+    """Agglomerative clustering, exact; see the module for each linkage.
 
-    The merges are found on the driver.  A larger table is an error, unless
-    ``approximate`` asks for k-means micro-clusters in place of its rows.
+    ``metric`` is one of ``METRICS``; ward takes euclidean distances only.
+    ``max_points``, ``seed`` and ``approximate`` concern complete and average
+    linkage.  Features must be numbers without nulls; ids must be unique.
     """
-    linkage = linkage.strip().lower()
+    linkage, metric = linkage.strip().lower(), metric.strip().lower()
     if linkage not in LINKAGES:
         raise ValueError(f"unknown linkage {linkage!r}; choose one of {LINKAGES}")
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric!r}; choose one of {sorted(METRICS)}")
+    if linkage == "ward" and METRICS[metric] != 2.0 or linkage == "ward" and metric == "cosine":
+        raise ValueError("ward linkage takes the euclidean metric only")
     features = list(features)
     check_numeric(df, features)
     check_columns(df, [id])
-    spark: SparkSession = df.sparkSession
-    pts = df.select(F.col(id), *[as_double(c).alias(c) for c in features]).persist()
-    n = pts.count()
+    ship_package(df.sparkSession)
+    x = F.array(*[as_double(c) + F.lit(0.0) for c in features])            # -0.0 and 0.0 are one place
+    rows = cut_lineage(df.select(F.col(id).alias("id"), x.alias("x")))
+    n, bad = rows.agg(F.count(F.lit(1)), F.count(F.when(F.exists("x", lambda v: v.isNull()), 1))).first()
+    if bad:
+        raise ValueError(f"{bad} rows have a missing feature")
     if n_clusters < 1 or n_clusters > n:
         raise ValueError(f"n_clusters={n_clusters} must be in [1, {n}]")
-    exact = n <= max_points
-    if not exact and not approximate:
-        pts.unpersist()
+    if metric == "cosine":
+        size = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))
+        if rows.where(size == 0).limit(1).count():
+            raise ValueError("cosine distance is undefined for rows of zeros")
+        rows = cut_lineage(rows.select("id", F.transform("x", lambda v: v / size).alias("x")))
+    if linkage == "ward":
+        return _cut_tree(rows, ward_merges(rows, len(features)), n, n_clusters, id)
+    if linkage == "single":
+        tree = minimum_spanning_tree(rows, len(features), METRICS[metric]).withColumn("round", F.lit(0))
+        if metric == "cosine":                     # of unit vectors, half the square of the distance
+            tree = tree.withColumn("d", F.col("d") * F.col("d") / 2)
+        return _cut_tree(rows, tree, n, n_clusters, id)
+    if n > max_points and not approximate:
         raise ValueError(f"{n} rows exceed max_points={max_points}; pass approximate=True "
                          "to cluster k-means micro-clusters instead")
-    if exact:
-        rows = pts.orderBy(id).collect()            # bounded by max_points
-        keys = [r[id] for r in rows]
-        X = np.array([[r[c] for c in features] for r in rows], dtype=float)
-        w = np.ones(len(rows))
-        point_of = None
+    return _chained(rows, len(features), n_clusters, linkage, METRICS[metric], metric == "cosine",
+                    max_points if n > max_points else None, seed, id)
+
+
+def _chained(rows: DataFrame, width: int, n_clusters: int, linkage: str, p: float, squared: bool,
+             micro: int | None, seed: int, id: str) -> HierarchyResult:
+    """Merges by the nearest-neighbour chain over rows, or over ``micro`` k-means clusters of them."""
+    spark: SparkSession = rows.sparkSession
+    if micro is None:
+        held = rows.orderBy("id").collect()            # at most max_points
+        keys, X = [r["id"] for r in held], np.array([r["x"] for r in held], dtype=float)
+        w, point_of = np.ones(len(held)), rows.select("id", F.col("id").alias("_p"))
     else:
         from . import kmeans as km
-        model = km.kmeans(pts, features, max_points, id, n_init=1, seed=seed, max_iter=20)
-        a = cut_lineage(model.assign(pts, id))
-        wt = {r["cluster"]: r["n"] for r in
-              a.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()}
-        keys = sorted(wt)
-        X = model.centers[keys]
-        w = np.array([wt[k] for k in keys], dtype=float)
-        point_of = a.select(id, F.col("cluster").alias("_p"))
-    merges = nn_chain(X, w, linkage)
-    lab = cut(merges, len(X), n_clusters)
-    pmap = spark.createDataFrame([(k, int(l)) for k, l in zip(keys, lab)],
-                                 f"_p {df.schema[id].dataType.simpleString() if exact else 'int'},"
-                                 f" _root long")
-    if exact:
-        lab_df = pts.select(id).join(maybe_broadcast(pmap, len(keys)),
-                                     F.col(id) == F.col("_p")).select(id, "_root")
-    else:
-        lab_df = point_of.join(maybe_broadcast(pmap, len(keys)), "_p").select(id, "_root")
-    # number clusters by smallest member id
-    first = lab_df.groupBy("_root").agg(F.min(id).alias("_m"))
-    from pyspark.sql import Window
-    num = first.withColumn("cluster", (F.row_number().over(Window.orderBy("_m")) - 1)
-                           .cast("int"))               # n_clusters rows
-    labels = lab_df.join(F.broadcast(num.select("_root", "cluster")), "_root").select(
-        id, "cluster")
-    order = np.argsort(merges[:, 2], kind="stable")
-    mrows = [(i + 1, float(merges[j, 2]), float(merges[j, 3])) for i, j in enumerate(order)]
-    mdf = spark.createDataFrame(mrows, "step int, height double, size double")
-    pts.unpersist()
-    return HierarchyResult(labels, mdf, exact)
+        names = [f"x{j}" for j in range(width)]
+        flat = rows.select("id", *[F.col("x")[j].alias(c) for j, c in enumerate(names)])
+        model = km.kmeans(flat, names, micro, "id", n_init=1, seed=seed, max_iter=20)
+        a = cut_lineage(model.assign(flat, "id"))
+        weight = {r["cluster"]: r["n"] for r in a.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()}
+        keys = sorted(weight)
+        X, w = model.centers[keys], np.array([weight[k] for k in keys], dtype=float)
+        point_of = a.select("id", F.col("cluster").alias("_p"))
+    merges = nn_chain(X, w, linkage, p, squared)
+    kind = point_of.schema["_p"].dataType.simpleString()
+    roots = spark.createDataFrame([(k, int(r)) for k, r in zip(keys, cut(merges, len(X), n_clusters))],
+                                  f"_k {kind}, _root long")
+    labels = point_of.join(maybe_broadcast(roots, len(keys)), F.col("_p") == F.col("_k")).select("id", "_root")
+    first = labels.groupBy("_root").agg(F.min("id").alias("root")).withColumnRenamed("_root", "_r")
+    labels = labels.join(first, F.col("_root") == F.col("_r")).select("id", "root")
+    heights = spark.createDataFrame([(i + 1, float(h)) for i, h in enumerate(sorted(merges[:, 2]))],
+                                    "step int, height double")
+    return HierarchyResult(_numbered(labels, id), heights, micro is None)

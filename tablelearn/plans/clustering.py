@@ -166,6 +166,43 @@ def dbscan_summary(spark, sf):
 # ---- hierarchical (K8, K9) --------------------------------------------------------
 from ..operators import hierarchy as hc  # noqa: E402
 
+# Prim's algorithm: each step takes the point nearest to the tree; the row of a point keeps its nearest tree point
+_PRIM = f"""WITH RECURSIVE learn AS {S.LEARN},
+grown(it, vec_id, x0, x1, done, best, via, taken) AS (
+  SELECT 0, l.vec_id, l.x0, l.x1, l.vec_id = f.vec_id,
+         sqrt((l.x0 - f.x0) * (l.x0 - f.x0) + (l.x1 - f.x1) * (l.x1 - f.x1)), f.vec_id,
+         struct_pack(d := CAST(NULL AS DOUBLE), v := CAST(NULL AS BIGINT), w := CAST(NULL AS BIGINT),
+                     x0 := CAST(NULL AS DOUBLE), x1 := CAST(NULL AS DOUBLE))
+  FROM learn l, (SELECT * FROM learn ORDER BY vec_id LIMIT 1) f
+  UNION ALL
+  SELECT it + 1, vec_id, x0, x1, done OR vec_id = t.v,
+         least(best, sqrt((x0 - t.x0) * (x0 - t.x0) + (x1 - t.x1) * (x1 - t.x1))),
+         CASE WHEN sqrt((x0 - t.x0) * (x0 - t.x0) + (x1 - t.x1) * (x1 - t.x1)) < best THEN t.v ELSE via END, t
+  FROM (SELECT *, min(CASE WHEN NOT done THEN struct_pack(d := best, v := vec_id, w := via, x0 := x0, x1 := x1) END)
+               OVER () AS t FROM grown) WHERE t IS NOT NULL),
+edges AS (SELECT DISTINCT taken.d AS d, taken.v AS a, taken.w AS b FROM grown WHERE it > 0),
+ranked AS (SELECT *, row_number() OVER (ORDER BY d, least(a, b), greatest(a, b)) AS step FROM edges)"""
+
+_SINGLE = _PRIM + """,
+kept AS (SELECT a, b FROM ranked WHERE step < (SELECT max(step) FROM ranked)),
+both_ways AS (SELECT a, b FROM kept UNION ALL SELECT b, a FROM kept),
+reach(u, m) AS (SELECT vec_id, vec_id FROM learn UNION
+                SELECT w.b, r.m FROM reach r JOIN both_ways w ON w.a = r.u WHERE w.b > r.m)
+SELECT u AS vec_id, CAST(dense_rank() OVER (ORDER BY min(m)) - 1 AS INTEGER) AS cluster FROM reach GROUP BY u"""
+
+# one merge a step, the least by ward distance and ends
+_WARD = f"""WITH RECURSIVE learn AS {S.LEARN},
+part(it, vec_id, cid, x0, x1, h, left_over) AS (
+  SELECT 0, vec_id, vec_id, x0, x1, CAST(NULL AS DOUBLE), (SELECT count(*) FROM learn) FROM learn
+  UNION ALL
+  SELECT p.it + 1, p.vec_id, CASE WHEN p.cid = m.s.b THEN m.s.a ELSE p.cid END, p.x0, p.x1, m.s.d, p.left_over - 1
+  FROM part p, (
+    SELECT min(struct_pack(d := sqrt(2.0 * a.n * b.n / (a.n + b.n) * ((a.x0 - b.x0) * (a.x0 - b.x0)
+                                     + (a.x1 - b.x1) * (a.x1 - b.x1))), a := a.cid, b := b.cid)) AS s
+    FROM (SELECT cid, count(*) AS n, avg(x0) AS x0, avg(x1) AS x1 FROM part GROUP BY cid) a
+    JOIN (SELECT cid, count(*) AS n, avg(x0) AS x0, avg(x1) AS x1 FROM part GROUP BY cid) b ON a.cid < b.cid) m
+  WHERE p.left_over > {{left}})"""
+
 
 def _hier(linkage):
     def run(spark, sf):
@@ -174,15 +211,26 @@ def _hier(linkage):
     return run
 
 
+_HIER_SQL = {"single": _SINGLE, "ward": _WARD.format(left=2) + """
+SELECT vec_id, CAST(dense_rank() OVER (ORDER BY cid) - 1 AS INTEGER) AS cluster FROM part WHERE left_over = 2"""}
 for _l in hc.LINKAGES:
-    query(f"hierarchical_{_l}")(_hier(_l))
+    query(f"hierarchical_{_l}", _HIER_SQL.get(_l))(_hier(_l))
+
+
+def _lowest(linkage, n=20):
+    def run(spark, sf):
+        r = hc.hierarchical(tb.f_learn(spark, sf), ["x0", "x1"], 2, linkage, "vec_id")
+        return rounded(r.merges.where(F.col("step") <= n))
+    return run
+
 
+query("merge_distances", _WARD.format(left=1) + """
+SELECT CAST(step AS INTEGER) AS step, round(h, 6) AS height FROM (
+  SELECT h, row_number() OVER (ORDER BY h) AS step FROM (SELECT DISTINCT it, h FROM part WHERE it > 0))
+WHERE step <= 20""")(_lowest("ward"))
 
-@query("merge_distances")
-def merge_distances(spark, sf):
-    """The 20 lowest merge heights of the ward tree."""
-    r = hc.hierarchical(tb.f_learn(spark, sf), ["x0", "x1"], 2, "ward", "vec_id")
-    return rounded(r.merges.where(F.col("step") <= 20))
+query("merge_distances_single", _PRIM + """
+SELECT CAST(step AS INTEGER) AS step, round(d, 6) AS height FROM ranked WHERE step <= 20""")(_lowest("single"))
 
 
 # ---- t-SNE (K11, K12) ----------------------------------------------------------------

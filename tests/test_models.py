@@ -226,8 +226,8 @@ def test_hierarchy_matches_sequential_merging(spark):
         assert {x.id: x.cluster for x in r.labels.collect()} == labels
         assert [x.height for x in r.merges.orderBy("step").collect()] == pytest.approx(sorted(heights))
     with pytest.raises(ValueError, match="max_points"):
-        hierarchy.hierarchical(xy_frame(spark, X), ["x0", "x1"], 3, max_points=10)
-    rough = hierarchy.hierarchical(xy_frame(spark, X), ["x0", "x1"], 3, max_points=10, approximate=True)
+        hierarchy.hierarchical(xy_frame(spark, X), ["x0", "x1"], 3, "complete", max_points=10)
+    rough = hierarchy.hierarchical(xy_frame(spark, X), ["x0", "x1"], 3, "average", max_points=10, approximate=True)
     assert not rough.exact and rough.labels.count() == 25
 
 
