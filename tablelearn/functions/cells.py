@@ -165,9 +165,9 @@ def boxes(points: DataFrame, cells: int, width: int, extra: Sequence[str] = ())
 
 
 def fields(p: pa.StructArray) -> dict[str, np.ndarray]:
-    """The columns of a block; ``x`` as a matrix."""
+    """The columns of a block, ``x`` as a matrix; the block itself is under ``packed``."""
     return {f.name: matrix(p.field(i)) if f.name == "x" else p.field(i).to_numpy(zero_copy_only=False)
-            for i, f in enumerate(p.type)}
+            for i, f in enumerate(p.type)} | {"packed": p}
 
 
 def reach(blocks: DataFrame, box: Boxes, p: float, radius: Callable[[dict, np.ndarray], np.ndarray],
@@ -203,11 +203,12 @@ def reach(blocks: DataFrame, box: Boxes, p: float, radius: Callable[[dict, np.nd
     return blocks.select("cell", "p").mapInArrow(run, f"cell bigint, p {kind}")
 
 
-def compare(asking: DataFrame, held: DataFrame, fn: Callable[[dict, dict], list], schema: str) -> DataFrame:
-    """Rows of ``fn(points, others)`` for each block of ``asking`` with each block of ``held`` in its cell, written.
+def compare(asking: DataFrame, held: DataFrame, fn: Callable[[dict, dict], list],
+            schema: list[tuple[str, str]], write: bool = True) -> DataFrame:
+    """Rows of ``fn(points, others)`` for each block of ``asking`` with each block of ``held`` in its cell.
 
     ``asking`` and ``held`` have (cell, p); ``fn`` returns arrays, one for
-    each column of ``schema``.
+    each column of ``schema`` (names and types).
     """
     ship_package(asking.sparkSession)
     pairs = asking.select("cell", F.col("p").alias("q")).join(
@@ -222,17 +223,6 @@ def compare(asking: DataFrame, held: DataFrame, fn: Callable[[dict, dict], list]
                         [c if isinstance(c, pa.Array) else pa.array(c) for c in columns],
                         names=[f"_{j}" for j in range(len(columns))])
 
-    names = [part.split()[0] for part in _top_level(schema)]
-    kinds = ", ".join(f"_{j} {part.split(None, 1)[1]}" for j, part in enumerate(_top_level(schema)))
-    return cut_lineage(pairs.select("q", "r").mapInArrow(run, kinds).toDF(*names))
-
-
-def _top_level(schema: str) -> list[str]:
-    """A schema's columns, cut at the commas that are in no bracket."""
-    out, depth, last = [], 0, 0
-    for i, c in enumerate(schema):
-        depth += (c == "<") - (c == ">")
-        if c == "," and not depth:
-            out.append(schema[last:i].strip())
-            last = i + 1
-    return [*out, schema[last:].strip()]
+    kinds = ", ".join(f"_{j} {kind}" for j, (_, kind) in enumerate(schema))
+    out = pairs.select("q", "r").mapInArrow(run, kinds).toDF(*[name for name, _ in schema])
+    return cut_lineage(out) if write else out

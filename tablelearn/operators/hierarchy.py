@@ -199,7 +199,7 @@ def minimum_spanning_tree(rows: DataFrame, width: int, p: float = 2.0) -> DataFr
     """(a, b, d): the edges of a minimum spanning tree of rows (id, x), rows of equal place joined at 0."""
     points, zero = _distinct(rows)
     spark, kind = points.sparkSession, points.schema["id"].dataType.simpleString()
-    schema = f"comp {kind}, d double, lo {kind}, hi {kind}, other {kind}"
+    schema = [("comp", kind), ("d", "double"), ("lo", kind), ("hi", kind), ("other", kind)]
     found, left = cut_lineage(zero), points.count()
     splits = cells.learn_splits(points, left, width)
     points = cells.with_cell(points.select("id", "x", F.col("id").alias("comp")), splits, left)
@@ -272,7 +272,7 @@ def ward_merges(rows: DataFrame, width: int) -> DataFrame:
     now, zero = _distinct(rows)
     kind = rows.schema["id"].dataType.simpleString()
     found, turn, n = cut_lineage(zero.withColumn("round", F.lit(0))), 0, now.count()
-    schema = f"id {kind}, d double, lo {kind}, hi {kind}"
+    schema = [("id", kind), ("d", "double"), ("lo", kind), ("hi", kind)]
     while n > FINISH:
         turn += 1
         splits = cells.learn_splits(now, n, width)

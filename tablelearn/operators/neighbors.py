@@ -1,28 +1,33 @@
 """Exact k-nearest-neighbour search (Minkowski p) between two tables.
 
-Queries and references are hashed into blocks of at most ``block_rows``
-rows; every (query block, reference block) pair meets in one cogroup task
-that computes the block distance matrix in numpy and emits only each query's
-k best references (ties: rounded distance, then reference id).  A final
-window per query keeps the k best of its k * (reference blocks) candidates.
-No pair is ever a row, per-task memory is bounded by ``block_rows^2``, and
-key skew is irrelevant because blocks are by id hash.
+References are packed into cells (``functions.cells``).  Every query first
+meets the references of its own cell, which gives a bound for its kth
+distance, and then those of the cells whose box lies inside that bound; a
+window per query keeps the best.  In few dimensions a query meets a handful
+of cells, however many there are, so the work grows with the rows; in many
+dimensions bounds say little and it may meet all of them.
+
+References that share a place are cut to the k smallest ids, since no query
+needs more of them, so a place that holds a third of all rows costs no more
+than others.  Ties: rounded distance, then reference id.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..frame import as_double
+from ..functions import cells
 from ..functions.distance import minkowski
-from ..session import ship_package
+from ..session import cut_lineage, ship_package
 
+WIDE = 8             # coordinates from which blocks are compared by products first
+SLACK = 2e-9         # on distances: two that round alike differ by less
 DIGITS = 9   # distances are ranked after rounding (engine-independent ties)
 
 
@@ -51,52 +56,90 @@ def top_k_order(dr: np.ndarray, ids: np.ndarray, m: int) -> np.ndarray:
     return out
 
 
+def block_top_k(q: np.ndarray, r: np.ndarray, ids: np.ndarray, k: int, p: float) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest columns of each row, by (rounded distance, id), and their distances.
+
+    Wide euclidean blocks take their candidates from the product form, whose
+    rounding error has a bound; only rows for which that leaves doubt are
+    compared with every column.
+    """
+    m, spare = min(k, len(r)), min(len(r), 2 * k + 16)
+    if p != 2.0 or q.shape[1] < WIDE or spare == len(r):
+        d = minkowski(q, r, p)
+        order = top_k_order(np.round(d, DIGITS), ids, m)
+        return order, np.take_along_axis(d, order, axis=1)
+    middle = r.mean(axis=0)
+    a, b = q - middle, r - middle
+    aa, bb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    rough = aa[:, None] + bb[None, :] - 2 * (a @ b.T)
+    error = 4e-16 * (q.shape[1] + 8) * (aa + bb.max())
+    near = np.argpartition(rough, spare - 1, axis=1)[:, :spare]
+    edge = np.take_along_axis(rough, near, axis=1).max(axis=1) - error          # all others are as far, squared
+    gap = q[:, None, :] - r[near]
+    d = np.sqrt((gap * gap).sum(axis=2))
+    order = np.lexsort((ids[near], np.round(d, DIGITS)), axis=1)[:, :m]
+    d, order = np.take_along_axis(d, order, axis=1), np.take_along_axis(near, order, axis=1)
+    doubt = np.flatnonzero((d[:, -1] + SLACK) ** 2 >= edge)
+    for part in np.array_split(doubt, len(doubt) // 256 + 1):
+        full = minkowski(q[part], r, p)
+        best = top_k_order(np.round(full, DIGITS), ids, m)
+        order[part], d[part] = best, np.take_along_axis(full, best, axis=1)
+    return order, d
+
+
+def _points(df: DataFrame, features: Sequence[str], id: str, payload: Sequence[str] = ()) -> tuple[DataFrame, int]:
+    x = F.array(*[as_double(c) + F.lit(0.0) for c in features])
+    out = df.select(F.col(id).alias("id"), x.alias("x"), *[F.col(c).alias(f"y_{c}") for c in payload])
+    n, bad = out.agg(F.count(F.lit(1)), F.count(F.when(F.exists("x", lambda v: v.isNull()), 1))).first()
+    if bad:
+        raise ValueError(f"{bad} rows have a missing feature; impute or drop them first")
+    return out, n
+
+
 def knn(queries: DataFrame, refs: DataFrame, features: Sequence[str], k: int = 5,
-        p: float = 2.0, qid: str = "id", rid: str = "id", payload: Sequence[str] = (),
-        block_rows: int = 2048) -> DataFrame:
+        p: float = 2.0, qid: str = "id", rid: str = "id", payload: Sequence[str] = ()) -> DataFrame:
     """(q, r, dist, rank, payload...): the k nearest references of each query
-    (rank 1 = nearest)."""
+    (rank 1 = nearest).  Missing features are an error."""
     ship_package(queries.sparkSession)
-    features = list(features)
-    nf = len(features)
-    q = queries.select(F.col(qid).alias("_q"),
-                       *[as_double(c).alias(f"_x{j}") for j, c in enumerate(features)])
-    r = refs.select(F.col(rid).alias("_r"),
-                    *[as_double(c).alias(f"_x{j}") for j, c in enumerate(features)],
-                    *[F.col(c).alias(c) for c in payload])
-    nq, nr = q.count(), r.count()
-    bq, br = max(1, math.ceil(nq / block_rows)), max(1, math.ceil(nr / block_rows))
-    qs = q.select("*", F.pmod(F.xxhash64("_q"), F.lit(bq)).cast("int").alias("_bq"),
-                  F.explode(F.sequence(F.lit(0), F.lit(br - 1))).alias("_br"))
-    rs = r.select("*", F.pmod(F.xxhash64("_r"), F.lit(br)).cast("int").alias("_br"),
-                  F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("_bq"))
-    pay_fields = [refs.schema[c] for c in payload]
-    schema = T.StructType([T.StructField("q", queries.schema[qid].dataType),
-                           T.StructField("r", refs.schema[rid].dataType),
-                           T.StructField("dist", T.DoubleType()), *pay_fields])
-    feats = [f"_x{j}" for j in range(nf)]
-    pay = list(payload)
-    kk = int(k)
-
-    def block(left, right):
-        import pandas as pd
-        if left.empty or right.empty:
-            return pd.DataFrame({c.name: [] for c in schema.fields})
-        d = minkowski(left[feats].to_numpy(float), right[feats].to_numpy(float), float(p))
-        dr = np.round(d, DIGITS)
-        rids = right["_r"].to_numpy()
-        m = min(kk, d.shape[1])
-        order = top_k_order(dr, rids, m)
-        rows = np.repeat(np.arange(d.shape[0]), m)
-        cols = order.ravel()
-        out = pd.DataFrame({"q": left["_q"].to_numpy()[rows], "r": rids[cols],
-                            "dist": d[rows, cols]})
-        for c in pay:
-            out[c] = right[c].to_numpy()[cols]
-        return out
-
-    cand = (qs.groupBy("_bq", "_br").cogroup(rs.groupBy("_bq", "_br"))
-            .applyInPandas(block, schema))
+    features, payload, k, p = list(features), list(payload), int(k), float(p)
+    q, nq = _points(queries, features, qid)
+    r, nr = _points(refs, features, rid, payload)
+    schema = [("q", q.schema["id"].dataType.simpleString()), ("r", r.schema["id"].dataType.simpleString()),
+              ("dist", "double"), *[(c, r.schema[f"y_{c}"].dataType.simpleString()) for c in payload]]
+
+    def nearest(a: dict, b: dict) -> list:
+        order, d = block_top_k(a["x"], b["x"], b["id"], k, p)
+        rows, cols = pa.array(np.repeat(np.arange(len(d)), d.shape[1])), pa.array(order.ravel())
+        asking, held = a["packed"], b["packed"]
+        return [asking.field("id").take(rows), held.field("id").take(cols), d.ravel(),
+                *[held.field(f"y_{c}").take(cols) for c in payload]]
+
+    splits = cells.learn_splits(r, nr, len(features))
+    if splits.depth:                # of references in one place only k can be anyone's nearest
+        again = F.row_number().over(Window.partitionBy("x").orderBy("id"))
+        r = r.withColumn("_again", again).where(F.col("_again") <= k).drop("_again")
+    r, q = cells.with_cell(r, splits, nr), cells.with_cell(q, splits, nq)
+    held, asking = cells.pack(r), cells.pack(q)
+    if not splits.depth:
+        found = cells.compare(asking, held, nearest, schema, write=False)
+    else:
+        held = cut_lineage(held)
+        found = cells.compare(asking, held, nearest, schema)
+        box = cells.boxes(r, 1 << splits.depth, len(features))
+        full = np.flatnonzero(box.count >= k)
+        bound = found.groupBy(F.col("q").alias("i")).agg(F.sort_array(F.collect_list("dist")).alias("d")).select(
+            "i", F.get("d", F.lit(k - 1)).alias("radius"))
+
+        def radius(a: dict, own: int) -> np.ndarray:
+            """The kth distance so far; where fewer were found, one that reaches k references for certain."""
+            known, x = a["radius"].astype(float), a["x"]
+            bare = np.flatnonzero(np.isnan(known))
+            for part in np.array_split(bare, len(bare) * len(full) // (1 << 22) + 1):
+                if len(part):
+                    known[part] = box.span(x[part], x[part], p, full).min(axis=1) if len(full) else np.inf
+            return known + SLACK
+
+        wanting = cells.pack(q.join(bound, F.col("id") == F.col("i"), "left").drop("i"))
+        found = found.union(cells.compare(cells.reach(wanting, box, p, radius), held, nearest, schema))
     w = Window.partitionBy("q").orderBy(F.round("dist", DIGITS), F.col("r"))
-    return (cand.withColumn("rank", F.row_number().over(w))
-            .where(F.col("rank") <= kk))
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -67,6 +67,31 @@ query("knn_minkowski", _knn_sql(p=3))(_knn(p=3.0))
 query("knn_train_predictions", _knn_sql(train_as_test=True))(_knn(train_as_test=True))
 
 
+_CLASSES = range(10)
+
+
+@query("knn_uniform_64", f"""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+sp AS {S.stratified_split('e', 'vec_id', 'label')},
+nb AS (SELECT * FROM (
+  SELECT t.vec_id AS q, r.label AS lab,
+         row_number() OVER (PARTITION BY t.vec_id ORDER BY round(list_distance(t.x, r.x), 9), r.vec_id) AS rk
+  FROM e t JOIN sp st ON st.vec_id = t.vec_id AND st.split = 'test',
+       e r JOIN sp sr ON sr.vec_id = r.vec_id AND sr.split = 'train') WHERE rk <= 5),
+v AS (SELECT q, lab, count(*) AS n FROM nb GROUP BY q, lab),
+best AS (SELECT q, min(struct_pack(n := -n, lab := lab)).lab AS prediction,
+                {', '.join(f"round(sum(CASE WHEN lab = {c} THEN n ELSE 0 END) / 5.0, 6) AS p_{c}" for c in _CLASSES)}
+         FROM v GROUP BY q)
+SELECT q AS vec_id, CAST(e.label AS INTEGER) AS label, CAST(prediction AS INTEGER) AS prediction,
+       {', '.join(f'p_{c}' for c in _CLASSES)}
+FROM best JOIN e ON e.vec_id = q""")
+def knn_uniform_64(spark, sf):
+    """All 64 dimensions, ten classes."""
+    df = tb.f_emb(spark, sf)
+    sp = cut_lineage(spl.train_test_split(df, "vec_id", 0.2, 42, stratify="label"))
+    return rounded(kn.classify(sp.where("split = 'train'"), sp.where("split = 'test'"), tb.emb_features(), "label", 5,
+                               "uniform", 2.0, "vec_id", keep=["label"]))
+
+
 @query("impute_knn", f"""WITH f AS {_F_NULL},
 pr AS (SELECT q.p_partkey AS q, r.p_partkey AS r, r.p_size AS v0, r.p_retailprice AS v1,
               q.p_size IS NULL AS m0, q.p_retailprice IS NULL AS m1,
