@@ -56,9 +56,9 @@ class Splits:
         return node - ((1 << self.depth) - 1)
 
 
-def learn_splits(points: DataFrame, n: int, width: int) -> Splits:
-    """Splits for ``n`` points of ``width`` coordinates."""
-    depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(max(n, 1) / CELL_ROWS))))
+def learn_splits(points: DataFrame, n: int, width: int, rows: int | None = None) -> Splits:
+    """Splits for ``n`` points of ``width`` coordinates, about ``rows`` of them in a cell."""
+    depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(max(n, 1) / (rows or CELL_ROWS)))))
     while depth and (PER_CELL << depth) * width > SAMPLE_VALUES:
         depth -= 1
     if not depth:
@@ -84,9 +84,10 @@ def matrix(x: pa.ListArray) -> np.ndarray:
     return flat.reshape(len(x), -1) if len(x) else flat.reshape(0, 0)
 
 
-def with_cell(points: DataFrame, splits: Splits, n: int) -> DataFrame:
+def with_cell(points: DataFrame, splits: Splits, n: int, rows: int | None = None) -> DataFrame:
     """The ``n`` points with their ``cell`` and ``block``; written, if there is more than one block."""
-    if not splits.depth and n <= 2 * CELL_ROWS:
+    most = 2 * (rows or CELL_ROWS)                # of a block
+    if not splits.depth and n <= most:
         return points.withColumns({"cell": F.lit(0).cast("bigint"), "block": F.lit(0).cast("bigint")})
     if splits.depth:
         ship_package(points.sparkSession)
@@ -100,7 +101,7 @@ def with_cell(points: DataFrame, splits: Splits, n: int) -> DataFrame:
         points = cut_lineage(points.mapInArrow(run, schema))
     else:
         points = points.withColumn("cell", F.lit(0).cast("bigint"))
-    counts = [(r["cell"], math.ceil(r["count"] / (2 * CELL_ROWS)))
+    counts = [(r["cell"], math.ceil(r["count"] / most))
               for r in points.groupBy("cell").count().collect()]              # a row per cell
     crowded = [c for c in counts if c[1] > 1]
     block = F.lit(0).cast("bigint")

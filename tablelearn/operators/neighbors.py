@@ -97,9 +97,11 @@ def _points(df: DataFrame, features: Sequence[str], id: str, payload: Sequence[s
 
 
 def knn(queries: DataFrame, refs: DataFrame, features: Sequence[str], k: int = 5,
-        p: float = 2.0, qid: str = "id", rid: str = "id", payload: Sequence[str] = ()) -> DataFrame:
+        p: float = 2.0, qid: str = "id", rid: str = "id", payload: Sequence[str] = (),
+        block_rows: int | None = None) -> DataFrame:
     """(q, r, dist, rank, payload...): the k nearest references of each query
-    (rank 1 = nearest).  Missing features are an error."""
+    (rank 1 = nearest).  Missing features are an error; ``block_rows`` is about
+    how many rows a cell holds."""
     ship_package(queries.sparkSession)
     features, payload, k, p = list(features), list(payload), int(k), float(p)
     q, nq = _points(queries, features, qid)
@@ -114,11 +116,11 @@ def knn(queries: DataFrame, refs: DataFrame, features: Sequence[str], k: int = 5
         return [asking.field("id").take(rows), held.field("id").take(cols), d.ravel(),
                 *[held.field(f"y_{c}").take(cols) for c in payload]]
 
-    splits = cells.learn_splits(r, nr, len(features))
+    splits = cells.learn_splits(r, nr, len(features), block_rows)
     if splits.depth:                # of references in one place only k can be anyone's nearest
         again = F.row_number().over(Window.partitionBy("x").orderBy("id"))
         r = r.withColumn("_again", again).where(F.col("_again") <= k).drop("_again")
-    r, q = cells.with_cell(r, splits, nr), cells.with_cell(q, splits, nq)
+    r, q = cells.with_cell(r, splits, nr, block_rows), cells.with_cell(q, splits, nq, block_rows)
     held, asking = cells.pack(r), cells.pack(q)
     if not splits.depth:
         found = cells.compare(asking, held, nearest, schema, write=False)

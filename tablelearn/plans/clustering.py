@@ -163,6 +163,22 @@ def dbscan_summary(spark, sf):
     return rounded(db.summary(_dbscan(spark, sf)))
 
 
+@query("dbscan_silhouette", _DBSCAN + """,
+inside AS (SELECT l.vec_id, l.x0, l.x1, lab.cluster AS c FROM learn l JOIN lab USING (vec_id) WHERE cluster >= 0),
+sz AS (SELECT c, count(*) AS n FROM inside GROUP BY c),
+pd AS (SELECT a.vec_id, a.c AS own, b.c, sum(sqrt((a.x0 - b.x0) * (a.x0 - b.x0)
+                                                  + (a.x1 - b.x1) * (a.x1 - b.x1))) AS s
+       FROM inside a, inside b GROUP BY a.vec_id, a.c, b.c),
+per AS (SELECT pd.vec_id, max(CASE WHEN pd.c = own AND n > 1 THEN s / (n - 1) END) AS a,
+               max(CASE WHEN pd.c = own THEN n END) AS nown, min(CASE WHEN pd.c <> own THEN s / n END) AS b
+        FROM pd JOIN sz ON pd.c = sz.c GROUP BY pd.vec_id)
+SELECT round(avg(coalesce(CASE WHEN nown <= 1 THEN 0.0 ELSE (b - a) / greatest(a, b) END, 0.0)), 6) AS silhouette,
+       CAST(count(*) AS BIGINT) AS n FROM per""")
+def dbscan_silhouette(spark, sf):
+    df = tb.f_learn(spark, sf)
+    return rounded(db.silhouette(df, _dbscan(spark, sf), ["x0", "x1"], "vec_id"))
+
+
 # ---- hierarchical (K8, K9) --------------------------------------------------------
 from ..operators import hierarchy as hc  # noqa: E402
 
