@@ -28,12 +28,14 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..frame import as_double, check_columns, check_numeric
 from ..functions.exprs import num, qcol, sql_sum
 from ..session import ship_package
 
 KERNELS = ("linear", "poly", "rbf", "sigmoid")
+TASK_ROWS = 20_000       # mapped rows of a task, about
 
 
 @dataclass
@@ -59,27 +61,35 @@ class FeatureMap:
             return out
         raise ValueError("rbf / sigmoid maps are computed per Arrow batch (transform)")
 
-    def transform(self, df: DataFrame, keep: Sequence[str]) -> tuple[DataFrame, list[str]]:
-        xs = df.select(*[F.col(k) for k in keep],
-                       *[as_double(c).alias(f"_x{j}") for j, c in enumerate(self.features)])
+    def rows(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+        return df.select(*[F.col(k) for k in keep],
+                         *[as_double(c).alias(f"_x{j}") for j, c in enumerate(self.features)])
+
+    def transform(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+        """(keep..., _phi array<double>): the mapped rows."""
+        xs = self.rows(df, keep)
+        if self.kernel in ("linear", "poly"):
+            return xs.select(*[F.col(k) for k in keep], F.array(*self.columns()).alias("_phi"))
+        return self._arrow_map(xs, keep, [("_phi", T.ArrayType(T.DoubleType()))], lambda z: [list(z)])
+
+    def margins(self, df: DataFrame, keep: Sequence[str], planes: Sequence[tuple]) -> DataFrame:
+        """(keep..., _f0, _f1, ...): the value of each plane (w, intercept) at each row."""
+        xs, names = self.rows(df, keep), [f"_f{i}" for i in range(len(planes))]
         if self.kernel in ("linear", "poly"):
-            cols = self.columns()
-            names = [f"_phi{i}" for i in range(len(cols))]
-            return xs.select(*[F.col(k) for k in keep],
-                             *[c.alias(n) for c, n in zip(cols, names)]), names
-        return self._arrow_map(xs, keep)
-
-    def _arrow_map(self, xs: DataFrame, keep):
-        """rbf / sigmoid maps: a dense matrix product per Arrow batch."""
+            cols = [f"_phi{i}" for i in range(len(planes[0][0]))]
+            phi = xs.select(*[F.col(k) for k in keep], *[c.alias(n) for c, n in zip(self.columns(), cols)])
+            return phi.select(*[F.col(k) for k in keep], *[
+                F.expr(sql_sum([num(b)] + [f"({c} * {num(v)})" for c, v in zip(cols, w) if v != 0.0])).alias(n)
+                for n, (w, b) in zip(names, planes)])
+        W, b = np.stack([w for w, _ in planes], axis=1), np.array([b for _, b in planes])
+        return self._arrow_map(xs, keep, [(n, T.DoubleType()) for n in names], lambda z: list((z @ W + b).T))
+
+    def _arrow_map(self, xs: DataFrame, keep: Sequence[str], out: list, made) -> DataFrame:
+        """rbf / sigmoid: a dense matrix product per Arrow batch; ``made`` gives the columns ``out`` from it."""
         ship_package(xs.sparkSession)
-        from pyspark.sql.types import DoubleType, StructField, StructType
-        kernel, W, b, T, g = self.kernel, self.W, self.b, self.T, self.gamma
-        width = len(b) if kernel == "rbf" else T.shape[1]
-        names = [f"_phi{i}" for i in range(width)]
-        xcols = [f"_x{j}" for j in range(len(self.features))]
-        schema = StructType([xs.schema[k] for k in keep]
-                            + [StructField(n, DoubleType()) for n in names])
-        keep = list(keep)
+        kernel, W, b, whiten, g = self.kernel, self.W, self.b, self.T, self.gamma
+        xcols, keep = [f"_x{j}" for j in range(len(self.features))], list(keep)
+        schema = T.StructType([xs.schema[k] for k in keep] + [T.StructField(n, t) for n, t in out])
 
         def fmap(batches):
             import pandas as pd
@@ -88,10 +98,10 @@ class FeatureMap:
                 if kernel == "rbf":
                     z = np.sqrt(2.0 / len(b)) * np.cos(x @ W.T + b)
                 else:
-                    z = np.tanh(g * (x @ W.T)) @ T
-                out = pd.DataFrame(z, columns=names, index=pdf.index)
-                yield pd.concat([pdf[keep], out], axis=1)
-        return xs.mapInPandas(fmap, schema), names
+                    z = np.tanh(g * (x @ W.T)) @ whiten
+                new = pd.DataFrame(dict(zip([n for n, _ in out], made(z))), index=pdf.index)
+                yield pd.concat([pdf[keep], new], axis=1)
+        return xs.mapInPandas(fmap, schema)
 
 
 def _gamma(df, features, gamma):
@@ -153,13 +163,7 @@ class SVMModel:
     platt: list | None = None       # (A, B) of each pair, for probabilities
 
     def decision(self, df: DataFrame, id: str, keep: Sequence[str]) -> DataFrame:
-        phi, names = self.fmap.transform(df, [id, *keep])
-        cols = []
-        for i, (_, _, w, b0) in enumerate(self.pairs):
-            cols.append(F.expr(sql_sum([num(b0)] + [f"({n} * {num(v)})"
-                                                    for n, v in zip(names, w) if v != 0.0]))
-                        .alias(f"_f{i}"))
-        return phi.select(F.col(id), *[F.col(k) for k in keep], *cols)
+        return self.fmap.margins(df, [id, *keep], [(w, b) for _, _, w, b in self.pairs])
 
     def predict(self, df: DataFrame, id: str = "id", keep: Sequence[str] = (),
                 proba: bool = True) -> DataFrame:
@@ -202,10 +206,10 @@ class SVMModel:
         return t.select(*base, *out)
 
 
-def _fit_binary(data: DataFrame, names: list[str], C: float, n: int, max_iter: int):
+def _fit_binary(data: DataFrame, C: float, n: int, max_iter: int):
     from pyspark.ml.classification import LinearSVC
-    from pyspark.ml.feature import VectorAssembler
-    va = VectorAssembler(inputCols=names, outputCol="_features").transform(data)
+    from pyspark.ml.functions import array_to_vector
+    va = data.select("_y", array_to_vector("_phi").alias("_features"))
     m = LinearSVC(featuresCol="_features", labelCol="_y", regParam=1.0 / (C * n),
                   standardization=False, maxIter=max_iter, tol=1e-6).fit(va)
     return m.coefficients.toArray(), float(m.intercept)
@@ -222,14 +226,15 @@ def fit(df: DataFrame, features: Sequence[str], label: str, C: float = 1.0,
     if len(classes) < 2:
         raise ValueError("SVM needs at least two classes")
     fmap = build_map(df, features, kernel, gamma, degree, n_components, seed, id)
-    phi, names = fmap.transform(df, [id, label])
-    phi = phi.persist()
+    phi = fmap.transform(df, [id, label])
+    # every step of the optimiser is a job over these rows: no more tasks than the rows are worth
+    phi = phi.coalesce(df.count() // TASK_ROWS + 1).persist()
     def one(ab):
         a, b = ab
         sub = phi.where(F.col(label).isin(a, b)).withColumn(
             "_y", F.when(F.col(label) == F.lit(b), 1.0).otherwise(0.0))
         n = sub.count()
-        w, b0 = _fit_binary(sub, names, C, n, max_iter)
+        w, b0 = _fit_binary(sub, C, n, max_iter)
         return (a, b, w, b0)
     from concurrent.futures import ThreadPoolExecutor
     with ThreadPoolExecutor(4) as ex:   # one-vs-one fits are independent jobs
