@@ -97,7 +97,7 @@ def base_spans(text: str) -> list[Span]:
     """The spans of the base kinds, by kind and start."""
     out = emails(text) if "@" in text else []
     out += [("ip", *m.span()) for m in IP.finditer(text)
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+            if all(len(d) <= 3 and int(d or "0") <= 255 for d in (p.lstrip("0") for p in m[0].split(".")))]
     for m in CARD.finditer(text):
         if 16 <= m.end() - m.start() <= 40:
             digits = m[0].replace(" ", "").replace("-", "")

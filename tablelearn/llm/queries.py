@@ -31,13 +31,7 @@ def query(name: str, sql: str | None = None):
 
 def token_digests(docs: DataFrame, model_path: str = PIECE_MODEL) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of documents."""
-    encoded = spm.encode(docs.select("doc_id", "text"), model_path)
-    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
-    digests = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                             F.sha2(ids, 256).alias("ids_sha256"), "ids")
-    decoded = spm.decode(digests, model_path)
-    return decoded.select("doc_id", "n_tokens", "ids_sha256",
-                          F.sha2("decoded", 256).alias("decoded_sha256"))
+    return spm.digests(docs, model_path)
 
 
 @query("op7_sentencepiece")

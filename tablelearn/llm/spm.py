@@ -22,6 +22,7 @@ names; an empty table gives an empty table.
 from __future__ import annotations
 
 import functools
+import hashlib
 import re
 import struct
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import map_batches, need, pieces_of
+from .common import map_batches, need, pieces_of, take
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -437,3 +438,27 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "decode
         return [columns[i] for i in keep] + [pa.array(texts, pa.string())]
 
     return map_batches(df, one, [df.dtypes[i] for i in keep] + [(text, "string")])
+
+
+def digests(df: DataFrame, model_path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, n_tokens, ids_sha256 (of the decimal ids, comma-joined) and decoded_sha256 of each row's text.
+
+    Encodes, decodes and hashes in one pass, chunk by chunk, so that neither
+    ids nor decoded texts leave the worker.  Columns are found by exact name.
+    """
+    rows = take(df, id=id, text=text)
+    handle = _Handle(df.sparkSession, model_path)
+
+    def one(columns: list[pa.Array]) -> list[pa.Array]:
+        model, texts, out = handle.model(), columns[1].cast(pa.string()), [[], [], []]
+        for lo, hi in pieces_of(texts, CHUNK_CHARS):
+            ids, counts = model.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])
+            edges = np.append(0, np.cumsum(counts)).tolist()
+            shown = list(map(str, ids.tolist()))
+            out[0] += counts.tolist()
+            out[1] += [hashlib.sha256(",".join(shown[a:b]).encode()).hexdigest() for a, b in zip(edges, edges[1:])]
+            out[2] += [hashlib.sha256(t.encode()).hexdigest() for t in model.decode(ids, counts)]
+        return [columns[0], pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
+
+    return map_batches(rows, one, [(id, rows.dtypes[0][1]), ("n_tokens", "bigint"), ("ids_sha256", "string"),
+                                   ("decoded_sha256", "string")], done=lambda: handle.model().forget())

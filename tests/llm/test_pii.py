@@ -47,6 +47,12 @@ def test_no_quadratic_scan():
         pii.find(t)
 
 
+def test_parts_with_many_zeros():
+    for t in ("1.2.3." + "0" * 5000 + "4", "0" * 5000 + ".0.0.0"):
+        assert pii.base_spans(t)[0] == ("ip", 0, len(t))
+    assert pii.base_spans("1.2.3." + "0" * 5000 + "256") == []
+
+
 def test_added_kinds_and_scores():
     t = "Bank IBAN DE89 3704 0044 0532 0130 00 and DE88370400440532013000. Call 555-123-4567; part 555-123-4567x"
     kinds = [(k, t[a:b]) for k, a, b, _ in pii.find(t)]
