@@ -17,8 +17,9 @@ texts' weighted shingle sets exactly and keeps pairs of ``THRESHOLD`` or more.
 Work is kept in proportion to the documents:
 
 * Equal texts are one node (grouped by digest), however many copies there are.
-* First each bucket's members are compared with its smallest node alone, and
-  linked ones are joined into components.
+* First each node is compared with the smallest node of all its buckets alone,
+  and linked ones are joined into components; then with its other buckets'
+  smallest nodes, where they are still in another component.
 * Then only members that are not in the component of their bucket's smallest
   node are compared with what shares a bucket with them and is in another
   component, where the bits don't rule it out.  A link within a component
@@ -229,21 +230,27 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text") -> Da
         return (pairs.join(v, "v").join(u, "u").where(_agreement("bu", "bv") >= least_agreement(THRESHOLD))
                 .select("u", "v"))
 
-    star = shared.where("node <> low").select(F.col("low").alias("u"), F.col("node").alias("v")).distinct()
-    links = scratch.write(_sure_links(possible(star), chosen))
-    parts = components(links, scratch)
-
-    part_of = lambda t, node, name: t.join(
+    part_of = lambda t, parts, node, name: t.join(
         parts.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(
         name, F.coalesce(name, node))
-    placed = scratch.write(part_of(part_of(shared, "node", "part"), "low", "low_part"))
+    star = scratch.write(shared.where("node <> low").select(F.col("low").alias("u"), F.col("node").alias("v"))
+                         .distinct())
+    near = scratch.write(_sure_links(possible(star.groupBy("v").agg(F.min("u").alias("u"))), chosen))
+    early = components(near, scratch)
+    rest = (part_of(part_of(star, early, "u", "pu"), early, "v", "pv").where("pu <> pv")
+            .join(star.groupBy("v").agg(F.min("u").alias("done")), "v").where("u <> done").select("u", "v"))
+    links = scratch.write(near.union(_sure_links(possible(rest), chosen)))
+    parts = components(links, scratch)
+    scratch.drop(star, near, early)
+
+    placed = scratch.write(part_of(part_of(shared, parts, "node", "part"), parts, "low", "low_part"))
     # only buckets with a member outside the component of their smallest node go on
     apart = placed.where("part <> low_part")
     signs = nodes.select("node", "bits", "bands")
     stray = apart.join(signs, "node").select(
         "band", "nth", F.col("node").alias("u"), F.col("part").alias("pu"), F.col("bits").alias("bu"),
         F.col("bands").alias("ku"))
-    # the smallest node has been compared with all members of its bucket
+    # the smallest node has been compared with all members of its bucket, or shares their component
     other = (placed.join(apart.select("band").distinct(), "band", "left_semi").where("node <> low")
              .join(signs, "node")
              .select("band", F.col("node").alias("v"), F.col("part").alias("pv"), F.col("bits").alias("bv"),
