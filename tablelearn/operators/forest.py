@@ -1,91 +1,313 @@
-"""Random forests (classification / regression) on MLlib.
-
-``RandomForestClassifier`` / ``RandomForestRegressor`` train all trees in one
-distributed pass per level with Poisson(1) bootstrap weights and per-node
-feature subsets -- the same algorithm family as the reference (bagging +
-``max_features``), at cluster scale.  MLlib caps depth at 30; an unlimited
-depth request maps to 30.  ``max_bins`` defaults to the largest distinct count
-of a feature (capped) so small data gets exact thresholds.
+"""Random forests (classification: gini; regression: squared error), exact and without depth limit.
+
+A node is named by its tree and the turns from its root (``3``, ``3L``,
+``3LR``), and all randomness is a hash of such names:
+
+* tree t holds a row with weight Poisson(1), by ``md5(seed:t:id)``;
+* a node looks at the first ``max_features`` features in the order of
+  ``md5(seed:node:position)``; if none of them splits it, at the others one
+  by one in that order.
+
+All trees grow at once, on one frontier of (row, node).  While a node has more
+than ``LOCAL_ROWS`` rows, its level is a set of Spark aggregates over sorted
+distinct values (``tree._best_splits``).  A node of at most ``LOCAL_ROWS``
+rows is finished with all its descendants in one task, by the same rule in
+numpy; so a task's memory is bounded, a deep tree doesn't cost a round of jobs
+a level, and the place of the change doesn't show in the result (but for the
+rounding of sums in regression).
+
+Thresholds are midpoints between neighbouring distinct values.  Ties go to the
+smaller feature position, then the smaller threshold.  ``min_samples_*`` count
+rows of the bag, not weights.  Probabilities and predictions are means over
+the trees; ties between classes go to the first.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..frame import as_double, check_columns, check_numeric
+from ..functions.rank import maybe_broadcast
+from ..session import cut_lineage, ship_package
+from .tree import _best_splits, _impurity
+
+LOCAL_ROWS = 50_000
+PURE = 1e-12               # share of the weight below which a node's impurity counts as none
+# a bag's weight is the number of these that the first 32 bits of the row's hash reach
+POISSON = [math.ceil(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(12)]
+NODE_SCHEMA = ("node string, tree int, depth int, n bigint, weight double, stats array<double>, "
+               "feature_pos int, threshold double, gain double")
+
+
+def subset_size(max_features, p: int) -> int:
+    """Features that a node looks at first."""
+    name = str(max_features).strip().lower()
+    if name in ("sqrt", "auto"):
+        return max(1, int(math.sqrt(p)))
+    if name == "log2":
+        return max(1, int(math.log2(p)))
+    if name in ("all", "none"):
+        return p
+    size = float(name)
+    size = int(size * p) if "." in name and size <= 1 else int(size)
+    if not 0 < max(size, 1) <= p:
+        raise ValueError(f"max_features={max_features!r} needs 1 to {p} features")
+    return max(1, size)
+
+
+def feature_order(seed: int, node: str, p: int) -> list[int]:
+    return sorted(range(p), key=lambda j: (hashlib.md5(f"{seed}:{node}:{j}".encode()).hexdigest(), j))
+
+
+def _order_column(seed: int, p: int) -> Column:
+    """``feature_order`` of the column ``node``."""
+    named = F.array(*[F.struct(F.md5(F.concat(F.lit(f"{seed}:"), "node", F.lit(f":{j}"))).alias("h"),
+                               F.lit(j).alias("j")) for j in range(p)])
+    return F.transform(F.array_sort(named), lambda s: s["j"])
+
+
+def bag_weight(seed: int, tree: Column, id: Column) -> Column:
+    """How often a tree's bag holds a row."""
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), tree.cast("string"), id.cast("string"))), 1, 8),
+               16, 10).cast("bigint")
+    return sum((F.when(u >= t, 1.0).otherwise(0.0) for t in POISSON), F.lit(0.0))
+
+
+@dataclass(frozen=True)
+class _Rule:
+    """What decides a split; goes to the tasks."""
+    p: int
+    n_classes: int             # 0 for regression
+    first: int                 # features to look at before the others
+    max_depth: int | None
+    min_split: int
+    min_leaf: int
+    seed: int
 
-MAX_DEPTH = 30
-MAX_BINS_CAP = 1024
+    def stats(self, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+        if self.n_classes:
+            return np.bincount(y.astype(np.int64), w, self.n_classes)
+        return np.array([(w * y).sum()])
+
+    def split(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, node: str, depth: int):
+        """(position, threshold, gain) of a node's best split, None for a leaf."""
+        n, total = len(y), w.sum()
+        if n < max(self.min_split, 2 * self.min_leaf) or self.max_depth is not None and depth >= self.max_depth:
+            return None
+        if self.n_classes:
+            sums = np.zeros((n, self.n_classes))
+            sums[np.arange(n), y.astype(np.int64)] = w
+            impurity = lambda s, t: t - (s * s).sum(-1) / t
+            whole = impurity(sums.sum(0), total)
+        else:
+            off = y - (w * y).sum() / total            # from the node's mean: sums stay small
+            sums = (w * off)[:, None]
+            impurity = lambda s, t: -(s * s).sum(-1) / t
+            whole = impurity(sums.sum(0), total)
+            if (w * off * off).sum() <= PURE * total:
+                return None
+        if self.n_classes and whole <= PURE * total:
+            return None
+
+        def best_of(j: int):
+            at = np.argsort(x[:, j], kind="stable")
+            v = x[at, j]
+            gap = np.flatnonzero(v[:-1] < v[1:])
+            gap = gap[(gap + 1 >= self.min_leaf) & (n - gap - 1 >= self.min_leaf)]
+            if not len(gap):
+                return None
+            left, lw = np.cumsum(sums[at], 0)[gap], np.cumsum(w[at])[gap]
+            gain = whole - impurity(left, lw) - impurity(sums.sum(0) - left, total - lw)
+            k = int(np.argmax(gain))
+            low, high = v[gap[k]], v[gap[k] + 1]
+            mid = (low + high) / 2.0
+            return j, float(low if mid >= high else mid), float(gain[k])
+
+        order = feature_order(self.seed, node, self.p)
+        found = [b for b in map(best_of, sorted(order[:self.first])) if b]
+        if found:
+            return max(found, key=lambda b: b[2])       # the first of equals has the smallest position
+        return next(filter(None, map(best_of, order[self.first:])), None)
+
+    def finish(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """A node's rows to the table of the node and all its descendants."""
+        x = rows[[f"_f{j}" for j in range(self.p)]].to_numpy(np.float64)
+        y, w = rows["_y"].to_numpy(np.float64), rows["_w"].to_numpy(np.float64)
+        root, tree = rows["node"].iloc[0], int(rows["tree"].iloc[0])
+        out, todo = [], [(root, len(root.lstrip("0123456789")), np.arange(len(rows)))]
+        while todo:
+            node, depth, at = todo.pop()
+            got = self.split(x[at], y[at], w[at], node, depth)
+            out.append((node, tree, depth, len(at), w[at].sum(), self.stats(y[at], w[at]),
+                        *(got or (None, None, None))))
+            if got:
+                left = x[at, got[0]] <= got[1]
+                todo += [(node + "L", depth + 1, at[left]), (node + "R", depth + 1, at[~left])]
+        table = pd.DataFrame(out, columns=[c.split()[0] for c in NODE_SCHEMA.split(", ")])
+        return table.astype({"feature_pos": "Int32", "threshold": "float64", "gain": "float64"})
 
 
 @dataclass
 class ForestModel:
     features: list[str]
     classes: list | None
-    model: object
+    n_trees: int
+    nodes: DataFrame           # NODE_SCHEMA; stats are class weights, or the weighted sum of the label
 
-    def _assemble(self, df, id, keep):
-        from pyspark.ml.feature import VectorAssembler
-        base = df.select(F.col(id), *[F.col(k) for k in keep],
-                         *[as_double(c).alias(f"_x{j}") for j, c in enumerate(self.features)])
-        return VectorAssembler(inputCols=[f"_x{j}" for j in range(len(self.features))],
-                               outputCol="_features").transform(base)
+    def shape(self) -> DataFrame:
+        """(tree, depth, n_leaves, n_nodes), one row per tree."""
+        return self.nodes.groupBy("tree").agg(
+            F.max("depth").alias("depth"), F.count_if(F.col("feature_pos").isNull()).alias("n_leaves"),
+            F.count(F.lit(1)).alias("n_nodes"))
 
     def predict(self, df: DataFrame, id: str = "id", keep: Sequence[str] = ()) -> DataFrame:
-        from pyspark.ml.functions import vector_to_array
-        out = self.model.transform(self._assemble(df, id, keep))
+        """``id``, ``keep``, ``prediction`` and, of a classifier, ``p_<class>``: means over the trees."""
+        base = cut_lineage(df.select(F.col(id), *[F.col(k) for k in keep],
+                                     F.array(*[as_double(c) for c in self.features]).alias("_x"),
+                                     F.monotonically_increasing_id().alias("_row")))
+        cur = base.select("_row", "_x", F.explode(F.sequence(F.lit(0), F.lit(self.n_trees - 1))
+                                                  .cast("array<string>")).alias("node"))
+        n, depth = self.nodes.agg(F.count(F.lit(1)), F.max("depth")).first()
+        splits = maybe_broadcast(self.nodes.where("feature_pos is not null").select(
+            "node", "feature_pos", "threshold"), n)
+        for level in range(depth or 0):
+            turn = F.when(F.element_at("_x", F.col("feature_pos") + 1) <= F.col("threshold"), "L").otherwise("R")
+            cur = cur.join(splits, "node", "left").select(
+                "_row", "_x", F.when(F.col("feature_pos").isNull(), F.col("node"))
+                .otherwise(F.concat("node", turn)).alias("node"))
+            if level % 10 == 9:                         # a plan of bounded length
+                cur = cut_lineage(cur)
+        leaves = maybe_broadcast(self.nodes.where("feature_pos is null").select("node", "weight", "stats"), n)
+        width = len(self.classes) if self.classes is not None else 1
+        mean = (cur.join(leaves, "node").groupBy("_row")
+                .agg(*[F.avg(F.col("stats")[i] / F.col("weight")).alias(f"_p{i}") for i in range(width)]))
+        out = base.join(mean, "_row")
         cols = [F.col(id), *[F.col(k) for k in keep]]
         if self.classes is None:
-            return out.select(*cols, F.col("prediction"))
+            return out.select(*cols, F.col("_p0").alias("prediction"))
+        p = F.array(*[F.col(f"_p{i}") for i in range(width)])
         cls = F.array(*[F.lit(c) for c in self.classes])
-        prob = vector_to_array("probability")
-        return out.select(*cols, cls[F.col("prediction").cast("int")].alias("prediction"),
-                          *[prob[i].alias(f"p_{c}") for i, c in enumerate(self.classes)])
+        return out.select(*cols, F.element_at(cls, F.array_position(p, F.array_max(p)).cast("int")).alias("prediction"),
+                          *[F.col(f"_p{i}").alias(f"p_{c}") for i, c in enumerate(self.classes)])
 
     def importance(self, spark: SparkSession) -> DataFrame:
-        imp = self.model.featureImportances.toArray()
-        return spark.createDataFrame([(j, f, float(imp[j])) for j, f in enumerate(self.features)],
-                                     "pos int, feature string, importance double")
+        """(pos, feature, importance): a tree's shares of the gain, their mean over trees that split."""
+        feats = spark.createDataFrame(list(enumerate(self.features)), "pos int, feature string")
+        gain = self.nodes.where("feature_pos is not null").groupBy("tree", "feature_pos").agg(F.sum("gain").alias("g"))
+        whole = gain.groupBy("tree").agg(F.sum("g").alias("t")).where("t > 0")
+        share = (gain.join(whole, "tree").groupBy("feature_pos").agg(F.sum(F.col("g") / F.col("t")).alias("s")))
+        n = F.greatest(F.sum("s").over(_all()), F.lit(0.0))
+        return (feats.join(share, feats.pos == share.feature_pos, "left").na.fill({"s": 0.0})
+                .select("pos", "feature", F.when(n > 0, F.col("s") / n).otherwise(0.0).alias("importance")))
+
+
+def _all():
+    from pyspark.sql import Window
+    return Window.partitionBy()        # over one row per feature
 
 
 def fit(df: DataFrame, features: Sequence[str], label: str, task: str = "classification",
         n_estimators: int = 100, max_depth: int | None = None, min_samples_split: int = 2,
-        min_samples_leaf: int = 1, max_features: str = "sqrt", seed: int = 42,
-        max_bins: int | None = None) -> ForestModel:
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
+        min_samples_leaf: int = 1, max_features: str = "sqrt", seed: int = 42, id: str = "id",
+        local_rows: int = LOCAL_ROWS) -> ForestModel:
+    """Grow a forest; ``max_depth`` None or 0 = unlimited.  ``id`` must be unique: it deals the bags."""
     features = list(features)
     check_numeric(df, features)
-    check_columns(df, [label])
+    check_columns(df, [label, id])
+    if n_estimators < 1:
+        raise ValueError("n_estimators must be at least 1")
     classes = None
     if task == "classification":
         classes = [r[0] for r in df.select(label).distinct().orderBy(label).collect()]
-        idx = F.create_map(*[F.lit(x) for i, c in enumerate(classes) for x in (c, float(i))])
-        y = idx[F.col(label)]
+        # the codes 0, 1, ... of the classes in order, as a null-safe lookup
+        y = F.coalesce(*[F.when(F.col(label).eqNullSafe(F.lit(c)), F.lit(float(i))) for i, c in enumerate(classes)],
+                       F.lit(None)) if classes else F.lit(0.0)
     elif task == "regression":
         y = as_double(label)
     else:
         raise ValueError("task must be 'classification' or 'regression'")
-    data = df.select(*[as_double(c).alias(f"_x{j}") for j, c in enumerate(features)],
-                     y.alias("_y"))
-    if max_bins is None:
-        d = data.agg(*[F.approx_count_distinct(f"_x{j}") for j in range(len(features))]).first()
-        max_bins = int(min(MAX_BINS_CAP, max(32, max(d) + 1)))
-    data = VectorAssembler(inputCols=[f"_x{j}" for j in range(len(features))],
-                           outputCol="_features").transform(data)
-    depth = MAX_DEPTH if not max_depth else min(int(max_depth), MAX_DEPTH)
-    strategy = {"sqrt": "sqrt", "log2": "log2", "auto": "auto", "all": "all",
-                "none": "all"}.get(str(max_features).lower(), str(max_features))
-    kw = dict(featuresCol="_features", labelCol="_y", numTrees=int(n_estimators),
-              maxDepth=depth, maxBins=max_bins, minInstancesPerNode=int(min_samples_leaf),
-              featureSubsetStrategy=strategy, seed=int(seed), bootstrap=True,
-              cacheNodeIds=True)
-    est = (RandomForestClassifier(**kw) if classes is not None
-           else RandomForestRegressor(**kw))
-    _ = min_samples_split  # MLlib has no parent-size rule; leaf size is enforced
-    return ForestModel(features, classes, est.fit(data))
+    p = len(features)
+    rule = _Rule(p, len(classes or ()), subset_size(max_features, p), int(max_depth) if max_depth else None,
+                 max(2, int(min_samples_split)), max(1, int(min_samples_leaf)), int(seed))
+    ship_package(df.sparkSession)
+    bags = F.explode(F.transform(F.sequence(F.lit(0), F.lit(int(n_estimators) - 1)), lambda t: F.struct(
+        t.alias("tree"), bag_weight(seed, t, F.col("_id")).alias("_w"))))
+    active = (df.select(F.col(id).alias("_id"), *[as_double(c).alias(f"_f{j}") for j, c in enumerate(features)],
+                        y.alias("_y"))
+              .select("*", bags.alias("_b")).select("*", "_b.tree", "_b._w").drop("_b", "_id").where("_w > 0")
+              .withColumn("node", F.col("tree").cast("string")))
+    if df.count() <= local_rows:
+        return ForestModel(features, classes, int(n_estimators), cut_lineage(_finish(active, rule)))
+    active, tables, depth = cut_lineage(active), [], 0
+    while True:
+        nodes = cut_lineage(_node_stats(active, rule))
+        small = nodes.where(F.col("n") <= local_rows).select("node")
+        tables.append(cut_lineage(_finish(active.join(
+            maybe_broadcast(small, small.count()), "node", "left_semi"), rule)))
+        big = nodes.where(F.col("n") > local_rows)
+        n_big = big.count()
+        if not n_big:
+            break
+        best = cut_lineage(_splits(active, big, rule, depth))
+        n_best = best.count()
+        tables.append(cut_lineage(big.join(maybe_broadcast(best, n_best), "node", "left").select(
+            "node", "tree", F.lit(depth).alias("depth"), "n", F.col("W").alias("weight"),
+            F.array(*[F.col(c) for c in _stat_names(rule)[1:]][:rule.n_classes or 1]).alias("stats"),
+            "feature_pos", "threshold", "gain")))
+        x = F.array(*[F.col(f"_f{j}") for j in range(p)])
+        turn = F.when(F.element_at(x, F.col("feature_pos") + 1) <= F.col("threshold"), "L").otherwise("R")
+        active = cut_lineage(active.join(maybe_broadcast(best, n_best), "node")
+                             .withColumn("node", F.concat("node", turn)).select(*active.columns))
+        depth += 1
+    whole = tables[0]
+    for t in tables[1:]:
+        whole = whole.unionByName(t)
+    return ForestModel(features, classes, int(n_estimators), whole)
+
+
+def _finish(active: DataFrame, rule: _Rule) -> DataFrame:
+    """The subtrees of nodes that fit into a task; each group has ``LOCAL_ROWS`` rows at most."""
+    return active.groupBy("node").applyInPandas(lambda rows: rule.finish(rows), NODE_SCHEMA)
+
+
+def _stat_names(rule: _Rule) -> list[str]:
+    return ["W", *([f"c{i}" for i in range(rule.n_classes)] or ["S", "S2"])]
+
+
+def _node_stats(active: DataFrame, rule: _Rule) -> DataFrame:
+    w, y = F.col("_w"), F.col("_y")
+    sums = ([F.sum(F.when(y == float(i), w).otherwise(0.0)).alias(f"c{i}") for i in range(rule.n_classes)]
+            or [F.sum(w * y).alias("S"), F.sum(w * y * y).alias("S2")])
+    return active.groupBy("node", "tree").agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("W"), *sums)
+
+
+def _splits(active: DataFrame, big: DataFrame, rule: _Rule, depth: int) -> DataFrame:
+    """(node, feature_pos, threshold, gain) of the large nodes that split."""
+    regression = not rule.n_classes
+    names = _stat_names(rule)
+    impurity = _impurity("squared_error" if regression else "gini", [F.col(c) for c in names[1:]], F.col("W"),
+                         F.col("S") if regression else None, F.col("S2") if regression else None)
+    able = big.where((F.col("n") >= max(rule.min_split, 2 * rule.min_leaf)) & (impurity > PURE * F.col("W")))
+    if rule.max_depth is not None and depth >= rule.max_depth:
+        able = able.where(F.lit(False))
+    able = able.select("node", _order_column(rule.seed, rule.p).alias("order"))
+    classes = None if regression else [float(i) for i in range(rule.n_classes)]
+    find = lambda nodes, first_valid: _best_splits(
+        active, nodes, rule.p, regression, classes, "squared_error" if regression else "gini", names,
+        rule.min_leaf, first_valid)
+    best = cut_lineage(find(able.select("node", F.slice("order", 1, rule.first).alias("chosen")), False))
+    if rule.first == rule.p:
+        return best
+    rest = able.join(best.select("node"), "node", "left_anti")
+    if rest.isEmpty():
+        return best
+    others = rest.select("node", F.slice("order", rule.first + 1, rule.p).alias("chosen"))
+    return best.unionByName(find(others, True))

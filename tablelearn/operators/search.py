@@ -61,8 +61,9 @@ def _forest(train, test, features, label, id, keep, proba, **p):
     from . import forest
     m = forest.fit(train, features, label, "classification",
                    n_estimators=int(p.get("n_estimators", 100)), max_depth=p.get("max_depth"),
+                   min_samples_split=int(p.get("min_samples_split", 2)),
                    min_samples_leaf=int(p.get("min_samples_leaf", 1)),
-                   max_features=str(p.get("max_features", "sqrt")), seed=int(p.get("seed", 42)))
+                   max_features=str(p.get("max_features", "sqrt")), seed=int(p.get("seed", 42)), id=id)
     return m.predict(test, id, keep=keep)
 
 
@@ -87,7 +88,7 @@ PARAMS: dict[str, frozenset] = {
     "knn": frozenset({"n_neighbors", "weights", "p"}),
     "svm": frozenset({"C", "kernel", "gamma", "degree"}),
     "tree": frozenset({"criterion", "max_depth", "min_samples_split", "min_samples_leaf"}),
-    "forest": frozenset({"n_estimators", "max_depth", "min_samples_leaf", "max_features", "seed"}),
+    "forest": frozenset({"n_estimators", "max_depth", "min_samples_split", "min_samples_leaf", "max_features", "seed"}),
     "nb": frozenset({"model_type", "alpha"}),
     "linear": frozenset(),
 }

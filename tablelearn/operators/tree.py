@@ -234,12 +234,21 @@ def fit(df: DataFrame, features: Sequence[str], label: str, id: str = "id",
 
 
 def _best_splits(active, splittable, p, regression, classes, criterion, stat_cols,
-                 min_leaf):
-    """(node, feature_pos, threshold, gain) for every node with a valid split."""
-    a = active.join(splittable.select("node"), "node", "left_semi")
-    long = a.select("node", F.inline(F.array(*[
-        F.struct(F.lit(j).alias("pos"), F.col(f"_f{j}").alias("value")) for j in range(p)])),
-        "_y", "_w")
+                 min_leaf, first_valid=False):
+    """(node, feature_pos, threshold, gain) for every node with a valid split.
+
+    A column ``chosen`` of ``splittable`` names the features to look at;
+    ``first_valid`` takes the first of them that splits at all, not the best.
+    """
+    some = "chosen" in splittable.columns
+    each = [F.struct(F.lit(j).alias("pos"), F.col(f"_f{j}").alias("value")) for j in range(p)]
+    if some:
+        a = active.join(splittable.select("node", "chosen"), "node")
+        each = F.transform("chosen", lambda j: F.element_at(F.array(*each), j + 1))
+    else:
+        a = active.join(splittable.select("node"), "node", "left_semi")
+        each = F.array(*each)
+    long = a.select("node", F.inline(each), "_y", "_w")
     if regression:
         aggs = [F.sum("_w").alias("W"), F.sum(F.col("_w") * F.col("_y")).alias("S"),
                 F.sum(F.col("_w") * F.col("_y") * F.col("_y")).alias("S2")]
@@ -274,7 +283,10 @@ def _best_splits(active, splittable, p, regression, classes, criterion, stat_col
     thr = F.when(thr >= F.col("_nv"), F.col("value")).otherwise(thr)
     cand = c.where((left["n"] >= min_leaf) & (right["n"] >= min_leaf)).select(
         "node", F.col("pos").alias("feature_pos"), thr.alias("threshold"), gain.alias("gain"))
+    rank = [-F.col("gain"), F.col("feature_pos"), F.col("threshold")]
+    if first_valid:
+        cand = cand.join(splittable.select("node", "chosen"), "node")
+        rank.insert(0, F.array_position("chosen", F.col("feature_pos")))
     return cand.groupBy("node").agg(
-        F.min_by(F.struct("feature_pos", "threshold", "gain"),
-                 F.struct(-F.col("gain"), F.col("feature_pos"), F.col("threshold"))).alias("b")
+        F.min_by(F.struct("feature_pos", "threshold", "gain"), F.struct(*rank)).alias("b")
     ).select("node", "b.*")

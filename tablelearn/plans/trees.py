@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import forest as rf
 from ..operators import importance as imp
 from ..operators import logistic as lg
@@ -116,12 +118,69 @@ def tree_importance(spark, sf):
 query("feature_importance_tree", _TREE_IMP)(tree_importance)
 
 
-# ---- forests (no SQL: bootstrap + random feature subsets) ------------------------
+# ---- forests ---------------------------------------------------------------------
+_FOREST = dict(n_estimators=3, max_depth=2, min_samples_split=20, min_samples_leaf=3, seed=42)
+
+
+def _forest_nodes_sql():
+    """Three trees of two levels in SQL: the bags, the features each node looks at, its best split."""
+    y = [f"c{i}" for i in range(3)]
+    sums = ("count(*) AS n, sum(w) AS W, "
+            + ", ".join(f"sum(CASE WHEN y = '{s}' THEN w ELSE 0.0 END) AS {c}" for c, s in zip(y, STATUS)))
+    u = "CAST(('0x' || substr(md5(concat('42:', tree, ':', o_orderkey)), 1, 8)) AS BIGINT)"
+    weight = " + ".join(f"CASE WHEN {u} >= {t} THEN 1.0 ELSE 0.0 END" for t in rf.POISSON)
+    sql = f"""WITH f AS {_F_ORDER},
+r0 AS (SELECT * FROM (SELECT f.*, o_orderstatus AS y, tree, CAST(tree AS VARCHAR) AS node,
+          CAST({weight} AS DOUBLE) AS w FROM f, range(0, 3) t(tree)) WHERE w > 0),"""
+    cols = ["n", "W", *y]
+    whole = _imp_sql([f"T{c}" for c in y], "TW", "gini")
+    left = _imp_sql([f"L{c}" for c in y], "LW", "gini")
+    right = _imp_sql([f"(T{c} - L{c})" for c in y], "(TW - LW)", "gini")
+    for d in (0, 1):
+        long = " UNION ALL ".join(f"SELECT node, {j} AS pos, CAST({c} AS DOUBLE) AS value, y, w FROM r{d}"
+                                  for j, c in enumerate(TREE_X))
+        sql += f"""
+h{d} AS (SELECT node, pos, value, {sums} FROM ({long}) GROUP BY node, pos, value),
+cu{d} AS (SELECT node, pos, value, lead(value) OVER o AS nv,
+    {", ".join(f"sum({c}) OVER o AS L{c}, sum({c}) OVER g AS T{c}" for c in cols)}
+  FROM h{d} WINDOW o AS (PARTITION BY node, pos ORDER BY value ROWS UNBOUNDED PRECEDING),
+                   g AS (PARTITION BY node, pos)),
+look{d} AS (SELECT node, pos, row_number() OVER (PARTITION BY node
+      ORDER BY md5(concat('42:', node, ':', pos))) - 1 AS o
+  FROM (SELECT DISTINCT node FROM r{d}), range(0, 4) p(pos)),
+cand{d} AS (SELECT node, pos, o, {whole} - {left} - {right} AS gain,
+    CASE WHEN (value + nv) / 2.0 >= nv THEN value ELSE (value + nv) / 2.0 END AS thr
+  FROM cu{d} JOIN look{d} USING (node, pos)
+  WHERE nv IS NOT NULL AND Tn >= 20 AND Ln >= 3 AND Tn - Ln >= 3 AND {whole} > 1e-12 * TW),
+best{d} AS (SELECT * FROM cand{d} QUALIFY row_number() OVER (PARTITION BY node
+    ORDER BY CASE WHEN o < 2 THEN 0 ELSE o END, gain DESC, pos, thr) = 1),
+r{d + 1} AS (SELECT r{d}.* REPLACE (node || CASE WHEN CASE pos {" ".join(
+    f"WHEN {j} THEN CAST({c} AS DOUBLE)" for j, c in enumerate(TREE_X))} END <= thr THEN 'L' ELSE 'R' END AS node)
+  FROM r{d} JOIN best{d} USING (node)),"""
+    level = lambda d: (
+        f"SELECT s.*, {d} AS depth, {'pos, thr, gain' if d < 2 else 'NULL AS pos, NULL AS thr, NULL AS gain'} "
+        f"FROM (SELECT node, tree, {sums} FROM r{d} GROUP BY node, tree) s "
+        + (f"LEFT JOIN best{d} USING (node)" if d < 2 else ""))
+    return sql + f"""
+nodes AS ({" UNION ALL ".join(level(d) for d in (0, 1, 2))})
+SELECT node, CAST(tree AS INTEGER) AS tree, CAST(depth AS INTEGER) AS depth, CAST(n AS BIGINT) AS n,
+       W AS weight, c0, c1, c2, CAST(pos AS INTEGER) AS feature_pos, round(thr, 6) AS threshold,
+       round(gain, 6) AS gain FROM nodes"""
+
+
+@query("forest_nodes", _forest_nodes_sql())
+def forest_nodes(spark, sf):
+    m = rf.fit(tb.f_order(spark, sf), TREE_X, "o_orderstatus", id="o_orderkey", **_FOREST)
+    counts = [F.col("stats")[i].alias(f"c{i}") for i in range(3)]
+    return rounded(m.nodes.select("node", "tree", "depth", "n", "weight", *counts, "feature_pos", "threshold",
+                                  "gain"))
+
+
 def _forest_learn(spark, sf, task="classification"):
     df = tb.f_learn(spark, sf)
     y = "y" if task == "classification" else "x1"
     feats = ["x0", "x1"] if task == "classification" else ["x0"]
-    return df, rf.fit(df, feats, y, task, n_estimators=100, seed=42)
+    return df, rf.fit(df, feats, y, task, n_estimators=100, seed=42, id="vec_id")
 
 
 @query("forest_classifier")
@@ -142,6 +201,13 @@ def feature_importance_forest(spark, sf):
     return rounded(m.importance(spark), 4)
 
 
+@query("feature_importance_forest_regression")
+def feature_importance_forest_regression(spark, sf):
+    m = rf.fit(tb.f_order(spark, sf), TREE_X, "price_k", "regression", n_estimators=10, max_depth=8, seed=42,
+               id="o_orderkey")
+    return rounded(m.importance(spark), 4)
+
+
 @query("importance_ranking", _newton_sql("1.0") + """,
 i AS (SELECT 0 AS pos, 'x0' AS feature, abs(b1) AS importance FROM c
       UNION ALL SELECT 1, 'x1', abs(b2) FROM c),
