@@ -5,6 +5,7 @@ from __future__ import annotations
 import dataclasses
 import html as entities
 import re
+from collections import Counter
 
 # Element names by their role.
 DROPPED = frozenset("script style noscript template svg math iframe object canvas audio video "
@@ -26,8 +27,9 @@ HINT = frozenset("ad ads advert advertisement adsense sponsor sponsored promo pr
 
 NAME = re.compile(r"[A-Za-z][^\s/>]*")
 MARKS = re.compile(r"[>\"']")
-ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|aria-label|hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?",
-                       re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+NAMING = frozenset("class id role aria-label".split())
+LAYOUT = frozenset("has with no without".split())       # "has-sidebar" tells of a layout
 TOKEN = re.compile(r"[A-Za-z]+")
 SPACE = re.compile(r"\s+")
 RAW_END = {n: re.compile(rf"</{n}(?=[\s/>])", re.I) for n in RAW}
@@ -48,19 +50,28 @@ class Block:
         return self.linked / self.words if self.words else 0.0
 
 
-def hinted(attributes: str) -> tuple[bool, bool]:
-    """Whether the attributes name a part beside the article; whether they hide it."""
-    hint = hidden = False
-    for m in ATTRIBUTE.finditer(attributes):
+def hint_words(value: str, whole: bool) -> set[str]:
+    """The words of ``HINT`` in a value; only those that are a name of their own if ``whole``."""
+    found = set()
+    for name in value.split():
+        words = [t.lower() for t in TOKEN.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name))]
+        if words and words[0] not in LAYOUT and not (whole and len(words) > 1):
+            found |= HINT.intersection(words)
+    return found
+
+
+def hinted(attributes: str, whole: bool = False) -> tuple[set[str], bool]:
+    """The words by which the attributes name a part beside the article; whether they hide it."""
+    hints, hidden = set(), False
+    for m in ATTRIBUTE.finditer(attributes):           # values are taken whole, so names in them don't count
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden":
             hidden = True
         elif name == "style":
-            hidden |= "display:none" in value.replace(" ", "").lower()
-        else:
-            hint |= any(t.lower() in HINT for t in TOKEN.findall(
-                re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value)))
-    return hint, hidden
+            hidden |= "display:none" in "".join(value.split()).lower()
+        elif name in NAMING:
+            hints |= hint_words(value, whole)
+    return hints, hidden
 
 
 class _Open:
@@ -76,6 +87,8 @@ def blocks(html: str) -> list[Block]:
     stack: list[_Open] = []
     parts: list[str] = []
     linked = links = dropped = 0
+    names: Counter[str] = Counter()    # of what is open
+    headings = bodies = regions = hints = 0
     missing: set[str] = set()          # what a search has not found up to the end
 
     def flush() -> None:
@@ -83,12 +96,9 @@ def blocks(html: str) -> list[Block]:
         text = SPACE.sub(" ", "".join(parts)).strip()
         parts.clear()
         if text:
-            names = [o.name for o in stack]
-            body = any(n in BODY for n in names)
-            region = any(n in REGIONS and not (n == "header" and body) for n in names)
             n = text.count(" ") + 1
-            out.append(Block(text, n, min(n, linked), any(x in HEADINGS for x in names), body, region,
-                             any(o.hint for o in stack)))
+            region = regions > 0 or names["header"] > 0 and not bodies
+            out.append(Block(text, n, min(n, linked), headings > 0, bodies > 0, region, hints > 0))
         linked = 0
 
     def say(raw: str) -> None:
@@ -99,12 +109,20 @@ def blocks(html: str) -> list[Block]:
             if links:
                 linked += len(text.split())
 
+    def count(o: _Open, step: int) -> None:
+        nonlocal links, dropped, headings, bodies, regions, hints
+        names[o.name] += step
+        links += step * (o.name == "a")
+        dropped += step * (o.hidden or o.name in DROPPED)
+        headings += step * (o.name in HEADINGS)
+        bodies += step * (o.name in BODY)
+        regions += step * (o.name in REGIONS and o.name != "header")
+        hints += step * o.hint
+
     def close(k: int) -> None:
         """Close what is open from place k on."""
-        nonlocal links, dropped
         for o in stack[k:]:
-            links -= o.name == "a"
-            dropped -= o.hidden or o.name in DROPPED
+            count(o, -1)
         del stack[k:]
 
     def find(what: str, at: int) -> int:
@@ -150,7 +168,10 @@ def blocks(html: str) -> list[Block]:
             if q[0] == ">":
                 end = q.start()
                 break
-            quoted = html[m.end():q.start()].rstrip()[-1:] == "=" if q.start() - m.end() < 4096 else False
+            k = q.start() - 1                            # a quote opens a value only after =
+            while k >= at and html[k].isspace():
+                k -= 1
+            quoted = k >= at and html[k] == "="
             stop = find(q[0], q.end()) if quoted else -1
             at = stop + 1 if stop >= 0 else q.end()
         if end < 0:                                      # a tag that the page's end cuts off
@@ -160,7 +181,7 @@ def blocks(html: str) -> list[Block]:
         if name not in INLINE:
             flush()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if names[name] else ():
                 if stack[k].name == name:
                     close(k)
                     break
@@ -177,17 +198,19 @@ def blocks(html: str) -> list[Block]:
                     break
                 if stack[k].name not in INLINE and stack[k].name != "p":
                     break
-        if name == "body":                               # a head that was never closed ends here
+        if name == "body" and names["head"]:             # a head that was never closed ends here
             for k, o in enumerate(stack):
                 if o.name == "head":
                     close(k)
                     break
-        hint, hidden = hinted(attributes) if attributes else (False, False)
+        # compound names on an article's own element tell of its layout or subject
+        found, hidden = hinted(attributes, name in BODY and not names["article"]) if attributes else (set(), False)
+        if name == "header" and bodies:                  # the article's own
+            found.discard("header")
         if name in ("html", "body"):
-            hint = hidden = False
-        stack.append(_Open(name, hint, hidden))
-        links += name == "a"
-        dropped += hidden or name in DROPPED
+            found, hidden = set(), False
+        stack.append(_Open(name, bool(found), hidden))
+        count(stack[-1], 1)
         if name in RAW:
             key = f"</{name}"
             stop = None if key in missing else RAW_END[name].search(html, pos)

@@ -52,8 +52,26 @@ def test_cut_pages_hold_no_markup(tree, cut):
     assert not re.search(r"</?(p|b|li|article)\b", html_extract.main_text(PAGE[:cut], tree).replace("<br>", ""))
 
 
+@pytest.mark.parametrize("page, text", [
+    ('<article><p title="the hidden valley">Kept <b data-x="my class=ad here">words</b>', "Kept words"),
+    ("<article><p data-y='style=display:none hidden'>Kept</p><p hidden>no</p><p style='display : none'>no</p>", "Kept"),
+    ('<article><div data-uri="' + "x" * 10_000 + '" data-x="<b>">Kept</div></article>', "Kept"),
+    ('<article><p data-uri  =  "a > b" onclick=\'()=>f("x")\'>Kept', "Kept"),
+    ('<main class="with-sidebar"><p>Kept</p></main>', "Kept"),
+    ('<main><article class="post has-social"><p>Kept</p></article></main>', "Kept"),
+    ('<article id="search-for-meaning"><p>Kept</p></article>', "Kept"),
+    ('<div class="page has-sidebar"><article><p>Kept</p></article></div>', "Kept"),
+    ('<article><header class="entry-header"><h1>Title</h1></header><p>Kept</p></article>', "Title\nKept"),
+    ('<article><p>Kept</p><article class="comment-body"><p>no</p></article></article>', "Kept"),
+    ('<article><p>Kept</p><div class="share-buttons"><p>no</p></div></article><article class="ad"><p>no', "Kept"),
+])
+def test_names_in_attributes(tree, page, text):
+    assert html_extract.main_text(page, tree) == text
+
+
 def test_linear_on_hostile_input(tree):
-    for page in ("<" * 200_000, "<!--" * 50_000, "<a href=\"" * 30_000, "<script>" * 20_000, "<p>x" * 20_000,
+    for page in ("<div>x" * 30_000, "<div>" * 30_000 + "</x>" * 30_000, "<body>" * 30_000, "<a " + "b='c' " * 50_000 + ">",
+                 "<a" + " " * 200_000 + "'" * 50_000,"<" * 200_000, "<!--" * 50_000, "<a href=\"" * 30_000, "<script>" * 20_000, "<p>x" * 20_000,
                  "<a '" * 30_000, "</" * 50_000, "&amp" * 50_000, "x" * 500_000, "<textarea>" * 10_000):
         html_extract.main_text(page, tree)
     assert [b.text for b in blocks("a<b>b</b>c<div>d")] == ["abc", "d"]
