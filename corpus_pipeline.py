@@ -15,6 +15,9 @@ predecessor kept.
    id, or have none, are told apart by a number written once.
 4. Mixing repeats each source's documents towards its target weight.
 5. SentencePiece encodes every copy and decodes it again.
+
+Further columns don't matter, also those whose names differ from a column of
+documents in case alone; an empty table gives an empty one in each stage.
 """
 
 from __future__ import annotations
@@ -23,10 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablelearn.llm import dart_minhash, langid, line_dedup, mixing
-from tablelearn.llm.common import Scratch
+from tablelearn.llm.common import Scratch, take
 from tablelearn.llm.queries import language_model, token_digests
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+COLUMNS = {c: c for c in ("doc_id", "text", "lang", "source", "n_chars")}
 BROADCAST_BYTES = 8 << 20
 
 
@@ -41,19 +44,19 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(*COLUMNS)
+    docs = take(docs, **COLUMNS)
     model = language_model(docs)
     return langid.keep_recognised(docs, model)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedupe_lines(docs.select(*COLUMNS))
+    out = line_dedup.dedupe_lines(take(docs, **COLUMNS))
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
-    docs = scratch.write(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")))
+    docs = scratch.write(take(docs, **COLUMNS).withColumn("row", F.monotonically_increasing_id()))
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")     # orders a null id last
     found = dart_minhash.near_duplicates(docs.select(key.alias("key"), "text"), id="key")
     gone = scratch.write(found.where("not kept").select(F.col("key.row").alias("gone_row")))
@@ -61,11 +64,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs.select(*COLUMNS))
+    return mixing.mix(take(docs, **COLUMNS))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_digests(docs)
+    return token_digests(take(docs, **COLUMNS))
 
 
 STAGES = [("language ID", language), ("line dedup", lines), ("near-dedup", near_copies),
