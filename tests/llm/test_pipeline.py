@@ -107,3 +107,14 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         step = stage(spark, step, "")
     assert step.count() == 0
+
+
+def test_clashing_columns(spark, docs):
+    """A column TEXT changes no stage; the one after it gets the columns of documents alone."""
+    step = table(spark, docs[:40])
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, step.selectExpr("*", "'x' AS TEXT", "1 AS `Doc_Id`"), "")
+        if i < 4:
+            assert out.columns == list(corpus_pipeline.COLUMNS)
+            assert as_rows(out) == as_rows(stage(spark, step, ""))
+    assert out.count() == len(step.collect())
