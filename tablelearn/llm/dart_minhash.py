@@ -22,8 +22,9 @@ Work is kept in proportion to the documents:
   smallest nodes, where they are still in another component.
 * Then only members that are not in the component of their bucket's smallest
   node are compared with what shares a bucket with them and is in another
-  component, where the bits don't rule it out.  A link within a component
-  changes nothing, so no component is lost.
+  component, where the bits don't rule it out: pairs whose bits make a link
+  likely first, the rest where components still differ after that.  A link
+  within a component changes nothing, so no component is lost.
 
 Recall at similarity 0.8, 0.85, 0.9: 99.6 %, 99.99 %, all but surely 1 (bands), less
 one pair in some 4,000 at 0.8 that the bits rule out.
@@ -120,10 +121,10 @@ def sketch(sig: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(bits).view(np.int64)
 
 
-def least_agreement(threshold: float, k: int = K) -> int:
-    """Equal bits of k below which a similarity of ``threshold`` is out of the question."""
+def least_agreement(threshold: float, k: int = K, margin: float = BITS_MARGIN) -> int:
+    """Equal bits of k that a similarity of ``threshold`` gives, less ``margin`` standard deviations."""
     p = (1 + threshold) / 2
-    return math.ceil(k * p - BITS_MARGIN * math.sqrt(k * p * (1 - p)))
+    return math.ceil(k * p - margin * math.sqrt(k * p * (1 - p)))
 
 
 def _sign(columns: list[pa.Array]) -> list[pa.Array]:
@@ -243,28 +244,35 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     parts = components(links, scratch)
     scratch.drop(star, near, early)
 
-    placed = scratch.write(part_of(part_of(shared, parts, "node", "part"), parts, "low", "low_part"))
-    # only buckets with a member outside the component of their smallest node go on
-    apart = placed.where("part <> low_part")
     signs = nodes.select("node", "bits", "bands")
-    stray = apart.join(signs, "node").select(
-        "band", "nth", F.col("node").alias("u"), F.col("part").alias("pu"), F.col("bits").alias("bu"),
-        F.col("bands").alias("ku"))
-    # the smallest node has been compared with all members of its bucket, or shares their component
-    other = (placed.join(apart.select("band").distinct(), "band", "left_semi").where("node <> low")
-             .join(signs, "node")
-             .select("band", F.col("node").alias("v"), F.col("part").alias("pv"), F.col("bits").alias("bv"),
-                     F.col("bands").alias("kv"), (F.col("part") == F.col("low_part")).alias("main")))
-    # a pair counts in the first band that it shares
-    first = F.array_position(F.zip_with("ku", "kv", lambda x, y: x == y), F.lit(True)) == F.col("nth") + 1
-    cross = (stray.join(other, (stray["band"] == other["band"]) & (F.col("pu") != F.col("pv"))
-                        & (F.col("main") | (F.col("u") < F.col("v")))
-                        & (_agreement("bu", "bv") >= least_agreement(THRESHOLD)) & first)
-             .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    more = scratch.write(_sure_links(cross, chosen))
-    scratch.drop(placed, chosen, shared)
-    whole = components(links.union(more), scratch)
-    scratch.drop(links, more)
+    least = least_agreement(THRESHOLD)
+    likely = least_agreement(THRESHOLD, margin=1.0)
+    # pairs that are likely links first: what they join needs no further comparison
+    for low_bits, high_bits in ((likely, K + 1), (least, likely)):
+        placed = scratch.write(part_of(part_of(shared, parts, "node", "part"), parts, "low", "low_part"))
+        # only buckets with a member outside the component of their smallest node go on
+        apart = placed.where("part <> low_part")
+        stray = apart.join(signs, "node").select(
+            "band", "nth", F.col("node").alias("u"), F.col("part").alias("pu"), F.col("bits").alias("bu"),
+            F.col("bands").alias("ku"))
+        # the smallest node has been compared with all members of its bucket, or shares their component
+        other = (placed.join(apart.select("band").distinct(), "band", "left_semi").where("node <> low")
+                 .join(signs, "node")
+                 .select("band", F.col("node").alias("v"), F.col("part").alias("pv"), F.col("bits").alias("bv"),
+                         F.col("bands").alias("kv"), (F.col("part") == F.col("low_part")).alias("main")))
+        # a pair counts in the first band that it shares
+        first = F.array_position(F.zip_with("ku", "kv", lambda x, y: x == y), F.lit(True)) == F.col("nth") + 1
+        agreement = _agreement("bu", "bv")
+        cross = (stray.join(other, (stray["band"] == other["band"]) & (F.col("pu") != F.col("pv"))
+                            & (F.col("main") | (F.col("u") < F.col("v")))
+                            & (agreement >= low_bits) & (agreement < high_bits) & first)
+                 .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        more = scratch.write(links.union(_sure_links(cross, chosen)))
+        scratch.drop(placed, links, parts)
+        links = more
+        parts = components(links, scratch)
+    scratch.drop(chosen, shared, links)
+    whole = parts
 
     labelled = (nodes.select("key", "node", "least").join(whole, "node", "left")
                 .withColumn("component", F.coalesce("component", "node")))
