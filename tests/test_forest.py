@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from tablelearn.operators import forest
+from tablelearn.operators import forest, search
 
 
 def md5(s):
@@ -113,3 +113,11 @@ def test_sizes_and_errors(spark):
     one = forest.fit(df.where("y = 'a'"), list("abcd"), "y", n_estimators=2)
     assert {r.feature_pos for r in one.nodes.collect()} == {None}
     assert {r.importance for r in one.importance(spark).collect()} == {0.0}
+
+
+def test_by_name(spark):
+    """The registry hands every parameter on."""
+    _, df = data(spark, False)
+    model = search.get_model("forest")
+    got = model(df, df, list("abcd"), "y", "id", n_estimators=2, min_samples_split=1000)
+    assert {r.prediction for r in got.collect()} <= set("abc") and got.select("p_a").distinct().count() == 1
