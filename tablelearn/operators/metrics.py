@@ -7,6 +7,8 @@ reference's ``zero_division=0``).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,29 +32,29 @@ def class_summary(df: DataFrame, label: str = "label") -> DataFrame:
     return g.withColumn("n_classes", F.count(F.lit(1)).over(Window.partitionBy()).cast("bigint"))
 
 
-def per_class_counts(pred: DataFrame, label: str = "label",
-                     prediction: str = "prediction") -> DataFrame:
-    """(class, tp, support, predicted) over the union of true and predicted classes."""
-    t = pred.select(F.col(label).alias("class"), F.lit(1).alias("_s"), F.lit(0).alias("_p"),
+def per_class_counts(pred: DataFrame, label: str = "label", prediction: str = "prediction",
+                     keys: Sequence[str] = ()) -> DataFrame:
+    """(keys..., class, tp, support, predicted) over the union of true and predicted classes."""
+    t = pred.select(*keys, F.col(label).alias("class"), F.lit(1).alias("_s"), F.lit(0).alias("_p"),
                     (F.col(label) == F.col(prediction)).cast("int").alias("_tp"))
-    p = pred.select(F.col(prediction).alias("class"), F.lit(0).alias("_s"), F.lit(1).alias("_p"),
+    p = pred.select(*keys, F.col(prediction).alias("class"), F.lit(0).alias("_s"), F.lit(1).alias("_p"),
                     F.lit(0).alias("_tp"))
-    return t.unionByName(p).groupBy("class").agg(
+    return t.unionByName(p).groupBy(*keys, "class").agg(
         F.sum("_tp").cast("bigint").alias("tp"), F.sum("_s").cast("bigint").alias("support"),
         F.sum("_p").cast("bigint").alias("predicted"))
 
 
-def classification_report(pred: DataFrame, label: str = "label",
-                          prediction: str = "prediction") -> DataFrame:
-    """(class, precision, recall, f1, support)."""
-    c = per_class_counts(pred, label, prediction)
+def classification_report(pred: DataFrame, label: str = "label", prediction: str = "prediction",
+                          keys: Sequence[str] = ()) -> DataFrame:
+    """(keys..., class, precision, recall, f1, support)."""
+    c = per_class_counts(pred, label, prediction, keys)
     prec = _div(F.col("tp"), F.col("predicted"))
     rec = _div(F.col("tp"), F.col("support"))
-    c = c.select("class", prec.alias("precision"), rec.alias("recall"), "support")
+    c = c.select(*keys, "class", prec.alias("precision"), rec.alias("recall"), "support")
     f1 = F.when(F.col("precision") + F.col("recall") > 0,
                 2 * F.col("precision") * F.col("recall")
                 / (F.col("precision") + F.col("recall"))).otherwise(F.lit(0.0))
-    return c.select("class", "precision", "recall", f1.alias("f1"), "support")
+    return c.select(*keys, "class", "precision", "recall", f1.alias("f1"), "support")
 
 
 def report_averages(report: DataFrame) -> DataFrame:
@@ -110,17 +112,17 @@ def binary_metrics(pred: DataFrame, positive, label: str = "label",
     return a.select("*", f1.alias("f1"))
 
 
-def regression_metrics(pred: DataFrame, label: str = "label",
-                       prediction: str = "prediction") -> DataFrame:
-    """One row: r2, mse, rmse, mae, n.  Constant target: r2 = 1 if exact else 0."""
+def regression_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction",
+                       keys: Sequence[str] = ()) -> DataFrame:
+    """One row (for each of ``keys``): r2, mse, rmse, mae, n.  Constant target: r2 = 1 if exact else 0."""
     e = F.col(label).cast("double") - F.col(prediction).cast("double")
-    a = pred.agg(F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"),
+    a = pred.groupBy(*keys).agg(F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"),
                  F.sum(e * e).alias("sse"), F.var_pop(F.col(label).cast("double")).alias("vy"),
                  F.count(F.lit(1)).cast("bigint").alias("n"))
     sst = F.col("vy") * F.col("n")
     r2 = (F.when(sst > 0, 1 - F.col("sse") / sst)
           .when(F.col("sse") == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
-    return a.select(r2.alias("r2"), "mse", F.sqrt("mse").alias("rmse"), "mae", "n")
+    return a.select(*keys, r2.alias("r2"), "mse", F.sqrt("mse").alias("rmse"), "mae", "n")
 
 
 SCORERS = ("accuracy", "precision_macro", "recall_macro", "f1_macro", "precision_weighted",
@@ -130,27 +132,30 @@ SCORERS = ("accuracy", "precision_macro", "recall_macro", "f1_macro", "precision
 
 
 def score(pred: DataFrame, scoring: str = "accuracy", label: str = "label",
-          prediction: str = "prediction") -> DataFrame:
-    """One row, column ``score``: the named scorer over a prediction table."""
+          prediction: str = "prediction", keys: Sequence[str] = ()) -> DataFrame:
+    """One row (for each of ``keys``), column ``score``: the named scorer over a prediction table."""
     s = scoring.strip().lower()
     if s == "accuracy" or s in ("precision_micro", "recall_micro", "f1_micro"):
-        return accuracy(pred, label, prediction).select(F.col("accuracy").alias("score"))
+        ok = (F.col(label) == F.col(prediction)).cast("double")
+        return pred.groupBy(*keys).agg(F.avg(ok).alias("score"))
     if s in ("r2", "neg_mean_squared_error", "neg_mean_absolute_error",
              "neg_root_mean_squared_error"):
-        m = regression_metrics(pred, label, prediction)
+        m = regression_metrics(pred, label, prediction, keys)
         col = {"r2": F.col("r2"), "neg_mean_squared_error": -F.col("mse"),
                "neg_mean_absolute_error": -F.col("mae"),
                "neg_root_mean_squared_error": -F.col("rmse")}[s]
-        return m.select(col.alias("score"))
+        return m.select(*keys, col.alias("score"))
     if s.split("_")[0] in ("precision", "recall", "f1") and s.split("_")[-1] in (
             "macro", "weighted"):
         metric, avg = s.split("_")[0], s.split("_")[-1]
-        rep = classification_report(pred, label, prediction)
+        rep = classification_report(pred, label, prediction, keys).groupBy(*keys)
         if avg == "macro":
             return rep.agg(F.avg(metric).alias("score"))
         return rep.agg((F.sum(F.col(metric) * F.col("support")) / F.sum("support"))
                        .alias("score"))
     if s == "roc_auc":
+        if keys:
+            raise ValueError("roc_auc is scored one prediction table at a time")
         # binary: the area under the curve of the larger class's probability
         from . import roc
         classes = sorted(c[2:] for c in pred.columns if c.startswith("p_"))

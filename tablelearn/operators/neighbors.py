@@ -96,6 +96,15 @@ def _points(df: DataFrame, features: Sequence[str], id: str, payload: Sequence[s
     return out, n
 
 
+def _certain(known: np.ndarray, x: np.ndarray, box: cells.Boxes, full: np.ndarray, p: float) -> np.ndarray:
+    """The kth distances so far; where fewer were found, one that reaches a ``full`` cell for certain."""
+    bare = np.flatnonzero(np.isnan(known))
+    for part in np.array_split(bare, len(bare) * len(full) // (1 << 22) + 1):
+        if len(part):
+            known[part] = box.span(x[part], x[part], p, full).min(axis=1) if len(full) else np.inf
+    return known + SLACK
+
+
 def knn(queries: DataFrame, refs: DataFrame, features: Sequence[str], k: int = 5,
         p: float = 2.0, qid: str = "id", rid: str = "id", payload: Sequence[str] = (),
         block_rows: int | None = None) -> DataFrame:
@@ -133,15 +142,86 @@ def knn(queries: DataFrame, refs: DataFrame, features: Sequence[str], k: int = 5
             "i", F.get("d", F.lit(k - 1)).alias("radius"))
 
         def radius(a: dict, own: int) -> np.ndarray:
-            """The kth distance so far; where fewer were found, one that reaches k references for certain."""
-            known, x = a["radius"].astype(float), a["x"]
-            bare = np.flatnonzero(np.isnan(known))
-            for part in np.array_split(bare, len(bare) * len(full) // (1 << 22) + 1):
-                if len(part):
-                    known[part] = box.span(x[part], x[part], p, full).min(axis=1) if len(full) else np.inf
-            return known + SLACK
+            return _certain(a["radius"].astype(float), a["x"], box, full, p)
 
         wanting = cells.pack(q.join(bound, F.col("id") == F.col("i"), "left").drop("i"))
         found = found.union(cells.compare(cells.reach(wanting, box, p, radius), held, nearest, schema))
     w = Window.partitionBy("q").orderBy(F.round("dist", DIGITS), F.col("r"))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def knn_problems(rows: DataFrame, features: Sequence[str], label: str, k: int, sizes: Sequence[int], parts: int,
+                 at: str, p: float = 2.0, id: str = "id", train: bool = False,
+                 block_rows: int | None = None) -> DataFrame:
+    """Neighbours for many training sets of one table in a single search.
+
+    ``at`` holds for each of ``parts`` parts (folds) a row's position in the
+    part's training rows by ascending id, or -1 if the row is its test row.
+    Problem (part, size) has the rows at positions below ``sizes[size]`` as
+    references; its test rows ask and, with ``train``, its references too.
+
+    (q, part, size, seen, y, r, dist, lab, rank): ``seen`` marks a reference
+    that asks, ``y`` and ``lab`` are the labels of both.  Each distance is
+    computed once, whatever the number of problems; a query's radius is the
+    greatest of its problems.
+    """
+    ship_package(rows.sparkSession)
+    features, k, p, parts = list(features), int(k), float(p), int(parts)
+    sizes = np.asarray(list(sizes), np.int64)
+    pts, n = _points(rows, features, id, [label, at])
+    pts = pts.toDF("id", "x", "y", "at")
+    kinds = {c: pts.schema[c].dataType.simpleString() for c in ("id", "y")}
+    schema = [("q", kinds["id"]), ("part", "int"), ("size", "int"), ("seen", "boolean"), ("y", kinds["y"]),
+              ("r", kinds["id"]), ("dist", "double"), ("lab", kinds["y"])]
+
+    def nearest(a: dict, b: dict) -> list:
+        asking, held = a["packed"], b["packed"]
+        by = np.argsort(b["id"], kind="stable")
+        place, ref = cells.matrix(asking.field("at")), cells.matrix(held.field("at"))[by]
+        dist = minkowski(a["x"], b["x"][by], p)
+        order = np.argsort(np.round(dist, DIGITS), axis=1, kind="stable")
+        found = []
+        for f in range(parts):
+            for s, size in enumerate(sizes):
+                who = np.flatnonzero(place[:, f] < (size if train else 0))
+                hit = ((ref[:, f] >= 0) & (ref[:, f] < size))[order[who]]
+                hit &= np.cumsum(hit, axis=1) <= k
+                i, j = np.nonzero(hit)
+                found.append((who[i], order[who[i], j], np.full(len(i), f), np.full(len(i), s)))
+        i, j, f, s = (np.concatenate(c) for c in zip(*found, strict=True))
+        one, other = pa.array(i), pa.array(by[j])
+        return [asking.field("id").take(one), f.astype(np.int32), s.astype(np.int32), place[i, f] >= 0,
+                asking.field("y").take(one), held.field("id").take(other), dist[i, j], held.field("y").take(other)]
+
+    splits = cells.learn_splits(pts, n, len(features), block_rows)
+    refs = pts
+    if splits.depth:                # of one part's rows in one place only k can be anyone's nearest
+        own = F.array_position("at", F.lit(-1).cast("bigint"))
+        again = F.row_number().over(Window.partitionBy("x", own).orderBy("id"))
+        refs = refs.withColumn("_again", again).where(F.col("_again") <= k).drop("_again")
+    refs, asks = cells.with_cell(refs, splits, n, block_rows), cells.with_cell(pts, splits, n, block_rows)
+    held, asking = cells.pack(refs), cells.pack(asks)
+    if not splits.depth:
+        found = cells.compare(asking, held, nearest, schema, write=False)
+    else:
+        held = cut_lineage(held)
+        found = cells.compare(asking, held, nearest, schema)
+        box = cells.boxes(refs, 1 << splits.depth, len(features))
+        least = F.least(*[F.count_if((F.col("at")[f] >= 0) & (F.col("at")[f] < int(sizes.min())))
+                          for f in range(parts)])
+        full = np.array(sorted(r["cell"] for r in refs.groupBy("cell").agg(least.alias("n")).where(
+            F.col("n") >= k).select("cell").collect()), np.int64)              # a row per cell, at most
+        kth = F.get(F.sort_array(F.collect_list("dist")), F.lit(k - 1))
+        bound = (found.groupBy("q", "part", "size").agg(kth.alias("d")).groupBy(F.col("q").alias("i"))
+                 .agg(F.max("d").alias("radius"), F.count("d").alias("done")))
+
+        def radius(a: dict, own: int) -> np.ndarray:
+            place = cells.matrix(a["packed"].field("at"))[:, :, None]
+            open_ = (place < (sizes if train else 0)).sum(axis=(1, 2)) * (1 if train else len(sizes))
+            known = np.where(a["done"].astype(float) == open_, a["radius"].astype(float), np.nan)
+            return _certain(known, a["x"], box, full, p)
+
+        wanting = cells.pack(asks.join(bound, F.col("id") == F.col("i"), "left").drop("i"))
+        found = found.union(cells.compare(cells.reach(wanting, box, p, radius), held, nearest, schema))
+    w = Window.partitionBy("q", "part", "size").orderBy(F.round("dist", DIGITS), F.col("r"))
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -1,9 +1,12 @@
 """Model registry, cross-validation, grid search and learning curves.
 
 Folds are a column (``split.stratified_folds`` for classifiers, contiguous
-id blocks for regression); every (candidate, fold) fit is an independent set
-of Spark jobs over the cached feature table, submitted from a small thread
-pool so several run at once.  Per-fold scores are single aggregate rows.
+id blocks for regression).  k-NN and naive Bayes (``SHARED``) answer all
+(candidate, size, fold) problems in one pass: one neighbour search whose
+blocks are compared once, or one aggregate of moments that problems share;
+one grouped aggregate scores them all.  Of the other models, every
+(candidate, fold) fit is an independent set of Spark jobs over the cached
+feature table, submitted from a small thread pool so several run at once.
 """
 
 from __future__ import annotations
@@ -94,18 +97,24 @@ PARAMS: dict[str, frozenset] = {
 }
 
 
-def get_model(name: str) -> Callable:
+def _known(name: str, params: dict) -> str:
+    """The model's key; unknown parameters are an error."""
     key = name.strip().lower()
     if key not in MODELS:
         raise ValueError(f"unsupported model_type {name!r}; choose one of {sorted(MODELS)}")
-    fit = MODELS[key]
+    unknown = sorted(set(params) - PARAMS[key])
+    if unknown:
+        raise ValueError(f"{key} takes no parameter {', '.join(unknown)}; "
+                         f"choose among {sorted(PARAMS[key])}")
+    return key
+
+
+def get_model(name: str) -> Callable:
+    fit = MODELS[_known(name, {})]
 
     def model(train, test, features, label, id, keep=(), proba=False, **params):
         """Predictions of ``test``: id, label, ``keep``, prediction, p_<class> where there are any."""
-        unknown = sorted(set(params) - PARAMS[key])
-        if unknown:
-            raise ValueError(f"{key} takes no parameter {', '.join(unknown)}; "
-                             f"choose among {sorted(PARAMS[key])}")
+        _known(name, params)
         return fit(train, test, features, label, id, [label, *keep], proba, **params)
 
     return model
@@ -139,6 +148,77 @@ def _fold_score(model, data, f, features, label, id, scoring, params):
     return metrics.score(pred, scoring, label).first()["score"]
 
 
+# ---- many problems in one pass ---------------------------------------------------------
+def _members(data: DataFrame, cv: int) -> DataFrame:
+    """``_at``: for each fold -1 in its test rows, 0 in its training rows."""
+    return data.withColumn("_at", F.array(*[F.when(F.col("fold") == f, -1).otherwise(0).cast("bigint")
+                                            for f in range(cv)]))
+
+
+def _positions(data: DataFrame, cv: int, id: str) -> DataFrame:
+    """``_at``: for each fold -1 in its test rows, the place by id among its training rows; one ranking for all."""
+    r = global_rank(data, [F.col(id)], "_g",
+                    sums={f"_s{f}": (F.col("fold") == f).cast("bigint") for f in range(cv)})
+    at = F.array(*[F.when(F.col("fold") == f, F.lit(-1).cast("bigint")).otherwise(F.col("_g") - F.col(f"_s{f}"))
+                   for f in range(cv)])
+    return r.select(*data.columns, at.alias("_at"))
+
+
+def _knn_problems(data, features, label, id, cands, sizes, cv, train):
+    from .neighbors import knn_problems
+    by_p = {}
+    for c, q in enumerate(cands):
+        weights = str(q.get("weights", "uniform"))
+        if weights not in ("uniform", "distance"):
+            raise ValueError("weights must be 'uniform' or 'distance'")
+        by_p.setdefault(float(q.get("p", 2)), []).append((c, int(q.get("n_neighbors", 5)), weights == "distance"))
+    problem, tables = ["q", "part", "size", "seen", "cand"], []
+    first = lambda votes: F.min_by("lab", F.struct(-F.col(votes), F.col("lab")))
+    for p, some in by_p.items():
+        near = knn_problems(data, features, label, max(k for _, k, _ in some), sizes, cv, "_at", p, id, train)
+        each = F.array(*[F.struct(F.lit(c).alias("cand"), F.lit(k).alias("k"), F.lit(w).alias("near"))
+                         for c, k, w in some])
+        votes = (near.select("q", "part", "size", "seen", "y", "lab", "dist", "rank", F.explode(each).alias("c"))
+                 .select("*", "c.*").where(F.col("rank") <= F.col("k")))
+        weight = F.when(~F.col("near"), 1.0).when(F.col("dist") > 0, 1.0 / F.col("dist")).otherwise(0.0)
+        ballot = votes.groupBy(*problem, "lab").agg(
+            F.first("y").alias("y"), F.first("near").alias("near"), F.count_if(F.col("dist") == 0).alias("zero"),
+            F.sum(weight).alias("votes"))
+        tables.append(ballot.groupBy(*problem).agg(
+            F.first("y").alias("y"),
+            F.when(F.first("near") & (F.max("zero") > 0), first("zero")).otherwise(first("votes")).alias("prediction")))
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def _nb_problems(data, features, label, id, cands, sizes, cv, train):
+    from . import bayes
+    models = bayes.fit_problems(data, features, label, cands, sizes, cv, "_at")
+    return bayes.predict_problems(models, data, label, sizes, "_at", train)
+
+
+#: Models whose problems share their statistics: functions of a table with ``_at`` to
+#: (cand, part, size, seen, y, prediction); ``seen`` marks training rows.
+SHARED: dict[str, Callable] = {"knn": _knn_problems, "nb": _nb_problems}
+
+
+def _fold_scores(data, features, label, id, model_type, cands, cv, scoring) -> dict[tuple[int, int], float]:
+    """The score of each (candidate, fold)."""
+    for q in cands:
+        key = _known(model_type, q)
+    if key in SHARED and scoring.strip().lower() != "roc_auc":
+        pred = SHARED[key](_members(data, cv), features, label, id, cands, [1], cv, False)
+        scored = metrics.score(pred, scoring, "y", keys=("cand", "part"))
+        return {(r["cand"], r["part"]): r["score"] for r in scored.collect()}      # candidates x folds
+    model = get_model(model_type)
+    jobs = [(c, f) for c in range(len(cands)) for f in range(cv)]
+    with ThreadPoolExecutor(PARALLEL_FITS) as ex:
+        return dict(zip(jobs, ex.map(lambda cf: _fold_score(model, data, cf[1], features, label, id, scoring,
+                                                            cands[cf[0]]), jobs), strict=True))
+
+
 # ---- cross validation (E6, E7) -------------------------------------------------------------
 def cross_validate(df: DataFrame, features: Sequence[str], label: str,
                    model_type: str = "logistic", cv: int = 5, scoring: str = "accuracy",
@@ -146,19 +226,17 @@ def cross_validate(df: DataFrame, features: Sequence[str], label: str,
     """(fold, score, n_train, n_test) -- one row per fold."""
     features = list(features)
     check_columns(df, [id, label] + features)
-    model = get_model(model_type)
+    _known(model_type, params or {})
     spark = df.sparkSession
     data = with_folds(df.select(id, label, *features), label, cv, id,
                       _is_classifier(model_type)).persist()
     sizes = {r["fold"]: r["n"] for r in
              data.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}  # cv rows
     n = sum(sizes.values())
-    with ThreadPoolExecutor(PARALLEL_FITS) as ex:
-        scores = list(ex.map(lambda f: _fold_score(model, data, f, features, label, id,
-                                                   scoring, params or {}), range(cv)))
+    scores = _fold_scores(data, features, label, id, model_type, [params or {}], cv, scoring)
     data.unpersist()
     return spark.createDataFrame(
-        [(f, float(s), n - sizes[f], sizes[f]) for f, s in enumerate(scores)],
+        [(f, float(scores[0, f]), n - sizes[f], sizes[f]) for f in range(cv)],
         "fold int, score double, n_train bigint, n_test bigint")
 
 
@@ -183,17 +261,15 @@ def grid_search(df: DataFrame, features: Sequence[str], label: str, grid: dict[s
     features = list(features)
     if not grid:
         raise ValueError("empty parameter grid")
-    model = get_model(model_type)
+    cands = candidates(grid)
+    for q in cands:
+        _known(model_type, q)
     spark = df.sparkSession
     data = with_folds(df.select(id, label, *features), label, cv, id,
                       _is_classifier(model_type)).persist()
-    cands = candidates(grid)
-    jobs = [(c, f) for c in range(len(cands)) for f in range(cv)]
-    with ThreadPoolExecutor(PARALLEL_FITS) as ex:
-        res = list(ex.map(lambda cf: _fold_score(model, data, cf[1], features, label, id,
-                                                 scoring, cands[cf[0]]), jobs))
+    scores = _fold_scores(data, features, label, id, model_type, cands, cv, scoring)
     data.unpersist()
-    per = np.array(res, dtype=float).reshape(len(cands), cv)
+    per = np.array([[scores[c, f] for f in range(cv)] for c in range(len(cands))], dtype=float)
     rows = []
     for c, p in enumerate(cands):
         rows.append((c, ", ".join(f"{k}={v}" for k, v in p.items()),
@@ -260,29 +336,28 @@ def learning_curve(df: DataFrame, features: Sequence[str], label: str,
     sizes = sorted({int(fr * n_max) if fr <= 1.0 else int(fr) for fr in train_sizes})
     if not sizes or sizes[0] < 1:
         raise ValueError(f"train sizes {sizes} must be at least 1")
-    # position of each row inside every training fold (id order)
-    ranked = {}
-    for f in range(cv):
-        tr = data.where(F.col("fold") != f)
-        ranked[f] = global_rank(tr, [F.col(id)], "_pos")
-
-    def one(sf):
-        s, f = sf
-        sub = ranked[f].where(F.col("_pos") < s).drop("_pos")
-        te = data.where(F.col("fold") == f)
-        # one fit scores both sets; a row is in one of them only
-        both = (sub.withColumn("_set", F.lit("train"))
-                .unionByName(te.withColumn("_set", F.lit("val"))))
-        pred = model(sub, both, features, label, id, keep=["_set"], **(params or {}))
-        hit = (F.col("prediction") == F.col(label)).cast("double")
-        got = {r["_set"]: r["a"] for r in pred.groupBy("_set").agg(F.avg(hit).alias("a")).collect()}
-        return s, f, got["train"], got["val"]
-
-    jobs = [(s, f) for s in sizes for f in range(cv)]
-    with ThreadPoolExecutor(PARALLEL_FITS) as ex:
-        res = list(ex.map(one, jobs))
-    for r in ranked.values():
-        r.unpersist()
+    placed = cut_lineage(_positions(data, cv, id))
+    key = _known(model_type, params or {})
+    hit = F.avg((F.col("prediction") == F.col("y")).cast("double")).alias("a")
+    if key in SHARED:
+        pred = SHARED[key](placed, features, label, id, [params or {}], sizes, cv, True)
+        got = {(r["size"], r["part"], r["seen"]): r["a"]
+               for r in pred.groupBy("size", "part", "seen").agg(hit).collect()}       # sizes x folds x 2
+        res = [(s, f, got[i, f, True], got[i, f, False]) for i, s in enumerate(sizes) for f in range(cv)]
+    else:
+        def one(sf):
+            s, f = sf
+            at = F.col("_at")[f]
+            sub = placed.where((at >= 0) & (at < s))
+            # one fit scores both sets; a row is in one of them only
+            both = placed.where(at < s).withColumn("_seen", at >= 0)
+            pred = model(sub, both, features, label, id, keep=["_seen"], **(params or {}))
+            got = {r["_seen"]: r["a"] for r in pred.withColumnRenamed(label, "y").groupBy("_seen").agg(hit).collect()}
+            return s, f, got[True], got[False]
+
+        jobs = [(s, f) for s in sizes for f in range(cv)]
+        with ThreadPoolExecutor(PARALLEL_FITS) as ex:
+            res = list(ex.map(one, jobs))
     data.unpersist()
     rows = []
     for s in sizes:
