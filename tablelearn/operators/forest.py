@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from ..frame import as_double, check_columns, check_numeric
 from ..functions.rank import maybe_broadcast
 from ..session import cut_lineage, ship_package
-from .tree import _best_splits, _impurity
+from .tree import _best_splits, _impurity, coded
 
 LOCAL_ROWS = 50_000
 PURE = 1e-12               # share of the weight below which a node's impurity counts as none
@@ -240,13 +240,15 @@ def fit(df: DataFrame, features: Sequence[str], label: str, task: str = "classif
     ship_package(df.sparkSession)
     bags = F.explode(F.transform(F.sequence(F.lit(0), F.lit(int(n_estimators) - 1)), lambda t: F.struct(
         t.alias("tree"), bag_weight(seed, t, F.col("_id")).alias("_w"))))
-    active = (df.select(F.col(id).alias("_id"), *[as_double(c).alias(f"_f{j}") for j, c in enumerate(features)],
-                        y.alias("_y"))
-              .select("*", bags.alias("_b")).select("*", "_b.tree", "_b._w").drop("_b", "_id").where("_w > 0")
-              .withColumn("node", F.col("tree").cast("string")))
+    rows = df.select(F.col(id).alias("_id"), *[as_double(c).alias(f"_f{j}") for j, c in enumerate(features)],
+                     y.alias("_y"))
+    bagged = lambda t: (
+        t.select("*", bags.alias("_b")).select("*", "_b.tree", "_b._w").drop("_b", "_id").where("_w > 0")
+        .withColumn("node", F.col("tree").cast("string")))
     if df.count() <= local_rows:
-        return ForestModel(features, classes, int(n_estimators), cut_lineage(_finish(active, rule)))
-    active, tables, depth = cut_lineage(active), [], 0
+        return ForestModel(features, classes, int(n_estimators), cut_lineage(_finish(bagged(rows), rule)))
+    rows, codes = coded(rows, p)
+    active, tables, depth = cut_lineage(bagged(rows)), [], 0
     while True:
         nodes = cut_lineage(_node_stats(active, rule))
         small = nodes.where(F.col("n") <= local_rows).select("node")
@@ -256,7 +258,7 @@ def fit(df: DataFrame, features: Sequence[str], label: str, task: str = "classif
         n_big = big.count()
         if not n_big:
             break
-        best = cut_lineage(_splits(active, big, rule, depth))
+        best = cut_lineage(_splits(active, big, rule, depth, codes))
         n_best = best.count()
         tables.append(cut_lineage(big.join(maybe_broadcast(best, n_best), "node", "left").select(
             "node", "tree", F.lit(depth).alias("depth"), "n", F.col("W").alias("weight"),
@@ -275,7 +277,7 @@ def fit(df: DataFrame, features: Sequence[str], label: str, task: str = "classif
 
 def _finish(active: DataFrame, rule: _Rule) -> DataFrame:
     """The subtrees of nodes that fit into a task; each group has ``LOCAL_ROWS`` rows at most."""
-    return active.groupBy("node").applyInPandas(lambda rows: rule.finish(rows), NODE_SCHEMA)
+    return active.drop("_codes").groupBy("node").applyInPandas(lambda rows: rule.finish(rows), NODE_SCHEMA)
 
 
 def _stat_names(rule: _Rule) -> list[str]:
@@ -289,7 +291,7 @@ def _node_stats(active: DataFrame, rule: _Rule) -> DataFrame:
     return active.groupBy("node", "tree").agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("W"), *sums)
 
 
-def _splits(active: DataFrame, big: DataFrame, rule: _Rule, depth: int) -> DataFrame:
+def _splits(active: DataFrame, big: DataFrame, rule: _Rule, depth: int, codes: int) -> DataFrame:
     """(node, feature_pos, threshold, gain) of the large nodes that split."""
     regression = not rule.n_classes
     names = _stat_names(rule)
@@ -302,7 +304,7 @@ def _splits(active: DataFrame, big: DataFrame, rule: _Rule, depth: int) -> DataF
     classes = None if regression else [float(i) for i in range(rule.n_classes)]
     find = lambda nodes, first_valid: _best_splits(
         active, nodes, rule.p, regression, classes, "squared_error" if regression else "gini", names,
-        rule.min_leaf, first_valid)
+        rule.min_leaf, codes, first_valid)
     best = cut_lineage(find(able.select("node", F.slice("order", 1, rule.first).alias("chosen")), False))
     if rule.first == rule.p:
         return best

@@ -1,35 +1,36 @@
 """Decision trees (classification: gini / entropy; regression: squared error).
 
-Level-wise exact builder.  Per level, for the rows still in splittable nodes:
+Level-wise exact builder over presorted features: each (feature, value) has a
+code, its place among all distinct ones, found once (``coded``).  Per level,
+for the rows still in splittable nodes:
 
-1. unpivot to (node, pos, value) and aggregate per distinct value the class
-   counts (or sum / sum of squares) -- partial aggregation before the shuffle;
-2. cumulative sums over (node, pos, value) from the distributed
-   ``global_rank`` (bucketed by key range: a root node with every row is still
-   spread over all tasks), made per-group by subtracting the group start;
-3. the next distinct value comes from an equi-join on rank + 1; every gap
-   between consecutive values is a candidate threshold (midpoint);
-4. the best candidate per node is a ``min_by`` aggregate with explicit ties
-   (largest gain, then smallest feature position, then smallest threshold);
-5. rows move to their child by a join with the (checked-size) split table.
+1. aggregate by (node, feature, code) the class counts (or sum / sum of
+   squares) -- partial aggregation before the shuffle;
+2. running sums in the order of codes that restart with every (node, feature),
+   with the next value (``_running``): codes are cut into runs, so that a
+   window has a bounded number of rows, also in a root that holds all;
+3. every gap between neighbouring values is a candidate threshold (midpoint);
+   the best of a node is a ``min_by`` aggregate with explicit ties (largest
+   gain, then smallest feature position, then smallest threshold);
+4. rows move to their child by a join with the (checked-size) split table.
 
-Thresholds are exact (every distinct value), as in the reference.  ``max_bins``
-switches to quantile bins for very wide value ranges.
+Thresholds are exact (every distinct value).  A null counts below every value
+of its feature, in fitting and in predicting.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..frame import as_double, check_columns, check_numeric
 from ..functions.rank import global_rank, maybe_broadcast
 from ..session import cut_lineage
 
+FAN = 12                     # bits of a code that one window orders
 CRITERIA = ("gini", "entropy", "squared_error")
 
 
@@ -84,7 +85,7 @@ class TreeModel:
         sp = maybe_broadcast(splits, n_split)
         for _ in range(depth):
             j = cur.join(sp, "node", "left")
-            go_left = F.element_at("_x", F.col("feature_pos") + 1) <= F.col("threshold")
+            go_left = F.coalesce(F.element_at("_x", F.col("feature_pos") + 1) <= F.col("threshold"), F.lit(True))
             nxt = (F.when(F.col("feature_pos").isNull(), F.col("node"))
                    .when(go_left, F.col("left")).otherwise(F.col("right")))
             cur = j.select("_id", *keep, "_x", nxt.alias("node"))
@@ -143,7 +144,7 @@ def fit(df: DataFrame, features: Sequence[str], label: str, id: str = "id",
     rows = df.select(F.col(id).alias("_id"), *[as_double(c).alias(f"_f{j}")
                                                for j, c in enumerate(features)],
                      y.alias("_y"), w.alias("_w")).where(F.col("_w") > 0)
-    rows = rows.persist()
+    rows, codes = coded(rows, p)
     n_rows = rows.count()
     classes = None
     if not regression:
@@ -180,7 +181,7 @@ def fit(df: DataFrame, features: Sequence[str], label: str, id: str = "id",
         if n_nodes == 0:
             break
         best = _best_splits(active, ns.where("can_split"), p, regression, classes, criterion,
-                            stat_cols, min_samples_leaf)
+                            stat_cols, min_samples_leaf, codes)
         best = cut_lineage(best)
         n_best = best.count()
         # number the children: left = next_id + 2 r, right = left + 1
@@ -208,7 +209,7 @@ def fit(df: DataFrame, features: Sequence[str], label: str, id: str = "id",
                              n_best)
         xarr = F.array(*[F.col(f"_f{j}") for j in range(p)])
         moved = active.join(sp, "node").withColumn(
-            "node", F.when(F.element_at(xarr, F.col("feature_pos") + 1) <= F.col("threshold"),
+            "node", F.when(F.coalesce(F.element_at(xarr, F.col("feature_pos") + 1) <= F.col("threshold"), F.lit(True)),
                            F.col("left")).otherwise(F.col("right")))
         # one reliable checkpoint per level keeps the plan (and recovery) short
         active = cut_lineage(moved.select(rows.columns + ["node"]))
@@ -229,26 +230,67 @@ def fit(df: DataFrame, features: Sequence[str], label: str, id: str = "id",
         nodes = nodes.withColumn(
             "argmax", (F.array_position(counts, F.array_max(counts)) - 1).cast("int"))
     nodes = nodes.withColumn("impurity", F.col("wimp") / F.col("W"))
-    rows.unpersist()
     return TreeModel(features, criterion, classes, cut_lineage(nodes), leaves, n_rows)
 
 
-def _best_splits(active, splittable, p, regression, classes, criterion, stat_cols,
-                 min_leaf, first_valid=False):
+def coded(rows: DataFrame, p: int) -> tuple[DataFrame, int]:
+    """``rows`` (features ``_f0``, ...) with ``_codes``, and how many codes there are.
+
+    A code is the place of a (feature, value) among all distinct ones, so the
+    order of every feature is found once and levels only carry it down.
+    """
+    base = cut_lineage(rows.withColumn("_row", F.monotonically_increasing_id()))
+    long = base.select("_row", F.posexplode(F.array(*[F.col(f"_f{j}") for j in range(p)])).alias("pos", "value"))
+    values = cut_lineage(global_rank(long.select("pos", "value").distinct(), [F.col("pos"), F.col("value")], "code"))
+    same = (long["pos"] == values["pos"]) & long["value"].eqNullSafe(values["value"])
+    codes = (long.join(values, same).groupBy("_row")
+             .agg(F.array_sort(F.collect_list(F.struct(long["pos"], "code"))).alias("_c"))
+             .select("_row", F.transform("_c", lambda c: c["code"]).alias("_codes")))
+    return cut_lineage(base.join(codes, "_row").drop("_row")), values.count()
+
+
+def _running(h: DataFrame, keys: list[str], names: list[str], codes: int) -> DataFrame:
+    """``B_<name>``, the sum of the rows before in the order of ``code``, and ``next``, the following ``first``.
+
+    Sums restart with the keys.  A window has ``1 << FAN`` rows at most: codes
+    are cut into runs, and the runs' totals summed in the same way.
+    """
+    top = codes <= 1 << FAN
+    h = h.withColumn("_up", F.lit(0).cast("bigint") if top else F.shiftright("code", FAN))
+    order = Window.partitionBy(*keys, "_up").orderBy("code")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    out = h.select("*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"B_{c}") for c in names],
+                   F.lead("first").over(order).alias("next"))
+    if top:
+        return out.drop("_up")
+    runs = h.groupBy(*keys, F.col("_up").alias("code")).agg(
+        *[F.sum(c).alias(c) for c in names], F.min("first").alias("first"))
+    above = _running(runs, keys, names, (codes >> FAN) + 1).select(
+        *keys, F.col("code").alias("_up"), *[F.col(f"B_{c}").alias(f"U_{c}") for c in names],
+        F.col("next").alias("_after"))
+    return out.join(above, [*keys, "_up"]).select(
+        *h.drop("_up").columns, *[(F.col(f"B_{c}") + F.col(f"U_{c}")).alias(f"B_{c}") for c in names],
+        F.coalesce("next", "_after").alias("next"))
+
+
+def _best_splits(active, splittable, p, regression, classes, criterion, stat_cols, min_leaf, codes,
+                 first_valid=False):
     """(node, feature_pos, threshold, gain) for every node with a valid split.
 
-    A column ``chosen`` of ``splittable`` names the features to look at;
-    ``first_valid`` takes the first of them that splits at all, not the best.
+    ``active`` has the ``_codes`` of ``coded``.  A column ``chosen`` of
+    ``splittable`` names the features to look at; ``first_valid`` takes the
+    first of them that splits at all, not the best.
     """
     some = "chosen" in splittable.columns
-    each = [F.struct(F.lit(j).alias("pos"), F.col(f"_f{j}").alias("value")) for j in range(p)]
+    value = F.array(*[F.col(f"_f{j}") for j in range(p)])
+    each = lambda j: F.struct(j.alias("pos"), F.get("_codes", j).alias("code"), F.get(value, j).alias("value"))
     if some:
         a = active.join(splittable.select("node", "chosen"), "node")
-        each = F.transform("chosen", lambda j: F.element_at(F.array(*each), j + 1))
+        every = F.transform("chosen", each)
     else:
         a = active.join(splittable.select("node"), "node", "left_semi")
-        each = F.array(*each)
-    long = a.select("node", F.inline(each), "_y", "_w")
+        every = F.array(*[each(F.lit(j)) for j in range(p)])
+    long = a.select("node", F.inline(every), "_y", "_w")
     if regression:
         aggs = [F.sum("_w").alias("W"), F.sum(F.col("_w") * F.col("_y")).alias("S"),
                 F.sum(F.col("_w") * F.col("_y") * F.col("_y")).alias("S2")]
@@ -256,33 +298,26 @@ def _best_splits(active, splittable, p, regression, classes, criterion, stat_col
         aggs = [F.sum("_w").alias("W")] + [
             F.sum(F.when(F.col("_y") == F.lit(c), F.col("_w")).otherwise(0.0)).alias(f"c{i}")
             for i, c in enumerate(classes)]
-    h = long.groupBy("node", "pos", "value").agg(F.count(F.lit(1)).alias("n"), *aggs)
-    cum_cols = ["n"] + stat_cols
-    r = global_rank(h, [F.col("node"), F.col("pos"), F.col("value")], "_r",
-                    sums={f"L_{c}": F.col(c) for c in cum_cols})
-    r = cut_lineage(r)
-    grp = r.groupBy("node", "pos").agg(
-        *[F.min(F.col(f"L_{c}") - F.col(c)).alias(f"B_{c}") for c in cum_cols],
-        *[F.max(F.col(f"L_{c}")).alias(f"E_{c}") for c in cum_cols])
-    n_grp = grp.count()
-    nxt = r.select((F.col("_r") - 1).alias("_r"), F.col("node").alias("_nn"),
-                   F.col("pos").alias("_np"), F.col("value").alias("_nv"))
-    c = (r.join(nxt, "_r")
-         .where((F.col("_nn") == F.col("node")) & (F.col("_np") == F.col("pos")))
-         .join(maybe_broadcast(grp, n_grp), ["node", "pos"]))
-    left = {k: F.col(f"L_{k}") - F.col(f"B_{k}") for k in cum_cols}
-    tot = {k: F.col(f"E_{k}") - F.col(f"B_{k}") for k in cum_cols}
-    right = {k: tot[k] - left[k] for k in cum_cols}
+    names = ["n"] + stat_cols
+    h = cut_lineage(long.groupBy("node", "pos", "code", "value").agg(F.count(F.lit(1)).alias("n"), *aggs)
+                    .withColumn("first", F.struct("code", "value")).drop("value"))
+    total = h.groupBy("node", "pos").agg(*[F.sum(c).alias(f"T_{c}") for c in names])
+    c = _running(h, ["node", "pos"], names, codes).where("next is not null").join(total, ["node", "pos"])
+    left = {k: F.col(f"B_{k}") + F.col(k) for k in names}
+    tot = {k: F.col(f"T_{k}") for k in names}
+    right = {k: tot[k] - left[k] for k in names}
     if regression:
         imp = lambda d: _impurity(criterion, None, d["W"], d["S"], d["S2"])
     else:
         imp = lambda d: _impurity(
             criterion, [d[f"c{i}"] for i in range(len(classes))], d["W"])
     gain = imp(tot) - imp(left) - imp(right)
-    thr = (F.col("value") + F.col("_nv")) / 2.0
-    thr = F.when(thr >= F.col("_nv"), F.col("value")).otherwise(thr)
+    low, high = F.col("first.value"), F.col("next.value")
+    thr = (low + high) / 2.0
+    thr = F.when(thr >= high, low).otherwise(thr)
     cand = c.where((left["n"] >= min_leaf) & (right["n"] >= min_leaf)).select(
-        "node", F.col("pos").alias("feature_pos"), thr.alias("threshold"), gain.alias("gain"))
+        "node", F.col("pos").alias("feature_pos"), thr.alias("threshold"), gain.alias("gain")
+    ).where("threshold is not null")
     rank = [-F.col("gain"), F.col("feature_pos"), F.col("threshold")]
     if first_valid:
         cand = cand.join(splittable.select("node", "chosen"), "node")

@@ -270,3 +270,31 @@ def tsne_embed(spark, sf):
 def tsne_kl(spark, sf):
     _, kl = ts.embed(tb.f_learn(spark, sf), ["x0", "x1"], 2, 5.0, 200.0, TSNE_STEPS, "vec_id")
     return spark.createDataFrame([(TSNE_STEPS, float(kl))], "steps int, kl double")
+
+
+# ---- all 64 dimensions: moments and components ---------------------------------------
+from ..functions.linalg import moments  # noqa: E402
+from ..operators import pca as wide_pca  # noqa: E402
+
+_COV = f"""WITH e AS {S.EMB}"""
+
+
+@query("covariance_64", _COV + """
+SELECT a.pos AS i, b.pos AS j, round(covar_pop(a.x, b.x), 6) + 0.0 AS cov FROM e a JOIN e b ON a.vec_id = b.vec_id
+WHERE a.pos <= b.pos GROUP BY a.pos, b.pos""")
+def covariance_64(spark, sf):
+    m = moments(tb.f_emb(spark, sf), tb.emb_features())
+    rows = [(i, j, float(m.cov[i, j])) for i in range(64) for j in range(i, 64)]
+    return rounded(spark.createDataFrame(rows, "i int, j int, cov double"))
+
+
+@query("pca_variance_64", _COV + """,
+c AS (SELECT a.pos AS i, b.pos AS j, covar_samp(a.x, b.x) AS v FROM e a JOIN e b ON a.vec_id = b.vec_id
+      GROUP BY a.pos, b.pos)
+SELECT CAST(64 AS BIGINT) AS components, round(sum(CASE WHEN i = j THEN v END), 6) AS total,
+       round(sum(v * v), 6) AS squares FROM c""")
+def pca_variance_64(spark, sf):
+    """The eigenvalues of all 64 dimensions by their sum and the sum of their squares (trace and norm in SQL)."""
+    v = wide_pca.fit(tb.f_emb(spark, sf), tb.emb_features(), 64).variance(spark)
+    return rounded(v.agg(F.count(F.lit(1)).alias("components"), F.sum("eigenvalue").alias("total"),
+                         F.sum(F.col("eigenvalue") * F.col("eigenvalue")).alias("squares")))

@@ -89,7 +89,27 @@ def cv_summary(spark, sf):
     return rounded(se.cv_summary(_cv(spark, sf)))
 
 
-@query("cross_validate_f1_macro")
+_CV_NB = f"""WITH {_FOLDS},
+ll AS (SELECT vec_id, y, fold, 0 AS pos, x0 AS x FROM d UNION ALL SELECT vec_id, y, fold, 1, x1 FROM d),
+tr AS (SELECT f.f AS f, ll.* FROM range(0, 5) f(f) JOIN ll ON ll.fold <> f.f),
+st AS (SELECT f, y AS c, pos, avg(x) AS m, var_pop(x) AS v, count(*) AS nc FROM tr GROUP BY f, y, pos),
+ep AS (SELECT f, 1e-9 * max(v) AS e FROM (SELECT f, pos, var_pop(x) AS v FROM tr GROUP BY f, pos) GROUP BY f),
+jl AS (SELECT ll.fold, ll.vec_id, any_value(ll.y) AS y, st.c, ln(any_value(st.nc))
+          + sum(-0.5 * ln(2 * pi() * (v + e)) - 0.5 * (x - m) * (x - m) / (v + e)) AS jll
+       FROM ll JOIN st ON st.f = ll.fold AND st.pos = ll.pos JOIN ep ON ep.f = ll.fold
+       GROUP BY ll.fold, ll.vec_id, st.c),
+pr AS (SELECT fold, vec_id, y, c AS p FROM jl
+       QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY jll DESC, c) = 1),
+cl AS (SELECT fold, k.c, count(*) FILTER (WHERE y = k.c AND p = k.c) AS tp,
+              count(*) FILTER (WHERE y = k.c) + count(*) FILTER (WHERE p = k.c) AS marked
+       FROM pr, (SELECT DISTINCT y AS c FROM d) k GROUP BY fold, k.c),
+f1 AS (SELECT fold, avg(2.0 * tp / marked) AS score FROM cl WHERE marked > 0 GROUP BY fold),
+nt AS (SELECT fold, count(*) AS n_test FROM d GROUP BY fold)"""
+
+
+@query("cross_validate_f1_macro", _CV_NB + """
+SELECT fold, round(score, 6) AS score, CAST((SELECT count(*) FROM d) - n_test AS BIGINT) AS n_train,
+       CAST(n_test AS BIGINT) AS n_test FROM f1 JOIN nt USING (fold)""")
 def cross_validate_f1_macro(spark, sf):
     return rounded(se.cross_validate(tb.f_learn(spark, sf), ["x0", "x1"], "y", "nb", 5,
                                      "f1_macro", "vec_id"))

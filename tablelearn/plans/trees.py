@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import forest as rf
 from ..operators import importance as imp
 from ..operators import logistic as lg
-from ..operators import tree
+from ..operators import search, tree
 from ..sources import tables as tb
+from . import sqlparts as S
 from .models import _newton_sql
 from .preprocess import _F_ORDER
 from .registry import query, rounded
@@ -118,6 +119,94 @@ def tree_importance(spark, sf):
 query("feature_importance_tree", _TREE_IMP)(tree_importance)
 
 
+# ---- whole trees of three levels ----------------------------------------------------
+_DEEP = dict(max_depth=3, min_samples_split=40, min_samples_leaf=5)
+
+
+def _levels_sql(criterion, source):
+    """The CTEs r0.. (training rows by node), best0.. and levels; a node is named by its turns from the root.
+
+    ``source`` has TREE_X, the class ``y`` and the number ``t``.
+    """
+    if criterion == "squared_error":
+        cols = ["n", "W", "S", "S2"]
+        sums = "count(*) AS n, CAST(count(*) AS DOUBLE) AS W, sum(t) AS S, sum(t * t) AS S2"
+        imp_of = lambda a: f"({a('S2')} - {a('S')} * {a('S')} / {a('W')})"
+    else:
+        cols = ["n", "W", *[f"c{i}" for i in range(3)]]
+        sums = "count(*) AS n, CAST(count(*) AS DOUBLE) AS W, " + ", ".join(
+            f"sum(CASE WHEN y = '{s}' THEN 1.0 ELSE 0.0 END) AS c{i}" for i, s in enumerate(STATUS))
+        imp_of = lambda a: _imp_sql([a(f"c{i}") for i in range(3)], a("W"), criterion)
+    whole, left, right = (imp_of(a) for a in (lambda c: f"T{c}", lambda c: f"L{c}", lambda c: f"(T{c} - L{c})"))
+    leaf, depth = _DEEP["min_samples_leaf"], _DEEP["max_depth"]
+    sql = f"r0 AS (SELECT s.*, '' AS node FROM {source} s)"
+    for d in range(depth):
+        long = " UNION ALL ".join(f"SELECT node, {j} AS pos, CAST({c} AS DOUBLE) AS value, y, t FROM r{d}"
+                                  for j, c in enumerate(TREE_X))
+        sql += f""",
+h{d} AS (SELECT node, pos, value, {sums} FROM ({long}) GROUP BY node, pos, value),
+cu{d} AS (SELECT node, pos, value, lead(value) OVER o AS nv,
+    {", ".join(f"sum({c}) OVER o AS L{c}, sum({c}) OVER g AS T{c}" for c in cols)}
+  FROM h{d} WINDOW o AS (PARTITION BY node, pos ORDER BY value ROWS UNBOUNDED PRECEDING),
+                   g AS (PARTITION BY node, pos)),
+best{d} AS (SELECT node, pos, thr, gain FROM (SELECT node, pos, {whole} - {left} - {right} AS gain,
+    CASE WHEN (value + nv) / 2.0 >= nv THEN value ELSE (value + nv) / 2.0 END AS thr FROM cu{d}
+    WHERE nv IS NOT NULL AND Tn >= {_DEEP["min_samples_split"]} AND Ln >= {leaf} AND Tn - Ln >= {leaf}
+      AND {whole} > 1e-12 * TW)
+  QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, pos, thr) = 1),
+r{d + 1} AS (SELECT r{d}.* REPLACE (node || {_turn_sql()} AS node) FROM r{d} JOIN best{d} USING (node))"""
+    level = lambda d: (
+        f"SELECT s.*, {d} AS depth, {'pos, thr, gain' if d < depth else 'NULL AS pos, NULL AS thr, NULL AS gain'} "
+        f"FROM (SELECT node, {sums} FROM r{d} GROUP BY node) s " + (f"LEFT JOIN best{d} USING (node)" if d < depth else ""))
+    return sql + f""",
+levels AS ({" UNION ALL ".join(level(d) for d in range(depth + 1))})"""
+
+
+def _turn_sql():
+    value = " ".join(f"WHEN {j} THEN CAST({c} AS DOUBLE)" for j, c in enumerate(TREE_X))
+    return f"CASE WHEN CASE pos {value} END <= thr THEN 'L' ELSE 'R' END"
+
+
+_TREE_ROWS = f"""WITH f AS {_F_ORDER},
+src AS (SELECT o_orderkey, {", ".join(TREE_X)}, o_orderstatus AS y, floor(price_k) AS t FROM f)"""
+
+
+def _levels(criterion):
+    """All nodes of a tree over whole numbers, so that sums are exact in either engine."""
+    def run(spark, sf):
+        df = tb.f_order(spark, sf).withColumn("thousands", F.floor("price_k").cast("double"))
+        y = "thousands" if criterion == "squared_error" else "o_orderstatus"
+        m = tree.fit(df, TREE_X, y, "o_orderkey", criterion=criterion, **_DEEP)
+        return rounded(m.nodes.select(*_NODE_COLS), 4)
+    return run
+
+
+for _name, _criterion in (("tree_levels", "gini"), ("tree_levels_regressor", "squared_error")):
+    query(_name, f"""{_TREE_ROWS}, {_levels_sql(_criterion, "src")}
+SELECT CAST(row_number() OVER (ORDER BY depth, node) - 1 AS BIGINT) AS node, CAST(depth AS INTEGER) AS depth,
+       CAST(n AS BIGINT) AS n, pos IS NULL AS is_leaf, CAST(pos AS INTEGER) AS feature_pos,
+       round(thr, 4) AS threshold, round(gain, 4) AS gain FROM levels""")(_levels(_criterion))
+
+_ROUTED = "".join(f""",
+t{d + 1} AS (SELECT t{d}.* REPLACE (CASE WHEN pos IS NULL THEN node ELSE node || {_turn_sql()} END AS node)
+  FROM t{d} LEFT JOIN best{d} USING (node))""" for d in range(_DEEP["max_depth"]))
+
+
+@query("tree_test_predictions", f"""{_TREE_ROWS},
+parts AS {S.stratified_split("(SELECT o_orderkey, y FROM src)", "o_orderkey", "y")},
+train AS (SELECT src.* FROM src JOIN parts USING (o_orderkey) WHERE split = 'train'),
+{_levels_sql("gini", "train")},
+t0 AS (SELECT src.*, '' AS node FROM src JOIN parts USING (o_orderkey) WHERE split = 'test'){_ROUTED}
+SELECT o_orderkey, t3.y AS o_orderstatus,
+       CASE WHEN c0 >= c1 AND c0 >= c2 THEN 'F' WHEN c1 >= c2 THEN 'O' ELSE 'P' END AS prediction,
+       round(c0 / W, 6) AS "p_F", round(c1 / W, 6) AS "p_O", round(c2 / W, 6) AS "p_P"
+FROM t3 JOIN levels USING (node)""")
+def tree_test_predictions(spark, sf):
+    """A tree by model name: split, fit on the training rows, predict the test rows."""
+    df = tb.f_order(spark, sf)
+    return rounded(search.predict_split(df, TREE_X, "o_orderstatus", "tree", "o_orderkey", params=_DEEP))
+
+
 # ---- forests ---------------------------------------------------------------------
 _FOREST = dict(n_estimators=3, max_depth=2, min_samples_split=20, min_samples_leaf=3, seed=42)
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablelearn.functions import rank as rk
+from tablelearn.functions import linalg
 from tablelearn.operators import (bayes, dbscan, hierarchy, kmeans, knn, linear, logistic,
                                   metrics, pca, roc, search, silhouette, split, tree)
 
@@ -183,6 +184,43 @@ def test_full_tree_fits_training_data(spark):
     assert imp == pytest.approx(1.0)
 
 
+@pytest.mark.parametrize("fan", [12, 2])
+def test_running_sums_restart_and_run_across_windows(spark, monkeypatch, fan):
+    monkeypatch.setattr(tree, "FAN", fan)
+    rng = np.random.default_rng(3)
+    rows = [(g, int(c), float(rng.integers(1, 9))) for g in "ab" for c in sorted(rng.choice(70, 40, replace=False))]
+    h = spark.createDataFrame(rows, "k string, code long, w double").withColumn("first", F.struct("code"))
+    got = {(r.k, r.code): (r.B_w, r.next and r.next.code) for r in tree._running(h, ["k"], ["w"], 70).collect()}
+    for g in "ab":
+        mine = [r for r in rows if r[0] == g]
+        for i, r in enumerate(mine):
+            after = mine[i + 1][1] if i + 1 < len(mine) else None
+            assert got[g, r[1]] == (sum(x[2] for x in mine[:i]), after)
+
+
+def test_wide_moments_are_narrow_ones(spark, monkeypatch):
+    """Products of Arrow batches and covar_pop agree, also with nulls and an offset."""
+    rng = np.random.default_rng(6)
+    rows = [(*[None if rng.random() < 0.1 else float(v) for v in rng.normal(1e6, 1, 3)], 1.0) for _ in range(80)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    narrow = linalg.moments(df, list("abcd"))
+    monkeypatch.setattr(linalg, "WIDE", 2)
+    wide = linalg.moments(df, list("abcd"))
+    assert wide.n == narrow.n and np.allclose(wide.mean, narrow.mean, rtol=1e-12)
+    assert np.allclose(wide.cov, narrow.cov, atol=1e-9)
+    with pytest.raises(ValueError, match="empty"):
+        linalg.moments(df.limit(0), list("abcd"))
+
+
+def test_tree_with_nulls_and_repeated_rows(spark):
+    """A null counts below every value, in fitting and in predicting."""
+    rows = [(i, None if i % 4 == 0 else float(i % 4), 0 if i % 4 < 2 else 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, x double, y int")
+    m = tree.fit(df, ["x"], "y")
+    assert [r.threshold for r in m.nodes.where("not is_leaf").collect()] == [1.5]
+    assert m.predict(df, keep=["y"]).where("prediction <> y").count() == 0
+
+
 def test_knn_matches_brute_force(spark):
     rng = np.random.default_rng(6)
     X = rng.normal(size=(40, 3))
