@@ -172,8 +172,12 @@ def pca_scores(spark, sf):
 
 
 # ---- logistic (C1-C5, E21) --------------------------------------------------------
-def _newton_sql(inv_c: str) -> str:
-    """12 unrolled Newton steps (recursive CTE) for y ~ x0 + x1 on F_learn."""
+def _newton_sql(inv_c: str, l1: str = "0.0") -> str:
+    """12 unrolled Newton steps (recursive CTE) for y ~ x0 + x1 on F_learn.
+
+    ``l1`` weighs the sum of the coefficients, which is their L1 norm where
+    both are positive; c has no row elsewhere.
+    """
     return f"""WITH RECURSIVE learn AS {S.LEARN},
 it(k, b0, b1, b2) AS (
   SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE
@@ -185,8 +189,8 @@ it(k, b0, b1, b2) AS (
     SELECT *, d * f - e * e AS A11, c * e - b * f AS A12, b * e - c * d AS A13,
               a * f - c * c AS A22, b * c - a * e AS A23, a * d - b * b AS A33 FROM (
       SELECT k, b0, b1, b2,
-             sum(s - y) AS g0, sum((s - y) * x0) + b1 * {inv_c} AS g1,
-             sum((s - y) * x1) + b2 * {inv_c} AS g2,
+             sum(s - y) AS g0, sum((s - y) * x0) + b1 * {inv_c} + {l1} AS g1,
+             sum((s - y) * x1) + b2 * {inv_c} + {l1} AS g2,
              sum(w) AS a, sum(w * x0) AS b, sum(w * x1) AS c,
              sum(w * x0 * x0) + {inv_c} AS d, sum(w * x0 * x1) AS e,
              sum(w * x1 * x1) + {inv_c} AS f
@@ -196,7 +200,7 @@ it(k, b0, b1, b2) AS (
                    * (1 - 1 / (1 + exp(-(b0 + b1 * x0 + b2 * x1)))) AS w
             FROM it, learn WHERE it.k < 12)
       GROUP BY k, b0, b1, b2)))),
-c AS (SELECT b0, b1, b2 FROM it WHERE k = 12)"""
+c AS (SELECT b0, b1, b2 FROM it WHERE k = 12 AND ({l1} = 0 OR b1 > 0 AND b2 > 0))"""
 
 
 _LOGIT_ROWS = """
@@ -214,8 +218,8 @@ def _logit(penalty, C=1.0, digits=5):
 
 query("logistic_l2", _newton_sql("1.0") + _LOGIT_ROWS)(_logit("l2"))
 query("logistic_none", _newton_sql("0.0") + _LOGIT_ROWS)(_logit("none"))
-query("logistic_l1")(_logit("l1", 1.0, 4))
-query("logistic_elasticnet")(_logit("elasticnet", 1.0, 4))
+query("logistic_l1", _newton_sql("0.0", "1.0") + _LOGIT_ROWS)(_logit("l1"))
+query("logistic_elasticnet", _newton_sql("0.5", "0.5") + _LOGIT_ROWS)(_logit("elasticnet"))
 
 
 @query("logistic_multiclass")
@@ -225,6 +229,19 @@ def logistic_multiclass(spark, sf):
     return rounded(m.coefficients(spark), 4)
 
 
+@query("logistic_multiclass_balance", f"""WITH ev AS {S.EVENT},
+long AS (SELECT event_type, -1 AS pos, '(intercept)' AS feature, 1.0::DOUBLE AS x FROM ev
+  UNION ALL SELECT event_type, 0, 'value', CAST(value AS DOUBLE) FROM ev
+  UNION ALL SELECT event_type, 1, 'hour', hour FROM ev UNION ALL SELECT event_type, 2, 'k', k FROM ev)
+SELECT CAST(event_type AS VARCHAR) AS class, CAST(pos AS INTEGER) AS pos, feature,
+       round(sum(x) / (SELECT count(*) FROM ev), 5) AS balance FROM long GROUP BY event_type, pos, feature""")
+def logistic_multiclass_balance(spark, sf):
+    """The optimality conditions of the softmax model, whose other side SQL has from the table alone."""
+    df = tb.f_event(spark, sf)
+    m = lg.fit(df, ["value", "hour", "k"], "event_type", C=1.0, penalty="l2")
+    return rounded(lg.share_balance(m, df, "event_type"), 5)
+
+
 @query("feature_importance_logistic", _newton_sql("1.0") + """
 SELECT 0 AS pos, 'x0' AS feature, round(abs(b1), 5) AS importance FROM c
 UNION ALL SELECT 1, 'x1', round(abs(b2), 5) FROM c""")
