@@ -11,7 +11,9 @@ until no pair remains.
 A round merges all occurrences of a word's best rank only if every pair that
 these merges make ranks later, so that the order of single merges can't
 matter; otherwise it merges the leftmost one alone.  The ids are therefore
-those of merging one pair at a time.
+those of merging one pair at a time.  A word that needs many such single
+merges (a run of thousands of spaces, say) is finished by a heap of pairs in
+that same order, so that the cost of a word stays near its length.
 
 Defined cases: null text counts as empty and has no ids; control and byte
 pieces written out in a text are ordinary characters; characters outside the
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import re
 import struct
 
@@ -38,6 +41,7 @@ NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 CACHE_WORDS = 120_000      # words a worker remembers; a fuller cache starts anew
 CHUNK_CHARS = 600_000      # text that a worker splits into words at a time
 NO_PAIR = np.int64(2**62)
+PATIENCE = 64              # rounds with a single merge after which a word goes to the heap
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -192,6 +196,7 @@ class PieceModel:
         Returns the final symbols and their words.
         """
         done_sym, done_word = [], []
+        singles = np.zeros(n_words, np.int64)
         inner = np.append(word[1:] == word[:-1], False)
         at = np.where(inner, self.pair(sym, np.append(sym[1:], self.other)), -1)
         while len(sym):
@@ -228,6 +233,7 @@ class PieceModel:
             if unsafe.any():
                 single = np.zeros(n_words, bool)
                 single[word[i[unsafe]]] = True
+                singles += single
                 lead = np.append(True, word[i[1:]] != word[i[:-1]])
                 keep = lead | ~single[word[i]]
                 i, new = i[keep], new[keep]
@@ -241,10 +247,47 @@ class PieceModel:
             right = np.minimum(redo + 1, len(sym) - 1)
             inner = (redo + 1 < len(sym)) & (word[right] == word[redo])
             at[redo] = np.where(inner, self.pair(sym[redo], sym[right]), -1)
+            late = np.flatnonzero(singles > PATIENCE)
+            if len(late):
+                for w, a, b in zip(late, np.searchsorted(word, late), np.searchsorted(word, late, "right"), strict=True):
+                    done_sym.append(self._one_by_one(sym[a:b]))
+                    done_word.append(np.full(len(done_sym[-1]), w, word.dtype))
+                rest = singles[word] <= PATIENCE
+                sym, word, at = sym[rest], word[rest], at[rest]
+                singles[late] = 0
         sym, word = np.concatenate(done_sym), np.concatenate(done_word)
         at = np.argsort(word, kind="stable")
         return sym[at], word[at]
 
+    def _one_by_one(self, sym: np.ndarray) -> np.ndarray:
+        """The symbols of one word after all its merges, each the least by (rank, place)."""
+        s, n, known, heap = sym.tolist(), len(sym), {}, []
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+
+        def offer(i: int) -> None:
+            if after[i] < n:
+                pair = s[i], s[after[i]]
+                if pair not in known:
+                    at = int(self.pair(np.array(pair[:1]), np.array(pair[1:]))[0])
+                    known[pair] = (int(self.ranks[at]), int(self.made[at])) if at >= 0 else None
+                if known[pair]:
+                    heapq.heappush(heap, (known[pair][0], i, *pair))
+
+        for i in range(n):
+            offer(i)
+        while heap:
+            _, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if s[i] != a or j >= n or s[j] != b:         # one of them has been merged since
+                continue
+            s[i], s[j], after[i] = known[a, b][1], -1, after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        return np.array([x for x in s if x >= 0], sym.dtype)
+
     # -- words ---------------------------------------------------------------
 
     def learn(self) -> None:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -47,6 +48,19 @@ def test_random_mixtures(model, library):
     assert_same(model, library, texts)
 
 
+def test_long_runs(model, library, monkeypatch):
+    """Words whose rounds merge one pair each: right, and in time that grows with their length."""
+    monkeypatch.setattr(spm, "PATIENCE", 2)
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(["  ", "     ", "a" * 9, "=" * 7, "-", "\n\n\n", "日日日"]) * rng.randint(1, 9)
+                     for _ in range(rng.randint(1, 12))) for _ in range(1500)]
+    assert_same(model, library, texts)
+    monkeypatch.undo()
+    begin = time.perf_counter()
+    assert_same(model, library, [" " * 60_000, "x" + " " * 20_001 + "y", "=" * 20_000, "ab" + "-" * 9_999])
+    assert time.perf_counter() - begin < 20                # 20,000 spaces alone took 30 s in single rounds
+
+
 def test_cache_starts_anew(model, library, monkeypatch):
     monkeypatch.setattr(spm, "CACHE_WORDS", 3)
     assert_same(model, library, ["one two three four five"])
