@@ -220,9 +220,15 @@ def search(df: DataFrame, queries: Column, k: int = 20, id: str = "vec_id", vect
         ("route", "array<int>")]))
     probes = _tune(spark, index, sample[:: max(1, len(sample) // TUNE)][:TUNE], router, n, k, recall)
 
+    # a query whose first parts hold too few rows goes on until they hold k besides its own, or to all
+    held = dict(index.groupBy("part").count().collect())                # a row per part, MAX_PARTS at most
+    sizes = F.array(*[F.lit(held.get(i, 0)).cast("long") for i in range(router.parts)])
+    start = F.struct(F.lit(0).alias("parts"), F.lit(0).cast("long").alias("rows"))
+    reach = F.aggregate("route", start, lambda a, part: F.when(a["rows"] > k, a).otherwise(F.struct(
+        (a["parts"] + 1).alias("parts"), (a["rows"] + F.get(sizes, part)).alias("rows"))))
     # blocks of each part's rows, and of the queries that probe it
-    wanted = index.where("is_query").select(
-        "node", "id", "vec", F.explode(F.slice("route", 1, probes)).alias("part"))
+    wanted = index.where("is_query").select("node", "id", "vec", F.explode(
+        F.slice("route", F.lit(1), F.greatest(F.lit(probes), reach["parts"]))).alias("part"))
     cut = (index.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / ROW_BLOCK).cast("int").alias("rb"))
            .join(wanted.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("qb")), "part"))
     cut = F.broadcast(cut)                       # a row per part, MAX_PARTS at most

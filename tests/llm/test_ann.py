@@ -68,6 +68,19 @@ def test_balanced_parts_cut_few_edges():
     assert router.order(x).shape == (1200, 8)
 
 
+def test_small_parts_give_k_all_the_same(spark, monkeypatch):
+    """Parts of a few rows each and one probe: the search goes on until k are found."""
+    monkeypatch.setattr(ann, "parts_for", lambda n: 16)
+    monkeypatch.setattr(ann, "_tune", lambda *a: 1)
+    x = np.random.default_rng(4).standard_normal((120, 6))
+    rows = [(i, v.tolist(), "x") for i, v in enumerate(x)]
+    out = ann.search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 20 == 0).collect()
+    assert {q: sorted(r["rank"] for r in out if r.query_id == q) for q in range(0, 120, 20)} == {
+        q: list(range(1, 21)) for q in range(0, 120, 20)}
+    few = ann.search(spark.createDataFrame(rows[:15], SCHEMA), F.col("vec_id") == 0).collect()
+    assert len(few) == 14
+
+
 def test_odd_rows(spark):
     rows = [(0, [1.0, 0.0], "x"), (0, [1.0, 0.0], "x"), (20, [0.0, 2.0], "x"), (None, [1.0, 1.0], "x"),
             (40, None, "x"), (60, [0.0, 0.0], "x"), (80, [None, 1.0], "x"), (100, [float("nan"), 1.0], "x"),
