@@ -255,7 +255,28 @@ from ..operators import tsne as ts  # noqa: E402
 TSNE_STEPS = 30   # registered query: first 30 steps of the default schedule
 
 
-@query("tsne_affinities")
+# 16 neighbours; the precision of each row by the same bisection, an iteration a step
+_AFFINITIES = f"""WITH RECURSIVE learn AS {S.LEARN},
+pr AS (SELECT a.vec_id AS q, b.vec_id AS r, sqrt((a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1)) AS dd
+       FROM learn a JOIN learn b ON a.vec_id <> b.vec_id),
+nb AS (SELECT q, r, dd * dd - min(dd * dd) OVER (PARTITION BY q) AS e FROM (
+         SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(dd, 9), r) AS rk FROM pr) WHERE rk <= 16),
+it(step, q, lo, hi, beta, far) AS (
+  SELECT 0, q, 0.0::DOUBLE, CAST(NULL AS DOUBLE), 1.0::DOUBLE, true FROM (SELECT DISTINCT q FROM nb)
+  UNION ALL
+  SELECT step + 1, q, CASE WHEN h > t THEN beta ELSE lo END, CASE WHEN h > t THEN hi ELSE beta END,
+         CASE WHEN abs(h - t) < 1e-5 THEN beta WHEN h <= t THEN (beta + lo) / 2 WHEN hi IS NULL THEN beta * 2
+              ELSE (beta + hi) / 2 END, abs(h - t) >= 1e-5
+  FROM (SELECT step, it.q, lo, hi, beta, ln(5.0::DOUBLE) AS t, ln(sum(exp(-e * beta)))
+               + beta * sum(e * exp(-e * beta)) / sum(exp(-e * beta)) AS h
+        FROM it JOIN nb ON nb.q = it.q WHERE far AND step < 100 GROUP BY step, it.q, lo, hi, beta)),
+fin AS (SELECT q, arg_max(beta, step) AS beta FROM it GROUP BY q),
+co AS (SELECT q, r, exp(-e * beta) / sum(exp(-e * beta)) OVER (PARTITION BY q) AS pc FROM nb JOIN fin USING (q))
+SELECT i, j, round(sum(pc) / (2.0 * (SELECT count(*) FROM learn)), 9) AS p
+FROM (SELECT q AS i, r AS j, pc FROM co UNION ALL SELECT r, q, pc FROM co) GROUP BY i, j"""
+
+
+@query("tsne_affinities", _AFFINITIES)
 def tsne_affinities(spark, sf):
     return rounded(ts.affinities(tb.f_learn(spark, sf), ["x0", "x1"], 5.0, "vec_id"), 9)
 

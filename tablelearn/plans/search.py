@@ -115,7 +115,28 @@ def cross_validate_f1_macro(spark, sf):
                                      "f1_macro", "vec_id"))
 
 
-@query("cross_validate_logistic")
+# Newton's method as in logistic_l2, for the training rows of all folds at once
+_CV_LOGIT = f"""WITH RECURSIVE {_FOLDS},
+it(k, f, b0, b1, b2) AS (
+  SELECT 0, CAST(f AS BIGINT), 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM range(0, 5) r(f)
+  UNION ALL
+  SELECT k + 1, f, b0 - (A11 * g0 + A12 * g1 + A13 * g2) / det, b1 - (A12 * g0 + A22 * g1 + A23 * g2) / det,
+         b2 - (A13 * g0 + A23 * g1 + A33 * g2) / det
+  FROM (SELECT *, a * A11 + b * A12 + c * A13 AS det FROM (
+    SELECT *, d * h - e * e AS A11, c * e - b * h AS A12, b * e - c * d AS A13,
+              a * h - c * c AS A22, b * c - a * e AS A23, a * d - b * b AS A33 FROM (
+      SELECT k, f, b0, b1, b2, sum(s - y) AS g0, sum((s - y) * x0) + b1 AS g1, sum((s - y) * x1) + b2 AS g2,
+             sum(s * (1 - s)) AS a, sum(s * (1 - s) * x0) AS b, sum(s * (1 - s) * x1) AS c,
+             sum(s * (1 - s) * x0 * x0) + 1 AS d, sum(s * (1 - s) * x0 * x1) AS e, sum(s * (1 - s) * x1 * x1) + 1 AS h
+      FROM (SELECT it.*, t.x0, t.x1, t.y, 1 / (1 + exp(-(b0 + b1 * t.x0 + b2 * t.x1))) AS s
+            FROM it JOIN d t ON t.fold <> it.f WHERE it.k < 12) GROUP BY k, f, b0, b1, b2)))),
+sc AS (SELECT t.fold, avg(CASE WHEN (b0 + b1 * t.x0 + b2 * t.x1 > 0) = (t.y = 1) THEN 1.0 ELSE 0.0 END) AS score,
+              count(*) AS n_test FROM d t JOIN it ON it.f = t.fold WHERE it.k = 12 GROUP BY t.fold)"""
+
+
+@query("cross_validate_logistic", _CV_LOGIT + """
+SELECT fold, round(score, 4) AS score, CAST((SELECT count(*) FROM d) - n_test AS BIGINT) AS n_train,
+       CAST(n_test AS BIGINT) AS n_test FROM sc""")
 def cross_validate_logistic(spark, sf):
     return rounded(se.cross_validate(tb.f_learn(spark, sf), ["x0", "x1"], "y", "logistic", 5,
                                      "accuracy", "vec_id"), 4)
