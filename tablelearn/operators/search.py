@@ -1,10 +1,10 @@
 """Model registry, cross-validation, grid search and learning curves.
 
 Folds are a column (``split.stratified_folds`` for classifiers, contiguous
-id blocks for regression).  k-NN and naive Bayes (``SHARED``) answer all
-(candidate, size, fold) problems in one pass: one neighbour search whose
-blocks are compared once, or one aggregate of moments that problems share;
-one grouped aggregate scores them all.  Of the other models, every
+id blocks for regression).  k-NN, naive Bayes and SVM (``SHARED``) answer all
+(candidate, size, fold) problems together: one neighbour search whose blocks
+are compared once, one aggregate of moments that problems share, or passes
+that solve all problems of a feature map; one grouped aggregate scores them.  Of the other models, every
 (candidate, fold) fit is an independent set of Spark jobs over the cached
 feature table, submitted from a small thread pool so several run at once.
 """
@@ -199,9 +199,23 @@ def _nb_problems(data, features, label, id, cands, sizes, cv, train):
     return bayes.predict_problems(models, data, label, sizes, "_at", train)
 
 
+def _svm_problems(data, features, label, id, cands, sizes, cv, train):
+    from . import svm
+    out = None
+    for (c, f), model in svm.fit_problems(data, features, label, cands, cv, "_at", id).items():
+        test = data.where(F.col("_at")[f] < 0)
+        pred = model.predict(test, id, keep=[label], proba=False).select(
+            F.lit(c).alias("cand"), F.lit(f).alias("part"), F.lit(0).alias("size"), F.lit(False).alias("seen"),
+            F.col(label).alias("y"), "prediction")
+        out = pred if out is None else out.unionByName(pred)
+    return out
+
+
 #: Models whose problems share their statistics: functions of a table with ``_at`` to
 #: (cand, part, size, seen, y, prediction); ``seen`` marks training rows.
-SHARED: dict[str, Callable] = {"knn": _knn_problems, "nb": _nb_problems}
+SHARED: dict[str, Callable] = {"knn": _knn_problems, "nb": _nb_problems, "svm": _svm_problems}
+#: Those that take several training sizes.
+SIZED = ("knn", "nb")
 
 
 def _fold_scores(data, features, label, id, model_type, cands, cv, scoring) -> dict[tuple[int, int], float]:
@@ -339,7 +353,7 @@ def learning_curve(df: DataFrame, features: Sequence[str], label: str,
     placed = cut_lineage(_positions(data, cv, id))
     key = _known(model_type, params or {})
     hit = F.avg((F.col("prediction") == F.col("y")).cast("double")).alias("a")
-    if key in SHARED:
+    if key in SHARED and key in SIZED:
         pred = SHARED[key](placed, features, label, id, [params or {}], sizes, cv, True)
         got = {(r["size"], r["part"], r["seen"]): r["a"]
                for r in pred.groupBy("size", "part", "seen").agg(hit).collect()}       # sizes x folds x 2

@@ -1,8 +1,8 @@
 """Support vector classifiers.
 
-The kernel SVM of the reference is re-aimed as a *linear* SVM (MLlib
-``LinearSVC``: distributed OWL-QN on the hinge loss, ``regParam = 1/(C n)``,
-no standardisation, intercept unpenalised) over an explicit feature map:
+The kernel SVM of the reference is re-aimed as a *linear* SVM (hinge loss,
+intercept unpenalised, solved to a duality gap by ``hinge.solve``, all class
+pairs and candidates of a map in the same passes) over an explicit feature map:
 
 * ``linear``  -- the features themselves (exact);
 * ``poly``    -- all degree-d monomials scaled by sqrt(multinomial * gamma^d):
@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 from ..frame import as_double, check_columns, check_numeric
 from ..functions.exprs import num, qcol, sql_sum
 from ..session import ship_package
+from . import hinge
 
 KERNELS = ("linear", "poly", "rbf", "sigmoid")
 TASK_ROWS = 20_000       # mapped rows of a task, about
@@ -161,6 +162,7 @@ class SVMModel:
     classes: list
     pairs: list                     # [(a, b, w, intercept)] decision > 0 -> b
     platt: list | None = None       # (A, B) of each pair, for probabilities
+    gaps: list[float] = field(default_factory=list)     # duality gap of each pair
 
     def decision(self, df: DataFrame, id: str, keep: Sequence[str]) -> DataFrame:
         return self.fmap.margins(df, [id, *keep], [(w, b) for _, _, w, b in self.pairs])
@@ -206,19 +208,62 @@ class SVMModel:
         return t.select(*base, *out)
 
 
-def _fit_binary(data: DataFrame, C: float, n: int, max_iter: int):
-    from pyspark.ml.classification import LinearSVC
-    from pyspark.ml.functions import array_to_vector
-    va = data.select("_y", array_to_vector("_phi").alias("_features"))
-    m = LinearSVC(featuresCol="_features", labelCol="_y", regParam=1.0 / (C * n),
-                  standardization=False, maxIter=max_iter, tol=1e-6).fit(va)
-    return m.coefficients.toArray(), float(m.intercept)
+def _planes(fmap: FeatureMap, df: DataFrame, label: str, problems: list[tuple], max_iter: int) -> list[hinge.Plane]:
+    """A plane for each problem (C, class of the negative side, of the positive side, which rows it has)."""
+    y = F.array(*[F.when(~inside, 0.0).when(F.col(label) == F.lit(b), 1.0).when(F.col(label) == F.lit(a), -1.0)
+                  .otherwise(0.0) for _, a, b, inside in problems])
+    phi = fmap.transform(df.withColumn("_y", y), ["_y"]).select("_phi", "_y")
+    # every pass is a job over these rows: no more tasks than the rows are worth
+    tasks = df.count() // TASK_ROWS + 1
+    phi = phi.coalesce(tasks).persist()
+    width = phi.select(F.size("_phi")).first()[0]
+    planes = hinge.solve(phi, [c for c, *_ in problems], width, tasks, max_iter=max_iter)
+    phi.unpersist()
+    return planes
+
+
+def fit_problems(rows: DataFrame, features: Sequence[str], label: str, candidates: Sequence[dict], parts: int,
+                 at: str, id: str = "id", max_iter: int = 60) -> dict[tuple[int, int], SVMModel]:
+    """Models of all (candidate, part); ``at`` is -1 for a part's test rows (see ``neighbors.knn_problems``).
+
+    Problems that have a feature map in common are solved in the same passes:
+    with a linear kernel all of them, else the candidates' C of a part.
+    """
+    features = list(features)
+    check_numeric(rows, features)
+    classes = [r[0] for r in rows.select(label).distinct().orderBy(label).collect()]
+    if len(classes) < 2:
+        raise ValueError("SVM needs at least two classes")
+    sides = list(itertools.combinations(classes, 2))
+    groups = {}
+    for c, q in enumerate(candidates):
+        kernel = str(q.get("kernel", "rbf")).strip().lower()
+        of = (kernel,) if kernel == "linear" else (kernel, q.get("gamma", "scale"), int(q.get("degree", 3)))
+        for f in range(parts):
+            groups.setdefault((of, None if kernel == "linear" else f), []).append((c, f, float(q.get("C", 1.0))))
+
+    def one(item):
+        (of, part), some = item
+        mine = rows if part is None else rows.where(F.col(at)[part] >= 0)
+        fmap = build_map(mine, features, *of, id=id)
+        planes = iter(_planes(fmap, mine, label, [(C, a, b, F.col(at)[f] >= 0) for _, f, C in some for a, b in sides],
+                              max_iter))
+        return {(c, f): _model(fmap, classes, sides, [next(planes) for _ in sides]) for c, f, _ in some}
+
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(4) as ex:       # maps are independent jobs
+        return {k: m for got in ex.map(one, groups.items()) for k, m in got.items()}
+
+
+def _model(fmap: FeatureMap, classes: list, sides: list, planes: list[hinge.Plane]) -> SVMModel:
+    return SVMModel(fmap, classes, [(a, b, p.w, p.b) for (a, b), p in zip(sides, planes, strict=True)],
+                    gaps=[p.gap for p in planes])
 
 
 def fit(df: DataFrame, features: Sequence[str], label: str, C: float = 1.0,
         kernel: str = "rbf", gamma="scale", degree: int = 3, n_components: int = 256,
         seed: int = 42, probability: bool = False, id: str = "id",
-        max_iter: int = 100) -> SVMModel:
+        max_iter: int = 60) -> SVMModel:
     features = list(features)
     check_numeric(df, features)
     check_columns(df, [label, id])
@@ -226,25 +271,13 @@ def fit(df: DataFrame, features: Sequence[str], label: str, C: float = 1.0,
     if len(classes) < 2:
         raise ValueError("SVM needs at least two classes")
     fmap = build_map(df, features, kernel, gamma, degree, n_components, seed, id)
-    phi = fmap.transform(df, [id, label])
-    # every step of the optimiser is a job over these rows: no more tasks than the rows are worth
-    phi = phi.coalesce(df.count() // TASK_ROWS + 1).persist()
-    def one(ab):
-        a, b = ab
-        sub = phi.where(F.col(label).isin(a, b)).withColumn(
-            "_y", F.when(F.col(label) == F.lit(b), 1.0).otherwise(0.0))
-        n = sub.count()
-        w, b0 = _fit_binary(sub, C, n, max_iter)
-        return (a, b, w, b0)
-    from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(4) as ex:   # one-vs-one fits are independent jobs
-        pairs = list(ex.map(one, itertools.combinations(classes, 2)))
-    phi.unpersist()
-    model = SVMModel(fmap, classes, pairs)
+    sides = list(itertools.combinations(classes, 2))
+    planes = _planes(fmap, df, label, [(C, a, b, F.lit(True)) for a, b in sides], max_iter)
+    model = _model(fmap, classes, sides, planes)
     if probability:      # one sigmoid for each pair of classes
         model.platt = [_platt(df.where(F.col(label).isin(a, b)), features, label, C, kernel, gamma,
                               degree, n_components, seed, id, max_iter, [a, b])
-                       for a, b, _, _ in pairs]
+                       for a, b in sides]
     return model
 
 

@@ -28,6 +28,54 @@ query("svm_sigmoid")(_svm("sigmoid"))
 query("svm_proba")(_svm("linear", probability=True))
 
 
+# the same interior-point method with a row of state for each row (C = 1); sums by windows over all rows
+_PLANE = f"""WITH RECURSIVE learn AS {S.LEARN},
+ipm(it, x0, x1, y, a, xi, t, v0, v1, vb, s, left_over) AS (
+  SELECT 0, x0, x1, CAST(2 * y - 1 AS DOUBLE), 0.5::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE,
+         0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE FROM learn
+  UNION ALL
+  SELECT it + 1, x0, x1, y, a + st * da, xi + st * dx, t + st * dt, v0 + st * d0, v1 + st * d1, vb + st * db, st, comp
+  FROM (SELECT *, least(1.0, 0.99 * min(least(
+          CASE WHEN da < 0 THEN a / -da ELSE 1e300 END, CASE WHEN da > 0 THEN b / da ELSE 1e300 END,
+          CASE WHEN dt < 0 THEN t / -dt ELSE 1e300 END, CASE WHEN dx < 0 THEN xi / -dx ELSE 1e300 END)) OVER ()) AS st
+  FROM (SELECT *, (mu - a * t - t * da) / a AS dt, (mu - b * xi + xi * da) / b AS dx
+  FROM (SELECT *, (mu * (1 / a - 1 / b) + xi - t - y * (d0 * x0 + d1 * x1 + db)) / dd AS da
+  FROM (SELECT *, (A11 * q0 + A12 * q1 + A13 * qb) / det AS d0, (A12 * q0 + A22 * q1 + A23 * qb) / det AS d1,
+               (A13 * q0 + A23 * q1 + A33 * qb) / det AS db
+  FROM (SELECT *, m00 * A11 + m01 * A12 + m0b * A13 AS det
+  FROM (SELECT *, m11 * mbb - m1b * m1b AS A11, m0b * m1b - m01 * mbb AS A12, m01 * m1b - m0b * m11 AS A13,
+               m00 * mbb - m0b * m0b AS A22, m01 * m0b - m00 * m1b AS A23, m00 * m11 - m01 * m01 AS A33,
+               u0 - v0 + mu * p0 + r0 AS q0, u1 - v1 + mu * p1 + r1 AS q1, ub + mu * pb + rb AS qb
+  FROM (SELECT *, comp / (2 * n) * CASE WHEN s > 0.9 THEN 0.03 WHEN s > 0.5 THEN 0.1 ELSE 0.5 END AS mu
+  FROM (SELECT *, 1 + sum(x0 * x0 / dd) OVER () AS m00, sum(x0 * x1 / dd) OVER () AS m01, sum(x0 / dd) OVER () AS m0b,
+               1 + sum(x1 * x1 / dd) OVER () AS m11, sum(x1 / dd) OVER () AS m1b, sum(1 / dd) OVER () AS mbb,
+               sum(a * y * x0) OVER () AS u0, sum(a * y * x1) OVER () AS u1, sum(a * y) OVER () AS ub,
+               sum(y * (1 / a - 1 / b) / dd * x0) OVER () AS p0, sum(y * (1 / a - 1 / b) / dd * x1) OVER () AS p1,
+               sum(y * (1 / a - 1 / b) / dd) OVER () AS pb, sum(y * (xi - t) / dd * x0) OVER () AS r0,
+               sum(y * (xi - t) / dd * x1) OVER () AS r1, sum(y * (xi - t) / dd) OVER () AS rb,
+               sum(a * t + b * xi) OVER () AS comp, count(*) OVER () AS n
+  FROM (SELECT *, xi / b + t / a AS dd FROM (SELECT *, 1 - a AS b FROM ipm WHERE it < 40 AND left_over > 1e-7))))))))))),
+fin AS (SELECT * FROM ipm QUALIFY it = max(it) OVER ())
+SELECT round(any_value(v0), 3) AS w0, round(any_value(v1), 3) AS w1, round(any_value(vb), 3) AS intercept,
+       round(any_value(v0 * v0 + v1 * v1) / 2 + sum(greatest(0, 1 - y * (v0 * x0 + v1 * x1 + vb))), 4) AS objective,
+       true AS closed FROM fin"""
+
+
+@query("svm_linear_plane", _PLANE)
+def svm_linear_plane(spark, sf):
+    """The plane, its objective and whether the duality gap is closed."""
+    df = tb.f_learn(spark, sf)
+    m = svm.fit(df, ["x0", "x1"], "y", C=1.0, kernel="linear", id="vec_id")
+    _, _, w, b = m.pairs[0]
+    f = F.lit(b) + F.lit(float(w[0])) * F.col("x0") + F.lit(float(w[1])) * F.col("x1")
+    loss = df.agg(F.sum(F.greatest(F.lit(0.0), 1 - (2 * F.col("y") - 1) * f))).first()[0]
+    objective = float(w @ w) / 2 + loss
+    return rounded(spark.createDataFrame(
+        [(float(w[0]), float(w[1]), float(b), objective, abs(m.gaps[0]) < 1e-7 * objective)],
+        "w0 double, w1 double, intercept double, objective double, closed boolean"), 4).select(
+        *[F.round(c, 3).alias(c) for c in ("w0", "w1", "intercept")], "objective", "closed")
+
+
 @query("svm_multiclass")
 def svm_multiclass(spark, sf):
     ev = tb.f_event(spark, sf)
