@@ -36,6 +36,7 @@ from ..session import ship_package
 from . import hinge
 
 KERNELS = ("linear", "poly", "rbf", "sigmoid")
+LEAST_ITER = 60          # a smaller max_iter doesn't cut a fit short
 TASK_ROWS = 20_000       # mapped rows of a task, about
 
 
@@ -217,7 +218,8 @@ def _planes(fmap: FeatureMap, df: DataFrame, label: str, problems: list[tuple],
     tasks = df.count() // TASK_ROWS + 1
     phi = phi.coalesce(tasks).persist()
     width = phi.select(F.size("_phi")).first()[0]
-    planes = hinge.solve(phi, [c for c, *_ in problems], width, tasks, max_iter=max_iter)
+    # an unfinished interior point has no support vectors yet, and some 20 iterations finish it
+    planes = hinge.solve(phi, [c for c, *_ in problems], width, tasks, max_iter=max(max_iter, LEAST_ITER))
     phi.unpersist()
     return planes
 
