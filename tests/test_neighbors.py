@@ -88,3 +88,13 @@ def test_missing_features_are_an_error(spark):
     X = frame(spark, [(1, 1.0), (2, None)], "id int, x0 double")
     with pytest.raises(ValueError, match="missing"):
         neighbors.knn(X, X, ["x0"], 1)
+
+
+def test_blocks_meet_without_a_broadcast(spark, capsys):
+    """What ``reach`` gives is far larger than its estimate; broadcast, it filled the driver."""
+    blocks = cells.pack(cells.with_cell(frame(spark, [(i, [float(i)]) for i in range(20)], "id long, x array<double>"),
+                                        cells.Splits(np.zeros(0, np.int64), np.zeros(0), 0), 20))
+    pairs = cells.compare(blocks, blocks, lambda q, r: [q["id"], r["id"]], [("a", "long"), ("b", "long")], write=False)
+    pairs.explain()
+    assert "Broadcast" not in capsys.readouterr().out
+    assert {(r.a, r.b) for r in pairs.collect()} == {(i, i) for i in range(20)}
