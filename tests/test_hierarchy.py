@@ -152,3 +152,28 @@ def test_components(spark):
                 want[x] = s
                 todo += near[x]
     assert got == want
+
+
+@pytest.mark.parametrize("linkage, kind, metric", [("complete", "clumps", "euclidean"), ("average", "normal", "cosine")])
+def test_complete_and_average_over_cells(spark, small_cells, monkeypatch, linkage, kind, metric):
+    """Rounds and the table of blocks give the chain's tree; a table of any size was an error or one driver's work."""
+    monkeypatch.setattr(hierarchy, "FEW", 30)
+    monkeypatch.setattr(hierarchy, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(hierarchy, "CHUNK", 1 << 10)
+    X = shape(kind, 110, np.random.default_rng(8))
+    X[5], X[80] = X[44], X[44]                       # a place that three rows share
+    cols = [f"x{j}" for j in range(X.shape[1])]
+    r = hierarchy.hierarchical(points(spark, X), cols, 5, linkage, metric=metric)
+    U = X / np.linalg.norm(X, axis=1)[:, None] if metric == "cosine" else X
+    chain = hierarchy.nn_chain(U, np.ones(len(X)), linkage, 2.0, metric == "cosine")
+    assert [m.height for m in r.merges.orderBy("step").collect()] == pytest.approx(sorted(chain[:, 2]), abs=1e-9)
+    want = {}
+    for i, c in enumerate(hierarchy.cut(chain, len(X), 5)):
+        want.setdefault(c, set()).add(i)
+    assert sets(r.labels)[0] == {frozenset(v) for v in want.values()} and r.exact
+
+
+def test_average_has_no_cap(spark):
+    """4,001 rows were an error."""
+    X = np.random.default_rng(9).integers(0, 40, (4001, 1)).astype(float)
+    assert hierarchy.hierarchical(points(spark, X), ["x0"], 3, "average").labels.count() == 4001
