@@ -10,6 +10,9 @@ A pass gets the steps made so far, and a row replays them; an iteration more
 costs a row a dot product, where the matrix costs the square of the width.  So
 nothing is written between passes, and a lost executor loses nothing.
 
+A pass sends one sum of half the symmetric matrices to the driver, however many
+tasks made parts of it.
+
 Every problem ends with its duality gap, a bound on how far its objective is
 from the optimum.  The driver holds a width x width matrix for each problem.
 """
@@ -30,7 +33,7 @@ from ..session import ship_package
 
 CHUNK = 2048               # rows that a kernel holds at once
 PIECE = 1 << 13            # numbers in a row of a sum
-FEW_TASKS = 16             # partial sums that are added by the caller
+FEW_TASKS = 16             # partial sums that one task adds to a whole one
 
 
 @dataclass
@@ -71,22 +74,25 @@ def _chunks(batches, live):
 def _sums(data: DataFrame, C, live, steps, width: int, tasks: int) -> np.ndarray:
     """For each live problem: matrix, three vectors, then gap, loss, multipliers, rows and gaps in rows."""
     q = width + 1
-    size = q * q + 3 * q + 5
+    upper = np.triu_indices(q)                       # the matrices are symmetric
+    half = len(upper[0])
+    size = half + 3 * q + 5
 
     def run(batches):
-        total = np.zeros((len(live), size))
+        total, whole = np.zeros((len(live), size)), np.zeros((len(live), q, q))
         for z, y in _chunks(batches, live):
             a, xi, t, f = _replay(z, y, C, steps)
             b = C - a
             inside = y != 0
             weight = np.where(inside, 1 / (xi / b + t / a), 0.0)
             for i in range(len(live)):
-                total[i, :q * q] += (z.T @ (z * weight[:, i:i + 1])).ravel()
-            total[:, q * q:-5] += np.hstack([(z.T @ c).T for c in (
+                whole[i] += z.T @ (z * weight[:, i:i + 1])
+            total[:, half:-5] += np.hstack([(z.T @ c).T for c in (
                 a * y, y * (1 / a - 1 / b) * weight, y * (xi - t) * weight)])
             scalars = (a * t + b * xi, C * np.maximum(0, 1 - y * f), a, np.ones_like(a),
                        np.broadcast_to(np.isnan(z).any(axis=1)[:, None], a.shape))
             total[:, -5:] += np.stack([np.where(inside, c, 0.0).sum(axis=0) for c in scalars], axis=1)
+        total[:, :half] = whole[:, upper[0], upper[1]]
         flat = total.ravel()
         ends = range(0, len(flat), PIECE)
         task = TaskContext.get().partitionId() % FEW_TASKS
@@ -94,16 +100,22 @@ def _sums(data: DataFrame, C, live, steps, width: int, tasks: int) -> np.ndarray
             pa.array(np.arange(len(ends), dtype=np.int32)), pa.array(np.full(len(ends), task, np.int32)),
             pa.array([flat[e:e + PIECE].tobytes() for e in ends], pa.binary())], names=["i", "task", "s"])
 
+    def add(pdf):
+        return pdf.head(1).assign(s=[np.sum([np.frombuffer(s) for s in pdf["s"]], axis=0).tobytes()])
+
     parts = data.mapInArrow(run, "i int, task int, s binary")
     if tasks > FEW_TASKS:
-        def add(pdf):
-            pdf["s"] = [sum(np.frombuffer(s) for s in pdf["s"]).tobytes()] * len(pdf)
-            return pdf.head(1)
-        parts = parts.groupBy("i", "task").applyInPandas(add, "i int, task int, s binary")
+        parts = parts.groupBy("i", "task").applyInPandas(add, parts.schema)
+    if tasks > 1:
+        parts = parts.groupBy("i").applyInPandas(add, parts.schema)
     flat = np.zeros(len(live) * size)
-    for r in parts.collect():               # FEW_TASKS times the size of the sums, at most
+    for r in parts.collect():               # the size of the sums, whatever the number of tasks
         flat[r["i"] * PIECE:(r["i"] + 1) * PIECE] += np.frombuffer(r["s"])
-    return flat.reshape(len(live), size)
+    flat = flat.reshape(len(live), size)
+    whole = np.zeros((len(live), q, q))
+    whole[:, upper[0], upper[1]] = flat[:, :half]
+    whole[:, upper[1], upper[0]] = flat[:, :half]
+    return np.hstack([whole.reshape(len(live), q * q), flat[:, half:]])
 
 
 def _reach(data: DataFrame, C, live, steps, dv, mu) -> np.ndarray:

@@ -55,3 +55,21 @@ def test_grid_is_that_of_single_fits(spark):
         one = svm.fit(folds.where(F.col("fold") != f), ["a", "b"], "y", id="id", **cands[c])
         pred = one.predict(folds.where(F.col("fold") == f), "id", keep=["y"])
         assert score == pytest.approx(pred.agg(F.avg((F.col("prediction") == F.col("y")).cast("int"))).first()[0])
+
+
+def test_tasks_send_one_sum(spark, monkeypatch):
+    """The driver gets the upper half of the matrices once, however many tasks there are; it got 16 whole ones."""
+    x, y = rows(400, 3)
+    data = spark.createDataFrame([(a.tolist(), [float(b)]) for a, b in zip(x, y)],
+                                 "phi array<double>, y array<double>").repartition(12)
+    sent, collect = [], type(data).collect
+
+    def told(self):
+        got = collect(self)
+        sent.append(sum(len(r["s"]) for r in got if isinstance(r["s"], (bytes, bytearray))))
+        return got
+    monkeypatch.setattr(type(data), "collect", told)
+    sums = hinge._sums(data, np.array([1.0]), np.array([0]), [], 3, 12)
+    assert sent == [8 * (4 * 5 // 2 + 3 * 4 + 5)]
+    z = np.hstack([x, np.ones((len(x), 1))])
+    assert sums[0, :16].reshape(4, 4) == pytest.approx(z.T @ z / (4 + 2))
