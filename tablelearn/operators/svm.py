@@ -38,6 +38,7 @@ from . import hinge
 KERNELS = ("linear", "poly", "rbf", "sigmoid")
 LEAST_ITER = 60          # a smaller max_iter doesn't cut a fit short
 TASK_ROWS = 20_000       # mapped rows of a task, about
+TASK_WORK = 100_000      # rows times problems of a task, about
 
 
 @dataclass
@@ -214,9 +215,10 @@ def _planes(fmap: FeatureMap, df: DataFrame, label: str, problems: list[tuple],
     y = F.array(*[F.when(~inside, 0.0).when(F.col(label) == F.lit(b), 1.0).when(F.col(label) == F.lit(a), -1.0)
                   .otherwise(0.0) for _, a, b, inside in problems])
     phi = fmap.transform(df.withColumn("_y", y), ["_y"]).select("_phi", "_y")
-    # every pass is a job over these rows: no more tasks than the rows are worth
-    tasks = df.count() // TASK_ROWS + 1
-    phi = phi.coalesce(tasks).persist()
+    # every pass is a job over these rows: as many tasks as they are worth, however few files hold them
+    n = df.count()
+    tasks = max(n // TASK_ROWS, n * len(problems) // TASK_WORK) + 1
+    phi = (phi.coalesce(1) if tasks == 1 else phi.repartition(tasks)).persist()
     width = phi.select(F.size("_phi")).first()[0]
     # an unfinished interior point has no support vectors yet, and some 20 iterations finish it
     planes = hinge.solve(phi, [c for c, *_ in problems], width, tasks, max_iter=max(max_iter, LEAST_ITER))

@@ -73,3 +73,16 @@ def test_tasks_send_one_sum(spark, monkeypatch):
     assert sent == [8 * (4 * 5 // 2 + 3 * 4 + 5)]
     z = np.hstack([x, np.ones((len(x), 1))])
     assert sums[0, :16].reshape(4, 4) == pytest.approx(z.T @ z / (4 + 2))
+
+
+def test_passes_run_in_many_tasks(spark, monkeypatch):
+    """Rows from one file were one task, whatever their number."""
+    x, y = rows(90, 2)
+    df = spark.createDataFrame([(i, float(a), float(b), int(c)) for i, ((a, b), c) in enumerate(zip(x, y))],
+                               "id long, a double, b double, y int").coalesce(1)
+    seen, solve = [], hinge.solve
+    monkeypatch.setattr(svm, "TASK_WORK", 20)
+    monkeypatch.setattr(hinge, "solve", lambda data, *a, **k: seen.append(data.rdd.getNumPartitions()) or solve(
+        data, *a, **k))
+    svm.fit(df, ["a", "b"], "y", kernel="linear")
+    assert seen == [5]
