@@ -10,9 +10,13 @@ the earliest dart of each of its K coordinates; if a coordinate stays empty
 the limit doubles.  Two documents agree in a coordinate with a probability of
 their weighted Jaccard similarity.
 
-``BANDS`` bands of ``ROWS`` coordinates make candidates; K further bits, one
-of each coordinate, bound what is worth verifying.  Verification compares the
-texts' weighted shingle sets exactly and keeps pairs of ``THRESHOLD`` or more.
+``BANDS`` bands of ``ROWS`` coordinates make candidates; two sketches bound what
+is worth verifying.  One bit of each of the K coordinates does so with a margin.
+The parities of ``K`` cells of elements can't differ in more places than the
+sets have unshared elements, so they rule out no pair of the threshold; that
+leaves few of the pairs of a large group whose members are just below it.
+Verification compares the texts' weighted shingle sets exactly and keeps pairs
+of ``THRESHOLD`` or more.
 
 Work is kept in proportion to the documents:
 
@@ -115,10 +119,20 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
     return h
 
 
+def _packed(bits: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(np.packbits(bits.astype(np.uint8), axis=1)).view(np.int64)
+
+
 def sketch(sig: np.ndarray) -> np.ndarray:
     """One bit of each coordinate, packed to 64-bit numbers."""
-    bits = np.packbits((mix(sig) & U(1)).astype(np.uint8), axis=1)
-    return np.ascontiguousarray(bits).view(np.int64)
+    return _packed(mix(sig) & U(1))
+
+
+def parities(elements: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
+    """Whether an odd number of a document's elements is in each of K cells, packed, and how many there are."""
+    cell = doc * K + (mix(elements) % U(K)).astype(np.int64)
+    odd = np.bincount(cell, minlength=n_docs * K).reshape(n_docs, K) & 1
+    return np.column_stack([_packed(odd), np.bincount(doc, minlength=n_docs)])
 
 
 def least_agreement(threshold: float, k: int = K, margin: float = BITS_MARGIN) -> int:
@@ -136,8 +150,8 @@ def _sign(columns: list[pa.Array]) -> list[pa.Array]:
         some = np.bincount(doc, minlength=len(texts)) > 0
         sig = signatures(e, doc, len(texts))
         bands.append(band_keys(sig)[some].view(np.int64).reshape(-1))
-        bits.append(sketch(sig)[some].reshape(-1))
-        for name, width in (("bands", BANDS), ("bits", K // 64)):
+        bits.append(np.hstack([sketch(sig), parities(e, doc, len(texts))])[some].reshape(-1))
+        for name, width in (("bands", BANDS), ("bits", 2 * (K // 64) + 1)):
             ends[name] += (ends[name][-1] + np.cumsum(some * width)).tolist()
     lists = [pa.ListArray.from_arrays(pa.array(ends[n], pa.int32()),
                                       pa.array(np.concatenate(v), pa.int64()))
@@ -151,6 +165,15 @@ def _agreement(a: str, b: str) -> Column:
         (F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(K // 64)), F.lit(0))
 
 
+def _unshared_fit(a: str, b: str) -> Column:
+    """Whether the elements that two sets don't share can be as few as ``THRESHOLD`` asks for; exact."""
+    words = K // 64
+    na, nb = F.col(a)[2 * words], F.col(b)[2 * words]
+    most = (na + nb) * ((1 - THRESHOLD) / (1 + THRESHOLD)) + 1e-6          # the rest allows for rounding
+    differ = sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(words, 2 * words)), F.lit(0))
+    return (F.abs(na - nb) <= most) & (differ <= most)
+
+
 def _verify(columns: list[pa.Array]) -> list[pa.Array]:
     """(u, v, text of u, text of v) to (u, v, similarity)."""
     u, v, tu, tv = columns
@@ -228,8 +251,8 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text") -> Da
         """Pairs whose bits don't rule them out."""
         u = bits.select(F.col("node").alias("u"), F.col("bits").alias("bu"))
         v = bits.select(F.col("node").alias("v"), F.col("bits").alias("bv"))
-        return (pairs.join(v, "v").join(u, "u").where(_agreement("bu", "bv") >= least_agreement(THRESHOLD))
-                .select("u", "v"))
+        fit = (_agreement("bu", "bv") >= least_agreement(THRESHOLD)) & _unshared_fit("bu", "bv")
+        return pairs.join(v, "v").join(u, "u").where(fit).select("u", "v")
 
     part_of = lambda t, parts, node, name: t.join(
         parts.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(
@@ -265,7 +288,8 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text") -> Da
         agreement = _agreement("bu", "bv")
         cross = (stray.join(other, (stray["band"] == other["band"]) & (F.col("pu") != F.col("pv"))
                             & (F.col("main") | (F.col("u") < F.col("v")))
-                            & (agreement >= low_bits) & (agreement < high_bits) & first)
+                            & (agreement >= low_bits) & (agreement < high_bits) & _unshared_fit("bu", "bv")
+                            & first)
                  .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
         more = scratch.write(links.union(_sure_links(cross, chosen)))
         scratch.drop(placed, links, parts)

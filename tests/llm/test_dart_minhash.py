@@ -127,3 +127,38 @@ def test_odd_ids(spark):
     got = collections.Counter((r.doc_id, r.class_id, r.kept) for r in dart_minhash.near_duplicates(df).collect())
     assert got == {(None, 4, False): 1, (4, 4, True): 3, (None, None, True): 1}
     assert dart_minhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_parities_rule_out_no_pair_of_the_threshold(spark):
+    rng = random.Random(5)
+    texts = []
+    for size in (6, 30, 120, 400, 900):
+        base = [f"w{rng.randrange(10**5)}" for _ in range(size)]
+        texts += [" ".join(edited(rng, base, k)) for k in range(size // 40 + 2) for _ in range(3)]
+    e, doc = shingles.units(texts)
+    rows = dart_minhash.parities(e, doc, len(texts))
+    near = [(i, j) for i in range(len(texts)) for j in range(i)
+            if shingles.jaccard(e[doc == i], e[doc == j]) >= 0.8]
+    pad = [0] * (dart_minhash.K // 64)
+    pairs = spark.createDataFrame([(pad + rows[i].tolist(), pad + rows[j].tolist()) for i, j in near],
+                                  "bu array<long>, bv array<long>")
+    assert len(near) > 20 and pairs.where(dart_minhash._unshared_fit("bu", "bv")).count() == len(near)
+
+
+def test_a_group_just_below_the_threshold_is_not_compared_in_pairs(spark, monkeypatch):
+    """Of 120 texts with similarities of 0.75 the bits alone left 1,422 pairs to verify."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(1000)]
+    rows = []
+    for i in range(120):
+        at = rng.randrange(0, 990)
+        rows.append((i, " ".join(base[:at] + [f"x{i}y{k}" for k in range(10)] + base[at + 10:])))
+    rows = [(i, " ".join(t.split(" ")[:200]) + " " + " ".join(f"z{i}y{k}" for k in range(22))) for i, t in rows]
+    seen, plain = [], dart_minhash._sure_links
+    monkeypatch.setattr(dart_minhash, "_sure_links", lambda pairs, texts: seen.append(pairs.count()) or plain(pairs, texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = dart_minhash.near_duplicates(df).collect()
+    part = classes_of(rows)
+    least = {p: min(i for i, q in enumerate(part) if q == p) for p in part}
+    assert {r.doc_id: r.class_id for r in out} == {i: least[p] for i, p in enumerate(part)}
+    assert sum(seen) < 3 * len(rows)
