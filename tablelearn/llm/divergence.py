@@ -54,7 +54,7 @@ LEAST_DOCS = 3
 SCALE_STEPS = 3                 # the scale is 1000 to this power, multiplied step by step
 SCALE = 1000 ** SCALE_STEPS
 TOP = 200
-SLICE = 16 << 20                # bytes of text counted at a time
+SLICE = 4 << 20                 # bytes of text counted at a time; a worker holds some fifteen times as much
 ENTRIES = 1 << 18               # counts in a block of the vocabulary
 #: Letters as they are or lower-cased, everything else of ASCII as a space.
 SIGNS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))

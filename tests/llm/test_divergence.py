@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -113,3 +114,19 @@ def test_runs():
         ends, counts = divergence.run_ends(place, np.array(column)[place], len(column))
         assert np.repeat(counts, np.diff(ends, prepend=0)).tolist() == column
         assert (np.diff(counts) != 0).all()
+
+
+def test_memory_of_a_slice():
+    """Several workers share an executor's memory; slices of 16 MB took over 200 MB of each."""
+    rng, size = random.Random(3), 0
+    texts = []
+    while size < divergence.SLICE:
+        texts.append(" ".join(f"w{rng.randrange(30_000)}".translate(str.maketrans("0123456789", "abcdefghij"))
+                              for _ in range(400)))
+        size += len(texts[-1])
+    names = pa.array(["a"] * len(texts))
+    tracemalloc.start()
+    out = divergence.count_slice(names, names, pa.array(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.num_rows > 20_000 and peak < 64 << 20
