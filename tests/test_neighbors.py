@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tablelearn.functions import cells
-from tablelearn.operators import neighbors
+from tablelearn.operators import knn, neighbors
 
 from conftest import frame
 
@@ -98,3 +98,26 @@ def test_blocks_meet_without_a_broadcast(spark, capsys):
     pairs.explain()
     assert "Broadcast" not in capsys.readouterr().out
     assert {(r.a, r.b) for r in pairs.collect()} == {(i, i) for i in range(20)}
+
+
+@pytest.mark.parametrize("width", [2, 3])
+def test_imputation_meets_few_cells(spark, monkeypatch, width):
+    """Every row with a missing feature was compared with all rows; now as by ``neighbors.knn``."""
+    rng = np.random.default_rng(width)
+    x = np.column_stack([rng.integers(0, 30, 2000), *rng.normal(size=(width - 1, 2000)).round(2)]).astype(object)
+    x[rng.random(x.shape) < 0.15] = None
+    rows = [(i, *map(lambda v: None if v is None else float(v), r)) for i, r in enumerate(x)]
+    rows += rows[:20] + [(None, 3.0, *[None] * (width - 1))]
+    feats = [f"x{j}" for j in range(width)]
+    df = frame(spark, rows, "id long, " + ", ".join(f"{c} double" for c in feats))
+    blocks = knn.impute_knn(df, feats, k=4).collect()
+    monkeypatch.setattr(knn, "SMALL_PAIRS", 0)
+    monkeypatch.setattr(knn, "_by_blocks", None)
+    monkeypatch.setattr(cells, "CELL_ROWS", 50)
+    pairs, reach = [], cells.reach
+    monkeypatch.setattr(cells, "reach", lambda *a: pairs.append(reach(*a)) or pairs[-1])
+    found = knn.impute_knn(df, feats, k=4).collect()
+    key = lambda r: tuple(round(v, 9) if v is not None else -1e9 for v in r)
+    assert [pytest.approx(key(r), abs=1e-8) for r in sorted(found, key=key)] == sorted(map(key, blocks))
+    if width == 2:
+        assert 0 < sum(len(r.p) for t in pairs for r in t.collect()) < 6 * len(rows)
