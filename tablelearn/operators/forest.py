@@ -16,6 +16,9 @@ numpy; so a task's memory is bounded, a deep tree doesn't cost a round of jobs
 a level, and the place of the change doesn't show in the result (but for the
 rounding of sums in regression).
 
+Rows find their leaves the same way: by joins through the nodes that levels
+split, then, ``LOCAL_ROWS`` at a time, with the whole subtree below in one task.
+
 Thresholds are midpoints between neighbouring distinct values.  Ties go to the
 smaller feature position, then the smaller threshold.  ``min_samples_*`` count
 rows of the bag, not weights.  Probabilities and predictions are means over
@@ -45,6 +48,7 @@ PURE = 1e-12               # share of the weight below which a node's impurity c
 POISSON = [math.ceil(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(12)]
 NODE_SCHEMA = ("node string, tree int, depth int, n bigint, weight double, stats array<double>, "
                "feature_pos int, threshold double, gain double")
+ROOTED_SCHEMA = NODE_SCHEMA + ", root string"      # of the subtree that a task finished; null for a node of the levels
 
 
 def subset_size(max_features, p: int) -> int:
@@ -151,7 +155,7 @@ class _Rule:
             if got:
                 left = x[at, got[0]] <= got[1]
                 todo += [(node + "L", depth + 1, at[left]), (node + "R", depth + 1, at[~left])]
-        table = pd.DataFrame(out, columns=[c.split()[0] for c in NODE_SCHEMA.split(", ")])
+        table = pd.DataFrame(out, columns=[c.split()[0] for c in NODE_SCHEMA.split(", ")]).assign(root=root)
         return table.astype({"feature_pos": "Int32", "threshold": "float64", "gain": "float64"})
 
 
@@ -160,7 +164,12 @@ class ForestModel:
     features: list[str]
     classes: list | None
     n_trees: int
-    nodes: DataFrame           # NODE_SCHEMA; stats are class weights, or the weighted sum of the label
+    rooted: DataFrame          # ROOTED_SCHEMA; stats are class weights, or the weighted sum of the label
+
+    @property
+    def nodes(self) -> DataFrame:
+        """NODE_SCHEMA"""
+        return self.rooted.drop("root")
 
     def shape(self) -> DataFrame:
         """(tree, depth, n_leaves, n_nodes), one row per tree."""
@@ -175,20 +184,31 @@ class ForestModel:
                                      F.monotonically_increasing_id().alias("_row")))
         cur = base.select("_row", "_x", F.explode(F.sequence(F.lit(0), F.lit(self.n_trees - 1))
                                                   .cast("array<string>")).alias("node"))
-        n, depth = self.nodes.agg(F.count(F.lit(1)), F.max("depth")).first()
-        splits = maybe_broadcast(self.nodes.where("feature_pos is not null").select(
-            "node", "feature_pos", "threshold"), n)
-        for level in range(depth or 0):
+        top = self.rooted.where("root is null and feature_pos is not null")
+        n, depth = top.agg(F.count(F.lit(1)), F.max("depth")).first()
+        splits = maybe_broadcast(top.select("node", "feature_pos", "threshold"), n)
+        for level in range(depth + 1 if n else 0):
             turn = F.when(F.element_at("_x", F.col("feature_pos") + 1) <= F.col("threshold"), "L").otherwise("R")
             cur = cur.join(splits, "node", "left").select(
                 "_row", "_x", F.when(F.col("feature_pos").isNull(), F.col("node"))
                 .otherwise(F.concat("node", turn)).alias("node"))
             if level % 10 == 9:                         # a plan of bounded length
                 cur = cut_lineage(cur)
-        leaves = maybe_broadcast(self.nodes.where("feature_pos is null").select("node", "weight", "stats"), n)
-        width = len(self.classes) if self.classes is not None else 1
-        mean = (cur.join(leaves, "node").groupBy("_row")
-                .agg(*[F.avg(F.col("stats")[i] / F.col("weight")).alias(f"_p{i}") for i in range(width)]))
+        p, width = len(self.features), len(self.classes) if self.classes is not None else 1
+        cur = cut_lineage(cur.select("_row", F.col("node").alias("root"),
+                                     *[F.get("_x", F.lit(j)).alias(f"_x{j}") for j in range(p)]))
+        parts = cut_lineage(cur.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / LOCAL_ROWS).cast("int").alias("parts")))
+        parts = maybe_broadcast(parts, parts.count())
+        asking = cur.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("_row"), "parts").cast("int"))
+        subtrees = (self.rooted.where("root is not null or feature_pos is null")
+                    .select(F.coalesce("root", "node").alias("root"), "node", "feature_pos", "threshold", "weight", "stats")
+                    .join(parts, "root").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
+        ship_package(df.sparkSession)
+        means = [f"_p{i}" for i in range(width)]
+        mean = (subtrees.drop("parts").groupBy("root", "part").cogroup(asking.drop("parts").groupBy("root", "part"))
+                .applyInPandas(lambda nodes, rows: _leaf_means(nodes, rows, p, width),
+                               ", ".join(["_row bigint", *[f"{m} double" for m in means]]))
+                .groupBy("_row").agg(*[F.avg(m).alias(m) for m in means]))
         out = base.join(mean, "_row")
         cols = [F.col(id), *[F.col(k) for k in keep]]
         if self.classes is None:
@@ -209,6 +229,25 @@ class ForestModel:
                 .select("pos", "feature", F.when(n > 0, F.col("s") / n).otherwise(0.0).alias("importance")))
 
 
+def _leaf_means(nodes: pd.DataFrame, rows: pd.DataFrame, p: int, width: int) -> pd.DataFrame:
+    """Each row's leaf of a subtree, as what the leaf predicts."""
+    if nodes.empty or rows.empty:
+        return pd.DataFrame({c: [] for c in ["_row", *[f"_p{i}" for i in range(width)]]})
+    place = {name: i for i, name in enumerate(nodes["node"])}
+    pos = nodes["feature_pos"].fillna(-1).to_numpy(np.int64)
+    cut = nodes["threshold"].to_numpy(np.float64)
+    left, right = (np.array([place.get(name + turn, -1) for name in nodes["node"]]) for turn in "LR")
+    x = rows[[f"_x{j}" for j in range(p)]].to_numpy(np.float64)
+    at = np.full(len(rows), place[rows["root"].iloc[0]])
+    todo = np.flatnonzero(pos[at] >= 0)
+    while len(todo):
+        node = at[todo]
+        at[todo] = np.where(x[todo, pos[node]] <= cut[node], left[node], right[node])      # a null goes right
+        todo = todo[pos[at[todo]] >= 0]
+    mean = np.stack(nodes["stats"].to_numpy())[at, :width] / nodes["weight"].to_numpy(np.float64)[at, None]
+    return pd.DataFrame({"_row": rows["_row"].to_numpy(), **{f"_p{i}": mean[:, i] for i in range(width)}})
+
+
 def _all():
     from pyspark.sql import Window
     return Window.partitionBy()        # over one row per feature
@@ -263,7 +302,7 @@ def fit(df: DataFrame, features: Sequence[str], label: str, task: str = "classif
         tables.append(cut_lineage(big.join(maybe_broadcast(best, n_best), "node", "left").select(
             "node", "tree", F.lit(depth).alias("depth"), "n", F.col("W").alias("weight"),
             F.array(*[F.col(c) for c in _stat_names(rule)[1:]][:rule.n_classes or 1]).alias("stats"),
-            "feature_pos", "threshold", "gain")))
+            "feature_pos", "threshold", "gain", F.lit(None).cast("string").alias("root"))))
         x = F.array(*[F.col(f"_f{j}") for j in range(p)])
         turn = F.when(F.element_at(x, F.col("feature_pos") + 1) <= F.col("threshold"), "L").otherwise("R")
         active = cut_lineage(active.join(maybe_broadcast(best, n_best), "node")
@@ -277,7 +316,7 @@ def fit(df: DataFrame, features: Sequence[str], label: str, task: str = "classif
 
 def _finish(active: DataFrame, rule: _Rule) -> DataFrame:
     """The subtrees of nodes that fit into a task; each group has ``LOCAL_ROWS`` rows at most."""
-    return active.drop("_codes").groupBy("node").applyInPandas(lambda rows: rule.finish(rows), NODE_SCHEMA)
+    return active.drop("_codes").groupBy("node").applyInPandas(lambda rows: rule.finish(rows), ROOTED_SCHEMA)
 
 
 def _stat_names(rule: _Rule) -> list[str]:

@@ -121,3 +121,29 @@ def test_by_name(spark):
     model = search.get_model("forest")
     got = model(df, df, list("abcd"), "y", "id", n_estimators=2, min_samples_split=1000)
     assert {r.prediction for r in got.collect()} <= set("abc") and got.select("p_a").distinct().count() == 1
+
+
+@pytest.mark.parametrize("local_rows", [50_000, 40])
+def test_a_deep_tree_is_walked_in_one_task(spark, monkeypatch, local_rows):
+    """Every level of a tree was a join; a regression's trees have dozens of levels."""
+    rows, df = data(spark, True)
+    model = forest.fit(df, list("abcd"), "y", "regression", 3, seed=3, local_rows=local_rows)
+    assert model.nodes.agg({"depth": "max"}).first()[0] > 8
+    nodes = {r.node: r for r in model.nodes.collect()}
+    top = max([r.depth for r in model.rooted.collect() if r.root is None], default=-1)
+    joins = []
+    monkeypatch.setattr(forest, "LOCAL_ROWS", 70)
+    monkeypatch.setattr(forest, "cut_lineage", lambda t, cut=forest.cut_lineage: joins.append(
+        t._jdf.queryExecution().optimizedPlan().toString().count("Join ")) or cut(t))
+    more = df.union(df.selectExpr("id + 1000", *[f"IF(id % 3 = 0, NULL, {c} + 0.01)" for c in "abcd"], "y"))
+    out = {r.id: r.prediction for r in model.predict(more).collect()}
+    assert max(joins) <= top + 1 and len(out) == 2 * len(rows)
+    for r in more.collect():
+        mean = 0.0
+        for t in range(3):
+            node = str(t)
+            while nodes[node].feature_pos is not None:
+                v = r["abcd"[nodes[node].feature_pos]]
+                node += "L" if v is not None and v <= nodes[node].threshold else "R"
+            mean += nodes[node].stats[0] / nodes[node].weight / 3
+        assert out[r.id] == pytest.approx(mean)
