@@ -155,3 +155,48 @@ def test_ranking_of_few_rows(spark):
     assert global_rank(empty, [F.col("id")], "r").count() == 0
     one = spark.createDataFrame([(None,), (3,)], "id long")
     assert [r.r for r in global_rank(one, [F.col("id")], "r").orderBy("r").collect()] == [0, 1]
+
+
+def brute_silhouette(x, c):
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    out = []
+    for i, own in enumerate(c):
+        mean = {v: d[i, c == v].sum() / ((c == v).sum() - (v == own)) for v in set(c.tolist()) if (c == v).sum() - (v == own)}
+        a, b = mean.get(own), min(m for v, m in mean.items() if v != own)
+        out.append(0.0 if a is None else (b - a) / max(a, b))
+    return np.array(out)
+
+
+@pytest.mark.parametrize("kinds", [3, 90])         # clusters summed by a product, and one by one
+def test_silhouette_by_tiles(spark, monkeypatch, kinds):
+    rng = np.random.default_rng(8)
+    x, c = rng.normal(size=(150, 2)), np.concatenate([np.arange(kinds), rng.integers(0, kinds, 150 - kinds)])
+    df = spark.createDataFrame([(i, *v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, c))],
+                               "id long, x double, y double, cluster int")
+    for name, value in (("TILE_ROWS", 7), ("TILE_COLS", 11)):
+        monkeypatch.setattr(silhouette, name, value)
+    got = {r.id: r.silhouette for r in silhouette.silhouette_samples(df, ["x", "y"], block_rows=32).collect()}
+    assert np.allclose([got[i] for i in range(150)], brute_silhouette(x, c), atol=1e-9)
+
+
+def test_silhouette_analysis_measures_distances_once(spark, monkeypatch):
+    asked = []
+    one = silhouette._distance_sums
+    monkeypatch.setattr(silhouette, "_distance_sums", lambda *a: asked.append(a) or one(*a))
+    df = clusters(spark, k=3)
+    out = {r.k: r for r in silhouette.silhouette_analysis(df, ["x", "y"], "id", 2, 4, n_init=1).collect()}
+    assert len(asked) == 1 and sorted(out) == [2, 3, 4] and out[3].best
+    from tablelearn.operators import kmeans
+    for k, r in out.items():
+        m = kmeans.kmeans(df, ["x", "y"], k, "id", n_init=1, seed=42)
+        alone = silhouette.silhouette_score(m.assign(df, "id", ["x", "y"]), ["x", "y"], "cluster", "id").first()
+        assert r.silhouette == pytest.approx(alone.silhouette, abs=1e-12)
+
+
+def test_silhouette_pairs_leave_few_rows(spark, monkeypatch):
+    df = spark.range(400).selectExpr("id", "cast(id as double) x", "cast(id % 2 as int) cluster")
+    made = []
+    one = silhouette._distance_sums
+    monkeypatch.setattr(silhouette, "_distance_sums", lambda *a: made.append(one(*a)) or made[0])
+    silhouette.silhouette_samples(df, ["x"], block_rows=4).count()
+    assert made[0].count() == 400 * 8 * 2             # points x blocks x clusters, not x tiles of block_rows
