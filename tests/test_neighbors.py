@@ -121,3 +121,26 @@ def test_imputation_meets_few_cells(spark, monkeypatch, width):
     assert [pytest.approx(key(r), abs=1e-8) for r in sorted(found, key=key)] == sorted(map(key, blocks))
     if width == 2:
         assert 0 < sum(len(r.p) for t in pairs for r in t.collect()) < 6 * len(rows)
+
+
+def test_blocks_are_compared_in_slices(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tablelearn.functions import cells
+    monkeypatch.setattr(cells, "PAIRS", 400)          # read where compare is built into the task, on the driver
+    pts = spark.range(100).select("id", F.array(F.col("id").cast("double")).alias("x"),
+                                  F.lit(0).cast("bigint").alias("cell"), F.lit(0).cast("bigint").alias("block"))
+    held = cells.pack(pts)
+    seen = cells.compare(held, held, lambda q, r: [np.array([len(q["x"])]), np.array([len(r["x"])])],
+                         [("n", "bigint"), ("m", "bigint")]).collect()
+    assert sum(r.n for r in seen) == 100 and all(r.n * r.m <= 400 for r in seen)
+
+
+def test_tsne_repulsion_in_slices(monkeypatch):
+    from tablelearn.operators import tsne
+    rng = np.random.default_rng(0)
+    y, cm, cn = rng.normal(size=(50, 2)), rng.normal(size=(9, 2)), rng.integers(1, 5, 9).astype(float)
+    monkeypatch.setattr(tsne, "STEP_ROWS", 7)
+    d = y[:, None] - cm[None]
+    q = 1 / (1 + (d ** 2).sum(2))
+    assert np.allclose(tsne._repulsion(y, cn, cm), ((cn * q * q)[:, :, None] * d).sum(1), atol=1e-12)
