@@ -285,23 +285,34 @@ def fit(df: DataFrame, features: Sequence[str], label: str, C: float = 1.0,
     return model
 
 
+def _linear_fold_margins(folds, features, label, C, id, max_iter, classes, cv: int) -> DataFrame:
+    """(id, label, _f0): each row's margin by the plane that its fold's other rows give; all planes in one solve."""
+    fmap = build_map(folds, features, "linear", id=id, gamma=1.0)
+    planes = _planes(fmap, folds, label, [(C, *classes, F.col("fold") != f) for f in range(cv)], max_iter)
+    d = fmap.margins(folds, [id, label, "fold"], [(p.w, p.b) for p in planes])
+    return d.select(id, label, F.array(*[F.col(f"_f{f}") for f in range(cv)])[F.col("fold").cast("int")].alias("_f0"))
+
+
 def _platt(df, features, label, C, kernel, gamma, degree, n_components, seed, id, max_iter,
            classes, cv: int = 5):
     """Sigmoid fit of out-of-fold margins (one-feature Newton logistic)."""
     from . import logistic
     from .split import stratified_folds
     folds = stratified_folds(df, label, cv, id).persist()
-    def one(f):
-        m = fit(folds.where(F.col("fold") != f), features, label, C, kernel, gamma, degree,
-                n_components, seed, False, id, max_iter)
-        return m.decision(folds.where(F.col("fold") == f), id, [label]).select(
-            id, label, "_f0")
-    from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(cv) as ex:
-        outs = list(ex.map(one, range(cv)))
-    margins = outs[0]
-    for o in outs[1:]:
-        margins = margins.unionByName(o)
+    if kernel.strip().lower() == "linear":      # all folds have the map in common: one solver's passes for them
+        margins = _linear_fold_margins(folds, features, label, C, id, max_iter, classes, cv)
+    else:
+        def one(f):
+            m = fit(folds.where(F.col("fold") != f), features, label, C, kernel, gamma, degree,
+                    n_components, seed, False, id, max_iter)
+            return m.decision(folds.where(F.col("fold") == f), id, [label]).select(
+                id, label, "_f0")
+        from concurrent.futures import ThreadPoolExecutor
+        with ThreadPoolExecutor(cv) as ex:
+            outs = list(ex.map(one, range(cv)))
+        margins = outs[0]
+        for o in outs[1:]:
+            margins = margins.unionByName(o)
     # targets a little inside (0, 1), so that separable margins have a solution too
     n = {r[label]: r["count"] for r in margins.groupBy(label).count().collect()}
     lo, hi = 1.0 / (n[classes[0]] + 2.0), (n[classes[1]] + 1.0) / (n[classes[1]] + 2.0)

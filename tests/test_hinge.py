@@ -86,3 +86,14 @@ def test_passes_run_in_many_tasks(spark, monkeypatch):
         data, *a, **k))
     svm.fit(df, ["a", "b"], "y", kernel="linear")
     assert seen == [5]
+
+
+def test_folds_of_a_linear_svm_share_their_passes(spark, monkeypatch):
+    from tablelearn.operators import hinge, svm
+    rng = np.random.default_rng(5)
+    rows = [(i, *(rng.standard_normal(2) + [i % 2, 0]).tolist(), i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, label int")
+    asked, one = [], hinge.solve
+    monkeypatch.setattr(hinge, "solve", lambda data, C, *a, **k: asked.append(len(C)) or one(data, C, *a, **k))
+    svm.fit(df, ["x", "y"], "label", kernel="linear", probability=True)
+    assert asked == [1, 5]
