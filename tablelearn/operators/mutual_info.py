@@ -10,9 +10,10 @@
   blocked k-NN), n_x / n_y = points strictly within r on each axis (self
   excluded); MI = psi(n) + psi(k) - <psi(n_x + 1)> - <psi(n_y + 1)>.
 
-Everything is distributed: neighbours along one axis are equi-joins on rank
-offsets (1-D: the k nearest same-label points are among the k before and k
-after in sorted order), and "how many values lie strictly within r" is a
+Everything is distributed: neighbours along one axis are those at the rank
+offsets up to k (1-D: the k nearest same-label points are among the k before
+and k after in sorted order), read by windows over chunks of ranks that hold
+the k rows before and after them too, and "how many values lie strictly within r" is a
 cumulative count over data values merged with +-r marker rows, both from the
 bucketed ``global_rank`` -- no window over a whole feature or label.  No
 random jitter is added (the library adds 1e-10 noise); ties are exact.
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..frame import as_double, check_columns, check_numeric
@@ -30,6 +31,7 @@ from ..functions.rank import global_rank, maybe_broadcast
 from ..session import cut_lineage
 
 SHRINK = 1e-12
+CHUNK = 4096         # ranks that a window holds
 
 
 def digamma(x: Column) -> Column:
@@ -44,30 +46,32 @@ def digamma(x: Column) -> Column:
 
 def _long(df, features, id, extra):
     return df.select(F.col(id).alias("_id"), *[F.col(e) for e in extra], F.inline(F.array(*[
-        F.struct(F.lit(j).alias("pos"), F.lit(c).alias("feature"), as_double(c).alias("x"))
-        for j, c in enumerate(features)])))
+        F.struct(F.lit(j).alias("pos"), as_double(c).alias("x")) for j, c in enumerate(features)])))
 
 
 def _count_within(points: DataFrame, values: DataFrame, strict_self: bool) -> DataFrame:
     """For points (pos, _id, x, r): m = #values v of the same pos with |v - x| < r.
 
-    values: (pos, x).  Marker rows x + r (counts values < x + r) and x - r
+    values: (pos, x); equal ones are counted first.  Gives (pos, _id, m, n, psi),
+    n and psi being the number of points and the sum of their ``psi``, if they
+    have one.  Marker rows x + r (counts values < x + r) and x - r
     (counts values <= x - r) are merged with the values; a cumulative count of
     value rows in (pos, value, tiebreak) order answers both.
     """
     # strict "< r": shrink r a hair so the k-th neighbour itself (exactly at r)
     # is not counted after x + r rounds (the library shrinks by one ulp)
     points = points.withColumn("r", F.col("r") * F.lit(1.0 - SHRINK))
-    vals = values.select("pos", F.col("x").alias("v"), F.lit(1).alias("_isv"),
-                         F.lit(1).alias("_t"), F.lit(None).cast(points.schema["_id"].dataType)
-                         .alias("_id"), F.lit(None).cast("int").alias("_side"))
+    psi = F.col("psi") if "psi" in points.columns else F.lit(0.0)
+    vals = values.groupBy("pos", F.col("x").alias("v")).agg(F.count(F.lit(1)).alias("_isv")).select(
+        "pos", "v", "_isv", F.lit(1).alias("_t"), F.lit(None).cast(points.schema["_id"].dataType).alias("_id"),
+        F.lit(None).cast("int").alias("_side"), F.lit(None).cast("double").alias("psi"))
     # r == 0 (duplicates): count the exact duplicates, as "<= nextafter(0)" does
-    hi = points.select("pos", (F.col("x") + F.col("r")).alias("v"), F.lit(0).alias("_isv"),
+    hi = points.select("pos", (F.col("x") + F.col("r")).alias("v"), F.lit(0).cast("bigint").alias("_isv"),
                        F.when(F.col("r") == 0, 2).otherwise(0).alias("_t"), "_id",
-                       F.lit(1).alias("_side"))
-    lo = points.select("pos", (F.col("x") - F.col("r")).alias("v"), F.lit(0).alias("_isv"),
+                       F.lit(1).alias("_side"), psi.alias("psi"))
+    lo = points.select("pos", (F.col("x") - F.col("r")).alias("v"), F.lit(0).cast("bigint").alias("_isv"),
                        F.when(F.col("r") == 0, 0).otherwise(2).alias("_t"), "_id",
-                       F.lit(0).alias("_side"))
+                       F.lit(0).alias("_side"), F.lit(None).cast("double").alias("psi"))
     u = vals.unionByName(hi).unionByName(lo)
     r = global_rank(u, [F.col("pos"), F.col("v"), F.col("_t"),
                         F.col("_id")],
@@ -75,9 +79,41 @@ def _count_within(points: DataFrame, values: DataFrame, strict_self: bool) -> Da
     start = r.groupBy("pos").agg(F.min(F.col("_c") - F.col("_isv")).alias("_c0"))
     r = r.join(F.broadcast(start), "pos").where(F.col("_isv") == 0)
     cnt = (F.col("_c") - F.col("_c0"))
-    m = r.groupBy("pos", "_id").agg(
-        F.sum(F.when(F.col("_side") == 1, cnt).otherwise(-cnt)).alias("m"))
-    return m
+    return r.groupBy("pos", "_id").agg(
+        F.sum(F.when(F.col("_side") == 1, cnt).otherwise(-cnt)).alias("m"),
+        F.sum("_side").alias("n"), F.sum("psi").alias("psi"))
+
+
+def _radii(ranked: DataFrame, k: int) -> DataFrame:
+    """(pos, _y, _id, x, _nl, r): distance to the min(k, _nl - 1)-th nearest row of the same pos and label.
+
+    ``ranked`` has those columns and ``_g``, the row's place by (pos, label, x, id).  A row that is
+    there several times is one point with the neighbours of all of its copies.
+    """
+    size = max(CHUNK, k)
+    chunk, at = F.floor(F.col("_g") / size), F.col("_g") % size
+    places = F.array(F.struct(chunk.alias("chunk"), F.lit(True).alias("own")),
+                     F.when(at < k, F.struct((chunk - 1).alias("chunk"), F.lit(False).alias("own"))),
+                     F.when(at >= size - k, F.struct((chunk + 1).alias("chunk"), F.lit(False).alias("own"))))
+    spread = ranked.select("pos", "_y", "_id", "x", "_nl", "_g", F.inline(F.filter(places, lambda p: p.isNotNull())))
+    w = Window.partitionBy("chunk").orderBy("_g")
+    row = F.struct("pos", "_y", "x", "_id")
+    sides = [side(row, j).over(w) for j in range(1, k + 1) for side in (F.lag, F.lead)]
+    akin = lambda o: (o["pos"] == F.col("pos")) & (o["_y"] == F.col("_y"))
+    twin = F.lit(False)
+    for o in sides[:2]:
+        twin = twin | F.coalesce(akin(o) & o["x"].eqNullSafe(F.col("x")) & o["_id"].eqNullSafe(F.col("_id")),
+                                 F.lit(False))
+    gaps = F.array(*[F.when(akin(o), F.abs(F.col("x") - o["x"])) for o in sides])
+    near = spread.select("pos", "_y", "_id", "x", "_nl", "own", twin.alias("_twin"), gaps.alias("_ds")).where("own")
+    point, kth = ["pos", "_y", "_id", "x", "_nl"], F.least(F.lit(k), F.col("_nl") - 1).cast("int")
+    near = near.withColumn("_ds", F.sort_array(F.filter("_ds", lambda v: v.isNotNull())))
+    near = cut_lineage(near.select(*point, F.when(F.col("_twin"), F.col("_ds")).alias("_ds"),
+                                   F.when(~F.col("_twin"), F.element_at("_ds", kth)).alias("r")))
+    many = near.where(F.col("_ds").isNotNull()).groupBy(*point).agg(
+        F.sort_array(F.flatten(F.collect_list("_ds"))).alias("_ds"))
+    return near.where(F.col("_ds").isNull()).select(*point, "r").unionByName(
+        many.select(*point, F.element_at("_ds", kth).alias("r")))
 
 
 def mi_classif(df: DataFrame, features: Sequence[str], label: str, k: int = 3,
@@ -94,29 +130,13 @@ def mi_classif(df: DataFrame, features: Sequence[str], label: str, k: int = 3,
     # rank inside (pos, label) by value, neighbours at rank +- j
     r = global_rank(lf2, [F.col("pos"), F.col("_y").cast("string"), F.col("x"), F.col("_id")],
                     "_g")
-    r = cut_lineage(r)
-    nb = r.select(F.col("_g").alias("_g2"), F.col("pos").alias("_p2"),
-                  F.col("_y").alias("_y2"), F.col("x").alias("_x2"))
-    kk = F.least(F.lit(k), F.col("_nl") - 1)
-    offs = F.explode(F.array(*[F.lit(j) for j in range(-k, k + 1) if j != 0]))
-    c = r.select("pos", "_y", "_id", "x", "_g", "_nl", offs.alias("_o")).withColumn(
-        "_g2", F.col("_g") + F.col("_o"))
-    d = (c.join(nb, "_g2").where((F.col("_p2") == F.col("pos")) & (F.col("_y2") == F.col("_y")))
-         .select("pos", "_y", "_id", "x", "_nl", F.abs(F.col("x") - F.col("_x2")).alias("_d")))
-    rad = d.groupBy("pos", "_y", "_id", "x", "_nl").agg(
-        F.sort_array(F.collect_list("_d")).alias("_ds"))       # at most 2k values
-    rad = rad.select("pos", "_y", "_id", "x", "_nl",
-                     F.least(F.lit(k), F.col("_nl") - 1).alias("_k"),
-                     F.element_at("_ds", F.least(F.lit(k), F.col("_nl") - 1).cast("int"))
-                     .alias("r"))
-    rad = cut_lineage(rad)
-    m = _count_within(rad.select("pos", "_id", "x", "r"), lf2.select("pos", "x"), True)
-    j = rad.join(m, ["pos", "_id"])
-    s = j.groupBy("pos").agg(
-        F.count(F.lit(1)).alias("_n"), F.avg(digamma(F.col("_k").cast("double"))).alias("_pk"),
-        F.avg(digamma(F.col("_nl").cast("double"))).alias("_pl"),
-        F.avg(digamma(F.col("m").cast("double"))).alias("_pm"))
-    mi = digamma(F.col("_n").cast("double")) + F.col("_pk") - F.col("_pl") - F.col("_pm")
+    rad = _radii(r, k)
+    psi = digamma(F.least(F.lit(k), F.col("_nl") - 1).cast("double")) - digamma(F.col("_nl").cast("double"))
+    m = _count_within(rad.select("pos", "_id", "x", "r", psi.alias("psi")), lf2.select("pos", "x"), True)
+    s = m.where(F.col("_id").isNotNull()).groupBy("pos").agg(
+        F.sum("n").alias("_n"), F.sum("psi").alias("_pk"),
+        F.sum(F.col("n") * digamma(F.col("m").cast("double"))).alias("_pm"))
+    mi = digamma(F.col("_n").cast("double")) + (F.col("_pk") - F.col("_pm")) / F.col("_n")
     names = df.sparkSession.createDataFrame(list(enumerate(features)), "pos int, feature string")
     out = names.join(s, "pos", "left").select(
         F.col("pos").cast("int").alias("pos"), "feature",
@@ -148,7 +168,8 @@ def mi_regression(df: DataFrame, features: Sequence[str], label: str, k: int = 3
                            xy.select(F.lit(j).alias("pos"), "x"), True)
         my = _count_within(pts.select(F.lit(j).alias("pos"), "_id", F.col("y").alias("x"), "r"),
                            xy.select(F.lit(j).alias("pos"), F.col("y").alias("x")), True)
-        s = (mx.withColumnRenamed("m", "nx").join(my.withColumnRenamed("m", "ny"), ["pos", "_id"])
+        s = (mx.select("pos", "_id", F.col("m").alias("nx")).join(my.select("pos", "_id", F.col("m").alias("ny")),
+                                                                  ["pos", "_id"])
              .agg(F.avg(digamma(F.col("nx").cast("double"))).alias("_px"),
                   F.avg(digamma(F.col("ny").cast("double"))).alias("_py")))
         outs.append(s.select(F.lit(j).alias("pos"), F.lit(c).alias("feature"),

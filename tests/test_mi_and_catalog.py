@@ -61,3 +61,23 @@ def test_catalog_contract(spark):
     assert out.count() > 0
     assert {"class", "precision", "recall", "f1", "support"} == set(out.columns)
     _ = SF001
+
+
+def test_radii_over_chunks_of_ranks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=300), rng.integers(0, 3, 300)
+    df = frame(spark, [(i, float(a), int(b)) for i, (a, b) in enumerate(zip(x, y))], "id long, x double, y int")
+    monkeypatch.setattr(mi, "CHUNK", 16)              # many chunks, whose rows need the next one's
+    assert mi.mi_classif(df, ["x"], "y").first().score == pytest.approx(brute_cd(x, y), abs=1e-8)
+
+
+def test_mi_classif_compares_no_offset_rows_by_joins(spark):
+    df = frame(spark, [(i, float(i * i % 97), i % 2) for i in range(90)], "id long, x double, y int")
+    plans, one = [], mi.cut_lineage
+    try:
+        mi.cut_lineage = lambda d: plans.append(d._jdf.queryExecution().toString()) or one(d)
+        mi.mi_classif(df, ["x"], "y").first()
+    finally:
+        mi.cut_lineage = one
+    assert not any("_g2" in p for p in plans)         # 2k rows for each row, joined with all
+    assert any("lag(" in p for p in plans)
