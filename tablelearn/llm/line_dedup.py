@@ -33,7 +33,9 @@ Work is kept in proportion to the lines: equal lines are one node, by a
 128-bit key.  A bucket's members are first compared with its smallest node
 alone.  Only members that are then not in its component are compared with
 what is in another component and shares a bucket with them, in the first
-bucket that they share, where the bits don't rule it out.
+bucket that they share, where the bits don't rule it out.  For these members
+alone, parities of ``CELLS`` cells a shingle rule out what 256 cells can't tell
+from the threshold: most pairs of a large group's lines just below it.
 
 Lines, keys, buckets, links, components and texts are DataFrame work.  The
 coordinates and the comparison of sets run in numpy on Arrow batches; a form
@@ -61,6 +63,7 @@ CHARS = 8
 THRESHOLD = 0.8
 BANDS, ROWS = 12, 4
 K = 256
+CELLS, MOST_CELLS = 4, 1 << 14
 LONG = 128
 MARGIN = 4
 SPREAD = 1.25              # the bits' variance is at most 1 + SPREAD * K / shingles that of independent ones
@@ -142,11 +145,33 @@ def _packed(bits: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits.astype(np.uint8), axis=1)).view(np.int64)
 
 
-def parities(sets: np.ndarray, n: int) -> np.ndarray:
-    """n x K: whether an odd number of a line's hashes is in each of K cells."""
+def parities(sets: np.ndarray, n: int, k: int = K) -> np.ndarray:
+    """n x k: whether an odd number of a line's hashes is in each of k cells."""
     line = (sets >> U(HASH_BITS)).astype(np.int64)
-    cell = (mix(sets & U((1 << HASH_BITS) - 1)) % U(K)).astype(np.int64)
-    return np.bincount(line * K + cell, minlength=n * K).reshape(n, K) & 1
+    cell = (mix(sets & U((1 << HASH_BITS) - 1)) % U(k)).astype(np.int64)
+    return np.bincount(line * k + cell, minlength=n * k).reshape(n, k) & 1
+
+
+def many_parities(texts: list[str]) -> list[np.ndarray]:
+    """Each line's parities, packed: ``CELLS`` cells a shingle, as a power of two from K to ``MOST_CELLS``.
+
+    The words of half as many cells are the exclusive or of both halves.
+    """
+    sets, n = shingle_sets(texts), len(texts)
+    line = (sets >> U(HASH_BITS)).astype(np.int64)
+    wanted = np.clip(CELLS * np.bincount(line, minlength=n), K, MOST_CELLS)
+    cells = 1 << np.ceil(np.log2(wanted)).astype(np.int64)
+    out = [np.zeros(0, np.int64)] * n
+    for k in np.unique(cells).tolist():
+        some = np.flatnonzero(cells == k)
+        for lo in range(0, len(some), max(1, (1 << 22) // k)):
+            few = some[lo:lo + max(1, (1 << 22) // k)]
+            at = np.searchsorted(few, line)
+            mine = few[np.minimum(at, len(few) - 1)] == line
+            rows = parities((at[mine].astype(U) << U(HASH_BITS)) | (sets[mine] & U((1 << HASH_BITS) - 1)), len(few), k)
+            for i, row in zip(few.tolist(), _packed(rows), strict=True):
+                out[i] = row
+    return out
 
 
 def signs(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -197,6 +222,16 @@ def _sign(columns: list[pa.Array]) -> list[pa.Array]:
     return out
 
 
+def _widen(columns: list[pa.Array]) -> list[pa.Array]:
+    """(node, line) to (node, many parities)."""
+    words = []
+    for lo, hi in pieces_of(columns[1], CHUNK_CHARS, CHUNK_LINES):
+        words += many_parities(columns[1].slice(lo, hi - lo).to_pylist())
+    ends = pa.array(np.cumsum([0, *map(len, words)]), pa.int32())
+    values = pa.array(np.concatenate(words) if words else np.zeros(0, np.int64))
+    return [columns[0], pa.ListArray.from_arrays(ends, values)]
+
+
 def _verify(columns: list[pa.Array]) -> list[pa.Array]:
     """(u, v, line of u, line of v) to (u, v, whether the sets reach the threshold)."""
     good = []
@@ -229,6 +264,19 @@ def _possible() -> Column:
             & ((fewer < LONG) | (differ(words) <= limit)))
 
 
+def _parities_fit() -> Column:
+    """Whether the many parities leave the threshold possible, for sizes that ``_possible`` has compared."""
+    words = F.least(F.size("wu"), F.size("wv"))
+    xor = lambda x, y: x.bitwiseXOR(y)
+    # sizes of the threshold differ by a quarter at most, so numbers of cells by a factor of two
+    as_few = lambda w: F.when(F.size(w) == words, F.col(w)).otherwise(
+        F.zip_with(F.slice(w, 1, words), F.slice(w, words + 1, words), xor))
+    differ = F.aggregate(F.zip_with(as_few("wu"), as_few("wv"), lambda x, y: F.bit_count(xor(x, y))), F.lit(0),
+                         lambda total, n: total + n)
+    both = F.col("bu")[2 * (K // 64)] + F.col("bv")[2 * (K // 64)]
+    return differ <= both * ((1 - THRESHOLD) / (1 + THRESHOLD)) + 1e-6
+
+
 def numbered(df: DataFrame, scratch: Scratch) -> DataFrame:
     """``df`` under the names _0, _1, ... with a number ``row`` of each row, as a written table."""
     plain = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
@@ -296,21 +344,23 @@ def classes(rows: DataFrame, scratch: Scratch) -> DataFrame:
         name, F.coalesce(name, node))
     placed = scratch.write(part_of(part_of(shared, "node", "part"), "low", "low_part"))
     apart = placed.where("part <> low_part")
-    signs = nodes.select("node", "bits", "bands")
+    near = scratch.write(placed.join(apart.select("band").distinct(), "band", "left_semi").where("node <> low"))
+    wide = map_batches(texts.join(near.select("node").distinct(), "node", "left_semi").select("node", "line"),
+                       _widen, [("node", "long"), ("wide", "array<long>")])
+    signs = scratch.write(wide.join(nodes.select("node", "bits", "bands"), "node"))
     stray = apart.join(signs, "node").select(
         "band", F.col("node").alias("u"), F.col("part").alias("pu"), F.col("bits").alias("bu"),
-        F.col("bands").alias("ku"))
-    other = (placed.join(apart.select("band").distinct(), "band", "left_semi").where("node <> low")
-             .join(signs, "node")
-             .select("band", F.col("node").alias("v"), F.col("part").alias("pv"), F.col("bits").alias("bv"),
-                     F.col("bands").alias("kv"), (F.col("part") == F.col("low_part")).alias("main")))
+        F.col("wide").alias("wu"), F.col("bands").alias("ku"))
+    other = near.join(signs, "node").select(
+        "band", F.col("node").alias("v"), F.col("part").alias("pv"), F.col("bits").alias("bv"),
+        F.col("wide").alias("wv"), F.col("bands").alias("kv"), (F.col("part") == F.col("low_part")).alias("main"))
     # a pair counts in the first band that it shares
     first = F.get(F.array_intersect("ku", "kv"), F.lit(0)) == stray["band"]
     cross = (stray.join(other, (stray["band"] == other["band"]) & (F.col("pu") != F.col("pv"))
-                        & (F.col("main") | (F.col("u") < F.col("v"))) & _possible() & first)
+                        & (F.col("main") | (F.col("u") < F.col("v"))) & _possible() & first & _parities_fit())
              .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     more = scratch.write(_links(cross, texts))
-    scratch.drop(placed, texts, shared, bucket, star)
+    scratch.drop(placed, near, signs, texts, shared, bucket, star)
     whole = components(links.union(more), scratch)
     scratch.drop(links, more)
     labelled = (nodes.select("a", "b", "node", "at").join(whole, "node", "left")

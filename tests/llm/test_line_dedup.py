@@ -124,3 +124,41 @@ def test_rows_that_share_an_id_or_have_none(spark):
     left = "\n".join(r.text for r in line_dedup.dedupe_lines(df).collect()).split("\n")
     assert sorted(x for x in left if x) == sorted(line(k) for k in range(1, 11))
     assert sum(r.kept for r in line_dedup.line_classes(df).collect()) == 10
+
+
+def test_many_parities_rule_out_no_pair_of_the_threshold():
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (3, 70, 126, 135, 500, 519, 2_000, 30_000)]
+    texts += [t[:-(len(t) // 9) or None] for t in texts]
+    words = [w.view(np.uint64) for w in line_dedup.many_parities(texts)]
+    assert [len(w) * 64 for w in words[:8]] == [256, 256, 512, 512, 2048, 2048, 8192, 16384]
+    for i, a in enumerate(words):
+        for j, b in enumerate(words):
+            few = min(len(a), len(b))
+            if max(len(a), len(b)) <= 2 * few:
+                x, y = (w if len(w) == few else w[:few] ^ w[few:] for w in (a, b))
+                assert np.bitwise_count(x ^ y).sum() <= len(grams(texts[i]) ^ grams(texts[j]))
+
+
+def test_large_group_just_below_the_threshold(spark, monkeypatch):
+    """Lines that are all near one another, but seldom linked, are seldom compared; no link is lost."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    base = [word() for _ in range(75)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for at in rng.sample(range(75), 3):
+            words[at] = word()
+        rows.append((i, " ".join(words) if i % 9 else " ".join(words[:72])))     # on both sides of 512 shingles
+    compared, links = [], line_dedup._links
+
+    def counted(pairs, texts):
+        compared.append(pairs.count())
+        return links(pairs, texts)
+
+    monkeypatch.setattr(line_dedup, "_links", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.line_no): (r.class_id, r.class_line_no) for r in line_dedup.line_classes(df).collect()}
+    assert found == brute(rows)
+    assert sum(compared) < 1_000, compared                   # of 4,005 pairs
