@@ -14,7 +14,8 @@ distinct values (``tree._best_splits``).  A node of at most ``LOCAL_ROWS``
 rows is finished with all its descendants in one task, by the same rule in
 numpy; so a task's memory is bounded, a deep tree doesn't cost a round of jobs
 a level, and the place of the change doesn't show in the result (but for the
-rounding of sums in regression).
+rounding of sums in regression).  Nodes that levels reach at ``max_depth`` are
+leaves made of the level's sums.
 
 Rows find their leaves the same way: by joins through the nodes that levels
 split, then, ``LOCAL_ROWS`` at a time, with the whole subtree below in one task.
@@ -82,7 +83,8 @@ def bag_weight(seed: int, tree: Column, id: Column) -> Column:
     """How often a tree's bag holds a row."""
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), tree.cast("string"), id.cast("string"))), 1, 8),
                16, 10).cast("bigint")
-    return sum((F.when(u >= t, 1.0).otherwise(0.0) for t in POISSON), F.lit(0.0))
+    weight = lambda v: sum((F.when(v >= t, 1.0).otherwise(0.0) for t in POISSON), F.lit(0.0))
+    return F.get(F.transform(F.array(u), weight), F.lit(0))        # hashes once, not for each comparison
 
 
 @dataclass(frozen=True)
@@ -277,37 +279,41 @@ def fit(df: DataFrame, features: Sequence[str], label: str, task: str = "classif
     rule = _Rule(p, len(classes or ()), subset_size(max_features, p), int(max_depth) if max_depth else None,
                  max(2, int(min_samples_split)), max(1, int(min_samples_leaf)), int(seed))
     ship_package(df.sparkSession)
-    bags = F.explode(F.transform(F.sequence(F.lit(0), F.lit(int(n_estimators) - 1)), lambda t: F.struct(
-        t.alias("tree"), bag_weight(seed, t, F.col("_id")).alias("_w"))))
+    trees = F.explode(F.sequence(F.lit(0), F.lit(int(n_estimators) - 1))).alias("tree")
     rows = df.select(F.col(id).alias("_id"), *[as_double(c).alias(f"_f{j}") for j, c in enumerate(features)],
                      y.alias("_y"))
     bagged = lambda t: (
-        t.select("*", bags.alias("_b")).select("*", "_b.tree", "_b._w").drop("_b", "_id").where("_w > 0")
+        t.select("*", trees).withColumn("_w", bag_weight(seed, F.col("tree"), F.col("_id"))).drop("_id").where("_w > 0")
         .withColumn("node", F.col("tree").cast("string")))
     if df.count() <= local_rows:
         return ForestModel(features, classes, int(n_estimators), cut_lineage(_finish(bagged(rows), rule)))
     rows, codes = coded(rows, p)
     active, tables, depth = cut_lineage(bagged(rows)), [], 0
+    leaf = [F.lit(None).cast(kind).alias(c) for c, kind in (
+        ("feature_pos", "int"), ("threshold", "double"), ("gain", "double"), ("root", "string"))]
     while True:
         nodes = cut_lineage(_node_stats(active, rule))
+        if depth == rule.max_depth:                     # leaves, which need no more than their sums
+            tables.append(nodes.select(*_node_columns(rule, depth), *leaf))
+            break
         small = nodes.where(F.col("n") <= local_rows).select("node")
-        tables.append(cut_lineage(_finish(active.join(
-            maybe_broadcast(small, small.count()), "node", "left_semi"), rule)))
+        n_small = small.count()
+        if n_small:
+            tables.append(cut_lineage(_finish(active.join(maybe_broadcast(small, n_small), "node", "left_semi"), rule)))
         big = nodes.where(F.col("n") > local_rows)
         n_big = big.count()
         if not n_big:
             break
-        best = cut_lineage(_splits(active, big, rule, depth, codes))
+        best = cut_lineage(_splits(active, big, rule, codes))
         n_best = best.count()
         tables.append(cut_lineage(big.join(maybe_broadcast(best, n_best), "node", "left").select(
-            "node", "tree", F.lit(depth).alias("depth"), "n", F.col("W").alias("weight"),
-            F.array(*[F.col(c) for c in _stat_names(rule)[1:]][:rule.n_classes or 1]).alias("stats"),
-            "feature_pos", "threshold", "gain", F.lit(None).cast("string").alias("root"))))
+            *_node_columns(rule, depth), "feature_pos", "threshold", "gain", leaf[-1])))
         x = F.array(*[F.col(f"_f{j}") for j in range(p)])
         turn = F.when(F.element_at(x, F.col("feature_pos") + 1) <= F.col("threshold"), "L").otherwise("R")
-        active = cut_lineage(active.join(maybe_broadcast(best, n_best), "node")
-                             .withColumn("node", F.concat("node", turn)).select(*active.columns))
+        moved = (active.join(maybe_broadcast(best, n_best), "node")
+                 .withColumn("node", F.concat("node", turn)).select(*active.columns))
         depth += 1
+        active = moved if depth == rule.max_depth else cut_lineage(moved)      # leaves are read once only
     whole = tables[0]
     for t in tables[1:]:
         whole = whole.unionByName(t)
@@ -323,6 +329,12 @@ def _stat_names(rule: _Rule) -> list[str]:
     return ["W", *([f"c{i}" for i in range(rule.n_classes)] or ["S", "S2"])]
 
 
+def _node_columns(rule: _Rule, depth: int) -> list:
+    """The first columns of NODE_SCHEMA, from those of ``_node_stats``."""
+    return ["node", "tree", F.lit(depth).alias("depth"), "n", F.col("W").alias("weight"),
+            F.array(*[F.col(c) for c in _stat_names(rule)[1:]][:rule.n_classes or 1]).alias("stats")]
+
+
 def _node_stats(active: DataFrame, rule: _Rule) -> DataFrame:
     w, y = F.col("_w"), F.col("_y")
     sums = ([F.sum(F.when(y == float(i), w).otherwise(0.0)).alias(f"c{i}") for i in range(rule.n_classes)]
@@ -330,15 +342,13 @@ def _node_stats(active: DataFrame, rule: _Rule) -> DataFrame:
     return active.groupBy("node", "tree").agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("W"), *sums)
 
 
-def _splits(active: DataFrame, big: DataFrame, rule: _Rule, depth: int, codes: int) -> DataFrame:
+def _splits(active: DataFrame, big: DataFrame, rule: _Rule, codes: int) -> DataFrame:
     """(node, feature_pos, threshold, gain) of the large nodes that split."""
     regression = not rule.n_classes
     names = _stat_names(rule)
     impurity = _impurity("squared_error" if regression else "gini", [F.col(c) for c in names[1:]], F.col("W"),
                          F.col("S") if regression else None, F.col("S2") if regression else None)
     able = big.where((F.col("n") >= max(rule.min_split, 2 * rule.min_leaf)) & (impurity > PURE * F.col("W")))
-    if rule.max_depth is not None and depth >= rule.max_depth:
-        able = able.where(F.lit(False))
     able = able.select("node", _order_column(rule.seed, rule.p).alias("order"))
     classes = None if regression else [float(i) for i in range(rule.n_classes)]
     find = lambda nodes, first_valid: _best_splits(

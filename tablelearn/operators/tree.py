@@ -283,14 +283,14 @@ def _best_splits(active, splittable, p, regression, classes, criterion, stat_col
     """
     some = "chosen" in splittable.columns
     value = F.array(*[F.col(f"_f{j}") for j in range(p)])
-    each = lambda j: F.struct(j.alias("pos"), F.get("_codes", j).alias("code"), F.get(value, j).alias("value"))
     if some:
         a = active.join(splittable.select("node", "chosen"), "node")
-        every = F.transform("chosen", each)
+        every = F.col("chosen")
     else:
         a = active.join(splittable.select("node"), "node", "left_semi")
-        every = F.array(*[each(F.lit(j)) for j in range(p)])
-    long = a.select("node", F.inline(every), "_y", "_w")
+        every = F.array(*[F.lit(j) for j in range(p)])
+    long = (a.select("*", F.explode(every).alias("pos"))
+            .select("node", "pos", F.get("_codes", "pos").alias("code"), F.get(value, "pos").alias("value"), "_y", "_w"))
     if regression:
         aggs = [F.sum("_w").alias("W"), F.sum(F.col("_w") * F.col("_y")).alias("S"),
                 F.sum(F.col("_w") * F.col("_y") * F.col("_y")).alias("S2")]
@@ -299,7 +299,9 @@ def _best_splits(active, splittable, p, regression, classes, criterion, stat_col
             F.sum(F.when(F.col("_y") == F.lit(c), F.col("_w")).otherwise(0.0)).alias(f"c{i}")
             for i, c in enumerate(classes)]
     names = ["n"] + stat_cols
-    h = cut_lineage(long.groupBy("node", "pos", "code", "value").agg(F.count(F.lit(1)).alias("n"), *aggs)
+    # a code has one feature and value
+    h = cut_lineage(long.groupBy("node", "code").agg(F.first("pos").alias("pos"), F.first("value").alias("value"),
+                                                     F.count(F.lit(1)).alias("n"), *aggs)
                     .withColumn("first", F.struct("code", "value")).drop("value"))
     total = h.groupBy("node", "pos").agg(*[F.sum(c).alias(f"T_{c}") for c in names])
     c = _running(h, ["node", "pos"], names, codes).where("next is not null").join(total, ["node", "pos"])

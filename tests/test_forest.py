@@ -147,3 +147,24 @@ def test_a_deep_tree_is_walked_in_one_task(spark, monkeypatch, local_rows):
                 node += "L" if v is not None and v <= nodes[node].threshold else "R"
             mean += nodes[node].stats[0] / nodes[node].weight / 3
         assert out[r.id] == pytest.approx(mean)
+
+
+@pytest.mark.parametrize("regression", [False, True])
+def test_leaves_of_the_last_level_come_from_its_sums(spark, regression):
+    """Their rows went to a Python worker that only counted them."""
+    _, df = data(spark, regression)
+    task = "regression" if regression else "classification"
+    by_levels, at_once = (forest.fit(df, list("abcd"), "y", task, 3, max_depth=2, seed=5, local_rows=n) for n in (10, 50_000))
+    assert by_levels.rooted.where("depth = 2 and root = node").count() == 0
+    assert shown(by_levels) == shown(at_once)
+    stats = lambda m: {r.node: pytest.approx(r.stats) for r in m.nodes.collect()}
+    assert stats(by_levels) == {r.node: r.stats for r in at_once.nodes.collect()}
+    predicted = lambda m: {r.id: r.prediction for r in m.predict(df).collect()}
+    assert predicted(by_levels) == (pytest.approx(predicted(at_once)) if regression else predicted(at_once))
+
+
+def test_a_bag_hashes_each_row_once_a_tree(spark):
+    bag = spark.range(9).select(forest.bag_weight(42, forest.F.lit(3), forest.F.col("id")).alias("w"))
+    assert bag._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
+    hashed = [int(md5(f"42:3:{i}")[:8], 16) for i in range(9)]
+    assert [r.w for r in bag.collect()] == [sum(u >= t for t in forest.POISSON) for u in hashed]
