@@ -64,6 +64,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 12, 4
 K = 256
 CELLS, MOST_CELLS = 4, 1 << 14
+MANY_CELLS = 1 << 18       # of some lines, held at once in 2 MB
 LONG = 128
 MARGIN = 4
 SPREAD = 1.25              # the bits' variance is at most 1 + SPREAD * K / shingles that of independent ones
@@ -164,8 +165,9 @@ def many_parities(texts: list[str]) -> list[np.ndarray]:
     out = [np.zeros(0, np.int64)] * n
     for k in np.unique(cells).tolist():
         some = np.flatnonzero(cells == k)
-        for lo in range(0, len(some), max(1, (1 << 22) // k)):
-            few = some[lo:lo + max(1, (1 << 22) // k)]
+        step = MANY_CELLS // k
+        for lo in range(0, len(some), step):
+            few = some[lo:lo + step]
             at = np.searchsorted(few, line)
             mine = few[np.minimum(at, len(few) - 1)] == line
             rows = parities((at[mine].astype(U) << U(HASH_BITS)) | (sets[mine] & U((1 << HASH_BITS) - 1)), len(few), k)
