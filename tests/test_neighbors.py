@@ -144,3 +144,33 @@ def test_tsne_repulsion_in_slices(monkeypatch):
     d = y[:, None] - cm[None]
     q = 1 / (1 + (d ** 2).sum(2))
     assert np.allclose(tsne._repulsion(y, cn, cm), ((cn * q * q)[:, :, None] * d).sum(1), atol=1e-12)
+
+
+def test_tsne_ways_of_a_step_agree(spark, monkeypatch):
+    from tablelearn.operators import tsne
+    rng = np.random.default_rng(3)
+    # ids that come twice move together; a record holds fewer edges than some points have
+    rows = [(i, *map(float, x)) for i, x in enumerate(rng.normal(size=(40, 2)))]
+    df = frame(spark, rows + rows, "id long, x0 double, x1 double")
+    got = []
+    for task, driver, edges in ((100, 100, 16_384), (0, 100, 10), (0, 0, 10)):
+        monkeypatch.setattr(tsne, "TASK_POINTS", task)
+        monkeypatch.setattr(tsne, "DRIVER_POINTS", driver)
+        monkeypatch.setattr(tsne, "EDGES", edges)
+        emb, kl = tsne.embed(df, ["x0", "x1"], max_iter=4)
+        got.append((sorted(map(tuple, emb.collect())), kl))
+    assert len(got[0][0]) == 80
+    for emb, kl in got[1:]:
+        assert np.allclose(emb, got[0][0], atol=1e-9) and abs(kl - got[0][1]) < 1e-9
+
+
+def test_tsne_kl_runs_all_steps(spark, tmp_path):
+    from tablelearn.operators import tsne
+    from tablelearn.plans import clustering
+    from tablelearn.sources import tables
+    rng = np.random.default_rng(4)
+    frame(spark, [(i, [float(v) for v in x], 0) for i, x in enumerate(rng.normal(size=(60, 2)))],
+          "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    row = clustering.tsne_kl(spark, str(tmp_path)).first()
+    kl = tsne.embed(tables.f_learn(spark, str(tmp_path)), ["x0", "x1"], id="vec_id")[1]      # 1000 steps by default
+    assert row["steps"] == 1000 and abs(row["kl"] - kl) < 1e-9
