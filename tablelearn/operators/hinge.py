@@ -5,10 +5,14 @@ whose label is 1 or -1 in it; all problems share a table of mapped rows.  An
 iteration has two passes: one sums the matrix of the Newton system, the other
 finds the longest step that keeps every row's variables positive.
 
-The variables of a row (its multiplier and its two slacks) are never stored.
-A pass gets the steps made so far, and a row replays them; an iteration more
-costs a row a dot product, where the matrix costs the square of the width.  So
-nothing is written between passes, and a lost executor loses nothing.
+The rows are packed once, in records of rows that are in the same problems, so
+a pass computes nothing for problems that a row isn't in.  A record holds the
+rows before ``mapped``, if that is given: making a wide row anew in each pass is
+cheaper than moving it there.
+
+The variables of a row (its multiplier and its two slacks) are written with the
+records every ``SAVE`` steps; a pass gets the steps made since, and the rows
+replay them.  With one task they are never written.
 
 A pass sends one sum of half the symmetric matrices to the driver, however many
 tasks made parts of it.
@@ -19,7 +23,7 @@ from the optimum.  The driver holds a width x width matrix for each problem.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,9 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cells import matrix
-from ..session import ship_package
+from ..session import cut_lineage, ship_package
 
 CHUNK = 2048               # rows that a kernel holds at once
+SAVE = 8                   # steps that rows replay at most, if there are several tasks
+RECORD = "cols binary, x binary, y binary, state binary"
 PIECE = 1 << 13            # numbers in a row of a sum
 FEW_TASKS = 16             # partial sums that one task adds to a whole one
 
@@ -47,51 +53,121 @@ class Plane:
 
 def _move(a, xi, t, y, C, df, mu):
     """The Newton direction of the rows' variables, given that of the margins."""
-    b = C - a
-    d = xi / b + t / a
-    da = (mu * (1 / a - 1 / b) + xi - t - y * df) / d
-    return da, (mu - b * xi + xi * da) / b, (mu - a * t - t * da) / a
+    ra, rb = 1 / a, 1 / (C - a)
+    da = (mu * (ra - rb) + xi - t - y * df) / (xi * rb + t * ra)
+    return da, rb * (mu + xi * da) - xi, ra * (mu - t * da) - t
 
 
-def _replay(z, y, C, steps):
-    """Multipliers, slacks and margins (rows x problems) after the steps."""
-    a, xi, t, f = np.tile(C / 2, (len(z), 1)), np.full(y.shape, 2.0), np.ones(y.shape), np.zeros(y.shape)
+def _replay(z, y, C, state, steps):
+    """Multipliers and slacks (rows x problems) after the steps."""
+    a, xi, t = state if state is not None else (np.tile(C / 2, (len(z), 1)), np.full(y.shape, 2.0), np.ones(y.shape))
     for dv, s, mu in steps:
-        df = z @ dv.T
-        da, dx, dt = _move(a, xi, t, y, C, df, mu)
-        a, xi, t, f = a + s * da, xi + s * dx, t + s * dt, f + s * df
-    return a, xi, t, f
+        da, dx, dt = _move(a, xi, t, y, C, z @ dv.T, mu)
+        a, xi, t = a + s * da, xi + s * dx, t + s * dt
+    return a, xi, t
+
+
+def _alike(y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The sets of rows that are in the same problems, and these; rows in none are left out."""
+    bits = np.packbits(y != 0, axis=1)
+    bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8))).view(np.uint64)
+    kinds, kind = np.unique(bits[:, 0] if bits.shape[1] == 1 else bits, axis=0, return_inverse=True)
+    for k in range(len(kinds)):
+        rows = np.flatnonzero(kind.ravel() == k)
+        cols = np.flatnonzero(y[rows[0]])
+        if len(cols):
+            yield rows, cols
+
+
+def _record(cols, x, y, state=None) -> pa.RecordBatch:
+    held = [cols.astype(np.int32).tobytes(), x.tobytes(), y.astype(np.int8).tobytes(),
+            None if state is None else np.stack(state).tobytes()]
+    return pa.RecordBatch.from_arrays([pa.array([h], pa.binary()) for h in held], names=["cols", "x", "y", "state"])
+
+
+def _pack(batches) -> Iterator[pa.RecordBatch]:
+    """Rows and labels to records of ``CHUNK`` rows; less for the last ones of each kind."""
+    waiting = {}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x, y = matrix(batch.column(0)), matrix(batch.column(1))
+        for rows, cols in _alike(y):
+            kind = cols.tobytes()
+            held = waiting.setdefault(kind, [])
+            held.append((x[rows], y[np.ix_(rows, cols)]))
+            if sum(len(h[0]) for h in held) >= CHUNK:
+                xs, ys = (np.concatenate(h) for h in zip(*held))
+                whole = len(xs) // CHUNK * CHUNK
+                for lo in range(0, whole, CHUNK):
+                    yield _record(cols, xs[lo:lo + CHUNK], ys[lo:lo + CHUNK])
+                waiting[kind] = [(xs[whole:], ys[whole:])]
+    for kind, held in waiting.items():
+        xs, ys = (np.concatenate(h) for h in zip(*held))
+        if len(xs):
+            yield _record(np.frombuffer(kind, np.int64), xs, ys)
 
 
-def _chunks(batches, live):
+def _chunks(batches, live, mapped: Callable | None):
+    """Rows of records: before and after the map, labels, state, the problems they are in, and their places in ``live``."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, CHUNK):
-            part = batch.slice(lo, CHUNK)
-            x = matrix(part.column(0))
-            yield np.hstack([x, np.ones((len(x), 1))]), matrix(part.column(1))[:, live]
+        for record in batch.to_batches() if isinstance(batch, pa.Table) else [batch]:
+            packed = [record] if "cols" in record.schema.names else _pack([record])
+            for part in packed:
+                for cols, x, y, state in zip(*[c.to_pylist() for c in part.columns]):
+                    cols = np.frombuffer(cols, np.int32)
+                    keep = np.flatnonzero(np.isin(cols, live))
+                    if not len(keep):
+                        continue
+                    y = np.frombuffer(y, np.int8).reshape(-1, len(cols))
+                    x = np.frombuffer(x).reshape(len(y), -1)
+                    if state is not None:
+                        state = np.frombuffer(state).reshape(3, len(y), len(cols))[:, :, keep]
+                    z = mapped(x) if mapped else x
+                    yield (x, np.hstack([z, np.ones((len(z), 1))]), y[:, keep].astype(float), state, cols[keep],
+                           np.searchsorted(live, cols[keep]))
 
 
-def _sums(data: DataFrame, C, live, steps, width: int, tasks: int) -> np.ndarray:
-    """For each live problem: matrix, three vectors, then gap, loss, multipliers, rows and gaps in rows."""
+def _of(steps, at):
+    return [(dv[at], s[at], mu[at]) for dv, s, mu in steps]
+
+
+def _save(data: DataFrame, C, live, steps, mapped: Callable | None) -> DataFrame:
+    """The records of live problems with the state after the steps."""
+    def run(batches):
+        for x, z, y, state, cols, at in _chunks(batches, live, mapped):
+            yield _record(cols, x, y, _replay(z, y, C[at], state, _of(steps, at)))
+
+    return cut_lineage(data.mapInArrow(run, RECORD)).persist()
+
+
+def _sums(data: DataFrame, C, live, steps, width: int, tasks: int, base=None,
+          mapped: Callable | None = None) -> np.ndarray:
+    """For each live problem: matrix, three vectors, then gap, loss, multipliers, rows and gaps in rows.
+
+    ``data`` are records, or rows and labels; ``steps`` are those since ``base``, the planes when the state was saved.
+    """
     q = width + 1
     upper = np.triu_indices(q)                       # the matrices are symmetric
     half = len(upper[0])
     size = half + 3 * q + 5
+    v = sum((s[:, None] * dv for dv, s, _ in steps), np.zeros((len(live), q)) if base is None else base)
 
     def run(batches):
         total, whole = np.zeros((len(live), size)), np.zeros((len(live), q, q))
-        for z, y in _chunks(batches, live):
-            a, xi, t, f = _replay(z, y, C, steps)
-            b = C - a
-            inside = y != 0
-            weight = np.where(inside, 1 / (xi / b + t / a), 0.0)
-            for i in range(len(live)):
-                whole[i] += z.T @ (z * weight[:, i:i + 1])
-            total[:, half:-5] += np.hstack([(z.T @ c).T for c in (
+        for _, z, y, state, _, at in _chunks(batches, live, mapped):
+            bound = C[at]
+            a, xi, t = _replay(z, y, bound, state, _of(steps, at))
+            b = bound - a
+            weight = 1 / (xi / b + t / a)
+            for i, w in zip(at, weight.T):
+                part = z * np.sqrt(w)[:, None]
+                whole[i] += part.T @ part
+            total[at, half:-5] += np.hstack([(z.T @ c).T for c in (
                 a * y, y * (1 / a - 1 / b) * weight, y * (xi - t) * weight)])
-            scalars = (a * t + b * xi, C * np.maximum(0, 1 - y * f), a, np.ones_like(a),
+            scalars = (a * t + b * xi, bound * np.maximum(0, 1 - y * (z @ v[at].T)), a, np.ones_like(a),
                        np.broadcast_to(np.isnan(z).any(axis=1)[:, None], a.shape))
-            total[:, -5:] += np.stack([np.where(inside, c, 0.0).sum(axis=0) for c in scalars], axis=1)
+            total[at, -5:] += np.stack([c.sum(axis=0) for c in scalars], axis=1)
         total[:, :half] = whole[:, upper[0], upper[1]]
         flat = total.ravel()
         ends = range(0, len(flat), PIECE)
@@ -118,16 +194,16 @@ def _sums(data: DataFrame, C, live, steps, width: int, tasks: int) -> np.ndarray
     return np.hstack([whole.reshape(len(live), q * q), flat[:, half:]])
 
 
-def _reach(data: DataFrame, C, live, steps, dv, mu) -> np.ndarray:
+def _reach(data: DataFrame, C, live, steps, dv, mu, mapped: Callable | None = None) -> np.ndarray:
     """The longest step of each live problem."""
     def run(batches):
         least = np.full(len(live), np.inf)
-        for z, y in _chunks(batches, live):
-            a, xi, t, _ = _replay(z, y, C, steps)
-            da, dx, dt = _move(a, xi, t, y, C, z @ dv.T, mu)
-            for value, change in ((a, da), (C - a, -da), (xi, dx), (t, dt)):
-                falls = (change < 0) & (y != 0)
-                least = np.minimum(least, np.where(falls, value / np.where(falls, -change, 1.0), np.inf).min(axis=0))
+        for _, z, y, state, _, at in _chunks(batches, live, mapped):
+            bound = C[at]
+            a, xi, t = _replay(z, y, bound, state, _of(steps, at))
+            da, dx, dt = _move(a, xi, t, y, bound, z @ dv[at].T, mu[at])
+            falls = np.maximum.reduce([-da / a, da / (bound - a), -dx / xi, -dt / t]).max(axis=0)
+            least[at] = np.minimum(least[at], np.where(falls > 0, 1 / np.where(falls > 0, falls, 1.0), np.inf))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(live), dtype=np.int32)), pa.array(least)],
                                          names=["i", "s"])
 
@@ -136,10 +212,11 @@ def _reach(data: DataFrame, C, live, steps, dv, mu) -> np.ndarray:
 
 
 def solve(data: DataFrame, C: Sequence[float], width: int, tasks: int, tol: float = 1e-11,
-          max_iter: int = 60) -> list[Plane]:
+          max_iter: int = 60, mapped: Callable | None = None) -> list[Plane]:
     """A plane for each problem.
 
-    ``data`` has two columns: the mapped row (array of ``width``) and its
+    ``data`` has two columns: the row (array of ``width``, or what ``mapped``
+    makes rows of ``width`` of, a block at a time) and its
     labels (1, -1 or 0 for each problem).  A problem ends when its duality gap
     is below ``tol`` times its objective, or can't be lowered any more.
     """
@@ -148,10 +225,10 @@ def solve(data: DataFrame, C: Sequence[float], width: int, tasks: int, tol: floa
     ridge = np.eye(q)
     ridge[-1, -1] = 0.0
     v, last, steps, out = np.zeros((len(C), q)), np.zeros(len(C)), [], {}
-    live = np.arange(len(C))
+    live, base = np.arange(len(C)), v
+    data = data.mapInArrow(_pack, RECORD).persist()
     for it in range(max_iter + 1):
-        told = [(dv[live], s[live], mu[live]) for dv, s, mu in steps]
-        sums = _sums(data, C[live], live, told, width, tasks)
+        sums = _sums(data, C[live], live, _of(steps, live), width, tasks, base[live], mapped)
         dv, mu, s = np.zeros((len(C), q)), np.ones(len(C)), np.zeros(len(C))
         for i, row in zip(live, sums, strict=True):
             m, (u, centre, rest) = row[:q * q].reshape(q, q), row[q * q:-5].reshape(3, q)
@@ -171,8 +248,12 @@ def solve(data: DataFrame, C: Sequence[float], width: int, tasks: int, tol: floa
         if not len(left):
             break
         live = left
-        told = [(d[live], k[live], c[live]) for d, k, c in steps]
-        s[live] = np.minimum(1.0, 0.99 * _reach(data, C[live], live, told, dv[live], mu[live]))
+        s[live] = np.minimum(1.0, 0.99 * _reach(data, C[live], live, _of(steps, live), dv[live], mu[live], mapped))
         v, last = v + s[:, None] * dv, s
         steps.append((dv, s, mu))
+        if tasks > 1 and len(steps) == SAVE:
+            saved = _save(data, C[live], live, _of(steps, live), mapped)
+            data.unpersist()
+            data, steps, base = saved, [], v
+    data.unpersist()
     return [out[i] for i in range(len(C))]

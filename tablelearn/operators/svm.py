@@ -37,8 +37,8 @@ from . import hinge
 
 KERNELS = ("linear", "poly", "rbf", "sigmoid")
 LEAST_ITER = 60          # a smaller max_iter doesn't cut a fit short
-TASK_ROWS = 20_000       # mapped rows of a task, about
-TASK_WORK = 100_000      # rows times problems of a task, about
+TASK_VALUES = 5_000_000  # mapped rows times their width of a task, about
+TASK_WORK = 1_000_000    # rows times problems of a task, about
 
 
 @dataclass
@@ -68,12 +68,29 @@ class FeatureMap:
         return df.select(*[F.col(k) for k in keep],
                          *[as_double(c).alias(f"_x{j}") for j, c in enumerate(self.features)])
 
+    @property
+    def width(self) -> int:
+        """Of a mapped row."""
+        return {"linear": len(self.features), "poly": len(self.monomials), "rbf": 0 if self.b is None else len(self.b),
+                "sigmoid": 0 if self.T is None else self.T.shape[1]}[self.kernel]
+
+    def kernel_map(self):
+        """rbf / sigmoid: a function from a block of rows to the mapped ones; None if ``columns`` makes them."""
+        if self.kernel in ("linear", "poly"):
+            return None
+        kernel, W, b, whiten, g = self.kernel, self.W, self.b, self.T, self.gamma
+
+        def made(x):
+            if kernel == "rbf":
+                return np.sqrt(2.0 / len(b)) * np.cos(x @ W.T + b)
+            return np.tanh(g * (x @ W.T)) @ whiten
+        return made
+
     def transform(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
-        """(keep..., _phi array<double>): the mapped rows."""
+        """(keep..., _phi array<double>): the mapped rows; with rbf / sigmoid, the rows that ``kernel_map`` takes."""
         xs = self.rows(df, keep)
-        if self.kernel in ("linear", "poly"):
-            return xs.select(*[F.col(k) for k in keep], F.array(*self.columns()).alias("_phi"))
-        return self._arrow_map(xs, keep, [("_phi", T.ArrayType(T.DoubleType()))], lambda z: [list(z)])
+        cols = ([F.col(f"_x{j}") for j in range(len(self.features))] if self.kernel_map() else self.columns())
+        return xs.select(*[F.col(k) for k in keep], F.array(*cols).alias("_phi"))
 
     def margins(self, df: DataFrame, keep: Sequence[str], planes: Sequence[tuple]) -> DataFrame:
         """(keep..., _f0, _f1, ...): the value of each plane (w, intercept) at each row."""
@@ -90,18 +107,14 @@ class FeatureMap:
     def _arrow_map(self, xs: DataFrame, keep: Sequence[str], out: list, made) -> DataFrame:
         """rbf / sigmoid: a dense matrix product per Arrow batch; ``made`` gives the columns ``out`` from it."""
         ship_package(xs.sparkSession)
-        kernel, W, b, whiten, g = self.kernel, self.W, self.b, self.T, self.gamma
+        mapped = self.kernel_map()
         xcols, keep = [f"_x{j}" for j in range(len(self.features))], list(keep)
         schema = T.StructType([xs.schema[k] for k in keep] + [T.StructField(n, t) for n, t in out])
 
         def fmap(batches):
             import pandas as pd
             for pdf in batches:
-                x = pdf[xcols].to_numpy(float)
-                if kernel == "rbf":
-                    z = np.sqrt(2.0 / len(b)) * np.cos(x @ W.T + b)
-                else:
-                    z = np.tanh(g * (x @ W.T)) @ whiten
+                z = mapped(pdf[xcols].to_numpy(float))
                 new = pd.DataFrame(dict(zip([n for n, _ in out], made(z))), index=pdf.index)
                 yield pd.concat([pdf[keep], new], axis=1)
         return xs.mapInPandas(fmap, schema)
@@ -217,13 +230,11 @@ def _planes(fmap: FeatureMap, df: DataFrame, label: str, problems: list[tuple],
     phi = fmap.transform(df.withColumn("_y", y), ["_y"]).select("_phi", "_y")
     # every pass is a job over these rows: as many tasks as they are worth, however few files hold them
     n = df.count()
-    tasks = max(n // TASK_ROWS, n * len(problems) // TASK_WORK) + 1
-    phi = (phi.coalesce(1) if tasks == 1 else phi.repartition(tasks)).persist()
-    width = phi.select(F.size("_phi")).first()[0]
+    tasks = max(n * fmap.width // TASK_VALUES, n * len(problems) // TASK_WORK) + 1
+    phi = phi.coalesce(1) if tasks == 1 else phi.repartition(tasks)
     # an unfinished interior point has no support vectors yet, and some 20 iterations finish it
-    planes = hinge.solve(phi, [c for c, *_ in problems], width, tasks, max_iter=max(max_iter, LEAST_ITER))
-    phi.unpersist()
-    return planes
+    return hinge.solve(phi, [c for c, *_ in problems], fmap.width, tasks, max_iter=max(max_iter, LEAST_ITER),
+                       mapped=fmap.kernel_map())
 
 
 def fit_problems(rows: DataFrame, features: Sequence[str], label: str, candidates: Sequence[dict], parts: int,

@@ -97,3 +97,23 @@ def test_folds_of_a_linear_svm_share_their_passes(spark, monkeypatch):
     monkeypatch.setattr(hinge, "solve", lambda data, C, *a, **k: asked.append(len(C)) or one(data, C, *a, **k))
     svm.fit(df, ["x", "y"], "label", kernel="linear", probability=True)
     assert asked == [1, 5]
+
+
+def test_a_pass_computes_only_the_problems_of_a_row(spark, monkeypatch):
+    """Records hold the rows that are in the same problems; steps saved with the rows need no replay."""
+    x, y = rows(300, 2)
+    part = np.arange(len(y)) % 3
+    labels = np.stack([np.where(part == k, 0, y) for k in range(3)], axis=1)
+    data = spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in zip(x, labels)],
+                                 "phi array<double>, y array<double>").coalesce(1)
+    held = data.mapInArrow(hinge._pack, hinge.RECORD).collect()
+    assert sorted(tuple(np.frombuffer(r["cols"], np.int32)) for r in held) == [(0, 1), (0, 2), (1, 2)]
+    assert sum(len(r["x"]) for r in held) == 300 * 2 * 8
+    one = hinge.solve(data, [1.0, 2.0, 3.0], 2, 1)
+    replayed, move = [], hinge._of
+    monkeypatch.setattr(hinge, "_of", lambda steps, at: replayed.append(len(steps)) or move(steps, at))
+    monkeypatch.setattr(hinge, "SAVE", 3)
+    many = hinge.solve(data.repartition(4), [1.0, 2.0, 3.0], 2, 4)
+    assert max(replayed) == 3 and len(replayed) > 10
+    for a, b in zip(one, many):
+        assert a.w == pytest.approx(b.w, abs=1e-6) and a.objective == pytest.approx(b.objective)
