@@ -38,7 +38,7 @@ from . import hinge
 KERNELS = ("linear", "poly", "rbf", "sigmoid")
 LEAST_ITER = 60          # a smaller max_iter doesn't cut a fit short
 TASK_VALUES = 2_000_000  # mapped rows times their width of a task, about
-TASK_WORK = 1_000_000    # rows times problems of a task, about
+TASK_WORK = 500_000      # rows times problems of a task, about
 
 
 @dataclass

@@ -117,3 +117,20 @@ def test_a_pass_computes_only_the_problems_of_a_row(spark, monkeypatch):
     assert max(replayed) == 3 and len(replayed) > 10
     for a, b in zip(one, many):
         assert a.w == pytest.approx(b.w, abs=1e-6) and a.objective == pytest.approx(b.objective)
+
+
+def test_wide_rows_are_made_in_the_passes(spark, monkeypatch):
+    """Each pass moved all rows at the width of the kernel's map."""
+    x, y = rows(60, 2)
+    df = spark.createDataFrame([(i, float(a), float(b), int(c)) for i, ((a, b), c) in enumerate(zip(x, y))],
+                               "id long, a double, b double, y int")
+    seen, solve = [], hinge.solve
+    monkeypatch.setattr(hinge, "solve", lambda data, C, width, *a, **k: seen.append(
+        (data.select(F.max(F.size("_phi"))).first()[0], width)) or solve(data, C, width, *a, **k))
+    for kernel, width in (("rbf", 20), ("sigmoid", None)):
+        model = svm.fit(df, ["a", "b"], "y", kernel=kernel, n_components=20)
+        assert seen[-1] == (2, width or len(model.pairs[0][2]))
+        z = model.fmap.kernel_map()(x)
+        w, b = model.pairs[0][2:]
+        out = np.array([r.margin for r in model.predict(df).orderBy("id").collect()])
+        assert out == pytest.approx(z @ w + b) and abs(model.gaps[0]) < 1e-6 * (1 + objective(w, b, z, y, 1.0))
